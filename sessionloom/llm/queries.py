@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, urls
+from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, sharding, urls
 from .common import table
 
 #: (verdict, host, path prefix)
@@ -43,7 +43,33 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op7_language_id, op9_bpe)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join("spans", ","))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("n_candidates")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_packing, op3_url_filter, op4_license_scan, op5_personal_data, op6_fingerprints,
+    op7_language_id, op8_sharding, op9_bpe, op10_jaccard_join)}
 
 ORACLE: dict[str, str] = {}
 
@@ -98,3 +124,19 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        dup_line_chars::BIGINT AS dup_line_chars
 FROM a
 """
+
+ORACLE["op10_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+t AS (SELECT rid, unnest(s) AS x FROM g),
+n AS (SELECT rid, doc_id, len(s) AS n FROM g),
+shared AS (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM t x JOIN t y ON x.x = y.x AND x.rid < y.rid GROUP BY ALL),
+link AS (SELECT p.doc_id AS u, q.doc_id AS v FROM shared JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+both_ways AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+comp AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM n LEFT JOIN comp ON doc_id = u
+"""

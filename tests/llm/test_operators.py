@@ -1,0 +1,387 @@
+"""Each corpus operator against a plain version of itself, on a real table and on odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from sessionloom.llm import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, queries, sharding, urls
+
+SF = "/root/testdata/sf0.001"
+LONG = "alpha beta gamma delta " * 4000 + "x" * 5000
+ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "one"), (5, "one"), (6, LONG), (7, "Éa Σας ΟΔΟΣ \x1c 日本語 🙂"),
+       (8, "Call +1 (314) 555-6532 4663622617512349 or a.b@mail.example.com"), (9, "Released under the MIT Licence. CC BY-NC! Under the MIT License"),
+       (None, "no id here at all"), (10, "the same words again and again " * 3), (11, "the same words again and again " * 3), (12, "<|endoftext|> a  b   c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, None, "src", 7, "x", 1, 2) for i, t in ODD],
+                                 "doc_id long, text string, lang string, source string, n_chars long, labels string, a long, _rank int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def both(frame):
+    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+
+
+def by_row(rows):
+    return sorted(map(repr, rows))
+
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark):
+    e = spark.createDataFrame([], EMPTY)
+    path, byte_path = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("byte_bpe_50k.json")
+    model = language.learn(language.sample_of(e))
+    for made in (quality.quality_rules(e), packing.pack(e, byte_path), licenses.license_scan(e), pii.personal_data(e),
+                 fingerprints.compare_neighbours(e), language.identify(e, model), sharding.shard(e), bpe.digest(e, path),
+                 jaccard.jaccard_groups(e), jaccard.keep_one(e)):
+        assert made.count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urls.filter_urls(pages, spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")).count() == 0
+
+
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    chars = sum(map(len, words))
+
+    def inside(n):
+        seen = defaultdict(list)
+        for i in range(len(words) - n + 1):
+            seen[tuple(words[i:i + n])].append(i)
+        hit = set()
+        for at in seen.values():
+            if len(at) > 1:
+                for i in at:
+                    hit.update(range(i, i + n))
+        return hit
+
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup_line = sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in lines if lines.count(x) > 1)
+    repeat = len(inside(3))
+    failed = len(words) < 50 or 100 * repeat > 50 * len(words)
+    kept = not failed and dup_line <= quality.LINE_LIMIT * chars and all(
+        sum(len(words[i]) for i in inside(n)) <= most * chars for n, most in quality.NGRAM_LIMITS.items())
+    return len(words), chars, len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), repeat, failed, kept, dup_line
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_quality(request, which):
+    frame = request.getfixturevalue(which)
+    rows = quality.quality_rules(frame).drop("dup_ngram_chars").collect()
+    assert by_row(tuple(r) for r in rows) == by_row((i, *plain_quality(t)) for i, t in both(frame))
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_packing(request, which):
+    from tokenizers import Tokenizer
+
+    frame = request.getfixturevalue(which)
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = defaultdict(list)
+    for i, text in both(frame):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        raw = b"".join(x.to_bytes(4, "little") for x in ids)
+        want[i].append((len(ids), raw))
+    rows = packing.pack(frame, path).collect()
+    held = defaultdict(list)
+    for r in rows:
+        assert any(r["doc_tokens"] == n and zlib.crc32(raw[4 * r["start"]:4 * (r["start"] + r["length"])]) == r["ids_crc32"] for n, raw in want[r["doc_id"]])
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in rows) == sum(n for v in want.values() for n, _ in v)
+    for at in held.values():
+        at.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and at[0][0] == 0 and sum(at[-1]) <= 2048
+    if which == "docs":
+        assert sum(n for at in held.values() for _, n in at) > 0.97 * 2048 * (len(held) - 1)
+
+
+def test_plan_meets_the_histogram():
+    import random
+
+    r = random.Random(5)
+    for _ in range(10):
+        need = {r.randint(1, 64): r.randint(1, 500) for _ in range(20)}
+        patterns = packing.plan(need, 64)
+        made = defaultdict(int)
+        for n, held in patterns:
+            assert sum(k * c for k, c in held.items()) <= 64
+            for k, c in held.items():
+                made[k] += n * c
+        assert all(made[k] >= n for k, n in need.items())
+        room: list[int] = []  # first fit, longest first
+        for k in sorted((k for k, n in need.items() for _ in range(n)), reverse=True):
+            at = next((i for i, x in enumerate(room) if x >= k), None)
+            if at is None:
+                room.append(64 - k)
+            else:
+                room[at] -= k
+        assert sum(n for n, _ in patterns) <= len(room) + 3
+
+
+def test_urls(spark):
+    odd = ["https://a.org", "https://A.org/x?y", None, "", "no scheme", "http://example.org/es/1", "http://m.example.org/en/1x", "ftp://x.com/de/",
+           "https://www.shop.com/fr/", "://", "http://com/de/a#b", "http://notexample.org/es/", "http://bad.net/p/?utm_source=q", "http://m.bad.net:80/p", "http://bad.net/q"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(odd + odd)], "page_id long, url string, host string")
+    rules = spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")
+    listed = spark.createDataFrame([("https://bad.net/p",), (None,)], "url string")
+    rows = {r["page_id"]: r for r in urls.filter_urls(pages, rules, listed).collect()}
+    assert len(rows) == 2 * len(odd)
+    for i, u in enumerate(odd + odd):
+        rest = u.partition("://")[2] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        fit = [(len(h + p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "block" if host in ("bad.net", "m.bad.net:80") and path.rstrip("/") == "/p" else "allow"))
+        assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"], rows[i]["verdict"]) == (host, path, best[1], best[2]), u
+
+
+def test_bloom_filter_has_no_false_negative(spark):
+    keys = spark.range(5000).selectExpr("concat('k', id) as key")
+    bloom, blocks = urls.bloom_filter(keys, "key", 5000)
+    passed = urls.might_hold(spark.range(20000).selectExpr("concat('k', id) as key", "id"), "key", bloom, blocks)
+    ids = {r["id"] for r in passed.collect()}
+    assert set(range(5000)) <= ids and len(ids) < 6500
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_licenses(request, which):
+    frame = request.getfixturevalue(which)
+    rows = licenses.license_scan(frame).collect()
+    want = []
+    for i, text in both(frame):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(k, label) for label, phrase in licenses.PHRASES for k in range(len(words)) if words[k:k + len(phrase.split())] == phrase.split()]
+        want.append((i, len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    assert by_row((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows) == by_row(want)
+    assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_licence_notices_with_edits():
+    wanted = licenses.notices()
+    for text, label in (("x Relesed under the MIT Licence. y", "mit"), ("Licensd under the Apache-Licence, Version 2.0", "apache-2"),
+                        ("This work is licenced under the GNU General Public Licence, version 3", "gpl"), ("Licensed under CC BY NC-4.0", "cc-by-nc")):
+        found = licenses.scan(text, wanted)
+        assert label in found[5].split(","), (text, found)
+        name, first, end, _ = found[7][0].split(":")
+        assert name == label and 0 <= int(first) < int(end) <= found[0]
+    assert licenses.scan("Released under the BSD license; the plain words of a text without any notice", wanted)[5] == ""
+    # every match that the pattern finds in the whole text is found by its pieces
+    for text in ("released under teh mit license", "permission is heerby granted free of charge to any preson obtaining a copy"):
+        for n in wanted:
+            whole = n.pattern.search(text.encode())
+            assert bool(whole) == bool(n.spans(text.encode()))
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(text):
+    def digits(m):
+        return re.sub(r"[^0-9]", "", m[0])
+
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_personal_data(request, which):
+    frame = request.getfixturevalue(which)
+    rows = pii.personal_data(frame).collect()
+    want = []
+    for i, t in both(frame):
+        base = plain_pii(t or "")
+        want.append((i, *(sum(s[0] == k for s in base) for k in pii.KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()))
+    assert by_row(tuple(r)[:6] for r in rows) == by_row(want)
+
+
+def test_personal_data_on_random_text():
+    import random
+
+    r = random.Random(2)
+    for _ in range(20000):
+        text = "".join(r.choice("aZ0129.@+-% ()5") for _ in range(r.randint(1, 30)))
+        assert sorted(pii.base_spans(text), key=lambda s: (s[1], pii.KINDS.index(s[0]))) == plain_pii(text), text
+
+
+def test_personal_data_added_by_the_trees():
+    model = pii._model()
+    for text, span in (("reach me at jane (at) example (dot) org today", ("email", 12, 39)), ("phone: (314) 555-6532 now", ("phone", 7, 21)),
+                       ("x +1 (314) 555-6532 4663622617512349 y", ("phone", 2, 19))):
+        assert span in pii.find(text, model)[1], pii.find(text, model)
+    for text in ("version 10.4.2 build 20240101", "order 4757965300 page 123456789", 'token = "11acdfb36bb72224148e6160f674b4be45601bff"'):
+        assert pii.find(text, model)[1] == [], text
+    assert pii.redact("a b@c.de +1 (314) 555-6532", model) == "a [EMAIL] [PHONE]"
+
+
+def test_trees_on_held_out_examples():
+    trees, thresholds = pii.train(5)
+    x, y = pii.examples(99, 2000)
+    hit = trees.predict(x) >= [thresholds[int(k)] for k in x[:, 0]]
+    assert y[hit].mean() > 0.95 and hit[y == 1].mean() > 0.6
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_fingerprints(request, which, monkeypatch):
+    frame = request.getfixturevalue(which)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 30)
+    rows = fingerprints.compare_neighbours(frame).collect()
+    order = sorted(both(frame), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        edited = t[:len(t) - half] + nxt[:half]
+        common = next((k for k, (a, b) in enumerate(zip(t, edited)) if a != b), min(len(t), len(edited)))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), common))
+    assert by_row((r["doc_id"], r["n_chars"], r["edited_sha256"], r["common_edited"]) for r in rows) == by_row(want)
+    texts = dict((i, t or "") for i, t in both(frame))
+    seen = {}
+    for r in rows:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert seen.setdefault(r["fingerprint"], texts[r["doc_id"]]) == texts[r["doc_id"]]
+    if which == "docs":
+        assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.9 * len(rows)
+
+
+def test_prefix_hashes_answer_span_equality():
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        a = "".join(r.choice("ab🙂") for _ in range(r.randint(0, 40)))
+        b = "".join(r.choice("ab🙂") for _ in range(r.randint(0, 40)))
+        g, h = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
+        i, j = r.randint(0, len(a)), r.randint(0, len(b))
+        want = next((k for k, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
+        assert g.extension(i, h, j) == want
+
+
+def test_language(spark, odd):
+    rows = queries.op7_language_id(spark, "/root/testdata/sf0.01").collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) > 0.97 * len(held)
+    model = language.learn(language.sample_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for r in language.identify(odd, model).collect():
+        assert 0 <= r["score"] <= 1
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd, model).collect()}
+    assert found[1] == found[2] == found[3] == "und" and found[4] != "und"
+    assert {r["lang_pred"] for r in language.identify(odd, {}).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_sharding(request, which):
+    frame = request.getfixturevalue(which)
+    rows = sharding.shard(frame).collect()
+    assert by_row((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == by_row(
+        (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in both(frame))
+    held = defaultdict(list)
+    for r in rows:
+        held[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in held.values())
+    counts = [len(held.get(k, [])) for k in range(8)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1 and set(held) <= set(range(8))
+    if which == "docs":
+        where = defaultdict(set)
+        for r in rows:
+            if r["size"] > 1:
+                where[r["text_crc32"], r["size"]].add(r["shard"])
+        assert all(len(v) == 1 for v in where.values())
+
+
+def test_sharding_splits_a_hot_group(spark):
+    frame = spark.createDataFrame([(i, "same" if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string")
+    held = defaultdict(int)
+    for r in sharding.shard(frame).collect():
+        held[r["shard"]] += 1
+    assert sorted(held.values()) == [112] * 4 + [113] * 4
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_bpe(request, which):
+    from tokenizers import Tokenizer
+
+    frame = request.getfixturevalue(which)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = []
+    for i, text in both(frame):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert by_row(tuple(r) for r in bpe.digest(frame, path).collect()) == by_row(want)
+
+
+def plain_groups(rows, k, percent):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()))
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and i is not None and j is not None and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [(i, len(s), None if i is None else root(i)) for i, s in sets]
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_jaccard(request, which, k, percent):
+    frame = request.getfixturevalue(which)
+    rows = jaccard.jaccard_groups(frame, k, percent).collect()
+    assert by_row(tuple(r) for r in rows) == by_row(plain_groups(both(frame), k, percent))
+
+
+def test_jaccard_in_a_family_near_the_threshold(spark, monkeypatch):
+    """Near copies whose likeness to each other lies about the threshold, over several blocks."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randint(0, 7)):
+            words[r.randrange(len(words))] = f"e{r.randint(0, 40)}"
+        rows.append((i * 7 % 150, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_groups(rows, 4, 85)
+    assert by_row(tuple(x) for x in jaccard.jaccard_groups(frame, 4, 85).collect()) == by_row(want)
+    assert 1 < len({c for _, _, c in want}) < 150
+    kept = {x["doc_id"] for x in jaccard.keep_one(frame, 4, 85).collect()}
+    assert kept == {c for _, _, c in want}
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
+    made = {r["node"]: r["component"] for r in jaccard.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert made == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
