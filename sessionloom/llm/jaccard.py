@@ -38,8 +38,8 @@ NGRAM, PERCENT = 5, 80
 SKETCH_BITS, RANGE_BITS = 22, 16
 #: Hash ranges whose counts the suffix filter compares.
 SUFFIX_RANGES = 32
-#: Sets of one prefix n-gram that a task compares with each other at once.
-BLOCK = 2048
+#: Up to so many sets of one prefix n-gram are paired by a join; more are compared in a task, so many at once.
+FEW, BLOCK = 64, 2048
 #: Bits of the filter that picks the documents whose sets are needed.
 PICK_BITS = 1 << 23
 
@@ -238,9 +238,6 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-_MEMBER = pa.struct([("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("before", pa.list_(pa.int64())), ("ranges", pa.binary())])
-
-
 def _across(percent: int):
     """Pairs of different components in two blocks of one n-gram's sets, if it is the first that they share."""
     def run(table: pa.Table) -> pa.Table:
@@ -285,8 +282,33 @@ def across(postings: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
     held = postings.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = held.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_m")).where("_a != _b")
     left = settle(held.join(mixed.select("token", "_m"), "token").select("token", "rep", "comp", "n", "pos", "_m"))
-    mine = left.groupBy("rep").agg(F.collect_list(F.struct("token", "pos")).alias("prefix"))
-    rows = (left.join(mine, "rep").join(classes.select("rep", "ranges"), "rep")
+    few = _among_few(left, percent)
+    return suffix_filter(few, classes, percent).union(_among_many(left, classes, percent)).distinct()
+
+
+def _among_few(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs from n-grams with few sets, by a join; the position filter counts all n-grams that a pair shares there.
+
+    Those that it may share among many-set n-grams count as shared."""
+    many = left.groupBy("rep").agg(F.count_if(F.col("_m") > FEW).alias("many"))
+    rows = left.where(F.col("_m") <= FEW).join(many, "rep")
+    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "pos", "many")])
+    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "pos", "many")])
+    n, m = F.col("x_n"), F.col("y_n")
+    met = x.join(y, "token").where((F.col("x_rep") > F.col("y_rep")) & (F.col("x_comp") != F.col("y_comp"))
+                                   & (F.least(n, m) * 100 >= F.greatest(n, m) * percent))
+    pairs = met.groupBy(F.col("x_rep").alias("u"), F.col("y_rep").alias("v")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("x_n").alias("x_n"), F.max("y_n").alias("y_n"), F.max("x_pos").alias("x_pos"), F.max("y_pos").alias("y_pos"),
+        F.max(F.least("x_many", "y_many")).alias("many"))
+    most = F.col("c") + F.col("many") + F.least(n - F.col("x_pos") - 1, m - F.col("y_pos") - 1)
+    return pairs.where(most >= _least_shared(n, m, percent)).select("u", "v")
+
+
+def _among_many(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs from n-grams with many sets, compared block by block in tasks."""
+    large = left.where(F.col("_m") > FEW)
+    mine = left.join(large.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list(F.struct("token", "pos")).alias("prefix"))
+    rows = (large.join(mine, "rep").join(classes.select("rep", "ranges"), "rep")
             .withColumn("before", F.transform(F.filter("prefix", lambda t: t["pos"] < F.col("pos")), lambda t: t["token"])))
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -294,7 +316,7 @@ def across(postings: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
         F.least(o, F.col("_block")).alias("i"), F.greatest(o, F.col("_block")).alias("j"), (F.col("_block") > o).cast("int").alias("side")))
     dealt = (rows.withColumn("_blocks", blocks).withColumn("_block", block).withColumn("o", F.explode(others))
              .select("token", "o.i", "o.j", "o.side", "rep", "comp", "n", "pos", "before", "ranges"))
-    return dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "u long, v long").distinct()
+    return dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "u long, v long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

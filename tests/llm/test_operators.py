@@ -360,11 +360,13 @@ def test_jaccard(request, which, k, percent):
     assert by_row(tuple(r) for r in rows) == by_row(plain_groups(both(frame), k, percent))
 
 
-def test_jaccard_in_a_family_near_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1, 20, 1000])
+def test_jaccard_in_a_family_near_the_threshold(spark, monkeypatch, few):
     """Near copies whose likeness to each other lies about the threshold, over several blocks."""
     import random
 
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "FEW", few)
     r = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
