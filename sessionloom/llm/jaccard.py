@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 
 NGRAM, PERCENT = 5, 80
 #: Counters of the frequency sketch, dealt out in ranges; it is broadcast with a byte a counter.
@@ -321,6 +321,11 @@ def _among_many(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest id that links of ``percent`` or more lead to."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs, k, percent, doc_id, text)
+
+
+def _groups(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     survey = settle(docs.mapInArrow(_survey(k), _SURVEY))
