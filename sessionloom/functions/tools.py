@@ -64,9 +64,7 @@ def unwrap_shell(command: Column, depth: int = 3) -> Column:
     """The command inside ``bash -lc`` or ``bash -c``; deeper nesting than ``depth`` stays wrapped."""
     out = F.trim(command)
     for _ in range(depth):
-        inner = F.when(F.instr(out, "-lc") > 0, F.regexp_extract(out, r"(?s)^.*?-lc(.*)$", 1)).when(
-            F.instr(out, "-c") > 0, F.regexp_extract(out, r"(?s)^.*?-c(.*)$", 1))
-        out = F.when(out.rlike(r"^bash\s"), F.trim(inner)).otherwise(out)
+        out = F.trim(F.regexp_replace(out, r"(?s)^bash\s(?:(?=.*-lc).*?-lc|(?!.*-lc).*?-c)(.*)$", "$1"))
     return F.coalesce(out, F.lit(""))
 
 

@@ -12,7 +12,9 @@ from ..operators import analyze as A
 from ..operators import query as Q
 from ..operators import select as S
 from ..operators.assemble import KEYS, Assembled, assemble
+from ..sources import ingest, render
 from ..sources.bridge import bridged, conversation_events
+from ..streaming import live
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -506,3 +508,59 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["conversation_turns"] = conversation_turns
 ORACLE["conversation_turns"] = """SELECT session_id, turn_index, count(*) FILTER (role = 'assistant') AS messages, sum(length(text))::BIGINT AS chars FROM
  (SELECT 'c' || conv_id AS session_id, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT - 1 AS turn_index FROM conversations) WHERE turn_index >= 0 GROUP BY ALL"""
+
+
+# --- raw logs: events rendered to raw lines and read back ---------------------------------------------------------
+
+_SAID = "coalesce(text, slash_name, tool_name, output)"
+
+
+@query(O.on_events(f"""SELECT session_id AS path, seq AS line_no, type, stream, {_SAID} AS said, coalesce(is_error, false) AS is_error, file_path, command, pattern,
+  lag(seq) OVER (PARTITION BY session_id, stream ORDER BY seq) AS parent_line, agent_id FROM ev WHERE type <> 'token_usage'"""), on="events")
+def norm_claude(e: DataFrame):
+    got = ingest.claude_events(render.claude_lines(e))
+    parents = got.select(F.col("event_id").alias("parent_id"), F.col("line_no").alias("parent_line"))
+    return got.join(parents, "parent_id", "left").select("path", "line_no", "type", "stream", F.expr(_SAID).alias("said"), F.coalesce("is_error", F.lit(False)).alias("is_error"),
+                                                         "file_path", "command", "pattern", "parent_line", "agent_id")
+
+
+@query(O.on_events(f"""SELECT session_id AS path, seq AS line_no, type, CASE WHEN type = 'tool_result' THEN 'Exit code: ' || CAST(is_error AS INT) || chr(10) || output ELSE {_SAID} END AS said,
+  coalesce(is_error, false) AS is_error, tok_uncached, tok_cached, tok_generated FROM
+  (SELECT *, lag((tok_uncached + tok_cached) || ' ' || tok_generated) OVER (PARTITION BY session_id, type ORDER BY seq) AS was FROM ev)
+  WHERE type <> 'slash_command' AND NOT (type = 'token_usage' AND was IS NOT DISTINCT FROM ((tok_uncached + tok_cached) || ' ' || tok_generated))"""), on="events")
+def norm_codex(e: DataFrame):
+    return ingest.codex_events(render.codex_lines(e)).select("path", "line_no", "type", F.expr(_SAID).alias("said"), F.coalesce("is_error", F.lit(False)).alias("is_error"),
+                                                             "tok_uncached", "tok_cached", "tok_generated")
+
+
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name IN ('Read', 'Glob') THEN 'FileRead' WHEN tool_name = 'Edit' THEN 'FileEdit' WHEN tool_name = 'Bash' THEN 'Execute'
+  WHEN tool_name = 'Grep' THEN 'Search' ELSE 'Mcp' END AS tool_variant, mcp_server, mcp_tool FROM ev WHERE type = 'tool_call'"""), on="events")
+def tool_norm_claude(e: DataFrame):
+    return ingest.claude_events(render.claude_lines(e)).where("type = 'tool_call'").select("path", "line_no", "tool_variant", "mcp_server", "mcp_tool")
+
+
+# --- streams, drained -----------------------------------------------------------------------------------------------
+
+def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of simple agent events; its place is its id."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "user", "view", "message", "click", "tool_call", "error", "tool_result", "purchase", "token_usage")]), F.col("event_type"))
+    return raw.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"),
+                      F.lit("main").alias("stream"), F.lit("p").alias("provider"), k.alias("tok_uncached"), (k * 10).alias("tok_cached"), k.alias("tok_generated"),
+                      F.lit(None).cast("string").alias("model"), (k % 3 == 0).alias("is_error"))
+
+
+def _streamed(name: str, f, mode: str, sql: str, select) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return select(live.drain(f(_raw_stream(spark, sf_dir)), mode))
+    QUERIES[name] = run
+    ORACLE[name] = sql
+
+
+_streamed("live_state", live.live_state, "complete", """SELECT 's' || user_id AS session_id, CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) AS last_ms, count(*) AS event_count, count(*) FILTER (event_type = 'signup') AS turn_count,
+  arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (event_type = 'purchase') AS fresh_input FROM events GROUP BY user_id""",
+          lambda d: d.select("session_id", ms("last_activity").alias("last_ms"), "event_count", "turn_count", "fresh_input"))
+_streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id AS session_id, 'p' AS provider, count(*) AS event_count FROM events GROUP BY user_id",
+          lambda d: d.select("session_id", "provider", "event_count"))

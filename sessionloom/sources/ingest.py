@@ -49,6 +49,24 @@ def _event(kind: str, suffix: str, **values: Column) -> Column:
     return F.struct(*fields, *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()])
 
 
+def _tag(rows: DataFrame, keep: list, cases: list[tuple]) -> DataFrame:
+    """The rows that fit a case (condition, type, suffix, values), with ``keep`` and the fields of the first that fits."""
+    number = F.when(cases[0][0], 0)
+    for i, case in enumerate(cases[1:], 1):
+        number = number.when(case[0], i)
+    rows = rows.withColumn("_case", number).where("_case is not null")
+
+    def pick(values: list[tuple[int, Column]], kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for i, v in reversed(values):
+            out = F.when(F.col("_case") == i, v.cast(kind)).otherwise(out)
+        return out
+
+    fields = [pick([(i, F.lit(c[n])) for i, c in enumerate(cases)], "string").alias(name) for n, name in ((1, "type"), (2, "suffix"))]
+    fields += [pick([(i, c[3][n]) for i, c in enumerate(cases) if n in c[3]], t).alias(n) for n, t in _FIELDS.items()]
+    return rows.select(*keep, *fields)
+
+
 def detect_provider(path: Column) -> Column:
     """The format that a path tells; null if none."""
     return F.when(path.contains(".claude/"), "claude_code").when(path.contains(".codex/"), "codex").when(path.contains(".gemini/"), "gemini")
@@ -59,8 +77,10 @@ def parse_ts(text: Column) -> Column:
 
 
 def _finish(rows: DataFrame, provider: str, session: Column) -> DataFrame:
-    """Ids, links and order.  rows: path, raw (a session id or null), ts, stream, line_no, sub_no, base_id, e (the event)."""
-    rows = rows.where("e is not null").select("path", "raw", "ts", "stream", "line_no", "sub_no", "base_id", "e.*").where("ts is not null")
+    """Ids, links and order.  rows: path, raw (a session id or null), ts, stream, line_no, sub_no, base_id, and the event's fields or a struct e of them."""
+    if "e" in rows.columns:
+        rows = rows.where("e is not null").select("path", "raw", "ts", "stream", "line_no", "sub_no", "base_id", "e.*")
+    rows = rows.where("ts is not null")
     order = W.partitionBy("path").orderBy("line_no", "sub_no")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("raw_session_id", F.coalesce(F.first("raw", True).over(whole), session))
@@ -93,22 +113,21 @@ def claude_events(lines: DataFrame) -> DataFrame:
     name, args = X.slash_command(text)
     content = at("b", "$.content", "variant")
     result = F.when(F.schema_of_variant(content) == "STRING", at("b", "$.content"))
-    event = (F.when(user & (kind == "text") & name.isNotNull(), _event("slash_command", "slashcmd", slash_name=name, slash_args=args))
-             .when(user & (kind == "text"), _event("user", "user", text=text))
-             .when(kind == "text", _event("message", "message", text=text))
-             .when(~user & (kind == "thinking"), _event("reasoning", "reasoning", text=at("b", "$.thinking")))
-             .when(~user & (kind == "tool_use"), _event("tool_call", "call", tool_name=at("b", "$.name"), provider_call_id=at("b", "$.id"),
-                                                        arguments=at("b", "$.input", "string"), model=at("v", "$.message.model")))
-             .when(kind == "tool_result", _event("tool_result", "result", provider_call_id=at("b", "$.tool_use_id"), output=F.coalesce(result, F.lit("")),
-                                                 is_error=F.coalesce(at("b", "$.is_error", "boolean"), F.lit(False)),
-                                                 agent_id=F.when(user, F.coalesce(at("b", "$.agentId"), at("v", "$.toolUseResult.agentId"))))))
-    inner = b.select("path", "raw", "ts", "stream", "line_no", F.col("sub_no").cast("long"), F.concat("uuid", F.lit("-content-"), F.col("sub_no").cast("string")).alias("base_id"), event.alias("e"))
+    place = ["path", "raw", "ts", "stream", "line_no", F.col("sub_no").cast("long").alias("sub_no"), F.concat("uuid", F.lit("-content-"), F.col("sub_no").cast("string")).alias("base_id")]
+    inner = _tag(b, place, [
+        (user & (kind == "text") & name.isNotNull(), "slash_command", "slashcmd", {"slash_name": name, "slash_args": args}),
+        (user & (kind == "text"), "user", "user", {"text": text}),
+        (kind == "text", "message", "message", {"text": text}),
+        (~user & (kind == "thinking"), "reasoning", "reasoning", {"text": at("b", "$.thinking")}),
+        (~user & (kind == "tool_use"), "tool_call", "call", {"tool_name": at("b", "$.name"), "provider_call_id": at("b", "$.id"), "arguments": at("b", "$.input"), "model": at("v", "$.message.model")}),
+        (kind == "tool_result", "tool_result", "result", {
+            "provider_call_id": at("b", "$.tool_use_id"), "output": F.coalesce(result, F.lit("")), "is_error": F.coalesce(at("b", "$.is_error", "boolean"), F.lit(False)),
+            "agent_id": F.when(user, F.coalesce(at("b", "$.agentId"), at("v", "$.toolUseResult.agentId")))})])
     makes = F.exists("blocks", lambda x: F.try_variant_get(x, "$.type", "string").isin("tool_use", "text"))
-    usage = _event("token_usage", "usage", tok_cached=F.coalesce(at("v", "$.message.usage.cache_read_input_tokens", "long"), F.lit(0)),
-                   tok_uncached=at("v", "$.message.usage.input_tokens", "long"), tok_generated=at("v", "$.message.usage.output_tokens", "long"),
-                   tok_reasoning=F.lit(0), tok_tool=F.lit(0), model=at("v", "$.message.model"))
-    used = blocks.where(~user & makes & at("v", "$.message.usage.input_tokens", "long").isNotNull()).select(
-        "path", "raw", "ts", "stream", "line_no", F.lit(1 << 40).cast("long").alias("sub_no"), F.col("uuid").alias("base_id"), usage.alias("e"))
+    used = _tag(blocks, ["path", "raw", "ts", "stream", "line_no", F.lit(1 << 40).cast("long").alias("sub_no"), F.col("uuid").alias("base_id")], [
+        (~user & makes & at("v", "$.message.usage.input_tokens", "long").isNotNull(), "token_usage", "usage", {
+            "tok_cached": F.coalesce(at("v", "$.message.usage.cache_read_input_tokens", "long"), F.lit(0)), "tok_uncached": at("v", "$.message.usage.input_tokens", "long"),
+            "tok_generated": at("v", "$.message.usage.output_tokens", "long"), "tok_reasoning": F.lit(0), "tok_tool": F.lit(0), "model": at("v", "$.message.model")})])
     sub, data = at("v", "$.subtype"), "$.data"
     told, trigger, before = at("v", "$.content"), F.coalesce(at("v", "$.compactMetadata.trigger"), F.lit("unknown")), at("v", "$.compactMetadata.preTokens", "long")
     hooks = F.array_join(F.filter(F.transform(at("v", "$.hookInfos", "array<variant>"), lambda h: F.try_variant_get(h, "$.command", "string")), lambda c: c.isNotNull()), ", ")
@@ -116,22 +135,23 @@ def claude_events(lines: DataFrame) -> DataFrame:
     made_up = F.concat(F.lit("gen-"), F.lower(F.hex(F.xxhash64("raw", at("v", "$.timestamp"), "record"))))
     system, record = F.col("record") == "system", F.col("record")
 
-    def note(text: Column, level: str | Column) -> Column:
-        return _event("notification", "notify", text=text, level=F.lit(level) if isinstance(level, str) else level)
-
-    other = (F.when(system & (sub == "local_command") & told.isNotNull(), _event(
-                 "slash_command", "slashcmd", slash_name=F.substring_index(told, " ", 1), slash_args=F.when(told.contains(" "), F.regexp_extract(told, r"(?s)^[^ ]* (.*)$", 1))))
-             .when(system & (sub == "turn_duration") & at("v", "$.durationMs", "long").isNotNull(), note(F.concat(F.lit("Turn duration: "), at("v", "$.durationMs", "long").cast("string"), F.lit("ms")), "debug"))
-             .when(system & (sub == "compact_boundary"), note(F.concat(F.lit("Context compaction (trigger: "), trigger, F.coalesce(F.concat(F.lit(", pre_tokens: "), before.cast("string")), F.lit("")), F.lit(")")), "info"))
-             .when(system & (sub == "stop_hook_summary"), note(F.concat(F.lit("Stop hooks executed (count: "), count, F.lit(")"), F.when(hooks != "", F.concat(F.lit(": "), hooks)).otherwise("")), "info"))
-             .when((record == "progress") & (at("v", f"{data}.type") == "hook_progress"), note(
-                 F.concat(F.lit("Hook: "), F.coalesce(at("v", f"{data}.hookName"), F.lit("unknown")), F.lit(" ("), F.coalesce(at("v", f"{data}.hookEvent"), F.lit("")), F.lit(")")),
-                 F.when(at("v", f"{data}.command").isNotNull(), "info").otherwise("debug")))
-             .when(record == "queue-operation", _event("queue_operation", "queue", queue_op=at("v", "$.operation"), queue_content=told, task_id=at("v", "$.taskId")))
-             .when(record == "summary", _event("summary", "summary", text=at("v", "$.summary"), leaf_uuid=at("v", "$.leafUuid")))
-             .when(record == "pr-link", note(F.concat(F.lit("PR #"), at("v", "$.prNumber", "long").cast("string"), F.lit(" linked: "), at("v", "$.prUrl")), "info")))
+    def note(when: Column, text: Column, level: Column) -> tuple:
+        return when, "notification", "notify", {"text": text, "level": level}
+
+    debug, info = F.lit("debug"), F.lit("info")
+    cases = [
+        (system & (sub == "local_command") & told.isNotNull(), "slash_command", "slashcmd", {
+            "slash_name": F.substring_index(told, " ", 1), "slash_args": F.when(told.contains(" "), F.regexp_extract(told, r"(?s)^[^ ]* (.*)$", 1))}),
+        note(system & (sub == "turn_duration") & at("v", "$.durationMs", "long").isNotNull(), F.concat(F.lit("Turn duration: "), at("v", "$.durationMs", "long").cast("string"), F.lit("ms")), debug),
+        note(system & (sub == "compact_boundary"), F.concat(F.lit("Context compaction (trigger: "), trigger, F.coalesce(F.concat(F.lit(", pre_tokens: "), before.cast("string")), F.lit("")), F.lit(")")), info),
+        note(system & (sub == "stop_hook_summary"), F.concat(F.lit("Stop hooks executed (count: "), count, F.lit(")"), F.when(hooks != "", F.concat(F.lit(": "), hooks)).otherwise("")), info),
+        note((record == "progress") & (at("v", f"{data}.type") == "hook_progress"), F.concat(F.lit("Hook: "), F.coalesce(at("v", f"{data}.hookName"), F.lit("unknown")), F.lit(" ("), F.coalesce(at("v", f"{data}.hookEvent"), F.lit("")), F.lit(")")),
+             F.when(at("v", f"{data}.command").isNotNull(), "info").otherwise("debug")),
+        (record == "queue-operation", "queue_operation", "queue", {"queue_op": at("v", "$.operation"), "queue_content": told, "task_id": at("v", "$.taskId")}),
+        (record == "summary", "summary", "summary", {"text": at("v", "$.summary"), "leaf_uuid": at("v", "$.leafUuid")}),
+        note(record == "pr-link", F.concat(F.lit("PR #"), at("v", "$.prNumber", "long").cast("string"), F.lit(" linked: "), at("v", "$.prUrl")), info)]
     base = F.when(record.isin("queue-operation", "pr-link"), made_up).when(record == "summary", F.coalesce(at("v", "$.leafUuid"), F.lit("summary"))).otherwise(F.col("uuid"))
-    rest = r.where(~record.isin("user", "assistant")).select("path", "raw", "ts", "stream", "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id"), other.alias("e"))
+    rest = _tag(r.where(~record.isin("user", "assistant")), ["path", "raw", "ts", "stream", "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id")], cases)
     return _finish(inner.unionByName(used).unionByName(rest), "claude_code", F.lit("unknown"))
 
 
@@ -164,17 +184,18 @@ def codex_events(lines: DataFrame) -> DataFrame:
     failed = F.coalesce(X.exit_code(output) != 0, F.lit(False))
     tokens = "$.payload.info.last_token_usage"
     fresh = F.greatest(F.lit(0), at("v", f"{tokens}.input_tokens", "long") - F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0)))
-    event = (F.when(item & (kind == "message") & (role == "user"), _event("user", "user", text=joined("$.payload.content"), model=model))
-             .when(item & (kind == "message"), _event("message", "message", text=joined("$.payload.content"), model=model))
-             .when(item & (kind == "reasoning"), _event("reasoning", "reasoning", text=reasoned, model=model))
-             .when(item & kind.isin("function_call", "custom_tool_call"), _event("tool_call", "call", tool_name=at("v", "$.payload.name"), provider_call_id=at("v", "$.payload.call_id"), arguments=args, model=model))
-             .when(item & kind.isin("function_call_output", "custom_tool_call_output"), _event(
-                 "tool_result", "result", provider_call_id=at("v", "$.payload.call_id"), output=output, is_error=failed, model=model))
-             .when(F.col("told") & ~F.col("usage").eqNullSafe(F.col("_was")), _event(
-                 "token_usage", "usage", tok_cached=F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0)), tok_uncached=fresh,
-                 tok_generated=at("v", f"{tokens}.output_tokens", "long"), tok_reasoning=F.coalesce(at("v", f"{tokens}.reasoning_output_tokens", "long"), F.lit(0)), tok_tool=F.lit(0), model=model)))
+    cases = [
+        (item & (kind == "message") & (role == "user"), "user", "user", {"text": joined("$.payload.content")}),
+        (item & (kind == "message"), "message", "message", {"text": joined("$.payload.content")}),
+        (item & (kind == "reasoning"), "reasoning", "reasoning", {"text": reasoned}),
+        (item & kind.isin("function_call", "custom_tool_call"), "tool_call", "call", {"tool_name": at("v", "$.payload.name"), "provider_call_id": at("v", "$.payload.call_id"), "arguments": args}),
+        (item & kind.isin("function_call_output", "custom_tool_call_output"), "tool_result", "result", {"provider_call_id": at("v", "$.payload.call_id"), "output": output, "is_error": failed}),
+        (F.col("told") & ~F.col("usage").eqNullSafe(F.col("_was")), "token_usage", "usage", {
+            "tok_cached": F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0)), "tok_uncached": fresh, "tok_generated": at("v", f"{tokens}.output_tokens", "long"),
+            "tok_reasoning": F.coalesce(at("v", f"{tokens}.reasoning_output_tokens", "long"), F.lit(0)), "tok_tool": F.lit(0)})]
+    cases = [(*c[:3], c[3] | {"model": model}) for c in cases]
     base = F.concat(F.coalesce("raw", F.lit("unknown-session")), F.lit(":row_"), F.col("line_no").cast("string"))
-    rows = r.select("path", "raw", "ts", stream.alias("stream"), "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id"), event.alias("e"))
+    rows = _tag(r, ["path", "raw", "ts", stream.alias("stream"), "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id")], cases)
     return _finish(rows, "codex", F.lit("unknown-session"))
 
 
@@ -237,7 +258,8 @@ def with_tool_columns(rows: DataFrame) -> DataFrame:
     display = F.regexp_extract(F.coalesce("display_name", F.lit("")), r"\(([^()]*) MCP Server\)", 1)
     rows = rows.withColumns({"command": command, "file_path": F.coalesce(path, patched[1]), "pattern": pattern,
                              "mcp_server": F.coalesce(server, F.nullif(display, F.lit(""))), "mcp_tool": F.coalesce(tool, F.when(display != "", name))})
-    intent = T.shell_intent(F.col("command"))
+    rows = rows.withColumn("_intent", T.shell_intent(F.col("command")))
+    intent = F.col("_intent")
     variant = (F.when((provider == "claude_code") & (name == "Read") & F.col("file_path").isNotNull(), "FileRead")
                .when((provider == "claude_code") & (name == "Glob") & F.col("pattern").isNotNull(), "FileRead")
                .when((provider == "claude_code") & (name == "Edit") & at("_a", "$.new_string").isNotNull(), "FileEdit")
@@ -255,7 +277,7 @@ def with_tool_columns(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("tool_variant", F.when(name.isNotNull(), variant))
     return rows.withColumns({"tool_kind": F.when(name.isNotNull(), F.coalesce(F.try_element_at(kind, F.col("tool_variant")), F.lit("other"))),
                              "tool_kind_named": F.when(name.isNotNull(), T.classify(provider, name)),
-                             "tool_origin": F.when(name.isNotNull(), T.origin_of(name))}).drop("_a", "display_name")
+                             "tool_origin": F.when(name.isNotNull(), T.origin_of(name))}).drop("_a", "_intent", "display_name")
 
 
 def normalize_all(spark: SparkSession, claude: list[str] = (), codex: list[str] = (), gemini: list[str] = ()) -> DataFrame:

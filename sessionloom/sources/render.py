@@ -1,0 +1,61 @@
+"""Events to raw log lines: the way back, for exports and round trips."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _line(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields))
+
+
+def _time() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+
+
+def _arguments() -> Column:
+    return F.struct("file_path", "command", "pattern", F.lit("x").alias("content"), F.lit("x").alias("new_string"))
+
+
+def claude_lines(events: DataFrame) -> DataFrame:
+    """path (the session), line_no (seq) and value in the first format; usage rows have no record of their own there."""
+    kind = F.col("type")
+    head = [F.col("event_id").alias("uuid"), F.col("session_id").alias("sessionId"), _time(), (F.col("stream") != "main").alias("isSidechain"),
+            F.when(F.col("stream") != "main", F.substring_index("stream", ":", -1)).alias("agentId")]
+
+    def record(who: str, content: Column) -> Column:
+        return _line(F.lit(who).alias("type"), *head, F.struct(content.alias("content")).alias("message"))
+
+    def block(**fields) -> Column:
+        return F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    slash = F.concat(F.lit("<command-name>"), "slash_name", F.lit("</command-name>"))
+    value = (F.when(kind == "user", record("user", F.col("text"))).when(kind == "slash_command", record("user", slash))
+             .when(kind == "message", record("assistant", block(type=F.lit("text"), text=F.col("text"))))
+             .when(kind == "reasoning", record("assistant", block(type=F.lit("thinking"), thinking=F.col("text"))))
+             .when(kind == "tool_call", record("assistant", block(type=F.lit("tool_use"), id=F.col("event_id"), name=F.col("tool_name"), input=_arguments())))
+             .when(kind == "tool_result", record("user", block(type=F.lit("tool_result"), tool_use_id=F.col("tool_call_id"), content=F.col("output"), is_error=F.col("is_error"), agentId=F.col("agent_id")))))
+    return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value")).where("value is not null")
+
+
+def codex_lines(events: DataFrame) -> DataFrame:
+    """The same in the second format, which has no slash commands."""
+    kind = F.col("type")
+
+    def item(*fields: Column) -> Column:
+        return _line(_time(), F.lit("response_item").alias("type"), F.struct(*fields).alias("payload"))
+
+    def said(role: str) -> Column:
+        return item(F.lit("message").alias("type"), F.lit(role).alias("role"), F.array(F.struct(F.lit("t").alias("type"), "text")).alias("content"))
+
+    last = F.struct((F.col("tok_uncached") + F.col("tok_cached")).alias("input_tokens"), F.col("tok_cached").alias("cached_input_tokens"),
+                    F.col("tok_generated").alias("output_tokens"), (F.col("tok_uncached") + F.col("tok_cached") + F.col("tok_generated")).alias("total_tokens"))
+    usage = _line(_time(), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(last.alias("last_token_usage")).alias("info")).alias("payload"))
+    output = F.concat(F.lit("Exit code: "), F.col("is_error").cast("int").cast("string"), F.lit("\n"), "output")
+    value = (F.when(kind == "user", said("user")).when(kind == "message", said("assistant"))
+             .when(kind == "reasoning", item(F.lit("reasoning").alias("type"), F.array(F.struct(F.lit("summary_text").alias("type"), "text")).alias("summary")))
+             .when(kind == "tool_call", item(F.lit("function_call").alias("type"), F.col("tool_name").alias("name"), F.to_json(_arguments()).alias("arguments"), F.col("event_id").alias("call_id")))
+             .when(kind == "tool_result", item(F.lit("function_call_output").alias("type"), F.col("tool_call_id").alias("call_id"), output.alias("output")))
+             .when(kind == "token_usage", usage))
+    return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value")).where("value is not null")

@@ -7,6 +7,8 @@ the same plan as in batch, for the sessions that a micro-batch touches.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,3 +87,16 @@ def reassembler(read_events: Callable[[], DataFrame], write_steps: Callable[[Dat
         touched = batch.select("session_id").distinct()
         write_steps(touched, assemble(read_events().join(touched, "session_id", "left_semi")).steps)
     return each
+
+
+def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what has arrived, and gives its last result, written to the folder that all executors share."""
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+
+    schema = stream.schema
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
