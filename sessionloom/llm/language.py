@@ -25,7 +25,7 @@ from .common import text_udf
 
 #: Bounds of the labelled sample that the dictionaries are made of: rows a language, bytes a row and a dictionary, languages.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 8192, 112_640, 64
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 4096, 9
 #: Scores under this are rejected where a verdict is asked for.
 MARGIN = 0.01
 UNKNOWN = "und"
