@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts of a batch that a worker holds as Python strings at once.
+SLICE = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,12 +59,16 @@ def text_udf(schema: str, row_fn, start=None):
     struct = pa_struct(schema)
     names = [f.name for f in struct]
 
-    def run(texts: pa.Array) -> pa.Array:
-        state = start() if start else None
+    def some(texts: pa.Array, state) -> pa.Array:
         rows = [row_fn(t, state) if start else row_fn(t) for t in texts.to_pylist()]
         columns = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.StructArray.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, struct)], names=names)
+        return pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, struct)], names=names)
+
+    def run(texts: pa.Array) -> pa.Array:
+        state = start() if start else None
+        out = pa.concat_arrays([some(texts.slice(i, SLICE), state) for i in range(0, max(1, len(texts)), SLICE)])
+        pa.default_memory_pool().release_unused()
+        return out
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, f"struct<{schema}>")

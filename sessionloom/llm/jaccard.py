@@ -185,14 +185,13 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
         bits[w] = bit
     held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-    @F.arrow_udf("boolean")
-    def picked(at: pa.Array) -> pa.Array:
-        i = at.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array((held.value[i // 64] >> (i % 64).astype(np.uint64)) & np.uint64(1) == 1)
-
-    @F.arrow_udf("array<long>")
-    def set_of(text: pa.Array) -> pa.Array:
-        return pa.array([shingles(t, k).view(np.int64) for t in text.to_pylist()], pa.list_(pa.int64()))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            picked = np.flatnonzero((held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
+            texts = batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(picked)), pa.array(
+                [shingles(texts[int(i)].as_py(), k).view(np.int64) for i in picked], pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -203,7 +202,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    sets = settle(docs.where(picked(slot)).join(wanted, "doc_id").select("doc_id", set_of("text").alias("s")).where(F.size("s") > 0))
+    made = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(sets_of, "doc_id long, s array<long>")
+    sets = settle(made.where(F.size("s") > 0).join(wanted, "doc_id").select("doc_id", "s"))
     left = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("_x"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("_y"))
     return settle(pairs.join(left, "u").join(right, "v").where(alike("_x", "_y")).select("u", "v").distinct())

@@ -45,13 +45,9 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -59,9 +55,19 @@ class Ids:
         ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.added}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _ask(self, text: str) -> list[int]:
+        if self.tokenizer is None:  # rarely needed, and large
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def of(self, text: str) -> bytes:
         if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self._ask(text), "<u4").tobytes()
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
 
 
