@@ -37,14 +37,18 @@ def fold(text: str) -> bytes:
 
 
 def sample_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """At most SAMPLE_ROWS labelled rows a language, chosen by a hash of the id, those of 64 to SAMPLE_BYTES bytes first."""
+    """At most SAMPLE_ROWS labelled rows a language, chosen by a hash of the id, those of 64 to SAMPLE_BYTES bytes first.
+
+    Rows without an id aren't learned from; rows that repeat one count once."""
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-            .where("lang is not null and text is not null"))
+            .where("doc_id is not null and lang is not null and text is not null"))
     odd = ~F.octet_length("text").between(64, SAMPLE_BYTES)
-    ranked = (rows.withColumn("text", F.left("text", F.lit(SAMPLE_BYTES)))
-              .withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(odd, key, "doc_id", "text"))))
-    return ranked.where(F.col("_r") <= SAMPLE_ROWS).drop("_r")
+    order = W.partitionBy("lang").orderBy("odd", "key", "doc_id")  # ranked without the texts; each task keeps the first rows only
+    chosen = (rows.select("lang", "doc_id", odd.alias("odd"), key.alias("key")).withColumn("_r", F.row_number().over(order))
+              .where(F.col("_r") <= SAMPLE_ROWS).select("lang", "doc_id").distinct())
+    return (rows.join(F.broadcast(chosen), ["lang", "doc_id"])  # SAMPLE_ROWS a language
+            .groupBy("lang", "doc_id").agg(F.min(F.left("text", F.lit(SAMPLE_BYTES))).alias("text")).select("doc_id", "text", "lang"))
 
 
 def learn(sample: DataFrame) -> dict[str, bytes]:
