@@ -133,13 +133,13 @@ def export_reasoning(events: DataFrame) -> DataFrame:
     return events.withColumn("_b", before).where("type = 'reasoning' or (type = 'tool_call' and _b = 'reasoning')").drop("_b")
 
 
-def as_text(events: DataFrame) -> DataFrame:
-    """A ``value`` column with each event in readable lines."""
+def as_text(events: DataFrame, *keep: str) -> DataFrame:
+    """A ``value`` column with each event in readable lines, and the columns to keep."""
     body = (F.when(F.col("type") == "tool_call", F.concat_ws(" ", "tool_name", "file_path", "command", "pattern")).when(F.col("type") == "tool_result", F.col("output"))
             .when(F.col("type") == "token_usage", F.concat(F.lit("in "), (F.col("tok_cached") + F.col("tok_uncached")).cast("string"), F.lit(" out "), F.col("tok_generated").cast("string")))
             .when(F.col("type") == "slash_command", F.col("slash_name")).otherwise(F.coalesce("text", F.lit(""))))
     head = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.col("type"))
-    return events.select(F.concat_ws("\n", head, body, F.lit("")).alias("value"))
+    return events.select(*keep, F.concat_ws("\n", head, body, F.lit("")).alias("value"))
 
 
 def order_sessions(sessions: DataFrame, newest: bool = True) -> list:

@@ -12,7 +12,7 @@ from ..operators import analyze as A
 from ..operators import query as Q
 from ..operators import select as S
 from ..operators.assemble import KEYS, Assembled, assemble
-from ..sources import ingest, render
+from ..sources import catalog, ingest, render
 from ..sources.bridge import bridged, conversation_events
 from ..streaming import live
 from . import oracle as O
@@ -564,3 +564,72 @@ _streamed("live_state", live.live_state, "complete", """SELECT 's' || user_id AS
           lambda d: d.select("session_id", ms("last_activity").alias("last_ms"), "event_count", "turn_count", "fresh_input"))
 _streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id AS session_id, 'p' AS provider, count(*) AS event_count FROM events GROUP BY user_id",
           lambda d: d.select("session_id", "provider", "event_count"))
+
+
+# --- catalogue-shaped operators over the sessions table ---------------------------------------------------------------
+
+@query(O.on_tables("SELECT session_id, 'p-' || s.provider AS project_hash, '/root/' || s.provider AS root_path, total_turns FROM sessions s WHERE stream = 'main'"))
+def join_session_project(a: Assembled):
+    main = a.sessions.where("stream = 'main'").select("session_id", F.concat(F.lit("p-"), "provider").alias("project_hash"), "total_turns")
+    projects = a.sessions.select(F.concat(F.lit("p-"), "provider").alias("project_hash"), F.concat(F.lit("/root/"), "provider").alias("root_path")).distinct()
+    return main.join(projects, "project_hash", "left").select("session_id", "project_hash", "root_path", "total_turns")
+
+
+@query(O.on_tables("SELECT session_id, stream, total_turns FROM sessions WHERE total_turns > 0 AND provider = 'codex' AND stream = 'main'"))
+def filter_sessions(a: Assembled):
+    return a.sessions.where("total_turns > 0 and provider = 'codex' and stream = 'main'").select(*KEYS, "total_turns")
+
+
+@query(O.on_tables("""SELECT s.session_id, s.stream, row_number() OVER (PARTITION BY s.session_id ORDER BY m.t NULLS LAST, m.p NULLS LAST, s.stream) AS place FROM sessions s LEFT JOIN
+  (SELECT session_id, agent_id, arg_max(turn_index, seq) AS t, arg_max(step_index, seq) AS p FROM r WHERE stream = 'main' AND type = 'tool_result' AND agent_id IS NOT NULL GROUP BY ALL) m
+  ON m.session_id = s.session_id AND s.stream = 'sidechain:' || m.agent_id WHERE starts_with(s.stream, 'sidechain:')"""))
+def children_of(a: Assembled):
+    order = W.partitionBy("session_id").orderBy(F.asc_nulls_last("spawned_turn"), F.asc_nulls_last("spawned_step"), "stream")
+    return Q.join_sidechain_spawn(a).select(*KEYS, F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(O.on_tables("""SELECT session_id, CASE WHEN session_id LIKE '%1' THEN NULL ELSE start_ms END AS start_ms, CASE WHEN session_id LIKE '%2' THEN 'kept ' || session_id ELSE 'new' END AS snippet
+  FROM (SELECT session_id, CAST(floor(epoch_us(start_time) / 1000) AS BIGINT) AS start_ms FROM sessions WHERE stream = 'main')"""))
+def upsert_session(a: Assembled):
+    main = a.sessions.where("stream = 'main'").select("session_id", ms("start_time").alias("start_ms"))
+    old = main.select("session_id", F.lit(None).cast("long").alias("start_ms"), F.concat(F.lit("kept "), "session_id").alias("snippet"))
+    new = main.select("session_id", F.when(~F.col("session_id").like("%1"), F.col("start_ms")).alias("start_ms"), F.when(~F.col("session_id").like("%2"), "new").alias("snippet"))
+    return catalog.upsert(old, new, ["session_id"], keep=["start_ms", "snippet"])
+
+
+@query(O.on_tables("SELECT session_id FROM sessions WHERE stream = 'main' AND NOT (session_id LIKE '%3')"))
+def anti_incremental(a: Assembled):
+    files = a.sessions.where("stream = 'main'").select(F.col("session_id").alias("path"), F.col("total_turns").alias("length"), F.col("start_time").alias("modificationTime"))
+    return catalog.changed(files, files.where(F.col("path").like("%3"))).select(F.col("path").alias("session_id"))
+
+
+@query(O.on_tables("""SELECT session_id, used, effective, CASE WHEN effective IS NULL THEN NULL ELSE ratio END AS ratio, ratio >= 1 AS exceeded, CASE WHEN ratio > 0.9 THEN 'error' WHEN ratio > 0.8 THEN 'warning' ELSE 'success' END AS level FROM cr""", TM, LIMITS, MODEL, USAGE))
+def dashboard(a: Assembled):
+    u = A.context_usage(a)
+    return u.select("session_id", "used", "effective", F.when(F.col("effective").isNotNull(), F.col("ratio")).alias("ratio"), (F.col("ratio") >= 1).alias("exceeded"), "level")
+
+
+@query(O.on_events("SELECT prefix, max_tokens, greatest(1, CAST(floor(max_tokens * (100 - buffer_pct) / 100) AS BIGINT)) AS effective, count(ev.event_id) AS events FROM lim LEFT JOIN ev ON starts_with(ev.model, prefix) GROUP BY ALL", LIMITS), on="events")
+def effective_limit(e: DataFrame):
+    models = e.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    lim = T.model_limits(e.sparkSession)
+    met = F.broadcast(lim).join(models, F.col("model").startswith(F.col("prefix")))
+    n = met.groupBy("prefix").agg(F.sum("n").alias("events"))
+    return lim.join(n, "prefix", "left").select("prefix", "max_tokens", T.effective_limit(F.col("max_tokens"), F.col("buffer_pct")).alias("effective"), F.coalesce("events", F.lit(0)).alias("events"))
+
+
+@query(O.on_events("""SELECT c.event_id, arg_max(x.output, x.seq) AS sample FROM ev c LEFT JOIN ev x ON x.type = 'tool_result' AND x.session_id = c.session_id AND x.tool_call_id = c.event_id WHERE c.type = 'tool_call' GROUP BY c.event_id"""), on="events")
+def join_call_sample(e: DataFrame):
+    last = e.where("type = 'tool_result'").groupBy("session_id", F.col("tool_call_id").alias("event_id")).agg(F.max_by("output", "seq").alias("sample"))
+    return e.where("type = 'tool_call'").select("session_id", "event_id").join(last, ["session_id", "event_id"], "left").select("event_id", "sample")
+
+
+@query(O.on_events("SELECT event_id, type FROM ev WHERE type = 'reasoning'"), on="events")
+def filter_event_type(e: DataFrame):
+    return e.where("type = 'reasoning'").select("event_id", "type")
+
+
+@query(O.on_events("""SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || type || chr(10) || CASE type WHEN 'tool_call' THEN concat_ws(' ', tool_name, file_path, command, pattern) WHEN 'tool_result' THEN output
+  WHEN 'token_usage' THEN 'in ' || (tok_cached + tok_uncached) || ' out ' || tok_generated WHEN 'slash_command' THEN slash_name ELSE coalesce(text, '') END || chr(10) AS value FROM ev"""), on="events")
+def sink_text(e: DataFrame):
+    return Q.as_text(e, "event_id")
