@@ -120,21 +120,21 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(k: int, percent: int, logs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = np.frombuffer(logs.value, np.uint8), np.uint64((1 << SKETCH_BITS) - 1)
-        seen: set[int] = set()  # classes that this task has given rows of
+        seen: set[tuple[int, int]] = set()  # classes that this task has given rows of
         for batch in batches:
             tokens, classes, sizes, places = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, k)
-                if not len(s) or (a := _class_of(s)[0]) in seen:
+                if not len(s) or (c := _class_of(s)) in seen:
                     continue
                 if len(seen) < 200_000:
-                    seen.add(a)
+                    seen.add(c)
                 p = prefix_length(len(s), percent)
                 key = table[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                 first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
                 first = first[np.argsort(key[first], kind="stable")]
                 tokens.append(s[first].view(np.int64))
-                classes.append(np.full(p, a, np.int64))
+                classes.append(np.full(p, c[0], np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if tokens:
