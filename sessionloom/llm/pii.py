@@ -5,7 +5,8 @@ base spans, which stay) and looser ones.  Gradient-boosted trees score each
 looser candidate by its format and its surroundings; a threshold for each kind,
 calibrated on held-out examples to a wanted precision, selects; of overlapping
 selections the best score stays.  The trees are trained on examples that a
-seeded rule writes, TRAIN_EXAMPLES of them.
+seeded rule writes, TRAIN_EXAMPLES of them; an example is a sentence with all
+its candidates.
 
 Null text is an empty text without spans.  Positions are code points, ends
 exclusive.
@@ -84,12 +85,14 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# Looser generators.  Each stretch is bounded, so that none takes more than linear time.
+# Looser generators.  None takes more than linear time: stretches are bounded, and a run of digits is read once.
 _AT = r"(?:@| ?[(\[] ?at ?[)\]] ?)"
 _DOT = r"(?:\.| ?[(\[] ?dot ?[)\]] ?)"
 _LOOSE_EMAIL = re.compile(rf"(?<![\w.+-])[\w.%+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{2,63}}){{1,4}}", re.I)
 _LOOSE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?[.\[(]{1,2}(?:dot)?[.\])]{0,2} ?[0-9]{1,3}){3}(?![\w]|\.[0-9])")
-_LOOSE_DIGITS = re.compile(r"(?<![\w.,+#$-])[+(]{0,2}[0-9](?:[ ()./\-]{0,2}[0-9]){8,19}(?![\w]|[.,][0-9])")
+_DIGIT_RUN = re.compile(r"(?<![\w.,+#$-])[+(]{0,2}[0-9](?:[ ()./\-]{0,2}[0-9]){8,}(?![\w]|[.,][0-9])")
+_DIGIT_GROUP = re.compile(r"[+(]{0,2}([0-9]+)")
+MOST_DIGITS = 19
 
 
 def candidates(text: str) -> list[Span]:
@@ -99,18 +102,29 @@ def candidates(text: str) -> list[Span]:
         out += [("email", m.start(), m.end()) for m in _LOOSE_EMAIL.finditer(text)]
     if "[" in text or "(" in text or "." in text:
         out += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]
-    for m in _LOOSE_DIGITS.finditer(text):
-        n = len(_digits(m[0]))
-        if 13 <= n <= 19:
-            out.append(("card", m.start(), m.end()))
-        if 9 <= n <= 15:
-            out.append(("phone", m.start(), m.end()))
+    for run in _DIGIT_RUN.finditer(text):
+        # Every stretch of whole groups: other digits may be close before or behind a number.
+        groups = [(g.start(), g.end(), g.end() - g.start(1)) for g in _DIGIT_GROUP.finditer(text, run.start(), run.end())]
+        for i, (start, _, _) in enumerate(groups):
+            n = 0
+            for _, end, k in groups[i:i + MOST_DIGITS]:
+                n += k
+                if n > MOST_DIGITS:
+                    break
+                if n >= 13:
+                    out.append(("card", start, end))
+                if 9 <= n <= 15:
+                    out.append(("phone", start, end))
     return out
 
 
 _CUES = [re.compile(p, re.I) for p in (
     r"phone|call|tel\b|tel[.:]|mobile|fax|dial", r"card|visa|master|credit|payment|cvv", r"\bip\b|host|server|addr",
     r"mail|contact|write to", r"version|release|build|\bv$", r"order|invoice|isbn|serial|token|\bid\b|ref|page|part|no\.|number|#|[$€£]|=\s*\"?$")]
+# Groups of digits that a run continues with on either side of a stretch, and a country code before it.
+_GROUP_BEFORE = re.compile(r"([0-9]{1,9})[ ()./\-]{1,2}$")
+_GROUP_AFTER = re.compile(r"[ ()./\-]{1,2}([0-9]{1,9})")
+_CODE_BEFORE = re.compile(r"(?:\+|(?<![0-9])00)[0-9]{1,3}[ ()./\-]{1,2}$")
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -119,16 +133,23 @@ def features(text: str, span: Span) -> list[float]:
     d = _digits(s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     before, after = text[max(0, a - 24):a], text[b:b + 8]
+    group_before, group_after = _GROUP_BEFORE.search(before), _GROUP_AFTER.match(text, b)
     return [KINDS.index(kind), len(s), len(d), len(groups), max(groups), min(groups), s.count("-"), s.count(" "), s.count("."),
             s.count("("), s.startswith("+"), len(set(d)), bool(d) and luhn(d), d[:1] in ("3", "4", "5", "6"),
             all(_small(g) for g in re.findall(r"[0-9]+", s)) if d else False, "@" in s, "(" in s or "[" in s,
             len(re.split(r"[.\])\s]", s)[-1]), groups[0], groups[-1], s.count("/"),
             before[-1:].isspace() or not before, after[:1].isspace() or not after,
+            len(group_before[1]) if group_before else 0, len(group_after[1]) if group_after else 0, bool(_CODE_BEFORE.search(before)),
             *[bool(c.search(before)) for c in _CUES]]
 
 
 def examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of candidates in sentences that a seeded rule writes."""
+    """Features and labels of candidates in ``n`` sentences that a seeded rule writes."""
+    return _written(seed, n)[:2]
+
+
+def _written(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, Span]]]:
+    """The same, with the sentence and the span of each candidate."""
     r = random.Random(seed)
 
     def num(k: int) -> str:
@@ -160,22 +181,36 @@ def examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         "email": (lambda: email(), lambda: r.choice((f"{word()}@{num(2)}.{num(2)}", f"x@{word(1, 2)}.{num(3)}"))),
         "ip": (lambda: ip(), lambda: r.choice((f"{num(1)}.{num(1)}.{num(1)}.{num(1)}", f"{num(3)}.{num(3)}.{num(3)}.{num(3)}", f"{r.randint(1, 31)}.{r.randint(1, 12)}.20.{num(2)}"))),
         "card": (lambda: r.choice((cut(card(), " "), cut(card(), "-"), card())), lambda: r.choice((card(False), num(13), num(16), num(19), cut(card(False), " "), f"{num(6)}/{num(8)}"))),
-        "phone": (lambda: phone(), lambda: r.choice((num(10), num(12), f"{num(4)}-{num(2)}-{num(2)} {num(2)}", f"{num(5)}-{num(5)}", f"{num(3)}/{num(6)}/{num(2)}", f"19{num(2)}-20{num(2)} {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}"))),
+        "phone": (lambda: phone(), lambda: r.choice((num(10), num(12), f"{num(4)}-{num(2)}-{num(2)} {num(2)}", f"{num(5)}-{num(5)}", f"{num(3)}/{num(6)}/{num(2)}", f"19{num(2)}-20{num(2)} {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}",
+                                                      " ".join(num(r.randint(1, 5)) for _ in range(r.randint(3, 9)))))),
     }
     cues = {"email": ("mail ", "contact ", ""), "ip": ("host ", "server ", "ip "), "card": ("card ", "visa ", ""), "phone": ("call ", "phone: ", "tel. ", "")}
+    def close(kind: str, good: bool) -> tuple[str, str, str]:
+        """What stands close before and behind a number, and another number of the kind behind that."""
+        if kind not in ("card", "phone") or r.random() < 0.5:
+            return "", "", ""
+        if r.random() < 0.25:
+            return r.choice((f"{r.randint(2, 9)} ", f"{num(4)} ", f"{num(2)}/{num(2)} ")), "", ""
+        if r.random() < 0.4:
+            return "", r.choice((" ", "/")), made[kind][0 if good else 1]()
+        return "", r.choice((f" {r.randint(1, 12):02}/{r.randint(24, 39)}", f" {num(3)}", f" {r.randint(1, 48)}", f" ({num(3)})", f"/{num(2)}")), ""
+
     odd = ("version ", "order ", "invoice ", "isbn ", "serial ", "id ", "page ", "no. ", "build ", "ref ", "")
-    rows, labels = [], []
-    while len(rows) < n:
+    rows, labels, places = [], [], []
+    for sentence in range(n):
         kind, good = r.choice(KINDS), r.random() < 0.5
         cue = r.choice(cues[kind] if good or r.random() < 0.3 else odd)
         inner = made[kind][0 if good else 1]()
-        text = f"{word()} {word()} {cue}{inner}{r.choice((' ', ', ', '. '))}{word()} {word()}"
-        a = text.index(inner, len(cue))
+        lead, behind, other = close(kind, good)
+        start = f"{word()} {word()} {cue}{lead}"
+        text = f"{start}{inner}{behind}{other}{r.choice((' ', ', ', '. '))}{word()} {word()}"
+        a, c = len(start), len(start + inner + behind)
+        true = {(kind, a, a + len(inner)), (kind, c, c + len(other))} if good else set()
         for span in candidates(text):
-            if span[1] < a + len(inner) and span[2] > a:
-                rows.append(features(text, span))
-                labels.append(good and span[0] == kind and span[1] == a and span[2] == a + len(inner))
-    return np.array(rows, float), np.array(labels, float)
+            rows.append(features(text, span))
+            labels.append(span in true)
+            places.append((sentence, span))
+    return np.array(rows, float), np.array(labels, float), places
 
 
 class Boosted:
@@ -233,12 +268,22 @@ class Boosted:
 
 
 def train(seed: int = 17) -> tuple[Boosted, list[float]]:
-    """The trees, and for each kind the least threshold with PRECISION on examples that they weren't trained on."""
+    """The trees, and for each kind the least threshold with PRECISION on examples that they weren't trained on.
+
+    Of overlapping candidates only the best counts, as in ``find``.
+    """
     trees = Boosted(*examples(seed, TRAIN_EXAMPLES))
-    x, y = examples(seed + 1, TRAIN_EXAMPLES // 2)
+    x, y, places = _written(seed + 1, TRAIN_EXAMPLES // 2)
     p, kind, thresholds = trees.predict(x), x[:, 0], []
+    best: dict[int, list[int]] = {}
+    for i in np.argsort(-p, kind="stable"):
+        sentence, (_, a, b) = places[i]
+        if not any(places[j][1][1] < b and a < places[j][1][2] for j in best.setdefault(sentence, [])):
+            best[sentence].append(int(i))
+    stay = np.zeros(len(p), bool)
+    stay[[i for held in best.values() for i in held]] = True
     for k in range(len(KINDS)):
-        ok = [t for t in np.arange(0.5, 0.995, 0.01) if (hit := (kind == k) & (p >= t)).any() and y[hit].mean() >= PRECISION]
+        ok = [t for t in np.arange(0.5, 0.995, 0.01) if (hit := stay & (kind == k) & (p >= t)).any() and y[hit].mean() >= PRECISION]
         thresholds.append(float(min(ok, default=1.0)))
     return trees, thresholds
 
@@ -252,14 +297,18 @@ def find(text: str | None, model: tuple[Boosted, list[float]]) -> tuple[list[Spa
     def key(s: Span):
         return s[1], order[s[0]], s[2]
 
-    loose = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)] if base else candidates(text)
+    loose, taken = candidates(text), bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = bytes([1]) * (b - a)
+    loose = [c for c in loose if 1 not in taken[c[1]:c[2]]]
     chosen: list[Span] = []
     if loose:
         trees, thresholds = model
         scores = trees.predict(np.array([features(text, c) for c in loose], float))
         for p, c in sorted(zip(scores, loose), key=lambda v: (-v[0], key(v[1]))):
-            if p >= thresholds[order[c[0]]] and not any(a < c[2] and c[1] < b for _, a, b in chosen):
+            if p >= thresholds[order[c[0]]] and 1 not in taken[c[1]:c[2]]:
                 chosen.append(c)
+                taken[c[1]:c[2]] = bytes([1]) * (c[2] - c[1])
     return sorted(base, key=key), sorted(base + chosen, key=key), len(loose)
 
 

@@ -232,6 +232,38 @@ def test_personal_data_added_by_the_trees():
     assert pii.redact("a b@c.de +1 (314) 555-6532", model) == "a [EMAIL] [PHONE]"
 
 
+def test_numbers_with_digits_close_by():
+    model = pii._model()
+    for text, spans in (("card 4111 1111 1111 1111 12/27", [("card", 5, 24)]), ("4111 1111 1111 1111 123", [("card", 0, 19)]),
+                        ("314-555-6532 314-555-7777", [("phone", 0, 12), ("phone", 13, 25)]), ("314-555-6532/314-555-7777", [("phone", 0, 12), ("phone", 13, 25)]),
+                        ("(314) 555-6532 24 hours", [("phone", 0, 14)])):
+        assert set(spans) <= set(pii.candidates(text)), text
+        assert pii.find(text, model)[1] == spans, (text, pii.find(text, model))
+    assert pii.redact("card 4111 1111 1111 1111 12/27", model) == "card [CARD] 12/27"
+    assert pii.find("table 12 345 6789 22 1 334 4455 66 7788 99 1", model)[1] == []
+
+
+def test_digit_stretches_on_random_text():
+    import random
+
+    r = random.Random(4)
+    for _ in range(5000):
+        text = "".join(r.choice("0123456789012345 -()/.+a") for _ in range(r.randint(1, 45)))
+        got = [c for c in pii.candidates(text) if c[0] in ("card", "phone")]
+        want = set()
+        for run in re.finditer(r"(?<![\w.,+#$-])[+(]{0,2}[0-9]+(?:[ ()./\-]{1,2}[0-9]+)*(?![\w]|[.,][0-9])", text):
+            groups = [m.span() for m in re.finditer(r"[0-9]+", text) if run.start() <= m.start() and m.end() <= run.end()]
+            for a, _ in groups:
+                first = a
+                while a > max(run.start(), first - 2) and text[a - 1] in "+(":
+                    a -= 1
+                for _, b in groups:
+                    n = len(re.sub(r"[^0-9]", "", text[first:b]))
+                    want |= {("card", a, b)} if 13 <= n <= 19 else set()
+                    want |= {("phone", a, b)} if 9 <= n <= 15 else set()
+        assert len(got) == len(set(got)) and set(got) == want, text
+
+
 def test_trees_on_held_out_examples():
     trees, thresholds = pii.train(5)
     x, y = pii.examples(99, 2000)
