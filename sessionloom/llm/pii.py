@@ -86,8 +86,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Looser generators.  None takes more than linear time: stretches are bounded, and a run of digits is read once.
-_AT = r"(?:@| ?[(\[] ?at ?[)\]] ?)"
+_AT_WORD = r"[(\[] ?at ?[)\]]"
+_AT = rf"(?:@| ?{_AT_WORD} ?)"
 _DOT = r"(?:\.| ?[(\[] ?dot ?[)\]] ?)"
+_SOME_AT = re.compile(_AT_WORD, re.I)
 _LOOSE_EMAIL = re.compile(rf"(?<![\w.+-])[\w.%+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{2,63}}){{1,4}}", re.I)
 _LOOSE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?[.\[(]{1,2}(?:dot)?[.\])]{0,2} ?[0-9]{1,3}){3}(?![\w]|\.[0-9])")
 _DIGIT_RUN = re.compile(r"(?<![\w.,+#$-])[+(]{0,2}[0-9](?:[ ()./\-]{0,2}[0-9]){8,}(?![\w]|[.,][0-9])")
@@ -98,7 +100,7 @@ MOST_DIGITS = 19
 def candidates(text: str) -> list[Span]:
     """Spans of looser formats, with the kind that each could be; they may overlap."""
     out: list[Span] = []
-    if "@" in text or "(at)" in text or "[at]" in text:
+    if "@" in text or (("(" in text or "[" in text) and _SOME_AT.search(text)):
         out += [("email", m.start(), m.end()) for m in _LOOSE_EMAIL.finditer(text)]
     if "[" in text or "(" in text or "." in text:
         out += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]

@@ -243,6 +243,16 @@ def test_numbers_with_digits_close_by():
     assert pii.find("table 12 345 6789 22 1 334 4455 66 7788 99 1", model)[1] == []
 
 
+def test_addresses_spelled_out():
+    model = pii._model()
+    for text in ("write jane (AT) example (DOT) org today", "write jane ( at ) example ( dot ) org today", "write jane [At]example[dot]org today"):
+        span = ("email", 6, len(text) - 6)
+        for more in ("", " a@b"):  # found or not, whatever else the text holds
+            assert pii.candidates(text + more) == [span]
+            assert pii.find(text + more, model)[1] == [span], text
+        assert pii.redact(text, model) == "write [EMAIL] today"
+
+
 def test_digit_stretches_on_random_text():
     import random
 
