@@ -4,8 +4,11 @@ Each language has a zstandard dictionary of raw text.  A text is folded (letters
 in lower case, ASCII signs and digits to spaces), cut into blocks, and each block
 is compressed with every dictionary; the language whose total is the smallest
 wins.  Blocks keep a long text from explaining itself, so that each part of it is
-held against the dictionaries.  The score is the share by which the best total
-undercuts the second; narrow scores can be rejected.
+held against the dictionaries.  Whole compressed bytes don't tell texts of a few
+words apart: under SHORT bytes the cost is a code length instead, the bits that
+an ideal coder with the dictionary's bytes and their contexts would need.  The
+score is the share by which the best total undercuts the second; narrow scores
+can be rejected.
 
 Null text and text without a letter are ``und`` with score 0.  Equal totals go to
 the language first in order.  A table without labelled rows learns nothing, and
@@ -14,7 +17,9 @@ then all is ``und``.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -26,6 +31,8 @@ from .common import text_udf
 #: Bounds of the labelled sample that the dictionaries are made of: rows a language, bytes a row and a dictionary, languages.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 8192, 112_640, 64
 BLOCK, LEVEL = 4096, 9
+#: Folded texts under so many bytes are judged by code length, from contexts of fewer than CONTEXT bytes.
+SHORT, CONTEXT = 128, 3
 #: Scores under this are rejected where a verdict is asked for.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -69,6 +76,25 @@ def learn(sample: DataFrame) -> dict[str, bytes]:
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
+class Contexts:
+    """How often each span of 1 to CONTEXT bytes occurs in a dictionary."""
+
+    def __init__(self, raw: bytes):
+        self.length = len(raw)
+        self.counts = [Counter(raw[i:i + n] for i in range(len(raw) - n + 1)) for n in range(1, CONTEXT + 1)]
+
+    def bits(self, folded: bytes) -> float:
+        """The code length of a text between spaces; each context's guess is mixed with that of the next shorter one."""
+        text, out = b" " + folded + b" ", 0.0
+        for i in range(1, len(text)):
+            p = 1 / 256
+            for n in range(min(CONTEXT, i + 1)):
+                seen = self.counts[n - 1][text[i - n:i]] if n else self.length
+                p = (self.counts[n][text[i - n:i + 1]] + 4 * p) / (seen + 4)
+            out -= math.log2(p)
+        return out
+
+
 _made: dict[int, list] = {}
 
 
@@ -80,7 +106,7 @@ def _coders(model: dict[str, bytes]) -> list:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             _made.setdefault(key, []).append((lang, zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)))
+                level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False), Contexts(raw)))
     return _made.get(key, [])
 
 
@@ -88,8 +114,11 @@ def classify(text: str | None, coders: list) -> tuple[str, float]:
     if not text or not coders or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     folded = fold(text)
-    blocks = [folded[i:i + BLOCK] for i in range(0, len(folded), BLOCK)] or [b""]
-    totals = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, (_, c) in enumerate(coders))
+    if len(folded) < SHORT:
+        totals = sorted((contexts.bits(folded), k) for k, (_, _, contexts) in enumerate(coders))
+    else:
+        blocks = [folded[i:i + BLOCK] for i in range(0, len(folded), BLOCK)]
+        totals = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, (_, c, _) in enumerate(coders))
     best = totals[0]
     margin = 1.0 - best[0] / totals[1][0] if len(totals) > 1 else 1.0
     return coders[best[1]][0], margin

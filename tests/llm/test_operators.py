@@ -331,6 +331,16 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in language.identify(odd, {}).collect()} == {"und"}
 
 
+def test_short_texts_keep_their_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    coders = language._coders(language.learn(language.sample_of(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))))
+    short = docs.where("lang is not null and text rlike '[A-Za-z]' and size(split(trim(text), ' +')) < 8").select("text", "lang").collect()
+    found = [language.classify(r["text"], coders) for r in short]
+    assert len(short) > 100
+    assert sum(f[0] == r["lang"] for f, r in zip(found, short)) > 0.97 * len(short)
+    assert sum(f[1] >= language.MARGIN for f in found) > 0.97 * len(short)
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_sharding(request, which):
     frame = request.getfixturevalue(which)
