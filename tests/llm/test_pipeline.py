@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from sessionloom.llm import jaccard, language, pii, quality
 
-from test_operators import plain_groups, plain_quality
+from test_corpus_operators import plain_groups, plain_quality
 
 SF = "/root/testdata/sf0.001"
 
