@@ -21,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it isn't set, a session inside one machine (a local master) gets a
+    temporary folder; on a cluster that is an error, as each machine would write
+    to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,14 +48,30 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: Tables that this process has written to the shared folder.
+_settled: list[str] = []
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Results that were made of it read it again, so it stays until ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what ``settle`` has written, once the results made of it are stored; gives the number of tables."""
+    n = len(_settled)
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def text_udf(schema: str, row_fn, start=None):
     """An Arrow UDF from one text to a struct.
 
