@@ -9,13 +9,11 @@ no language and go at the first stage; rows without an id are never duplicates.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import jaccard, language, packing, pii, quality
-from sessionloom.llm.common import shared_dir, table
+from sessionloom.llm.common import settle, table
 from sessionloom.llm.queries import tokenizer_path
 
 
@@ -55,7 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
