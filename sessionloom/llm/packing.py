@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 import zlib
 
 import numpy as np
@@ -29,9 +30,10 @@ from .bpe import byte_letters
 from .common import rank_within, settle, text_udf
 
 CAPACITY, END_ID = 2048, 1
-#: Lengths are rounded up to this many tokens for the plan.
+#: Lengths are rounded up to this many tokens for the plan, so the plan has CAPACITY / UNIT rows at most.
 UNIT = 8
-MAX_COLUMNS = 4000
+#: Columns that the linear program may enter; it warns if it ends there, with a plan that is whole but not the best.
+MAX_COLUMNS = 20_000
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -40,8 +42,9 @@ class Ids:
     """The ids that a tokenizers byte-level BPE file gives, little-endian 32-bit.
 
     tiktoken, with the file's own vocabulary as ranks, encodes ordinary text
-    several times faster; a text that holds an added token's string goes to the
-    tokenizers library.
+    several times faster; a text that holds an added token's string, or that
+    tiktoken's pattern search refuses (hundreds of thousands of spaces in a row
+    outgrow its stack), goes to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -68,7 +71,11 @@ class Ids:
     def of(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return np.array(self._ask(text), "<u4").tobytes()
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        try:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            ids = self._ask(text)
+        return np.asarray(ids, "<u4").tobytes()
 
 
 _ids: dict[str, Ids] = {}
@@ -154,6 +161,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
         others = np.arange(m) != r
         inverse[others] -= np.outer(way[others], inverse[r])
         columns[r], cost[r] = entering, price
+    else:
+        warnings.warn(f"packing: the linear program ended after {MAX_COLUMNS} columns, short of its best plan", stacklevel=2)
     out, left = [], need.astype(np.int64)
     for n, column, price in sorted(zip(x, columns, cost), key=lambda v: -v[0]):
         if not price:
