@@ -7,8 +7,14 @@ the rank of every mergeable neighbour pair; the lowest rank is merged first, and
 entries whose symbols have changed meanwhile are skipped.  Decoding joins the
 vocabulary's strings, as the vocabulary's own decoder settings say.
 
+Python's tables of letters, of lower case and of normal forms are of other
+Unicode versions than the tokenizers library's.  Each code point beyond ASCII is
+held against the library's once per worker; a chunk with one that differs is
+normalized and split by the library itself, and merged here.
+
 Null text is empty text: no ids.  Strings of added tokens in a text become
-their ids before anything else is done to it.
+their ids before anything else is done to it.  A vocabulary file with settings
+that this module doesn't follow is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import text_udf
 
@@ -38,6 +45,27 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(more)) for b in range(256)]
 
 
+def _parts(spec: dict | None, name: str) -> list[dict]:
+    """The members of a sequence in a vocabulary file, or the one thing there is."""
+    return spec[name] if spec and spec["type"] == "Sequence" else [spec] if spec else []
+
+
+def _refuse(spec: dict, path: str) -> None:
+    """An error for settings of a vocabulary file that ``Encoder`` doesn't follow."""
+    model = spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k["type"] for k in _parts(spec["normalizer"], "normalizers")
+            if k["type"] not in ("NFC", "Lowercase") and (k["type"], k.get("pattern"), k.get("content")) != ("Replace", {"Regex": r"\s+"}, " ")]
+    before = _parts(spec["pre_tokenizer"], "pretokenizers")
+    if [k["type"] for k in before] != ["Split", "ByteLevel"] or before[0]["behavior"] != "Removed" or not before[0]["invert"] \
+            or before[1].get("add_prefix_space") or before[1].get("use_regex"):
+        odd.append("pre_tokenizer")
+    odd += [t["content"] for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    odd += [k for k in ("decoder", "post_processor") if spec.get(k)]
+    if model["type"] != "BPE" or odd:
+        raise ValueError(f"{path} has settings that aren't followed here: {model['type']} {odd}")
+
+
 class Encoder:
     """Encodes with the vocabulary file of a tokenizers BPE model with byte-level letters and word ends."""
 
@@ -48,14 +76,20 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        _refuse(spec, path)
         self.strings = {i: s for s, i in [*self.vocab.items(), *added.items()]}
         self.added = added
         self.added_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
-        kinds = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
+        kinds = _parts(spec["normalizer"], "normalizers")
         self.nfc = any(k["type"] == "NFC" for k in kinds)
         self.lower = any(k["type"] == "Lowercase" for k in kinds)
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        split = next(p for p in _parts(spec["pre_tokenizer"], "pretokenizers") if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
+        self.added_starts = tuple({s[0] for s in added})
+        self.library = normalizers.Sequence([normalizers.NFC()] * self.nfc + [normalizers.Lowercase()] * self.lower)
+        self.library_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        #: Code points that this process and the library see alike.
+        self.alike = set(map(chr, range(128)))
         letters = byte_letters()
         self.first = [self.vocab.get(c) for c in letters]
         self.last = [self.vocab.get(c + self.end) for c in letters]
@@ -77,6 +111,30 @@ class Encoder:
         self.words: dict[str, tuple[str, str]] = {}
         self.old_words: dict[str, tuple[str, str]] = {}
 
+    def _sees_alike(self, c: str) -> bool:
+        """Whether the library normalizes a code point and splits around it as this process does."""
+        if "\ud800" <= c <= "\udfff":
+            return True  # never in a text that Spark holds
+        if unicodedata.category(c) == "Cn" or self.library.normalize_str(c) != self._normal(c):
+            return False
+        around = [f"{x}{c}{x}" for x in "a1!"]
+        return all([p for p, _ in self.library_split.pre_tokenize_str(s)] == self.pieces.findall(s) for s in around)
+
+    def _odd(self, chunk: str) -> bool:
+        """Whether a chunk has a code point that the library sees otherwise."""
+        for c in set(chunk) - self.alike:
+            if not self._sees_alike(c):
+                return True
+            self.alike.add(c)
+        return False
+
+    def _normal(self, chunk: str) -> str:
+        low = unicodedata.normalize("NFC", chunk) if self.nfc and not chunk.isascii() else chunk
+        if self.lower:
+            # letter by letter if need be: str.lower() has a rule for sigma at a word's end
+            low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
+        return low
+
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
         raw = piece.encode("utf-8", "replace")
@@ -132,17 +190,13 @@ class Encoder:
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """The same for a text without white space and added tokens."""
         if (found := self.older.get(chunk)) is None:
-            low = chunk
-            if self.nfc and not chunk.isascii():
-                low = unicodedata.normalize("NFC", chunk)
-            if self.lower:
-                # letter by letter if need be: str.lower() has a rule for sigma at a word's end
-                low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
-            if low.isalpha():
-                found = self._word(low)
+            if not chunk.isascii() and self._odd(chunk):
+                pieces = [p for p, _ in self.library_split.pre_tokenize_str(self.library.normalize_str(chunk))]
             else:
-                said = [self._word(p) for p in self.pieces.findall(low)]
-                found = " ".join([x[0] for x in said]), " ".join([x[1] for x in said])
+                low = self._normal(chunk)
+                pieces = [low] if low.isalpha() else self.pieces.findall(low)
+            said = [self._word(p) for p in pieces]
+            found = said[0] if len(said) == 1 else (" ".join([x[0] for x in said]), " ".join([x[1] for x in said]))
         if len(self.recent) >= self.limit:
             self.older, self.recent = self.recent, {}
         if len(chunk) <= 64:
@@ -153,7 +207,7 @@ class Encoder:
         """(ids in decimal, decoded text) of each chunk of a whole text."""
         out = []
         chunk = self._chunk
-        held = self.added_pattern.split(text) if self.added_pattern and "<" in text else [text]
+        held = self.added_pattern.split(text) if any(c in text for c in self.added_starts) else [text]
         for k, part in enumerate(held):
             if k % 2:
                 out.append((str(self.added[part]), part))
