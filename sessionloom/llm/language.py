@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import zlib
+import warnings
 from collections import Counter
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -46,34 +48,48 @@ def fold(text: str) -> bytes:
 def sample_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """At most SAMPLE_ROWS labelled rows a language, chosen by a hash of the id, those of 64 to SAMPLE_BYTES bytes first.
 
-    Rows without an id aren't learned from; rows that repeat one count once."""
+    Of more than MAX_LANGUAGES labels those with the most rows are taken, with a
+    warning.  Rows without an id aren't learned from; rows that repeat one count
+    once.  Rows are counted first, so that only those whose hash is small enough
+    for a few times SAMPLE_ROWS are ranked: no task ranks a whole language."""
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
             .where("doc_id is not null and lang is not null and text is not null"))
-    odd = ~F.octet_length("text").between(64, SAMPLE_BYTES)
-    order = W.partitionBy("lang").orderBy("odd", "key", "doc_id")  # ranked without the texts; each task keeps the first rows only
-    chosen = (rows.select("lang", "doc_id", odd.alias("odd"), key.alias("key")).withColumn("_r", F.row_number().over(order))
+    keys = rows.select("lang", "doc_id", (~F.octet_length("text").between(64, SAMPLE_BYTES)).alias("odd"), key.alias("key"))
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("n_odd")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        warnings.warn(f"language: only the {MAX_LANGUAGES} most frequent labels are learned", stacklevel=2)
+    shares = [(r["lang"], odd, min(1.0, 4 * SAMPLE_ROWS / n)) for r in counts[:MAX_LANGUAGES]
+              for odd, n in ((True, r["n_odd"]), (False, r["n"] - r["n_odd"])) if n]
+    if not shares:
+        return rows.where("false")
+    least = F.array(*[F.struct(F.lit(k).alias("lang"), F.lit(odd).alias("odd"), F.lit(int(2**63 * (2 * p - 1)) if p < 1 else 2**63 - 1).alias("top")) for k, odd, p in shares])
+    bounds = docs.sparkSession.range(1).select(F.inline(least))  # two rows a language
+    order = W.partitionBy("lang").orderBy("odd", "key", "doc_id")
+    chosen = (keys.join(F.broadcast(bounds), ["lang", "odd"]).where("key <= top").withColumn("_r", F.row_number().over(order))
               .where(F.col("_r") <= SAMPLE_ROWS).select("lang", "doc_id").distinct())
     return (rows.join(F.broadcast(chosen), ["lang", "doc_id"])  # SAMPLE_ROWS a language
             .groupBy("lang", "doc_id").agg(F.min(F.left("text", F.lit(SAMPLE_BYTES))).alias("text")).select("doc_id", "text", "lang"))
 
 
+def _dictionary(rows: pa.Table) -> pa.Table:
+    """The raw dictionary of one language's sample."""
+    found = {(zlib.crc32(str(doc_id).encode()), fold(text)) for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())}
+    parts, size = [], 0
+    for _, part in sorted(found):
+        if size >= DICT_BYTES:
+            break
+        parts.append(part)
+        size += len(part) + 1
+    return pa.table({"lang": [rows.column("lang")[0].as_py()], "raw": pa.array([b" ".join(parts)[:DICT_BYTES]], pa.binary())})
+
+
 def learn(sample: DataFrame) -> dict[str, bytes]:
-    """Language -> raw dictionary; the sample is bounded, as ``sample_of`` says."""
-    found: dict[str, list[tuple[int, bytes]]] = {}
-    for doc_id, text, lang in sample.select(F.col("doc_id").cast("string"), "text", "lang").toLocalIterator():
-        found.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), fold(text)))
-    largest = sorted(found, key=lambda k: (-len(found[k]), k))[:MAX_LANGUAGES]
-    out = {}
-    for lang in sorted(largest):
-        parts, size = [], 0
-        for _, part in sorted(set(found[lang])):
-            if size >= DICT_BYTES:
-                break
-            parts.append(part)
-            size += len(part) + 1
-        out[lang] = b" ".join(parts)[:DICT_BYTES]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    """Language -> raw dictionary, made in tasks, a language each; the sample is bounded, as ``sample_of`` says.
+
+    The driver gets DICT_BYTES a language."""
+    made = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").groupBy("lang").applyInArrow(_dictionary, "lang string, raw binary")
+    return {lang: bytes(raw) for lang, raw in sorted((r["lang"], r["raw"]) for r in made.collect()) if len(raw) >= 8}
 
 
 class Contexts:
@@ -129,13 +145,18 @@ def language(text: Column, model: dict[str, bytes]) -> Column:
     return text_udf("lang_pred:string,score:double", classify, lambda: _coders(model))(text)
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score for each row; other columns aren't carried."""
-    return (docs.select(F.col(doc_id).alias("doc_id"), language(F.col(text), model).alias("l"))
-            .select("doc_id", "l.*"))
+def identify(docs: DataFrame, model: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """doc_id, lang_pred, score and ``accepted`` (a language whose margin isn't too narrow) for each row; other columns aren't carried."""
+    return (docs.select(F.col(doc_id).alias("doc_id"), language(F.col(text), model).alias("l")).select("doc_id", "l.*")
+            .withColumn("accepted", is_clear(F.col("lang_pred"), F.col("score"), margin)))
+
+
+def is_clear(lang_pred: Column, score: Column, margin: float = MARGIN) -> Column:
+    """False for rejected texts: no language, or a margin that is too narrow."""
+    return (lang_pred != UNKNOWN) & (score >= margin)
 
 
 def keep_known(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is clear."""
     found = language(F.col(text), model)
-    return docs.where((found.getField("score") >= margin) & (found.getField("lang_pred") != UNKNOWN))
+    return docs.where(is_clear(found.getField("lang_pred"), found.getField("score"), margin))

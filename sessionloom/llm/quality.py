@@ -66,7 +66,7 @@ def measure(text: str | None, limits: dict[int, float] = NGRAM_LIMITS, line_limi
         dup_line_chars = sum(k * (len(x) - sum(map(x.count, SPACES))) for x, k in seen.items() if k > 1)
 
     n_repeat, dup_chars, lengths = 0, [0] * len(limits), None
-    top = max(limits, default=BASE_WINDOW)
+    top = max(BASE_WINDOW, *limits) if limits else BASE_WINDOW
     rolled = one = np.fromiter(map(hash, words), np.int64, n_words).view(np.uint64)
     for n in range(2, top + 1):
         if len(rolled) < 2:

@@ -22,7 +22,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("dup_ngram_chars")
+    rows = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.withColumn("dup_5gram_chars", F.col("dup_ngram_chars")[0]).drop("dup_ngram_chars")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = language.learn(language.sample_of(docs.where(F.coalesce(~held_out, F.lit(False)))))
-    return language.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,19 +111,19 @@ g AS (SELECT rid, pos, chars, n, most, CASE WHEN CASE n {" ".join(f"WHEN {n} THE
                             CASE n {" ".join(f"WHEN {n} THEN w{n - 1} IS NULL" for n in (3, *quality.NGRAM_LIMITS))} END) > 1 ELSE false END AS twice FROM w CROSS JOIN ns),
 c AS (SELECT rid, n, most, chars, {"CASE n " + " ".join(f"WHEN {n} THEN bool_or(twice) OVER (PARTITION BY rid, n ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, *quality.NGRAM_LIMITS)) + " END"} AS inside FROM g),
 s AS (SELECT rid, n, most, count(*) FILTER (inside) AS words_in, coalesce(sum(chars) FILTER (inside), 0) AS chars_in, sum(chars) AS chars FROM c GROUP BY ALL),
-v AS (SELECT rid, max(words_in) FILTER (n = 3) AS repeat, bool_or(chars_in > most * chars) AS over FROM s GROUP BY rid),
+v AS (SELECT rid, max(words_in) FILTER (n = 3) AS repeat, bool_or(chars_in > most * chars) AS over, max(chars_in) FILTER (n = 5) AS dup5 FROM s GROUP BY rid),
 l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 l1 AS (SELECT rid, line, count(*) AS k, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
 l AS (SELECT rid, sum(k - 1) AS dup_lines, coalesce(sum(k * chars) FILTER (k > 1), 0) AS dup_chars FROM l1 GROUP BY rid),
 n AS (SELECT rid, count(*) AS n_words, sum(chars) AS word_chars FROM w GROUP BY rid),
 a AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup_lines, 0) AS n_dup_lines, coalesce(repeat, 0) AS n_repeat_words,
-        coalesce(dup_chars, 0) AS dup_line_chars, coalesce(over, false) AS over
+        coalesce(dup_chars, 0) AS dup_line_chars, coalesce(over, false) AS over, coalesce(dup5, 0) AS dup5
       FROM d LEFT JOIN n USING (rid) LEFT JOIN v USING (rid) LEFT JOIN l USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT over AND dup_line_chars <= {quality.LINE_LIMIT} * word_chars AS kept,
-       dup_line_chars::BIGINT AS dup_line_chars
+       dup_line_chars::BIGINT AS dup_line_chars, dup5::BIGINT AS dup_5gram_chars
 FROM a
 """
 
