@@ -11,8 +11,23 @@ from .common import table
 #: (verdict, host, path prefix)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Pages on hosts with a label that starts so are listed to be blocked.
-LISTED_LABELS = r"(^|\.)(adult|ads|casino|spam|malware|phish)-"
+#: A host label that starts so is a kind of site to be kept out, once one of its pages is reported.
+REPORTED_LABELS = r"(^|\.)(adult|ads|casino|cheap|free|malware|phish|spam)-"
+
+
+def url_rules(spark: SparkSession) -> DataFrame:
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("verdict", "host", "path"), rule)]) for rule in URL_RULES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def reported_sites(pages: DataFrame) -> DataFrame:
+    """The list that stands for a real one: the sites of every fourth page (by a hash of its id) whose host has such a label.
+
+    Other pages of these sites, under any scheme, port, subdomain or path, are found by the list only."""
+    host = urls.host_of(F.col("url"))
+    site = F.regexp_extract(urls.canonical(F.col("url")), "^[^/?]*", 0)
+    sample = F.md5(F.col("page_id").cast("string").cast("binary")) < "4"
+    return pages.where(sample & host.rlike(REPORTED_LABELS)).select(F.concat(F.lit("http://"), site).alias("url")).distinct()
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,9 +43,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
-    listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_LABELS)).select("url")
-    return urls.filter_urls(pages, rules, listed)
+    return urls.filter_urls(pages, url_rules(spark), reported_sites(pages))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +100,9 @@ c AS (
          CASE WHEN len(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) > 0
               THEN '?' || array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&')
               ELSE '' END AS canon FROM q),
-listed AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND regexp_matches(host, '(^|\.)(adult|ads|casino|spam|malware|phish)-')),
+sites AS (SELECT DISTINCT regexp_extract(canon, '^[^/?]*') AS site FROM c WHERE canon <> '' AND md5(CAST(page_id AS VARCHAR)) < '4'
+          AND regexp_matches(host, '(^|\.)(adult|ads|casino|cheap|free|malware|phish|spam)-')),
+listed AS (SELECT DISTINCT canon FROM (SELECT DISTINCT canon, regexp_extract(canon, '^[^/?]*') AS h FROM c) JOIN sites ON h = site OR ends_with(h, '.' || site)),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                                         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 u AS (SELECT DISTINCT host, path FROM c),

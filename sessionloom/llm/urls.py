@@ -2,17 +2,23 @@
 
 A list holds entries of two kinds: ``prefix`` entries (a host and a path prefix,
 which fit the host and all its subdomains) and ``exact`` entries (one canonical
-URL).  Each entry is a key; each URL has a few keys under which it could be
-listed: every suffix of its host with every path prefix of a listed length, and
-its canonical form.  Keys are tested against the Bloom filter, one 64-bit block
-a key, and only keys that pass go into the hash join with the list, which
-removes false positives.  Everything is SQL functions and joins.
+URL; one of a host alone lists the whole site, its subdomains included).  Each
+entry is a key; each URL has a few keys under which it could be listed: every
+suffix of its host with every path prefix of a listed length, its canonical
+form, and every suffix of its canonical host.  Keys are tested against the Bloom
+filter, one 64-bit block a key, and only keys that pass go into the hash join
+with the list, which removes false positives.  Everything is SQL functions and
+joins.
+
+The filter's words lie in arrays of SEGMENT; it is broadcast, and MAX_FILTER_MB
+bounds it whatever the list's length: a longer list makes the filter fuller, and
+more false positives go into the exact join.
 
 Distinct (host, path, canonical) triples are judged once, however often they
 occur, and joined back to the rows.  A null URL, or one without ``://``, has an
 empty host and path and no keys.  The longest prefix entry wins (of equal ones
 the longer host, then block before allow); without one, a listed canonical URL
-gives ``block``; else ``allow``.
+or site gives ``block``; else ``allow``.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the filter for each entry, and bits set by each entry in its block.
 BITS_PER_ENTRY, BITS_SET = 16, 4
-#: The filter is broadcast up to this many blocks (16 bytes a row); beyond, it is joined by shuffling.
-BROADCAST_BLOCKS = 1 << 18
+#: Words in a row of the filter, and the most MB that the whole filter may have.
+SEGMENT, MAX_FILTER_MB = 4096, 64
 #: Distinct lengths of listed path prefixes; beyond, the list is refused.
 MAX_LENGTHS = 2048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,7 +70,7 @@ def _suffixes(host: Column) -> Column:
 def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
     """The block of a key and the bits it sets there."""
     h = F.xxhash64(key)
-    g = F.xxhash64(key, F.lit(1))
+    g = F.xxhash64(F.lit(1), key)
     mask = F.lit(0).cast("long")
     for i in range(BITS_SET):
         bit = F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")
@@ -73,46 +79,61 @@ def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
 
 
 def bloom_filter(keys: DataFrame, key: str, entries: int) -> tuple[DataFrame, int]:
-    """Rows (block, word) of a blocked Bloom filter of ``keys``, and the number of its blocks."""
-    blocks = max(64, entries * BITS_PER_ENTRY // 64)
+    """Rows (segment, words) of a blocked Bloom filter of ``keys``, and the number of its blocks (a word each)."""
+    blocks = min(max(64, entries * BITS_PER_ENTRY // 64), MAX_FILTER_MB << 17)
     at, mask = _block_and_mask(F.col(key), blocks)
-    return keys.select(at.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word")), blocks
+    words = keys.select(at.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(words, "block", "left")
+    held = F.array_sort(F.collect_list(F.struct("block", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))  # SEGMENT words
+    return every.groupBy((F.col("block") / SEGMENT).cast("int").alias("segment")).agg(held["word"].alias("words")), blocks
 
 
 def might_hold(candidates: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """The rows of ``candidates`` whose key passes the filter (a few false ones among them)."""
     at, mask = _block_and_mask(F.col(key), blocks)
-    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
-    return (candidates.withColumn("block", at).withColumn("_mask", mask).join(bloom, "block")
-            .where(F.col("word").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("block", "_mask", "word"))
+    word = F.get(F.col("words"), (F.col("_block") % SEGMENT).cast("int"))
+    return (candidates.withColumn("_block", at).withColumn("_mask", mask).withColumn("segment", (F.col("_block") / SEGMENT).cast("int"))
+            .join(F.broadcast(bloom), "segment")  # MAX_FILTER_MB at most
+            .where(word.bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_block", "_mask", "segment", "words"))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None,
-                page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict for each row of ``pages``.
-
-    rules: verdict (``allow``/``block``), host, path.  listed: url, URLs to block.
-    """
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
+def entries_of(rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """key, rule, host_length, verdict of every entry of the list."""
     entries = rules.select(F.concat(F.lit("prefix "), "host", "path").alias("key"), F.concat("host", "path").alias("rule"),
                            F.length("host").alias("host_length"), F.col("verdict"))
     if listed is not None:
         exact = listed.select(F.concat(F.lit("exact "), canonical(F.col("url"))).alias("key")).where("key != 'exact '").distinct()
         entries = entries.unionByName(exact.select(
             "key", F.lit(None).cast("string").alias("rule"), F.lit(-1).alias("host_length"), F.lit("block").alias("verdict")))
-    bloom, blocks = bloom_filter(entries, "key", entries.count())
+    return entries
 
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select(
-        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
+
+def candidate_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
+    """``urls`` (host, path, canonical) with each key under which one could be listed; ``lengths`` are those of listed paths."""
     path_prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
                                          lambda n: n <= F.length("path")),
                                 lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(path_prefixes, lambda p: F.concat(F.lit("prefix "), s, p))))
+    site = F.regexp_extract("canonical", "^[^/?]*", 0)
+    exact = F.transform(F.array_union(F.array("canonical"), _suffixes(site)), lambda c: F.concat(F.lit("exact "), c))
+    return urls.withColumn("key", F.explode(F.concat(keys, exact)))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None,
+                page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict for each row of ``pages``.
+
+    rules: verdict (``allow``/``block``), host, path.  listed: url, URLs to block; one without path and query blocks its site.
+    """
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
+    entries = entries_of(rules, listed)
+    bloom, blocks = bloom_filter(entries, "key", entries.count())
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select(
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
     urls = rows.select("host", "path", "canonical").where("host != ''").distinct()
-    candidates = urls.withColumn("key", F.explode(F.concat(keys, F.array(F.concat(F.lit("exact "), F.col("canonical"))))))
-    hits = might_hold(candidates, "key", bloom, blocks).join(entries, "key")
+    hits = might_hold(candidate_keys(urls, lengths), "key", bloom, blocks).join(entries, "key")
     best = hits.groupBy("host", "path", "canonical").agg(F.max(F.struct(
         F.coalesce(F.length("rule"), F.lit(-1)).alias("rule_length"), "host_length", "verdict", "rule")).alias("best"))
     return rows.join(best, ["host", "path", "canonical"], "left").select(
