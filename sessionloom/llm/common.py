@@ -107,16 +107,17 @@ def pa_struct(schema: str) -> list[pa.Field]:
     return [pa.field(n.strip(), _TYPES[t.strip()]) for n, t in (x.split(":") for x in schema.split(","))]
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = 200_000) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = 200_000, rows: int | None = None) -> DataFrame:
     """Number the rows of each ``keys`` group from 0, gapless, in a fixed order, without one task for a group.
 
     Rows are dealt by (keys, hash bucket); a window numbers each bucket, and the
     counts of the buckets, summed up beside it, give where each bucket starts.
     The order is by bucket, then by ``order``; ties there get distinct numbers.
+    ``rows`` is the number of rows, if it is known.
     """
     from pyspark.sql import Window as W
 
-    n = df.count()
+    n = df.count() if rows is None else rows
     buckets = max(1, -(-n // rows_per_task)) * 16
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

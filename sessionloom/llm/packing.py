@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         i = np.searchsorted(starts, g, "right") - 1
         return pa.array(sequence[i] + (g - starts[i]) % spread[i])
 
-    ranked = rank_within(pieces, ["_class"], ["doc_id", "start", "ids_crc32"], "_rank")
+    ranked = rank_within(pieces, ["_class"], ["doc_id", "start", "ids_crc32"], "_rank", rows=sum(histogram.values()))
     before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "_rank").rowsBetween(W.unboundedPreceding, -1)
     return (ranked.withColumn("sequence_id", sequence_of("_class", "_rank"))
             .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
