@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose word n-gram sets are alike, and the groups they form.
 
-Sets of hashed n-grams are ordered rare first, by the counts of a sketch of
-fixed size; any order gives right results, a better one fewer candidates.  Two
+Sets of hashed n-grams are ordered rare first, by the counts of a sketch whose
+size grows with the number of rows up to a bound; any order gives right results,
+a better one fewer candidates.  Two
 sets as alike as asked for share an n-gram among the first of each (its prefix),
 so rows (n-gram, set) of the prefixes are brought together by n-gram.  Texts
 with equal sets are one class and take part once.
@@ -34,14 +35,16 @@ from pyspark.sql import functions as F
 from .common import settle, small_batches
 
 NGRAM, PERCENT = 5, 80
-#: Counters of the frequency sketch, dealt out in ranges; it is broadcast with a byte a counter.
-SKETCH_BITS, RANGE_BITS = 22, 16
+#: Counters of the frequency sketch: 16 a row between these bounds (4 to 64 million), dealt out in ranges; it is broadcast with a byte a counter.
+SKETCH_BITS, MOST_SKETCH_BITS, RANGE_BITS = 22, 26, 16
 #: Hash ranges whose counts the suffix filter compares.
 SUFFIX_RANGES = 32
 #: Up to so many sets of one prefix n-gram are paired by a join; more are compared in a task, so many at once.
 FEW, BLOCK = 64, 2048
-#: Bits of the filter that picks the documents whose sets are needed.
-PICK_BITS = 1 << 23
+#: Bits of the filter that picks the documents whose sets are needed: 16 for each between these bounds (1 to 64 MB).
+PICK_BITS, MOST_PICK_BITS = 23, 29
+#: Sets of one prefix n-gram, by the sketch, that may meet in a task; those of a more frequent one are dealt to several.
+HOT = 50_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -83,12 +86,12 @@ def _ranges(s: np.ndarray) -> bytes:
 _SURVEY = "kind int, doc_id long, n long, a long, b long, ranges binary, part int, counts binary"
 
 
-def _survey(k: int):
+def _survey(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
                             ("ranges", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        sketch = np.zeros(1 << bits, np.uint32)
+        mask = np.uint64((1 << bits) - 1)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -117,12 +120,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "logs"])
 
 
-def _prefixes(k: int, percent: int, logs):
+def _shares(logs: np.ndarray, hot: int) -> np.ndarray:
+    """Logarithms as the sketch has them -> to how many tasks the sets of such an n-gram are dealt."""
+    return np.ceil(np.exp2(logs / 8.0) / hot).astype(np.int64)
+
+
+def _prefixes(k: int, percent: int, logs, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = np.frombuffer(logs.value, np.uint8), np.uint64((1 << SKETCH_BITS) - 1)
+        table = np.frombuffer(logs.value, np.uint8)
+        mask, shares = np.uint64(len(table) - 1), _shares(np.arange(256), hot)
         seen: set[tuple[int, int]] = set()  # classes that this task has given rows of
         for batch in batches:
-            tokens, classes, sizes, places = [], [], [], []
+            tokens, classes, sizes, places, parts = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, k)
                 if not len(s) or (c := _class_of(s)) in seen:
@@ -137,9 +146,11 @@ def _prefixes(k: int, percent: int, logs):
                 classes.append(np.full(p, c[0], np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
+                dealt = shares[table[(s[first] & mask).astype(np.int64)]]
+                parts.append(np.where(dealt > 1, (c[1] & 0xFFFFFFFF) % dealt, -1).astype(np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, classes, sizes, places)],
-                                                 names=["token", "a", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, classes, sizes, places, parts)],
+                                                 names=["token", "a", "n", "pos", "part"])
     return run
 
 
@@ -178,9 +189,10 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of ids that link: their texts' whole sets are compared."""
     wanted = settle(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS))
+    size = 1 << min(MOST_PICK_BITS, max(PICK_BITS, int(16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     words = wanted.select((slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
-    bits = np.zeros(PICK_BITS // 64, np.int64)  # 1 MB, whatever the number of documents
+    bits = np.zeros(size // 64, np.int64)
     for w, bit in words.groupBy("w").agg(F.bit_or("bit")).toLocalIterator():
         bits[w] = bit
     held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
@@ -319,6 +331,25 @@ def _among_many(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "u long, v long")
 
 
+def _met(tokens: DataFrame, hot: bool) -> DataFrame:
+    """token, a, n, pos of the sets that share their prefix n-gram with another, and ``_hub``, the one with it foremost.
+
+    Rows of a frequent n-gram are dealt to parts from 0 on (others are in part -1); what parts say of it is added up beside
+    them (``hot``: there are such)."""
+    together = W.partitionBy("token", "part")
+    hub = F.struct("pos", (-F.col("n")).alias("m"), "a")
+    met = (tokens.withColumn("_least", F.min("a").over(together)).withColumn("_most", F.max("a").over(together))
+           .withColumn("_hub", F.min(hub).over(together)))
+    if hot:
+        split = met.withColumn("_p", F.max("part").over(together)).where("_p >= 0")  # as a window's result it isn't tested before the exchange, which serves both
+        said = (split.groupBy("token", "part").agg(F.first("_least").alias("l"), F.first("_most").alias("m"), F.first("_hub").alias("h"))
+                .groupBy("token").agg(F.min("l").alias("l"), F.max("m").alias("m"), F.min("h").alias("h"), F.collect_list("part").alias("parts"))
+                .where(F.size("parts") > 1).select("token", F.explode("parts").alias("part"), "l", "m", "h"))  # a row a part
+        met = met.join(said, ["token", "part"], "left").withColumns({
+            "_least": F.coalesce("l", "_least"), "_most": F.coalesce("m", "_most"), "_hub": F.coalesce("h", "_hub")})
+    return met.where("_least != _most").select("token", "a", "n", "pos", "_hub").distinct()
+
+
 def jaccard_groups(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest id that links of ``percent`` or more lead to."""
     with small_batches(docs.sparkSession):
@@ -328,20 +359,18 @@ def jaccard_groups(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, doc_
 def _groups(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = settle(docs.mapInArrow(_survey(k), _SURVEY))
+    sketch_bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, int(16 * docs.count()).bit_length()))
+    survey = settle(docs.mapInArrow(_survey(k, sketch_bits), _SURVEY))
     rows = survey.where("kind = 0").select("doc_id", "n", "a", "b", "ranges")
     classes = settle(rows.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min("ranges").alias("ranges")))
 
-    logs = bytearray(1 << SKETCH_BITS)
+    logs = bytearray(1 << sketch_bits)
     summed = survey.where("kind = 1").select("part", "counts").repartition("part").mapInArrow(_add_up, "part int, logs binary")
     for part, some in summed.toLocalIterator():  # a byte for each of the sketch's counters
         logs[part << RANGE_BITS:(part + 1) << RANGE_BITS] = some
     tokens = docs.where("doc_id is not null").select("text").mapInArrow(
-        _prefixes(k, percent, spark.sparkContext.broadcast(bytes(logs))), "token long, a long, n int, pos int")
-    together = W.partitionBy("token")
-    met = (tokens.withColumn("_least", F.min("a").over(together)).withColumn("_most", F.max("a").over(together))
-           .withColumn("_hub", F.min(F.struct("pos", (-F.col("n")).alias("m"), "a")).over(together))
-           .where("_least != _most").select("token", "a", "n", "pos", "_hub").distinct())
+        _prefixes(k, percent, spark.sparkContext.broadcast(bytes(logs)), HOT), "token long, a long, n int, pos int, part int")
+    met = _met(tokens, bool(_shares(np.frombuffer(logs, np.uint8).max(), HOT) > 1))
     ids = classes.select("a", "n", "rep")
     postings = settle(met.join(ids, ["a", "n"]).select("token", "rep", "n", "pos", "_hub"))
 
@@ -363,8 +392,10 @@ def _groups(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
 
 
 def keep_one(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their group; rows without an id stay."""
-    first = jaccard_groups(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = W.partitionBy("_kept").orderBy("text")
-    kept = docs.join(first, docs["doc_id"] == first["_kept"]).withColumn("_at", F.row_number().over(same)).where("_at = 1").drop("_at", "_kept")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs``, with all their columns, that are the first of their group; rows without an id stay.
+
+    Of rows that repeat an id the one with the least text stays.  The columns' names don't matter, as a row is held as one struct."""
+    first = jaccard_groups(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    least = rows.join(first, "id").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("row.text"))).where("place = 1")
+    return least.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
