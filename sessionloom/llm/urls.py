@@ -80,7 +80,7 @@ def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
 
 def bloom_filter(keys: DataFrame, key: str, entries: int) -> tuple[DataFrame, int]:
     """Rows (segment, words) of a blocked Bloom filter of ``keys``, and the number of its blocks (a word each)."""
-    blocks = min(max(64, entries * BITS_PER_ENTRY // 64), MAX_FILTER_MB << 17)
+    blocks = min(max(64, entries * BITS_PER_ENTRY // 64), int(MAX_FILTER_MB * (1 << 17)))
     at, mask = _block_and_mask(F.col(key), blocks)
     words = keys.select(at.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
     every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(words, "block", "left")
