@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tools as T
-from .assemble import KEYS, Assembled
+from .assemble import KEYS, Assembled, between_ms
 
-SLOW_TOOL_MS, LOOP_TOOLS, HEAVY_DEFAULT = 10_000, 5, 15_000
+SLOW_TOOL_MS, HEAVY_DEFAULT = 10_000, 15_000
 
 
 def zero_div(a, b, factor: float = 1.0):
@@ -17,14 +17,9 @@ def zero_div(a, b, factor: float = 1.0):
 
 
 def session_metrics(a: Assembled) -> DataFrame:
-    """Tool calls, failures, missing results, longest tool and turn, turns with many tools and longest chain of each session."""
-    per_step = a.steps.groupBy("provider", *KEYS).agg(
-        F.sum("tool_count").alias("tool_calls_total"), F.sum("failed").alias("tool_failures_total"),
-        F.sum("missing").alias("missing_tool_pairs"), F.max("tool_count").alias("longest_chain"))
-    per_turn = a.turns.groupBy(*KEYS).agg(F.greatest(F.max("duration_ms"), F.lit(0)).alias("max_e2e_ms"),
-                                          F.count_if(F.col("tool_count") > LOOP_TOOLS).alias("loop_signals"))
-    slow = a.tools.groupBy(*KEYS).agg(F.greatest(F.max("duration_ms"), F.lit(0)).alias("max_tool_ms"))
-    return per_step.join(per_turn, KEYS).join(slow, KEYS, "left").withColumn("max_tool_ms", F.coalesce("max_tool_ms", F.lit(0).cast("long")))
+    """Tool calls, failures, missing results, longest tool and turn, turns with many tools and longest chain of each session with a turn."""
+    return a.sessions.where("total_turns > 0").select(
+        "provider", *KEYS, "tool_calls_total", "tool_failures_total", "missing_tool_pairs", "longest_chain", "max_e2e_ms", "loop_signals", "max_tool_ms")
 
 
 def turn_metrics(a: Assembled, max_context: int | None = None) -> DataFrame:
@@ -42,11 +37,10 @@ def turn_metrics(a: Assembled, max_context: int | None = None) -> DataFrame:
 
 def summarize(a: Assembled) -> DataFrame:
     """Counts of user turns, messages, reasoning, tool calls and all events inside turns, for each session."""
-    return a.steps.groupBy(*KEYS).agg(
-        F.count_distinct("turn_index").alias("user_messages"), F.count_if(F.col("message").isNotNull()).alias("assistant_messages"),
-        F.sum("tool_count").alias("tool_calls"), F.count_if(F.col("reasoning").isNotNull()).alias("reasoning_blocks"),
-        F.count_if(F.col("usages") > 0).alias("_usages")).withColumn(
-        "total", F.col("user_messages") + F.col("assistant_messages") + F.col("reasoning_blocks") + 2 * F.col("tool_calls") + F.col("_usages")).drop("_usages")
+    c = F.col
+    return a.sessions.where("total_turns > 0").select(
+        *KEYS, c("total_turns").alias("user_messages"), c("messages").alias("assistant_messages"), c("tool_calls_total").alias("tool_calls"), c("reasonings").alias("reasoning_blocks"),
+        (c("total_turns") + c("messages") + c("reasonings") + 2 * c("tool_calls_total") + c("usages")).alias("total"))
 
 
 def analyze_failures(a: Assembled) -> DataFrame:
@@ -54,17 +48,19 @@ def analyze_failures(a: Assembled) -> DataFrame:
                                               F.format_string("%d tool execution(s) failed", "failed").alias("message"))
 
 
+def with_loops(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``loops``: whether its kinds of tools repeat those of the turn before for the second time or more."""
+    order = W.partitionBy(*KEYS).orderBy("turn_index")
+    kinds = F.when(F.size("kinds") > 0, F.array_join("kinds", ","))
+    t = turns.withColumn("_kinds", kinds)
+    t = t.withColumn("_new", (~F.coalesce(F.lag("_kinds").over(order) == F.col("_kinds"), F.lit(False))).cast("int"))
+    since = F.last(F.when(F.col("_new") == 1, F.col("turn_index")), True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return t.withColumn("loops", F.col("turn_index") - since >= 2).drop("_kinds", "_new")
+
+
 def analyze_loops(a: Assembled) -> DataFrame:
     """Turns whose kinds of tools repeat those of the turn before for the second time or more."""
-    kinds = a.tools.groupBy(*KEYS, "turn_index").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("step_index", "call_index", "tool_kind"))), lambda x: x["tool_kind"]), ",").alias("kinds"))
-    order = W.partitionBy(*KEYS).orderBy("turn_index")
-    t = a.turns.select(*KEYS, "turn_index").join(kinds, [*KEYS, "turn_index"], "left")
-    new = F.col("kinds").isNull() | ~F.coalesce(F.lag("kinds").over(order) == F.col("kinds"), F.lit(False))
-    t = t.withColumn("_island", new.cast("int"))
-    t = t.withColumn("_island", F.sum("_island").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    place = F.row_number().over(W.partitionBy(*KEYS, "_island").orderBy("turn_index")) - 1
-    return t.withColumn("_place", place).where("_place >= 2").select(
+    return with_loops(a.turns).where("loops").select(
         *KEYS, "turn_index", F.lit("loops").alias("diagnostic"), F.lit("warning").alias("severity"), F.lit("Repeated tool sequence detected").alias("message"))
 
 
@@ -85,11 +81,16 @@ def insights(a: Assembled, checks=("failures", "loops", "bottlenecks")) -> DataF
     return out
 
 
-def analysis_report(a: Assembled, checks=("failures",)) -> DataFrame:
-    """Insights and health score (100 less 10 for each, 0 at least) of each session with a turn."""
-    found = insights(a, checks).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("insights"))
-    return summarize(a).join(found, KEYS, "left").withColumn("insights", F.coalesce("insights", F.lit(0).cast("long"))).withColumn(
-        "score", F.greatest(F.lit(0), 100 - 10 * F.col("insights")))
+def analysis_report(a: Assembled, checks=("failures",), slow_ms: int = SLOW_TOOL_MS) -> DataFrame:
+    """Summary, insights and health score (100 less 10 for each, 0 at least) of each session with a turn; insights are counted turn by turn."""
+    c = F.col
+    found = {"failures": (c("failed") > 0).cast("int"), "loops": c("loops").cast("int"), "bottlenecks": F.size(F.filter("tool_ms", lambda ms: ms > slow_ms))}
+    turns = with_loops(a.turns) if "loops" in checks else a.turns
+    total = sum((F.sum(found[name]) for name in checks), F.lit(0)).cast("long")
+    s = turns.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("user_messages"), F.sum("messages").alias("assistant_messages"), F.sum("tool_count").alias("tool_calls"), F.sum("reasonings").alias("reasoning_blocks"),
+        (F.count(F.lit(1)) + F.sum("messages") + F.sum("reasonings") + 2 * F.sum("tool_count") + F.sum("usages")).alias("total"), total.alias("insights"))
+    return s.withColumn("score", F.greatest(F.lit(0), 100 - 10 * F.col("insights")))
 
 
 def tool_usage(a: Assembled) -> DataFrame:
@@ -103,7 +104,8 @@ def tool_usage(a: Assembled) -> DataFrame:
 def tool_call_stats(a: Assembled, k: int = 5) -> DataFrame:
     """The k most frequent values of each dimension of tool calls, by provider, in one pass."""
     t = a.tools.withColumn("first_word", F.when(F.col("command").isNotNull(), T.first_word(F.col("command"))))
-    dims = ["tool_kind", "tool_name", "command", "first_word", "file_path", "mcp_server", "mcp_tool"]
+    t = t.withColumn("tool_command", F.concat("tool_name", F.lit(": "), "command"))
+    dims = ["tool_kind", "tool_name", "command", "tool_command", "first_word", "file_path", "mcp_server", "mcp_tool"]
     long = t.select("provider", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])).alias("x")).select("provider", "x.*")
     counts = long.where("value is not null").groupBy("provider", "dimension", "value").agg(F.count(F.lit(1)).alias("calls"))
     top = W.partitionBy("provider", "dimension").orderBy(F.desc("calls"), "value")
@@ -122,13 +124,11 @@ def tool_entropy(a: Assembled) -> DataFrame:
 
 
 def provider_efficiency(a: Assembled) -> DataFrame:
-    """Counts and ratios of each provider; a ratio is 0 where its base is."""
-    s = a.sessions.where("total_turns > 0").groupBy("provider").agg(F.count(F.lit(1)).alias("sessions"), F.sum("total_turns").alias("turns"), F.sum("total_tokens").alias("tokens"))
-    st = a.steps.groupBy("provider").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("tool_count") > 1).alias("parallel_steps"),
-                                         F.sum(F.when(F.col("tool_count") > 1, F.col("tool_count")).otherwise(0)).alias("parallel_calls"))
-    kinds = [F.count_if(F.col("tool_kind") == k).alias(f"{k}_calls") for k in ("read", "write", "execute", "search", "other")]
-    t = a.tools.groupBy("provider").agg(F.count(F.lit(1)).alias("calls"), F.count_if("is_error").alias("errors"), *kinds)
-    j = s.join(st, "provider", "left").join(t, "provider", "left").na.fill(0)
+    """Counts and ratios of each provider's sessions with a turn; a ratio is 0 where its base is."""
+    names = ("read", "write", "execute", "search", "other")
+    sums = {"turns": "total_turns", "tokens": "total_tokens", "steps": "steps", "parallel_steps": "parallel_steps", "parallel_calls": "parallel_calls", "calls": "tool_calls_total",
+            "errors": "tool_failures_total", **{f"{k}_calls": f"{k}_calls" for k in names}}
+    j = a.sessions.where("total_turns > 0").groupBy("provider").agg(F.count(F.lit(1)).alias("sessions"), *[F.sum(v).alias(k) for k, v in sums.items()])
     c = F.col
     rwe = c("read_calls") + c("write_calls") + c("execute_calls")
     return j.withColumns({
@@ -139,32 +139,46 @@ def provider_efficiency(a: Assembled) -> DataFrame:
 
 
 def execute_breakdown(a: Assembled) -> DataFrame:
-    """Intents of shell commands by provider: calls, share in percent, and up to three example commands."""
-    c = a.tools.where("command is not null").withColumn("intent", T.execute_intent(F.col("command")))
-    n = c.groupBy("provider", "intent").agg(F.count(F.lit(1)).alias("calls"), F.array_join(F.slice(F.array_sort(F.collect_set("command")), 1, 3), " | ").alias("examples"))
-    return n.withColumn("share", F.col("calls") * 100.0 / F.sum("calls").over(W.partitionBy("provider")))
+    """Intents of shell commands by provider: calls, share in percent, and the first three commands in order as examples."""
+    n = a.tools.where("command is not null").groupBy("provider", "command").agg(F.count(F.lit(1)).alias("n")).withColumn("intent", T.execute_intent(F.col("command")))
+    rank = F.row_number().over(W.partitionBy("provider", "intent").orderBy("command"))  # over distinct commands; each task keeps three first
+    three = n.withColumn("_r", rank).where("_r <= 3").groupBy("provider", "intent").agg(F.array_join(F.array_sort(F.collect_list("command")), " | ").alias("examples"))
+    calls = n.groupBy("provider", "intent").agg(F.sum("n").alias("calls"))
+    return calls.join(three, ["provider", "intent"]).withColumn(
+        "share", F.col("calls") * F.lit(100.0).cast("double") / F.sum("calls").over(W.partitionBy("provider")))
 
 
 def corpus_stats(a: Assembled, newest: int = 100) -> DataFrame:
     """Totals over the newest main sessions."""
-    top = a.sessions.where("stream = 'main'").orderBy(F.desc("start_time"), "session_id").limit(newest).select(*KEYS)
-    m = top.join(session_metrics(a), KEYS, "left")
-    return m.agg(F.count(F.lit(1)).alias("sample_size"), F.coalesce(F.sum("tool_calls_total"), F.lit(0)).alias("total_tool_calls"),
-                 F.coalesce(F.sum("tool_failures_total"), F.lit(0)).alias("total_failures"), F.coalesce(F.max("max_e2e_ms"), F.lit(0)).alias("max_e2e_ms"))
+    top = a.sessions.where("stream = 'main'").orderBy(F.desc("start_time"), "session_id").limit(newest)
+    return top.agg(F.count(F.lit(1)).alias("sample_size"), F.coalesce(F.sum("tool_calls_total"), F.lit(0)).alias("total_tool_calls"),
+                   F.coalesce(F.sum("tool_failures_total"), F.lit(0)).alias("total_failures"), F.coalesce(F.max("max_e2e_ms"), F.lit(0)).alias("max_e2e_ms"))
+
+
+def levels(usage: DataFrame, ratio: str = "ratio") -> Column:
+    return F.when(F.col(ratio) > 0.9, "error").when(F.col(ratio) > 0.8, "warning").otherwise("success")
 
 
 def context_usage(a: Assembled) -> DataFrame:
     """The last turn's tokens of each main session against its model's limits, with ratio, level and what is left."""
-    last = turn_metrics(a).where("is_active and stream = 'main'").select(*KEYS, F.col("cumulative_total").alias("used"))
-    model = a.events.groupBy(*KEYS).agg(F.max_by("model", "seq").alias("model"))
-    j = T.join_model_limit(last.join(model, KEYS))
+    last = a.sessions.where("total_turns > 0 and stream = 'main'").select(*KEYS, "used", "model", "start_time", "end_time")
+    j = T.join_model_limit(last)
     limit = T.effective_limit(F.col("max_tokens"), F.col("buffer_pct"))
     ratio = F.when(F.coalesce("effective", F.lit(0)) == 0, 0.0).otherwise(F.col("used") / F.col("effective").cast("double"))
     j = j.withColumn("effective", limit).withColumn("ratio", ratio)
     return j.select(*KEYS, "model", "used", "max_tokens", "effective", "ratio",
                     F.when(F.col("effective").isNotNull(), F.greatest(F.lit(0), F.col("effective") - F.col("used"))).alias("remaining"),
-                    F.when(F.col("ratio") > 0.9, "error").when(F.col("ratio") > 0.8, "warning").otherwise("success").alias("level"),
-                    (F.col("used") * 100.0 / F.col("max_tokens")).alias("used_pct"))
+                    levels(j).alias("level"), (F.col("used") * 100.0 / F.col("max_tokens")).alias("used_pct"), between_ms(F.col("start_time"), F.col("end_time")).alias("elapsed_ms"))
+
+
+def usage_percent(a: Assembled) -> DataFrame:
+    """What share of its model's whole limit the last usage of each main session fills: input, output and both, in percent; null without a limit."""
+    c = F.col
+    last = a.steps.where("stream = 'main' and usages > 0").groupBy(*KEYS).agg(
+        F.max_by(F.struct((c("fresh_input") + c("cache_read")).alias("i"), c("output").alias("o")), F.struct("turn_index", "step_index")).alias("_u"))
+    j = T.join_model_limit(last.join(a.sessions.select(*KEYS, "model"), KEYS))
+    share = {"input_pct": c("_u.i"), "output_pct": c("_u.o"), "total_pct": c("_u.i") + c("_u.o")}
+    return j.select(*KEYS, "model", "max_tokens", *[(v.cast("double") * 100 / c("max_tokens")).alias(k) for k, v in share.items()])
 
 
 def is_turn_active(a: Assembled) -> DataFrame:
@@ -191,9 +205,6 @@ def turn_token_breakdown(a: Assembled, max_context: int = 200_000) -> DataFrame:
 
 def child_stream_view(a: Assembled) -> DataFrame:
     """Label, first user text, last totals and activity of every child stream with a turn."""
-    child = F.col("stream") != "main"
-    first = a.turns.where(child).groupBy(*KEYS).agg(F.substring(F.min_by("user_text", "turn_index"), 1, 60).alias("opening"), F.max("turn_index").alias("turn_index"))
-    waits = a.steps.groupBy(*KEYS, "turn_index").agg(F.bool_or(F.col("usages") == 0).alias("active"))
-    last = turn_metrics(a).where(child).select(*KEYS, "turn_index", "cumulative_total")
-    return first.join(last, [*KEYS, "turn_index"]).join(waits, [*KEYS, "turn_index"]).select(
-        *KEYS, F.substring(F.regexp_replace("stream", "^[a-z]+:", ""), 1, 8).alias("label"), "opening", "turn_index", "cumulative_total", "active")
+    return a.sessions.where("total_turns > 0 and stream != 'main'").select(
+        *KEYS, F.substring(F.regexp_replace("stream", "^[a-z]+:", ""), 1, 8).alias("label"), F.substring("first_text", 1, 60).alias("opening"),
+        F.col("last_turn").alias("turn_index"), F.col("used").cast("long").alias("cumulative_total"), F.col("last_waits").alias("active"))

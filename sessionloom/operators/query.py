@@ -66,8 +66,7 @@ def preview() -> Column:
 def event_location(a: Assembled) -> DataFrame:
     """Each event's place in its session's stream, with its turn and step (null outside turns)."""
     at = F.row_number().over(W.partitionBy(*KEYS).orderBy("seq")) - 1
-    inside = a.rows.select(*KEYS, "seq", "turn_index", "step_index")
-    return a.events.withColumn("event_index", at).join(inside, [*KEYS, "seq"], "left").select(
+    return a.placed.withColumn("event_index", at).select(
         *KEYS, "event_id", "event_index", "turn_index", "step_index", "type", "payload_json", "provider", "seq", preview().alias("preview"))
 
 
@@ -104,16 +103,23 @@ def search_events(a: Assembled, text: str, provider: str | None = None, types: l
 
 def list_turns(a: Assembled) -> DataFrame:
     """Turns with a short text, status, counts, tokens and tools used (name=count, sorted)."""
-    used = a.tools.groupBy(*KEYS, "turn_index", "tool_name").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEYS, "turn_index").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat("tool_name", F.lit("="), F.col("n").cast("string")))), ",").alias("tools_used"))
-    return a.turns.join(used, [*KEYS, "turn_index"], "left").select(
+    used = F.transform(F.array_distinct("tool_names"), lambda n: F.concat(n, F.lit("="), F.size(F.filter("tool_names", lambda x: x == n)).cast("string")))
+    return a.turns.select(
         *KEYS, "turn_index", X.truncate_marked(F.col("user_text"), 100).alias("user_text"), F.when(F.col("failed") > 0, "failed").otherwise("completed").alias("status"),
-        "step_count", "duration_ms", "total_tokens", F.coalesce("tools_used", F.lit("")).alias("tools_used"))
+        "step_count", "duration_ms", "total_tokens", F.array_join(F.array_sort(used), ",").alias("tools_used"))
 
 
-def get_turns(a: Assembled, turns: list[int], chars: int = 3000, steps: int = 30) -> DataFrame:
-    """The steps of the chosen turns of the main streams, texts and step numbers cut."""
-    return a.steps.where((F.col("stream") == "main") & F.col("turn_index").isin(turns) & (F.col("step_index") < steps)).select(
+def get_turns(a: Assembled, turns: list[int], chars: int = 3000, steps: int = 30, session: str | None = None) -> DataFrame:
+    """The steps of the chosen turns of the main streams, texts and step numbers cut.
+
+    For one ``session`` an index that it doesn't have is an error; over all sessions it gives no row."""
+    rows = a.steps.where(F.col("stream") == "main")
+    if session is not None:
+        rows = rows.where(F.col("session_id") == session)
+        n = rows.agg(F.coalesce(F.max("turn_index") + 1, F.lit(0))).first()[0]
+        if out := [t for t in turns if not 0 <= t < n]:
+            raise IndexError(f"session {session} has {n} turns, not {out}")
+    return rows.where(F.col("turn_index").isin(turns) & (F.col("step_index") < steps)).select(
         "session_id", "turn_index", "step_index", X.truncate_marked(F.col("reasoning"), chars).alias("reasoning"),
         X.truncate_marked(F.col("message"), chars).alias("message"), "status", "tool_count", "tokens")
 
@@ -146,6 +152,18 @@ def order_sessions(sessions: DataFrame, newest: bool = True) -> list:
     return [F.desc("start_time"), F.asc("session_id")] if newest else [F.asc("start_time"), F.asc("session_id")]
 
 
+def number_sessions(sessions: DataFrame, newest: bool = True, bucket: str = "hour") -> DataFrame:
+    """``sessions`` with their ``place`` in that order, from 1, without one task for all of them.
+
+    Only the buckets of time that hold sessions are summed up in one task; places are counted inside each bucket."""
+    order = [*order_sessions(sessions, newest), F.asc("stream")]
+    rows = sessions.withColumn("_bucket", F.date_trunc(bucket, "start_time"))
+    before = W.orderBy(F.desc("_bucket") if newest else F.asc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
+    return rows.withColumn("_place", inside).join(starts, "_bucket").withColumn("place", (F.col("_start") + F.col("_place")).cast("long")).drop("_bucket", "_place", "_start")
+
+
 def sessions_between(sessions: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """Sessions that started in a span; a bound that can't be read is ignored, a session without start is dropped if a bound holds."""
     for bound, late in ((since, False), (until, True)):

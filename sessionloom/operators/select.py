@@ -9,8 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .analyze import session_metrics
-from .assemble import Assembled
+from .assemble import KEYS, Assembled
 
 #: Newest main sessions looked at, and the most of one provider.
 POOL, PER_PROVIDER = 1000, 200
@@ -49,12 +48,10 @@ def balance_providers(sessions: DataFrame, pool: int = POOL, each: int = PER_PRO
 
 def digests(a: Assembled, pool: int = POOL, each: int = PER_PROVIDER) -> DataFrame:
     """Metrics, opening and activation text of the balanced pool's sessions with a turn."""
-    held = balance_providers(a.sessions, pool, each).select("provider", "session_id", "stream", "start_time", "boost")
-    text = a.turns.where("stream = 'main'").groupBy("session_id").agg(
-        F.min_by("user_text", "turn_index").alias("_o"), F.max_by(F.struct("user_text", "tool_count"), F.struct("tool_count", "turn_index")).alias("_a"))
-    return held.join(session_metrics(a).drop("provider"), ["session_id", "stream"]).join(text, "session_id").select(
-        "*", X.truncate_snippet(X.clean_snippet(F.col("_o")), 100).alias("opening"),
-        F.when(F.col("_a.tool_count") >= 3, X.truncate_snippet(X.clean_snippet(F.col("_a.user_text")), 120)).alias("activation")).drop("_o", "_a")
+    return balance_providers(a.sessions, pool, each).where("total_turns > 0").select(
+        "provider", *KEYS, "start_time", "boost", "tool_calls_total", "tool_failures_total", "missing_tool_pairs", "longest_chain", "max_e2e_ms", "loop_signals", "max_tool_ms",
+        X.truncate_snippet(X.clean_snippet(F.col("first_text")), 100).alias("opening"),
+        F.when(F.col("busiest.tool_count") >= 3, X.truncate_snippet(X.clean_snippet(F.col("busiest.user_text")), 120)).alias("activation"))
 
 
 def p90_thresholds(d: DataFrame) -> DataFrame:

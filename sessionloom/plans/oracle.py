@@ -50,11 +50,13 @@ a9 AS (SELECT *, CAST(says AND (row_number() OVER (PARTITION BY session_id, stre
 r AS (SELECT *, CAST(sum(new_step) OVER (PARTITION BY session_id, stream, tk ORDER BY seq) AS INT) AS step_index FROM a9)"""
 
 TABLES = r"""
-calls AS (SELECT *, row_number() OVER (PARTITION BY session_id, stream, turn_index, event_id ORDER BY seq) AS again FROM r WHERE type = 'tool_call'),
+calls AS (SELECT *, row_number() OVER (PARTITION BY session_id, stream, turn_index, step_index, event_id ORDER BY seq) AS again FROM r WHERE type = 'tool_call'),
+answers AS (SELECT x.session_id, x.stream, x.seq, any_value(x.event_id) AS event_id, any_value(x.output) AS output, any_value(x.ts) AS ts, any_value(x.is_error) AS is_error, max(c.seq) AS call_seq
+            FROM r x JOIN calls c ON c.again = 1 AND x.session_id = c.session_id AND x.stream = c.stream AND x.turn_index = c.turn_index AND x.tool_call_id = c.event_id AND x.seq > c.seq
+            WHERE x.type = 'tool_result' GROUP BY x.session_id, x.stream, x.seq),
 paired AS (SELECT c.provider, c.session_id, c.stream, c.turn_index, c.step_index, c.event_id AS call_id, c.ts AS call_ts, c.seq AS call_seq, c.tool_name, c.file_path, c.command, c.pattern,
              c.mcp_server, c.mcp_tool, arg_min(x.event_id, x.seq) AS result_id, arg_min(x.output, x.seq) AS output, arg_min(x.ts, x.seq) AS result_ts, coalesce(arg_min(x.is_error, x.seq), false) AS is_error
-           FROM calls c LEFT JOIN r x ON x.type = 'tool_result' AND x.session_id = c.session_id AND x.stream = c.stream AND x.turn_index = c.turn_index AND x.tool_call_id = c.event_id AND x.seq > c.seq
-           WHERE c.again = 1 GROUP BY ALL),
+           FROM calls c LEFT JOIN answers x ON x.session_id = c.session_id AND x.stream = c.stream AND x.call_seq = c.seq WHERE c.again = 1 GROUP BY ALL),
 tools AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, stream, turn_index, step_index ORDER BY call_seq) - 1 AS INT) AS call_index,
             CASE WHEN tool_name IN ('Read', 'Glob') THEN 'read' WHEN tool_name IN ('Edit', 'Write') THEN 'write' WHEN tool_name IN ('Bash', 'KillShell', 'BashOutput') THEN 'execute'
                  WHEN tool_name IN ('Grep', 'WebSearch', 'WebFetch') THEN 'search' ELSE 'other' END AS tool_kind,

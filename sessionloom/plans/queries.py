@@ -35,9 +35,6 @@ def query(sql: str | None = None, on: str = "tables"):
     return add
 
 
-MS = "CAST(floor(epoch_us({0}) / 1000) AS BIGINT)"
-
-
 def ms(c: str):
     return F.floor(F.unix_micros(c) / 1000).cast("long")
 
@@ -49,6 +46,11 @@ def turn_segmentation(a: Assembled):
     return a.rows.select(*KEYS, "event_id", "type", "turn_index", "step_index")
 
 
+@query(O.on_tables("SELECT session_id, stream, turn_index, step_index, coalesce(max(CASE WHEN type = 'reasoning' THEN event_id END), arg_min(event_id, seq) FILTER (type IN ('message', 'tool_call'))) AS step_id FROM r GROUP BY ALL HAVING count(*) FILTER (type IN ('reasoning', 'message', 'tool_call')) > 0"))
+def step_id(a: Assembled):
+    return a.steps.where("reasoning is not null or message is not null or tool_count > 0").select(*KEYS, "turn_index", "step_index", "step_id")
+
+
 @query(O.on_tables("SELECT session_id, stream, turn_index, step_index, CAST(floor(epoch_us(step_ts) / 1000) AS BIGINT) AS step_ms, reasoning, message, tool_count, missing, failed, fresh_input, cache_read, output, status FROM steps"))
 def step_build(a: Assembled):
     return a.steps.select(*KEYS, "turn_index", "step_index", ms("step_ts").alias("step_ms"), "reasoning", "message", "tool_count", "missing", "failed", "fresh_input", "cache_read", "output", "status")
@@ -64,6 +66,24 @@ def tool_pairing(a: Assembled):
     return a.tools.select(*KEYS, "turn_index", "step_index", "call_index", "call_id", "tool_name", "tool_kind", "result_id", "output", "duration_ms", "is_error")
 
 
+def repeated_calls(e: DataFrame) -> DataFrame:
+    """Events in which calls share ids: each id is that of a session's calls in twelve places; results are of the last call before."""
+    before = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    call = F.when(F.col("type") == "tool_call", F.concat(F.lit("c"), F.floor(F.col("seq") / 12).cast("string")))
+    e = e.withColumn("_call", call).withColumn("tool_call_id", F.when(F.col("type") == "tool_result", F.last("_call", True).over(before)))
+    return e.withColumn("event_id", F.coalesce("_call", "event_id")).drop("_call")
+
+
+_REPEATED = O.EV.replace("ev AS (", "ev0 AS (", 1) + """,
+ev1 AS (SELECT *, CASE WHEN type = 'tool_call' THEN 'c' || (seq // 12) END AS cid FROM ev0),
+ev AS (SELECT * EXCLUDE (cid) REPLACE (coalesce(cid, event_id) AS event_id, CASE WHEN type = 'tool_result' THEN last_value(cid IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS tool_call_id) FROM ev1)"""
+
+
+@query("WITH " + ",".join([_REPEATED, O.ROWS, O.TABLES]) + "\nSELECT session_id, stream, turn_index, step_index, call_index, call_id, call_seq, result_id FROM tools", on="events")
+def dedup_calls(e: DataFrame):
+    return assemble(repeated_calls(e)).tools.select(*KEYS, "turn_index", "step_index", "call_index", "call_id", "call_seq", "result_id")
+
+
 @query(O.on_tables("SELECT session_id, stream, turn_index, step_index, fresh_input, 0::BIGINT AS cache_creation, cache_read, output, tokens FROM steps WHERE usages > 0"))
 def usage_merge(a: Assembled):
     return a.steps.where("usages > 0").select(*KEYS, "turn_index", "step_index", "fresh_input", F.lit(0).cast("long").alias("cache_creation"), "cache_read", "output", "tokens")
@@ -214,6 +234,7 @@ def classify_tool(e: DataFrame):
 @query(O.on_tables("""SELECT provider, dimension, value, calls, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY provider, dimension ORDER BY calls DESC, value) AS INT) AS rank FROM
  (SELECT provider, dimension, value, count(*) AS calls FROM (
    SELECT provider, 'tool_kind' AS dimension, tool_kind AS value FROM tools UNION ALL SELECT provider, 'tool_name', tool_name FROM tools UNION ALL SELECT provider, 'command', command FROM tools
+   UNION ALL SELECT provider, 'tool_command', tool_name || ': ' || command FROM tools
    UNION ALL SELECT provider, 'first_word', split_part(command, ' ', 1) FROM tools UNION ALL SELECT provider, 'file_path', file_path FROM tools
    UNION ALL SELECT provider, 'mcp_server', mcp_server FROM tools UNION ALL SELECT provider, 'mcp_tool', mcp_tool FROM tools) WHERE value IS NOT NULL GROUP BY ALL)) WHERE rank <= 5"""))
 def tool_call_stats(a: Assembled):
@@ -242,12 +263,20 @@ def provider_efficiency(a: Assembled):
     return A.provider_efficiency(a)
 
 
-@query(O.on_tables("""SELECT provider, intent, count(*) AS calls, array_to_string(list_sort(list_distinct(list(command)))[1:3], ' | ') AS examples, count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY provider) AS share FROM
-  (SELECT provider, command, CASE command WHEN 'ls -la src' THEN 'read' WHEN 'cat a.txt' THEN 'read' WHEN 'echo x > f.txt' THEN 'write' WHEN 'cargo build' THEN 'build' WHEN 'cargo test --all' THEN 'test' WHEN 'git status' THEN 'git' END AS intent
-   FROM tools WHERE command IS NOT NULL) GROUP BY provider, intent"""))
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+INTENT = f"""CASE WHEN word IN {_in((*T.READERS, *T.SEARCHERS))} OR (word = 'sed' AND NOT in_place) OR (word = 'awk' AND NOT contains(command, '>')) THEN 'read'
+  WHEN word IN {_in(T.WRITERS)} OR (word IN ('echo', 'printf', 'awk') AND contains(command, '>')) OR word = 'sed' THEN 'write'
+  WHEN regexp_matches(command, 'build|compile') OR word = 'make' THEN 'build' WHEN regexp_matches(command, 'test|jest') THEN 'test' WHEN word IN ('git', 'gh') THEN 'git' ELSE 'other' END"""
+
+
+@query(O.on_tables(f"""SELECT provider, intent, count(*) AS calls, array_to_string(list_sort(list_distinct(list(command)))[1:3], ' | ') AS examples, count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY provider) AS share FROM
+  (SELECT provider, command, {INTENT} AS intent FROM (SELECT *, regexp_extract(command, '^\\s*(\\S*)', 1) AS word, regexp_matches(command, '(^|\\s)(-i|--in-place)($|[^a-zA-Z0-9])') AS in_place FROM tools WHERE command IS NOT NULL))
+  GROUP BY provider, intent"""))
 def execute_breakdown(a: Assembled):
-    b = A.execute_breakdown(a)
-    return b.withColumn("share", F.col("calls") * F.lit(100.0).cast("double") / F.sum("calls").over(W.partitionBy("provider")))
+    return A.execute_breakdown(a)
 
 
 @query(O.on_tables("""SELECT count(*) AS sample_size, coalesce(sum(tool_calls_total), 0)::BIGINT AS total_tool_calls, coalesce(sum(tool_failures_total), 0)::BIGINT AS total_failures, coalesce(max(max_e2e_ms), 0) AS max_e2e_ms
@@ -353,8 +382,7 @@ def export_reasoning(e: DataFrame):
 
 @query(O.on_tables("SELECT session_id, stream, row_number() OVER (ORDER BY start_time DESC, session_id, stream) AS place FROM sessions"))
 def order_sessions(a: Assembled):
-    place = F.row_number().over(W.orderBy(*Q.order_sessions(a.sessions), "stream"))
-    return a.sessions.select(*KEYS, place.cast("long").alias("place"))
+    return Q.number_sessions(a.sessions).select(*KEYS, "place")
 
 
 @query(O.on_tables("SELECT session_id, stream FROM sessions WHERE start_time >= TIMESTAMP '2024-01-01 00:30:00' AND start_time <= TIMESTAMP '2024-01-05 00:00:00'"))

@@ -38,6 +38,8 @@ def random_sessions(seed: int, n: int):
                     continue
                 e |= {"tool_call_id": r.choice(calls) if r.random() < 0.9 else "none", "is_error": r.random() < 0.3}
             elif kind == "tool_call":
+                if calls and r.random() < 0.3:  # the same call again, in this step or a later one
+                    e["event_id"] = r.choice(calls)
                 calls.append(e["event_id"])
                 e |= {"tool_name": "Read"}
             elif kind == "token_usage":
@@ -70,6 +72,9 @@ def state_machine(rows):
                 if kind in ("reasoning", "message"):
                     step[kind] = text
                 elif kind == "tool_call":
+                    if e["event_id"] in step.setdefault("ids", set()):
+                        continue
+                    step["ids"].add(e["event_id"])
                     tool = {"ts": e["ts"], "ms": None, "error": False, "done": False}
                     step.setdefault("tools", []).append(tool)
                     turn["pending"][e["event_id"]] = tool
