@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ingest import at, detect_provider
+from .ingest import at, detect_provider, first_lines, place_of
 
 SNIPPET, CLAUDE_LINES, CODEX_LINES = 200, 200, 20
 
@@ -35,7 +35,7 @@ def claude_headers(lines: DataFrame, first: int = CLAUDE_LINES) -> DataFrame:
     """session_id, cwd, start, snippet, is_sidechain and agent of each file of the first format, from its first lines.
 
     The snippet is the first text of a user record that is neither meta nor of a sidechain, nor the child of a meta record."""
-    r = lines.where(F.col("line_no") < first).withColumn("v", F.try_parse_json("value")).where("v is not null").select(
+    r = first_lines(lines, first).withColumn("v", F.try_parse_json("value")).where("v is not null").select(
         "path", "line_no", at("v", "$.type").alias("t"), at("v", "$.sessionId").alias("sid"), at("v", "$.cwd").alias("cwd"), at("v", "$.timestamp").alias("ts"),
         F.coalesce(at("v", "$.isMeta", "boolean"), F.lit(False)).alias("meta"), at("v", "$.isSidechain", "boolean").alias("side"), at("v", "$.agentId").alias("agent"),
         at("v", "$.uuid").alias("uuid"), at("v", "$.parentUuid").alias("parent"),
@@ -55,7 +55,7 @@ def claude_headers(lines: DataFrame, first: int = CLAUDE_LINES) -> DataFrame:
 
 def codex_headers(lines: DataFrame, first: int = CODEX_LINES) -> DataFrame:
     """session_id, cwd, start, snippet and subagent of each file of the second format, from its first lines."""
-    r = lines.where(F.col("line_no") < first).withColumn("v", F.try_parse_json("value")).where("v is not null")
+    r = first_lines(lines, first).withColumn("v", F.try_parse_json("value")).where("v is not null")
     meta = at("v", "$.type") == "session_meta"
     text = F.when((at("v", "$.payload.role") == "user") & ~F.coalesce(at("v", "$.payload.content[0].text").contains("<environment_context>"), F.lit(True)), at("v", "$.payload.content[0].text"))
     r = r.select("path", "line_no", F.when(meta, at("v", "$.payload.id")).alias("sid"), at("v", "$.payload.cwd").alias("cwd"), at("v", "$.timestamp").alias("ts"),
@@ -102,9 +102,10 @@ def project_hash(root):
 
 
 def diagnose(lines: DataFrame) -> DataFrame:
-    """Status of each file: parse_error if a line isn't JSON, missing_field if a record has no type, else ok; with an example."""
-    v = F.try_parse_json("value")
-    bad = F.when(v.isNull(), "parse_error").when(at(v, "$.type").isNull(), "missing_field")
-    return lines.withColumn("_bad", bad).groupBy("path").agg(
-        F.coalesce(F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("line_no"))), F.lit("ok")).alias("status"), F.count(F.lit(1)).alias("records"),
-        F.min_by(F.substring("value", 1, 80), F.when(F.col("_bad").isNotNull(), F.col("line_no"))).alias("example"))
+    """Status of each file: parse_error if a line isn't JSON, missing_field if a record has no type, type_mismatch if its type isn't a string, else ok; with an example."""
+    v, place = F.try_parse_json("value"), place_of(lines)
+    tag = F.schema_of_variant(at(v, "$.type", "variant"))
+    bad = F.when(v.isNull(), "parse_error").when(tag.isNull() | (tag == "VOID"), "missing_field").when(tag != "STRING", "type_mismatch")
+    rows = lines.withColumn("_bad", bad).withColumn("_at", F.when(F.col("_bad").isNotNull(), place))
+    return rows.groupBy("path").agg(
+        F.coalesce(F.min_by("_bad", "_at"), F.lit("ok")).alias("status"), F.count(F.lit(1)).alias("records"), F.min_by(F.substring("value", 1, 80), "_at").alias("example"))

@@ -1,12 +1,16 @@
 """Raw logs of three formats to agent events.
 
-Lines come as a frame (path, line_no, value); :func:`read_lines` makes it from
-files.  A line that isn't JSON is left out (:func:`bad_lines` has them).  All
-that looks back in a file is a window over its path; nothing is collected.
+Lines come as a frame (path, place, value), where places order a file's lines;
+:func:`read_lines` makes it from files.  A line that isn't JSON is left out
+(:func:`bad_lines` has them).  A record is parsed once and gives an array of
+events, which is exploded; only then rows are shuffled, by path, for all that
+looks back in a file (numbers of lines, parents, results to calls, models).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,15 +22,28 @@ _FIELDS = {
     "text": "string", "level": "string", "slash_name": "string", "slash_args": "string", "queue_op": "string", "queue_content": "string",
     "task_id": "string", "leaf_uuid": "string", "tool_name": "string", "display_name": "string", "provider_call_id": "string", "arguments": "string",
     "output": "string", "is_error": "boolean", "agent_id": "string", "tok_cached": "long", "tok_uncached": "long", "tok_generated": "long",
-    "tok_reasoning": "long", "tok_tool": "long", "model": "string"}
+    "tok_reasoning": "long", "tok_tool": "long", "model": "string", "context_limit": "long"}
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, line_no (from 0, blank lines not counted) and value of every line; files may be split between tasks."""
+    """path, place and value of every line that isn't blank; files may be split between tasks, and nothing is shuffled.
+
+    Places order the lines of a file: where the split begins, and the line's turn in it."""
     rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"))
-    rows = rows.withColumn("_id", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    place = F.row_number().over(W.partitionBy("path").orderBy("_block", "_id")) - 1
-    return rows.withColumn("line_no", place.cast("long")).select("path", "line_no", "value")
+    return rows.select("path", F.struct("_block", F.monotonically_increasing_id().alias("_id")).alias("place"), "value").where(F.trim("value") != "")
+
+
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """path, line_no (from 0) and value of the first ``n`` lines of each file; each task keeps no more than those of a file."""
+    if "line_no" in lines.columns:
+        return lines.where(F.col("line_no") < n)
+    nth = F.row_number().over(W.partitionBy("path").orderBy("place"))
+    return lines.withColumn("_nth", nth).where(F.col("_nth") <= n).select("path", (F.col("_nth") - 1).cast("long").alias("line_no"), "value")
+
+
+def place_of(lines: DataFrame) -> Column:
+    """What orders the lines of a file: their place, or their number where they have one."""
+    return F.col("line_no" if "line_no" in lines.columns else "place")
 
 
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
@@ -49,22 +66,9 @@ def _event(kind: str, suffix: str, **values: Column) -> Column:
     return F.struct(*fields, *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()])
 
 
-def _tag(rows: DataFrame, keep: list, cases: list[tuple]) -> DataFrame:
-    """The rows that fit a case (condition, type, suffix, values), with ``keep`` and the fields of the first that fits."""
-    number = F.when(cases[0][0], 0)
-    for i, case in enumerate(cases[1:], 1):
-        number = number.when(case[0], i)
-    rows = rows.withColumn("_case", number).where("_case is not null")
-
-    def pick(values: list[tuple[int, Column]], kind: str) -> Column:
-        out = F.lit(None).cast(kind)
-        for i, v in reversed(values):
-            out = F.when(F.col("_case") == i, v.cast(kind)).otherwise(out)
-        return out
-
-    fields = [pick([(i, F.lit(c[n])) for i, c in enumerate(cases)], "string").alias(name) for n, name in ((1, "type"), (2, "suffix"))]
-    fields += [pick([(i, c[3][n]) for i, c in enumerate(cases) if n in c[3]], t).alias(n) for n, t in _FIELDS.items()]
-    return rows.select(*keep, *fields)
+def _first_of(cases: list[tuple]) -> Column:
+    """The struct of the first case (condition, event) that holds; null if none does."""
+    return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), F.lit(None))
 
 
 def detect_provider(path: Column) -> Column:
@@ -77,13 +81,15 @@ def parse_ts(text: Column) -> Column:
 
 
 def _finish(rows: DataFrame, provider: str, session: Column) -> DataFrame:
-    """Ids, links and order.  rows: path, raw (a session id or null), ts, stream, line_no, sub_no, base_id, and the event's fields or a struct e of them."""
-    if "e" in rows.columns:
-        rows = rows.where("e is not null").select("path", "raw", "ts", "stream", "line_no", "sub_no", "base_id", "e.*")
-    rows = rows.where("ts is not null")
-    order = W.partitionBy("path").orderBy("line_no", "sub_no")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumn("raw_session_id", F.coalesce(F.first("raw", True).over(whole), session))
+    """Ids, links and order.  rows: path, place or line_no, raw (a session id or null), ts, stream, sub_no, base_id, and the event ``e`` (null for lines without)."""
+    place = "line_no" if "line_no" in rows.columns else "place"
+    line = W.partitionBy("path").orderBy(place)
+    order = W.partitionBy("path").orderBy(place, "sub_no")
+    if place == "place":
+        rows = rows.withColumn("line_no", (F.dense_rank().over(line) - 1).cast("long"))
+    rows = rows.withColumn("raw_session_id", F.coalesce(F.first(F.when(F.col("e").isNotNull() & F.col("ts").isNotNull(), F.col("raw")), True).over(
+        order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), session))
+    rows = rows.where("e is not null and ts is not null").select("path", "raw_session_id", "ts", "stream", "line_no", "sub_no", "base_id", "e.*")
     rows = rows.withColumn("session_id", X.session_uuid(F.col("raw_session_id")))
     rows = rows.withColumn("event_id", X.uuid5(F.col("session_id"), F.concat("base_id", F.lit(":"), "suffix")))
     same_call = W.partitionBy("path", "provider_call_id").orderBy("line_no", "sub_no").rowsBetween(W.unboundedPreceding, -1)
@@ -93,109 +99,138 @@ def _finish(rows: DataFrame, provider: str, session: Column) -> DataFrame:
     rows = rows.withColumn("parent_id", F.lag("event_id").over(W.partitionBy("path", "stream").orderBy("line_no", "sub_no")))
     seq = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "path", "line_no", "sub_no"))
     rows = rows.withColumn("seq", seq.cast("long")).withColumn("provider", F.lit(provider))
-    return with_tool_columns(rows).drop("raw", "suffix", "base_id", "sub_no")
+    return with_payload(with_tool_columns(rows)).drop("suffix", "base_id", "sub_no")
+
+
+def with_payload(rows: DataFrame) -> DataFrame:
+    """``payload_json``: type and content of each event, for search; fields without a value are left out."""
+    kind = F.col("type")
+    content = F.struct(
+        "text", "level", F.coalesce("slash_name", "tool_name").alias("name"), F.col("slash_args").alias("args"), F.try_parse_json("arguments").alias("arguments"), "provider_call_id",
+        F.when(kind == "tool_result", F.col("tool_call_id")).alias("tool_call_id"), "output", F.when(kind == "tool_result", F.col("is_error")).alias("is_error"), "agent_id",
+        F.col("queue_op").alias("operation"), F.col("queue_content").alias("content"), "task_id", "leaf_uuid",
+        F.when(kind == "token_usage", F.struct(F.col("tok_cached").alias("cached"), F.col("tok_uncached").alias("uncached"))).alias("input"),
+        F.when(kind == "token_usage", F.struct(F.col("tok_generated").alias("generated"), F.col("tok_reasoning").alias("reasoning"), F.col("tok_tool").alias("tool"))).alias("usage"))
+    return rows.withColumn("payload_json", F.to_json(F.struct("type", content.alias("content"))))
 
 
 # --- first format: JSON lines tagged by type ---------------------------------------------------------------------
 
 def claude_events(lines: DataFrame) -> DataFrame:
-    r = lines.withColumn("v", F.try_parse_json("value")).where("v is not null").select(
-        "path", "line_no", "v", at("v", "$.type").alias("record"), at("v", "$.sessionId").alias("raw"), parse_ts(at("v", "$.timestamp")).alias("ts"),
-        at("v", "$.uuid").alias("uuid"), F.coalesce(at("v", "$.isSidechain", "boolean"), F.lit(False)).alias("side"), at("v", "$.agentId").alias("agent"))
-    r = r.withColumn("stream", F.when(F.col("side") & ~F.col("record").isin("queue-operation", "summary", "pr-link"),
-                                      F.concat(F.lit("sidechain:"), F.coalesce("agent", F.lit("unknown")))).otherwise("main"))
+    """Events of lines of the first format; a user or assistant record gives one for each block of its content, and its usage."""
+    place = place_of(lines)
+    name_of_place = "line_no" if "line_no" in lines.columns else "place"
+    c = F.col
+    r = lines.withColumn("v", F.try_parse_json("value")).select(
+        "path", place.alias(name_of_place), "v", at("v", "$.type").alias("record"), at("v", "$.sessionId").alias("raw"), parse_ts(at("v", "$.timestamp")).alias("ts"),
+        at("v", "$.uuid").alias("uuid"), F.coalesce(at("v", "$.isSidechain", "boolean"), F.lit(False)).alias("side"), at("v", "$.agentId").alias("agent"),
+        at("v", "$.subtype").alias("sub"), at("v", "$.message.model").alias("model"), at("v", "$.message.usage.input_tokens", "long").alias("spent"))
     said = at("v", "$.message.content", "variant")
     plain = F.when(F.schema_of_variant(said) == "STRING", F.array(F.parse_json(F.to_json(F.struct(F.lit("text").alias("type"), at("v", "$.message.content").alias("text"))))))
-    blocks = r.where(F.col("record").isin("user", "assistant")).withColumn("blocks", F.coalesce(plain, at("v", "$.message.content", "array<variant>")))
-    user = F.col("record") == "user"
-    b = blocks.select("*", F.posexplode("blocks").alias("sub_no", "b"))
-    kind, text = at("b", "$.type"), at("b", "$.text")
-    name, args = X.slash_command(text)
-    content = at("b", "$.content", "variant")
-    result = F.when(F.schema_of_variant(content) == "STRING", at("b", "$.content"))
-    place = ["path", "raw", "ts", "stream", "line_no", F.col("sub_no").cast("long").alias("sub_no"), F.concat("uuid", F.lit("-content-"), F.col("sub_no").cast("string")).alias("base_id")]
-    inner = _tag(b, place, [
-        (user & (kind == "text") & name.isNotNull(), "slash_command", "slashcmd", {"slash_name": name, "slash_args": args}),
-        (user & (kind == "text"), "user", "user", {"text": text}),
-        (kind == "text", "message", "message", {"text": text}),
-        (~user & (kind == "thinking"), "reasoning", "reasoning", {"text": at("b", "$.thinking")}),
-        (~user & (kind == "tool_use"), "tool_call", "call", {"tool_name": at("b", "$.name"), "provider_call_id": at("b", "$.id"), "arguments": at("b", "$.input"), "model": at("v", "$.message.model")}),
-        (kind == "tool_result", "tool_result", "result", {
-            "provider_call_id": at("b", "$.tool_use_id"), "output": F.coalesce(result, F.lit("")), "is_error": F.coalesce(at("b", "$.is_error", "boolean"), F.lit(False)),
-            "agent_id": F.when(user, F.coalesce(at("b", "$.agentId"), at("v", "$.toolUseResult.agentId")))})])
+    talk, none = c("record").isin("user", "assistant"), F.expr("cast(array() as array<variant>)")
+    r = r.withColumn("blocks", F.when(talk, F.coalesce(plain, at("v", "$.message.content", "array<variant>"), none)).otherwise(none))
     makes = F.exists("blocks", lambda x: F.try_variant_get(x, "$.type", "string").isin("tool_use", "text"))
-    used = _tag(blocks, ["path", "raw", "ts", "stream", "line_no", F.lit(1 << 40).cast("long").alias("sub_no"), F.col("uuid").alias("base_id")], [
-        (~user & makes & at("v", "$.message.usage.input_tokens", "long").isNotNull(), "token_usage", "usage", {
-            "tok_cached": F.coalesce(at("v", "$.message.usage.cache_read_input_tokens", "long"), F.lit(0)), "tok_uncached": at("v", "$.message.usage.input_tokens", "long"),
-            "tok_generated": at("v", "$.message.usage.output_tokens", "long"), "tok_reasoning": F.lit(0), "tok_tool": F.lit(0), "model": at("v", "$.message.model")})])
-    sub, data = at("v", "$.subtype"), "$.data"
-    told, trigger, before = at("v", "$.content"), F.coalesce(at("v", "$.compactMetadata.trigger"), F.lit("unknown")), at("v", "$.compactMetadata.preTokens", "long")
-    hooks = F.array_join(F.filter(F.transform(at("v", "$.hookInfos", "array<variant>"), lambda h: F.try_variant_get(h, "$.command", "string")), lambda c: c.isNotNull()), ", ")
-    count = F.coalesce(at("v", "$.hookCount", "long"), F.lit(0)).cast("string")
-    made_up = F.concat(F.lit("gen-"), F.lower(F.hex(F.xxhash64("raw", at("v", "$.timestamp"), "record"))))
-    system, record = F.col("record") == "system", F.col("record")
-
-    def note(when: Column, text: Column, level: Column) -> tuple:
-        return when, "notification", "notify", {"text": text, "level": level}
-
-    debug, info = F.lit("debug"), F.lit("info")
-    cases = [
-        (system & (sub == "local_command") & told.isNotNull(), "slash_command", "slashcmd", {
-            "slash_name": F.substring_index(told, " ", 1), "slash_args": F.when(told.contains(" "), F.regexp_extract(told, r"(?s)^[^ ]* (.*)$", 1))}),
-        note(system & (sub == "turn_duration") & at("v", "$.durationMs", "long").isNotNull(), F.concat(F.lit("Turn duration: "), at("v", "$.durationMs", "long").cast("string"), F.lit("ms")), debug),
-        note(system & (sub == "compact_boundary"), F.concat(F.lit("Context compaction (trigger: "), trigger, F.coalesce(F.concat(F.lit(", pre_tokens: "), before.cast("string")), F.lit("")), F.lit(")")), info),
-        note(system & (sub == "stop_hook_summary"), F.concat(F.lit("Stop hooks executed (count: "), count, F.lit(")"), F.when(hooks != "", F.concat(F.lit(": "), hooks)).otherwise("")), info),
-        note((record == "progress") & (at("v", f"{data}.type") == "hook_progress"), F.concat(F.lit("Hook: "), F.coalesce(at("v", f"{data}.hookName"), F.lit("unknown")), F.lit(" ("), F.coalesce(at("v", f"{data}.hookEvent"), F.lit("")), F.lit(")")),
-             F.when(at("v", f"{data}.command").isNotNull(), "info").otherwise("debug")),
-        (record == "queue-operation", "queue_operation", "queue", {"queue_op": at("v", "$.operation"), "queue_content": told, "task_id": at("v", "$.taskId")}),
-        (record == "summary", "summary", "summary", {"text": at("v", "$.summary"), "leaf_uuid": at("v", "$.leafUuid")}),
-        note(record == "pr-link", F.concat(F.lit("PR #"), at("v", "$.prNumber", "long").cast("string"), F.lit(" linked: "), at("v", "$.prUrl")), info)]
-    base = F.when(record.isin("queue-operation", "pr-link"), made_up).when(record == "summary", F.coalesce(at("v", "$.leafUuid"), F.lit("summary"))).otherwise(F.col("uuid"))
-    rest = _tag(r.where(~record.isin("user", "assistant")), ["path", "raw", "ts", "stream", "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id")], cases)
-    return _finish(inner.unionByName(used).unionByName(rest), "claude_code", F.lit("unknown"))
+    usage, other = (c("record") == "assistant") & makes & c("spent").isNotNull(), c("v").isNotNull() & ~F.coalesce(talk, F.lit(False))
+
+    def item(what: str, sub_no: Column, b: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), sub_no.cast("long").alias("sub_no"), b.alias("b"))
+
+    def itself(when: Column, what: str, sub_no: int) -> Column:
+        return F.when(when, F.array(item(what, F.lit(sub_no), c("v")))).otherwise(F.transform(none, lambda x: item(what, F.lit(sub_no), x)))
+
+    items = F.concat(F.transform("blocks", lambda x, i: item("block", i, x)), itself(usage, "usage", 1 << 40), itself(other, "record", 0))
+    stream = F.when(c("side") & ~c("record").isin("queue-operation", "summary", "pr-link"), F.concat(F.lit("sidechain:"), F.coalesce("agent", F.lit("unknown")))).otherwise("main")
+    r = r.withColumn("stream", stream).withColumn("result_agent", at("v", "$.toolUseResult.agentId")).withColumn("stamp", at("v", "$.timestamp"))
+    b = r.select("path", name_of_place, "raw", "ts", "stream", "record", "uuid", "sub", "model", "spent", "result_agent", "stamp", F.explode_outer(items).alias("x")).select("*", "x.*").drop("x")
+    b = b.withColumns({"kind": at("b", "$.type"), "said": at("b", "$.text"), "told": at("b", "$.content")})
+
+    kind, text, told, what, record, sub, user = c("kind"), c("said"), c("told"), c("what"), c("record"), c("sub"), c("record") == "user"
+    name, args = X.slash_command(text)
+    result = F.when(F.schema_of_variant(at("b", "$.content", "variant")) == "STRING", told)
+    block, whole = what == "block", what == "record"
+    trigger, before = F.coalesce(at("b", "$.compactMetadata.trigger"), F.lit("unknown")), at("b", "$.compactMetadata.preTokens", "long")
+    hooks = F.array_join(F.filter(F.transform(at("b", "$.hookInfos", "array<variant>"), lambda h: F.try_variant_get(h, "$.command", "string")), lambda x: x.isNotNull()), ", ")
+    count = F.coalesce(at("b", "$.hookCount", "long"), F.lit(0)).cast("string")
+    system, lasted = whole & (record == "system"), at("b", "$.durationMs", "long")
+    # The texts of notifications, the suffixes of ids, and what stands for names that are missing.
+    note = (F.when(system & (sub == "turn_duration") & lasted.isNotNull(), F.concat(F.lit("Turn duration: "), lasted.cast("string"), F.lit("ms")))
+            .when(system & (sub == "compact_boundary"), F.concat(F.lit("Context compaction (trigger: "), trigger, F.coalesce(F.concat(F.lit(", pre_tokens: "), before.cast("string")), F.lit("")), F.lit(")")))
+            .when(system & (sub == "stop_hook_summary"), F.concat(F.lit("Stop hooks executed (count: "), count, F.lit(")"), F.when(hooks != "", F.concat(F.lit(": "), hooks)).otherwise("")))
+            .when(whole & (record == "progress") & (at("b", "$.data.type") == "hook_progress"), F.concat(F.lit("Hook: "), F.coalesce(at("b", "$.data.hookName"), F.lit("unknown")), F.lit(" ("), F.coalesce(at("b", "$.data.hookEvent"), F.lit("")), F.lit(")")))
+            .when(whole & (record == "pr-link"), F.concat(F.lit("PR #"), at("b", "$.prNumber", "long").cast("string"), F.lit(" linked: "), at("b", "$.prUrl"))))
+    loud = (record == "pr-link") | sub.isin("compact_boundary", "stop_hook_summary") | at("b", "$.data.command").isNotNull()
+    b = b.withColumns({"note": note, "name": name, "args": args})
+    name, args = c("name"), c("args")
+    tag = (F.when(block & (kind == "text") & user & name.isNotNull(), "slash_command").when(block & (kind == "text") & user, "user").when(block & (kind == "text"), "message")
+           .when(block & ~user & (kind == "thinking"), "reasoning").when(block & ~user & (kind == "tool_use"), "tool_call").when(block & (kind == "tool_result"), "tool_result")
+           .when(what == "usage", "token_usage").when(system & (sub == "local_command") & told.isNotNull(), "slash_command").when(c("note").isNotNull(), "notification")
+           .when(whole & (record == "queue-operation"), "queue_operation").when(whole & (record == "summary"), "summary"))
+    b = b.withColumn("type", tag)
+    kind = c("type")
+    call, answer, slash, spent, queue = kind == "tool_call", kind == "tool_result", kind == "slash_command", kind == "token_usage", kind == "queue_operation"
+    suffix = F.create_map(*[F.lit(x) for x in ("slash_command", "slashcmd", "tool_call", "call", "tool_result", "result", "token_usage", "usage", "notification", "notify", "queue_operation", "queue")])
+    fields = {
+        "text": F.when(kind.isin("user", "message"), text).when(kind == "reasoning", at("b", "$.thinking")).when(kind == "notification", c("note")).when(kind == "summary", at("b", "$.summary")),
+        "level": F.when(kind == "notification", F.when(loud, "info").otherwise("debug")),
+        "slash_name": F.when(slash & block, name).when(slash, F.substring_index(told, " ", 1)),
+        "slash_args": F.when(slash & block, args).when(slash & told.contains(" "), F.regexp_extract(told, r"(?s)^[^ ]* (.*)$", 1)),
+        "queue_op": F.when(queue, at("b", "$.operation")), "queue_content": F.when(queue, told), "task_id": F.when(queue, at("b", "$.taskId")),
+        "leaf_uuid": F.when(kind == "summary", at("b", "$.leafUuid")), "tool_name": F.when(call, at("b", "$.name")),
+        "provider_call_id": F.when(call, at("b", "$.id")).when(answer, at("b", "$.tool_use_id")), "arguments": F.when(call, at("b", "$.input")),
+        "output": F.when(answer, F.coalesce(result, F.lit(""))), "is_error": F.when(answer, F.coalesce(at("b", "$.is_error", "boolean"), F.lit(False))),
+        "agent_id": F.when(answer & user, F.coalesce(at("b", "$.agentId"), c("result_agent"))),
+        "tok_cached": F.when(spent, F.coalesce(at("b", "$.message.usage.cache_read_input_tokens", "long"), F.lit(0))), "tok_uncached": F.when(spent, c("spent")),
+        "tok_generated": F.when(spent, at("b", "$.message.usage.output_tokens", "long")), "tok_reasoning": F.when(spent, 0), "tok_tool": F.when(spent, 0),
+        "model": F.when(call | spent, c("model"))}
+    e = F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.coalesce(F.try_element_at(suffix, kind), kind).alias("suffix"),
+                                          *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()]))
+    made_up = F.concat(F.lit("gen-"), F.lower(F.hex(F.xxhash64("raw", "stamp", "record"))))
+    base = (F.when(block, F.concat(c("uuid"), F.lit("-content-"), c("sub_no").cast("string"))).when(record.isin("queue-operation", "pr-link"), made_up)
+            .when(record == "summary", F.coalesce(at("b", "$.leafUuid"), F.lit("summary"))).otherwise(c("uuid")))
+    rows = b.select("path", name_of_place, "raw", "ts", "stream", F.coalesce("sub_no", F.lit(0)).alias("sub_no"), base.alias("base_id"), e.alias("e"))
+    return _finish(rows, "claude_code", F.lit("unknown"))
 
 
 # --- second format: JSON lines of timestamp, type and payload ------------------------------------------------------
 
 def codex_events(lines: DataFrame) -> DataFrame:
-    r = lines.withColumn("v", F.try_parse_json("value")).where("v is not null").select(
-        "path", "line_no", "v", at("v", "$.type").alias("record"), at("v", "$.payload.type").alias("kind"), parse_ts(at("v", "$.timestamp")).alias("ts"))
-    order = W.partitionBy("path").orderBy("line_no")
-    whole, upto = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, 0)
-    meta, kind = F.col("record") == "session_meta", F.col("kind")
-    usage = F.struct(*[at("v", f"$.payload.info.last_token_usage.{n}", "long").alias(n) for n in ("input_tokens", "output_tokens", "total_tokens")])
-    told = (kind == "token_count") & at("v", "$.payload.info.last_token_usage.input_tokens", "long").isNotNull()
-    r = (r.withColumn("raw", F.last(F.when(meta, at("v", "$.payload.id")), True).over(whole))
-         .withColumn("agent", F.last(F.when(meta, at("v", "$.payload.source.subagent")), True).over(whole))
-         .withColumn("model", F.last(F.when(F.col("record") == "turn_context", at("v", "$.payload.model")), True).over(upto))
-         .withColumn("told", F.coalesce(told, F.lit(False))).withColumn("usage", F.when(F.col("told"), usage))
-         .withColumn("_was", F.lag("usage").over(W.partitionBy("path", "told").orderBy("line_no"))))
-    stream = F.when(F.col("agent").isNotNull(), F.concat(F.lit("subagent:"), "agent")).otherwise("main")
+    """Events of lines of the second format: their fields are taken out first, then rows look back in their file for session, agent, model and last usage."""
+    c, place = F.col, "line_no" if "line_no" in lines.columns else "place"
+    r = lines.withColumn("v", F.try_parse_json("value")).select(
+        "path", place, "v", at("v", "$.type").alias("record"), at("v", "$.payload.type").alias("kind"), at("v", "$.payload.role").alias("role"), parse_ts(at("v", "$.timestamp")).alias("ts"),
+        F.coalesce(at("v", "$.payload.arguments"), at("v", "$.payload.input")).alias("raw_args"), at("v", "$.payload.output").alias("output"))
 
     def joined(path: str) -> Column:
-        return F.array_join(F.filter(F.transform(at("v", path, "array<variant>"), lambda c: F.try_variant_get(c, "$.text", "string")), lambda t: t.isNotNull()), "\n")
+        return F.array_join(F.filter(F.transform(at("v", path, "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")), lambda t: t.isNotNull()), "\n")
 
-    item, role, model = F.col("record") == "response_item", at("v", "$.payload.role"), F.col("model")
+    kind, item, meta = c("kind"), c("record") == "response_item", c("record") == "session_meta"
     reasoned = F.coalesce(F.nullif(F.when(F.schema_of_variant(at("v", "$.payload.content", "variant")) == "STRING", at("v", "$.payload.content")).otherwise(joined("$.payload.content")), F.lit("")),
                           joined("$.payload.summary"), F.lit(""))
-    raw_args = F.coalesce(at("v", "$.payload.arguments"), at("v", "$.payload.input"))
-    args = F.when(F.try_parse_json(raw_args).isNotNull(), raw_args).otherwise(F.to_json(F.struct(raw_args.alias("raw"))))
-    output = at("v", "$.payload.output", "string")
-    failed = F.coalesce(X.exit_code(output) != 0, F.lit(False))
+    args = F.when(F.try_parse_json("raw_args").isNotNull(), c("raw_args")).otherwise(F.to_json(F.struct(c("raw_args").alias("raw"))))
+    failed = F.coalesce(X.exit_code(c("output")) != 0, F.lit(False))
     tokens = "$.payload.info.last_token_usage"
-    fresh = F.greatest(F.lit(0), at("v", f"{tokens}.input_tokens", "long") - F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0)))
+    spent, cached = at("v", f"{tokens}.input_tokens", "long"), F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0))
     cases = [
-        (item & (kind == "message") & (role == "user"), "user", "user", {"text": joined("$.payload.content")}),
-        (item & (kind == "message"), "message", "message", {"text": joined("$.payload.content")}),
-        (item & (kind == "reasoning"), "reasoning", "reasoning", {"text": reasoned}),
-        (item & kind.isin("function_call", "custom_tool_call"), "tool_call", "call", {"tool_name": at("v", "$.payload.name"), "provider_call_id": at("v", "$.payload.call_id"), "arguments": args}),
-        (item & kind.isin("function_call_output", "custom_tool_call_output"), "tool_result", "result", {"provider_call_id": at("v", "$.payload.call_id"), "output": output, "is_error": failed}),
-        (F.col("told") & ~F.col("usage").eqNullSafe(F.col("_was")), "token_usage", "usage", {
-            "tok_cached": F.coalesce(at("v", f"{tokens}.cached_input_tokens", "long"), F.lit(0)), "tok_uncached": fresh, "tok_generated": at("v", f"{tokens}.output_tokens", "long"),
-            "tok_reasoning": F.coalesce(at("v", f"{tokens}.reasoning_output_tokens", "long"), F.lit(0)), "tok_tool": F.lit(0)})]
-    cases = [(*c[:3], c[3] | {"model": model}) for c in cases]
-    base = F.concat(F.coalesce("raw", F.lit("unknown-session")), F.lit(":row_"), F.col("line_no").cast("string"))
-    rows = _tag(r, ["path", "raw", "ts", stream.alias("stream"), "line_no", F.lit(0).cast("long").alias("sub_no"), base.alias("base_id")], cases)
+        (item & (kind == "message") & (c("role") == "user"), _event("user", "user", text=joined("$.payload.content"))),
+        (item & (kind == "message"), _event("message", "message", text=joined("$.payload.content"))),
+        (item & (kind == "reasoning"), _event("reasoning", "reasoning", text=reasoned)),
+        (item & kind.isin("function_call", "custom_tool_call"), _event("tool_call", "call", tool_name=at("v", "$.payload.name"), provider_call_id=at("v", "$.payload.call_id"), arguments=args)),
+        (item & kind.isin("function_call_output", "custom_tool_call_output"), _event("tool_result", "result", provider_call_id=at("v", "$.payload.call_id"), output=c("output"), is_error=failed)),
+        ((kind == "token_count") & spent.isNotNull(), _event("token_usage", "usage", tok_cached=cached, tok_uncached=F.greatest(F.lit(0), spent - cached), tok_generated=at("v", f"{tokens}.output_tokens", "long"),
+                                                             tok_reasoning=F.coalesce(at("v", f"{tokens}.reasoning_output_tokens", "long"), F.lit(0)), tok_tool=F.lit(0),
+                                                             context_limit=F.coalesce(at("v", "$.payload.info.model_context_window", "long"), at("v", "$.info.model_context_window", "long"))))]
+    usage = F.when((kind == "token_count") & spent.isNotNull(), F.struct(spent.alias("i"), at("v", f"{tokens}.output_tokens", "long").alias("o"), at("v", f"{tokens}.total_tokens", "long").alias("t")))
+    r = r.select("path", place, "ts", _first_of(cases).alias("e"), usage.alias("usage"), F.when(meta, at("v", "$.payload.id")).alias("_id"), F.when(meta, at("v", "$.payload.source.subagent")).alias("_agent"),
+                 F.when(c("record") == "turn_context", at("v", "$.payload.model")).alias("_model"))
+    order = W.partitionBy("path").orderBy(place)
+    whole, upto, before = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    r = r.withColumns({"raw": F.last("_id", True).over(whole), "_agent": F.last("_agent", True).over(whole), "_model": F.last("_model", True).over(upto),
+                       "_was": F.last("usage", True).over(before), "_row": (F.row_number().over(order) - 1)})
+    again = c("usage").isNotNull() & c("usage").eqNullSafe(c("_was"))
+    base = F.concat(F.coalesce("raw", F.lit("unknown-session")), F.lit(":row_"), (c("line_no") if place == "line_no" else c("_row")).cast("string"))
+    stream = F.when(c("_agent").isNotNull(), F.concat(F.lit("subagent:"), "_agent")).otherwise("main")
+    rows = r.select("path", place, "raw", "ts", stream.alias("stream"), F.lit(0).cast("long").alias("sub_no"), base.alias("base_id"),
+                    F.when(~again, c("e").withField("model", F.coalesce("e.model", "_model"))).alias("e"))
     return _finish(rows, "codex", F.lit("unknown-session"))
 
 
@@ -238,7 +273,7 @@ def gemini_events(documents: DataFrame) -> DataFrame:
     info = F.array(part(_event("notification", "notify", text=at("m", "$.content"), level=F.lit("info")), identity))
     parts = F.when((kind == "user") & identity.try_cast("int").isNull(), asked).when(kind == "info", info).when(kind == "gemini", answer)
     rows = d.withColumn("p", parts).select("path", "raw", when.alias("time"), F.col("line_no").cast("long").alias("line_no"), F.posexplode("p").alias("sub_no", "x"))
-    rows = rows.select("path", "raw", parse_ts(F.col("time")).alias("ts"), F.lit("main").alias("stream"), "line_no", F.col("sub_no").cast("long").alias("sub_no"), "x.base_id", "x.e")
+    rows = rows.select("path", "raw", parse_ts(F.col("time")).alias("ts"), F.lit("main").alias("stream"), "line_no", F.col("sub_no").cast("long").alias("sub_no"), "x.base_id", "x.e")  # one path a document
     return _finish(rows, "gemini", F.lit("unknown-session"))
 
 
