@@ -95,8 +95,45 @@ def shell_intent(command: Column) -> Column:
             .when(word.isin(*READERS) | (word == "rg") | ((word == "sed") & ~_edits_in_place(c)) | ((word == "awk") & ~c.contains(">")), "read"))
 
 
+#: An argument of a search: behind options, in double or single quotes, or one bare word.
+_ARGUMENT = r"^\S+\s+(?:-[^ ]* +)*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'-]\S*))"
+
+
+def search_pattern_of(command: Column) -> Column:
+    """What a search command looks for: its first argument that isn't an option, without quotes; null for other commands and open quotes."""
+    c = unwrap_shell(command)
+    parts = [F.regexp_extract(c, _ARGUMENT, k) for k in (1, 2, 3)]
+    return F.when(first_word(c).isin(*SEARCHERS) & c.rlike(_ARGUMENT), F.concat(*parts))
+
+
+def file_path_of(command: Column) -> Column:
+    """The file that a reading command names: its last word that isn't an option (with sed, nor a range), the third word of a search; else null."""
+    c = unwrap_shell(command)
+    words, name = F.split(F.trim(c), r"\s+"), first_word(c)
+    plain = F.filter(words, lambda w: ~w.startswith("-"))
+    edited = F.filter(plain, lambda w: ~w.contains(",") & (w != "sed"))
+    # The commands whose last argument is a file.
+    return (F.when(name.isin("cat", "head", "tail", "less", "more", "wc", "file"), F.try_element_at(plain, F.lit(-1)))
+            .when(name == "sed", F.try_element_at(edited, F.lit(-1))).when(name.isin(*SEARCHERS), F.get(words, F.lit(2))))
+
+
+# The arguments that tell what a call of each kind is about.
+SUMMARY_KEYS = {"execute": ("command", "cmd"), "read": ("file_path", "path", "uri"), "write": ("file_path", "path", "uri"), "search": ("pattern", "query", "input"),
+                "plan": ("description", "explanation"), "ask": ("prompt", "question")}
+
+
+def tool_summary(kind: Column, arguments: Column, n: int = 80) -> Column:
+    """The first argument that tells what a call is about, cut at ``n`` characters; ``(args...)`` if there is none."""
+    v, out = F.try_parse_json(arguments), F.lit(None).cast("string")
+    for k, keys in SUMMARY_KEYS.items():
+        said = [x for key in keys for x in (F.array_join(F.try_variant_get(v, f"$.{key}", "array<string>"), " "), F.try_variant_get(v, f"$.{key}", "string"))]
+        out = F.when(kind == k, F.coalesce(*said)).otherwise(out)
+    return F.coalesce(F.when(F.octet_length(out) > n, F.concat(F.substring(out, 1, n - 3), F.lit("..."))).otherwise(out), F.lit("(args...)"))
+
+
 def model_limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODEL_LIMITS, "prefix string, max_tokens long, buffer_pct double")
+    rows = [F.struct(F.lit(p).alias("prefix"), F.lit(n).cast("long").alias("max_tokens"), F.lit(b).cast("double").alias("buffer_pct")) for p, n, b in MODEL_LIMITS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def join_model_limit(models: DataFrame, model: str = "model") -> DataFrame:
@@ -112,4 +149,6 @@ def join_model_limit(models: DataFrame, model: str = "model") -> DataFrame:
 
 
 def effective_limit(limit: Column, buffer_pct: Column) -> Column:
+    """What a limit leaves when ``buffer_pct`` percent are kept free, 1 at least; a share that isn't 0 to 100 is an error."""
+    buffer_pct = F.when(buffer_pct.isNull() | buffer_pct.between(0, 100), buffer_pct).otherwise(F.raise_error(F.lit("a buffer must be 0 to 100 percent")).cast("double"))
     return F.when(limit.isNotNull(), F.greatest(F.lit(1), F.floor(limit * (100 - buffer_pct) / 100))).cast("long")

@@ -155,8 +155,8 @@ def corpus_stats(a: Assembled, newest: int = 100) -> DataFrame:
                    F.coalesce(F.sum("tool_failures_total"), F.lit(0)).alias("total_failures"), F.coalesce(F.max("max_e2e_ms"), F.lit(0)).alias("max_e2e_ms"))
 
 
-def levels(usage: DataFrame, ratio: str = "ratio") -> Column:
-    return F.when(F.col(ratio) > 0.9, "error").when(F.col(ratio) > 0.8, "warning").otherwise("success")
+def level_of(ratio: Column) -> Column:
+    return F.when(ratio > 0.9, "error").when(ratio > 0.8, "warning").otherwise("success")
 
 
 def context_usage(a: Assembled) -> DataFrame:
@@ -168,7 +168,18 @@ def context_usage(a: Assembled) -> DataFrame:
     j = j.withColumn("effective", limit).withColumn("ratio", ratio)
     return j.select(*KEYS, "model", "used", "max_tokens", "effective", "ratio",
                     F.when(F.col("effective").isNotNull(), F.greatest(F.lit(0), F.col("effective") - F.col("used"))).alias("remaining"),
-                    levels(j).alias("level"), (F.col("used") * 100.0 / F.col("max_tokens")).alias("used_pct"), between_ms(F.col("start_time"), F.col("end_time")).alias("elapsed_ms"))
+                    level_of(F.col("ratio")).alias("level"), (F.col("used") * 100.0 / F.col("max_tokens")).alias("used_pct"), between_ms(F.col("start_time"), F.col("end_time")).alias("elapsed_ms"))
+
+
+def dashboard(a: Assembled) -> DataFrame:
+    """Elapsed time, tokens and limit of each main session: the limit that its logs tell (``context_limit``), else what its model's leaves; with ratio and level."""
+    u, c = context_usage(a), F.col
+    if "context_limit" in a.events.columns:
+        told = a.events.groupBy(*KEYS).agg(F.max_by("context_limit", F.when(c("context_limit").isNotNull(), c("seq"))).alias("_told"))
+        u = u.join(told, KEYS, "left").withColumn("effective", F.coalesce("_told", "effective"))
+    ratio = F.when(c("effective") > 0, c("used") / c("effective").cast("double"))
+    return u.withColumn("ratio", ratio).select("session_id", "elapsed_ms", "used", c("effective").alias("limit"), "ratio", F.coalesce(ratio >= 1, F.lit(False)).alias("exceeded"),
+                                               level_of(F.coalesce("ratio", F.lit(0.0))).alias("level"))
 
 
 def usage_percent(a: Assembled) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .assemble import KEYS, Assembled
+from .analyze import turn_metrics
+from .assemble import KEYS, Assembled, between_ms
 
 # Names under which event types can be asked for.
 ALIASES = {"user": ["user"], "assistant": ["message"], "message": ["message"], "tool": ["tool_call", "tool_result"], "reasoning": ["reasoning"],
@@ -33,6 +34,48 @@ def filter_event_types(events: DataFrame, only: list[str] | None = None, hide: l
     return events.where(~F.col("type").isin(_types(hide))) if hide else events
 
 
+def filter_event_type(events: DataFrame, kind: str) -> DataFrame:
+    """Events of exactly one type; its name in any case."""
+    return events.where(F.col("type") == kind.lower())
+
+
+def filter_display(events: DataFrame) -> DataFrame:
+    """What a viewer shows at first: the main stream."""
+    return events.where(F.col("stream") == "main")
+
+
+def filter_tool_name(events: DataFrame, name: str, ignore_case: bool = True) -> DataFrame:
+    """Calls of a tool."""
+    tool = F.lower("tool_name") == name.lower() if ignore_case else F.col("tool_name") == name
+    return events.where((F.col("type") == "tool_call") & tool)
+
+
+def count_by_type(events: DataFrame) -> DataFrame:
+    return events.groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_tools(events: DataFrame, k: int = 5) -> DataFrame:
+    """The k tools that are called most."""
+    return events.where("type = 'tool_call'").groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls")).orderBy(F.desc("calls"), "tool_name").limit(k)
+
+
+def most_recent_session(events: DataFrame) -> DataFrame:
+    """Each provider's session with the newest event."""
+    return events.groupBy("provider").agg(F.max_by("session_id", F.struct("ts", "session_id")).alias("session_id"))
+
+
+def split_streams(a: Assembled) -> DataFrame:
+    """The streams of each session, with their place: main first, then by start."""
+    place = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("stream") != "main", "start_time", "stream"))
+    return a.sessions.select(*KEYS, place.cast("long").alias("place"))
+
+
+def join_call_sample(events: DataFrame) -> DataFrame:
+    """Each call with the last result that its session has for it."""
+    last = events.where("type = 'tool_result'").groupBy("session_id", F.col("tool_call_id").alias("event_id")).agg(F.max_by("output", "seq").alias("sample"))
+    return events.where("type = 'tool_call'").select("session_id", "event_id").join(last, ["session_id", "event_id"], "left")
+
+
 def matches(pattern: str, regex: bool = False, ignore_case: bool = False) -> Column:
     """A predicate on payload_json: a regular expression, a glob if it has ``*`` or ``?``, else a substring."""
     text = F.col("payload_json")
@@ -91,9 +134,14 @@ def page_of(rows: DataFrame, order: list, size: int = PAGE, page: str | None = N
     return got.withColumn("_n", n).withColumn("next_cursor", F.when(more, F.lit(cursor(start + size)))).where(F.col("_n") <= size).drop("_n")
 
 
-def search_events(a: Assembled, text: str, provider: str | None = None, types: list[str] | None = None, size: int = PAGE, page: str | None = None) -> DataFrame:
-    """A page of events whose payload holds a text, with their places and previews."""
+def search_events(a: Assembled, text: str, provider: str | None = None, types: list[str] | None = None, size: int = PAGE, page: str | None = None,
+                  session: str | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """A page of events whose payload holds a text, with their places and previews; of one session, or of those in ``sessions`` (a project's, say)."""
     found = event_location(a).where(F.col("payload_json").contains(text))
+    if session:
+        found = found.where(F.col("session_id") == session)
+    if sessions is not None:
+        found = found.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
     if provider:
         found = found.where(F.col("provider") == provider)
     if types:
@@ -148,6 +196,77 @@ def as_text(events: DataFrame, *keep: str) -> DataFrame:
     return events.select(*keep, F.concat_ws("\n", head, body, F.lit("")).alias("value"))
 
 
+def export_raw(events: DataFrame) -> DataFrame:
+    """All events as they are."""
+    return events
+
+
+EXPORTS = {"raw": export_raw, "clean": export_clean, "reasoning": export_reasoning}
+
+
+def as_jsonl(events: DataFrame, *keep: str) -> DataFrame:
+    """A ``value`` column with each event as one line of JSON, and the columns to keep."""
+    return events.select(*keep, F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def export_session(events: DataFrame, folder: str, strategy: str = "raw", form: str = "jsonl") -> None:
+    """Write the events of each session that a strategy keeps into a folder of its own, as JSON lines or as text, in order.
+
+    A session's events are one sorted run of rows; many sessions are written side by side."""
+    kept = EXPORTS[strategy](events)
+    lines = (as_jsonl if form == "jsonl" else as_text)(kept, "session_id", "seq")
+    lines.repartition("session_id").sortWithinPartitions("session_id", "seq").select("session_id", "value").write.partitionBy("session_id").text(folder)
+
+
+def event_view(events: DataFrame) -> DataFrame:
+    """Events flattened for display: what each says, with its details beside it."""
+    c, kind = F.col, F.col("type")
+    usage, cached = kind == "token_usage", F.when(kind == "token_usage", F.col("tok_cached"))
+    total_in, total_out = c("tok_cached") + c("tok_uncached"), c("tok_generated") + c("tok_reasoning") + c("tok_tool")
+    return events.select(
+        "event_id", "session_id", "ts", "stream", "type", F.coalesce(F.when(kind == "tool_result", c("output")), F.when(kind == "slash_command", c("slash_name")), F.when(kind == "tool_call", c("tool_name")), c("text")).alias("said"),
+        F.when(kind == "tool_result", c("is_error")).alias("is_error"), F.when(usage, total_in).alias("input"), F.when(usage, total_out).alias("output"),
+        F.when(usage, total_in + total_out).alias("total"), cached.alias("cache_read"))
+
+
+def children_by_turn(a: Assembled) -> DataFrame:
+    """The child streams that each turn of a main stream spawned, joined by commas."""
+    kids = join_sidechain_spawn(a).select("session_id", F.col("stream").alias("child"), F.col("spawned_turn").alias("turn_index"))
+    return a.turns.where("stream = 'main'").select("session_id", "turn_index").join(kids, ["session_id", "turn_index"], "left").groupBy("session_id", "turn_index").agg(
+        F.array_join(F.array_sort(F.collect_list("child")), ",").alias("children"))
+
+
+def streams_by_spawn(a: Assembled) -> DataFrame:
+    """The child streams of each session, with their place by the turn and step that spawned them."""
+    order = W.partitionBy("session_id").orderBy(F.asc_nulls_last("spawned_turn"), F.asc_nulls_last("spawned_step"), "stream")
+    return join_sidechain_spawn(a).select(*KEYS, F.row_number().over(order).cast("long").alias("place"))
+
+
+def session_view(a: Assembled, max_context: int = 200_000, session: str | None = None) -> DataFrame:
+    """The full report of sessions, a row a step: stream (main first), header, turn with its totals and children, and the step's reasoning, tools and message.
+
+    A stream lasts from its first turn to its last step; runs of three or more equal
+    tools in a step are told once, with their number."""
+    c = F.col
+    if session is not None:
+        a = type(a)(**{name: frame.where(c("session_id") == session) for name, frame in vars(a).items()})
+    stream = W.partitionBy(*KEYS)
+    steps = a.steps.withColumns({"session_ms": between_ms(F.min("turn_ts").over(stream), F.max("step_ts").over(stream)), "context_pct": c("tokens") * 100.0 / max_context})
+    places = W.partitionBy("session_id").orderBy(c("stream") != "main", "stream")
+    order = W.partitionBy(*KEYS, "turn_index", "step_index").orderBy("call_index")
+    new = (~F.coalesce(F.lag("tool_name").over(order) == c("tool_name"), F.lit(False))).cast("int")
+    runs = a.tools.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*KEYS, "turn_index", "step_index", "_run", "tool_name").agg(F.count(F.lit(1)).alias("n"))
+    told = F.when(c("n") >= 3, F.concat("tool_name", F.lit(" x"), c("n").cast("string"))).otherwise(F.array_join(F.array_repeat("tool_name", c("n").cast("int")), ", "))
+    tools = runs.groupBy(*KEYS, "turn_index", "step_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", told.alias("t")))), lambda x: x["t"]), ", ").alias("tools"))
+    turns = turn_metrics(a).select(*KEYS, "turn_index", "delta", "cumulative_total", "is_active")
+    asked = a.turns.select(*KEYS, "turn_index", X.truncate_marked(c("user_text"), 100).alias("user_text"))
+    kids = children_by_turn(a).withColumn("stream", F.lit("main"))
+    return (steps.join(turns, [*KEYS, "turn_index"]).join(asked, [*KEYS, "turn_index"]).join(kids, [*KEYS, "turn_index"], "left").join(tools, [*KEYS, "turn_index", "step_index"], "left")
+            .withColumn("stream_place", F.dense_rank().over(places)).select(
+                *KEYS, "stream_place", "session_ms", "turn_index", "user_text", "delta", "cumulative_total", "is_active", F.coalesce("children", F.lit("")).alias("children"),
+                "step_index", "status", "reasoning", F.coalesce("tools", F.lit("")).alias("tools"), "message", "tokens", c("context_pct").cast("double").alias("context_pct")))
+
+
 def order_sessions(sessions: DataFrame, newest: bool = True) -> list:
     return [F.desc("start_time"), F.asc("session_id")] if newest else [F.asc("start_time"), F.asc("session_id")]
 

@@ -12,32 +12,11 @@ from ..operators import analyze as A
 from ..operators import query as Q
 from ..operators import select as S
 from ..operators.assemble import KEYS, Assembled, assemble
-from ..sources import catalog, ingest, render
-from ..sources.bridge import bridged, conversation_events
 from ..streaming import live
+from . import index_queries, log_queries  # noqa: F401  (they register their queries)
 from . import oracle as O
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, on: str = "tables"):
-    """Registers a function of the assembled tables (``on`` tables) or of the events (``on`` events)."""
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            events = bridged(spark, sf_dir)
-            return f(assemble(events) if on == "tables" else events)
-        run.__name__ = f.__name__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-    return add
-
-
-def ms(c: str):
-    return F.floor(F.unix_micros(c) / 1000).cast("long")
-
+from .bridge import conversation_events
+from .registry import ORACLE, QUERIES, ms, on_documents, query
 
 # --- assembly -------------------------------------------------------------------------------------------------
 
@@ -101,8 +80,7 @@ def session_stats(a: Assembled):
 
 @query(O.on_tables("SELECT session_id, stream, row_number() OVER (PARTITION BY session_id ORDER BY stream <> 'main', start_time, stream) AS place FROM sessions"))
 def split_streams(a: Assembled):
-    place = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("stream") != "main", "start_time", "stream"))
-    return a.sessions.select(*KEYS, place.cast("long").alias("place"))
+    return Q.split_streams(a)
 
 
 @query(O.on_tables("SELECT session_id, total_turns, total_tokens FROM sessions WHERE stream = 'main'"))
@@ -149,6 +127,13 @@ def group_consecutive_tools(a: Assembled):
     return A.group_consecutive_tools(a, least=2)
 
 
+@query(O.on_tables("""SELECT session_id, stream, turn_index, step_index, run::BIGINT AS run, tool_name, count(*) AS calls, bool_or(is_error) AS has_errors, arg_min(call_id, call_index) AS sample_call FROM
+ (SELECT *, sum(CASE WHEN prev = tool_name THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, stream, turn_index, step_index ORDER BY call_index) AS run FROM
+  (SELECT *, lag(tool_name) OVER (PARTITION BY session_id, stream, turn_index, step_index ORDER BY call_index) AS prev FROM tools)) GROUP BY ALL HAVING count(*) >= 3"""))
+def group_three_consecutive_tools(a: Assembled):
+    return A.group_consecutive_tools(a)
+
+
 @query(O.on_tables("SELECT session_id, stream, turn_index, sum(fresh_input)::BIGINT AS input_tokens, sum(output)::BIGINT AS output_tokens, nullif(sum(cache_read), 0)::BIGINT AS cached_tokens, (sum(tokens) * 100.0::DOUBLE / 200000) AS context_pct FROM steps GROUP BY ALL"))
 def turn_token_breakdown(a: Assembled):
     b = A.turn_token_breakdown(a)
@@ -302,12 +287,12 @@ cr AS (SELECT *, coalesce(used / effective::DOUBLE, 0.0::DOUBLE) AS ratio FROM c
 @query(O.on_tables("""SELECT session_id, stream, model, used, max_tokens, effective, ratio, CASE WHEN effective IS NULL THEN NULL ELSE greatest(0, effective - used) END AS remaining,
   CASE WHEN ratio > 0.9 THEN 'error' WHEN ratio > 0.8 THEN 'warning' ELSE 'success' END AS level, used * 100.0::DOUBLE / max_tokens AS used_pct FROM cr""", TM, LIMITS, MODEL, USAGE))
 def context_ratio(a: Assembled):
-    return A.context_usage(a).withColumn("used_pct", F.col("used") * F.lit(100.0).cast("double") / F.col("max_tokens"))
+    return A.context_usage(a).drop("elapsed_ms").withColumn("used_pct", F.col("used") * F.lit(100.0).cast("double") / F.col("max_tokens"))
 
 
 @query(O.on_events("SELECT session_id, type, count(*) AS n FROM ev GROUP BY ALL"), on="events")
 def count_by_event_type(e: DataFrame):
-    return e.groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return Q.count_by_type(e)
 
 
 # --- filters, search, pages -------------------------------------------------------------------------------------
@@ -319,12 +304,12 @@ def filter_event_types(e: DataFrame):
 
 @query(O.on_events("SELECT event_id, session_id FROM ev WHERE stream = 'main'"), on="events")
 def filter_display(e: DataFrame):
-    return e.where("stream = 'main'").select("event_id", "session_id")
+    return Q.filter_display(e).select("event_id", "session_id")
 
 
 @query(O.on_events("SELECT event_id, tool_name FROM ev WHERE type = 'tool_call' AND lower(tool_name) = 'bash'"), on="events")
 def filter_tool_name(e: DataFrame):
-    return e.where((F.col("type") == "tool_call") & (F.lower("tool_name") == "bash")).select("event_id", "tool_name")
+    return Q.filter_tool_name(e, "bash").select("event_id", "tool_name")
 
 
 @query(O.on_events(r"SELECT event_id, session_id, type FROM ev WHERE regexp_matches(payload_json, '(ask [0-9]*7|cargo (build|test))') ORDER BY session_id, seq LIMIT 10"), on="events")
@@ -364,15 +349,60 @@ def list_turns(a: Assembled):
     return Q.list_turns(a)
 
 
-@query(O.on_tables("SELECT session_id, turn_index, step_index, reasoning, message, status, tool_count, tokens FROM steps WHERE stream = 'main' AND turn_index IN (0, 2) AND step_index < 30"))
-def get_turns(a: Assembled):
-    return Q.get_turns(a, [0, 2])
+def long_texts(e: DataFrame) -> DataFrame:
+    """Events whose messages and results are repeated, so that some outgrow every bound."""
+    times = (F.col("seq") % 700).cast("int")
+    return e.withColumns({"text": F.when(F.col("type") == "message", F.repeat("text", times)).otherwise(F.col("text")), "output": F.repeat("output", times)})
+
 
+LONG = """SELECT * REPLACE (CASE WHEN type = 'message' THEN repeat(text, seq % 700) ELSE text END AS text, repeat(output, seq % 700) AS output) FROM"""
+_LONG_EV = O.EV.replace("ev AS (", "ev0 AS (", 1) + f", ev AS ({LONG} ev0)"
 
-@query(O.on_events("""SELECT event_id, type FROM (SELECT *, coalesce(last_value(CASE WHEN type = 'tool_result' THEN is_error END IGNORE NULLS) OVER (PARTITION BY session_id, stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS skip FROM ev)
-  WHERE NOT skip AND NOT (type = 'message' AND regexp_matches(lower(text), 'i apologize|my mistake|sorry'))"""), on="events")
+
+@query("WITH " + ",".join([_LONG_EV, O.ROWS, O.TABLES]) + """
+SELECT session_id, turn_index, step_index, reasoning, CASE WHEN length(message) > 3000 THEN left(message, 3000) || '...(truncated)' ELSE message END AS message, status, tool_count, tokens
+FROM steps WHERE stream = 'main' AND turn_index IN (0, 2) AND step_index < 30""", on="events")
+def get_turns(e: DataFrame):
+    return Q.get_turns(assemble(long_texts(e)), [0, 2])
+
+
+def _cut(c: str) -> str:
+    return f"CASE WHEN octet_length(encode({c})) > 5000 THEN left({c}, 1000) || '...<truncated_output_for_training>' ELSE {c} END AS {c}"
+
+
+@query("WITH " + _LONG_EV + f"""
+SELECT event_id, type, {_cut('text')}, {_cut('output')} FROM (SELECT *, coalesce(last_value(CASE WHEN type = 'tool_result' THEN is_error END IGNORE NULLS) OVER (PARTITION BY session_id, stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS skip FROM ev)
+  WHERE NOT skip AND NOT (type = 'message' AND regexp_matches(lower(text), 'i apologize|my mistake|sorry'))""", on="events")
 def export_clean(e: DataFrame):
-    return Q.export_clean(e).select("event_id", "type")
+    return Q.export_clean(long_texts(e)).select("event_id", "type", "text", "output")
+
+
+@query(O.on_events("SELECT event_id, session_id, seq, type, payload_json FROM ev"), on="events")
+def export_raw(e: DataFrame):
+    return Q.export_raw(e).select("event_id", "session_id", "seq", "type", "payload_json")
+
+
+@query(O.on_events("""SELECT event_id, session_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, stream, type, CASE type WHEN 'tool_result' THEN ev.output WHEN 'slash_command' THEN slash_name WHEN 'tool_call' THEN tool_name ELSE text END AS said, is_error,
+  tok_cached + tok_uncached AS input, tok_generated AS output, tok_cached + tok_uncached + tok_generated AS total, tok_cached AS cache_read FROM ev"""), on="events")
+def event_view(e: DataFrame):
+    return Q.event_view(e).withColumn("ms", ms("ts")).drop("ts")
+
+
+_KIDS = """kids AS (SELECT t.session_id, t.turn_index, coalesce(string_agg(c.stream, ',' ORDER BY c.stream), '') AS children FROM turns t LEFT JOIN
+  (SELECT s.session_id, s.stream, m.t FROM sessions s JOIN (SELECT session_id, agent_id, arg_max(turn_index, seq) AS t FROM r WHERE stream = 'main' AND type = 'tool_result' AND agent_id IS NOT NULL GROUP BY ALL) m
+   ON m.session_id = s.session_id AND s.stream = 'sidechain:' || m.agent_id) c ON c.session_id = t.session_id AND c.t = t.turn_index WHERE t.stream = 'main' GROUP BY ALL),
+rn AS (SELECT session_id, stream, turn_index, step_index, run, tool_name, count(*) AS n FROM (SELECT *, sum(CASE WHEN prev = tool_name THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, stream, turn_index, step_index ORDER BY call_index) AS run FROM
+  (SELECT *, lag(tool_name) OVER (PARTITION BY session_id, stream, turn_index, step_index ORDER BY call_index) AS prev FROM tools)) GROUP BY ALL),
+tl AS (SELECT session_id, stream, turn_index, step_index, string_agg(CASE WHEN n >= 3 THEN tool_name || ' x' || n WHEN n = 2 THEN tool_name || ', ' || tool_name ELSE tool_name END, ', ' ORDER BY run) AS tools FROM rn GROUP BY ALL)"""
+
+
+@query(O.on_tables("""SELECT s.session_id, s.stream, CAST(dense_rank() OVER (PARTITION BY s.session_id ORDER BY s.stream <> 'main', s.stream) AS INT) AS stream_place,
+  CAST(floor((epoch_us(max(step_ts) OVER w) - epoch_us(min(s.turn_ts) OVER w)) / 1000) AS BIGINT) AS session_ms, s.turn_index, user_text, delta, cumulative_total, is_active, coalesce(children, '') AS children, s.step_index, status, reasoning,
+  coalesce(tl.tools, '') AS tools, message, tokens, tokens * 100.0::DOUBLE / 200000 AS context_pct
+  FROM steps s JOIN turns t USING (session_id, stream, turn_index) JOIN tm USING (session_id, stream, turn_index) LEFT JOIN kids ON kids.session_id = s.session_id AND s.stream = 'main' AND kids.turn_index = s.turn_index
+  LEFT JOIN tl ON tl.session_id = s.session_id AND tl.stream = s.stream AND tl.turn_index = s.turn_index AND tl.step_index = s.step_index WINDOW w AS (PARTITION BY s.session_id, s.stream)""", TM, _KIDS))
+def session_view(a: Assembled):
+    return Q.session_view(a)
 
 
 @query(O.on_events("SELECT event_id, type FROM (SELECT *, lag(type) OVER (PARTITION BY session_id, stream ORDER BY seq) AS b FROM ev) WHERE type = 'reasoning' OR (type = 'tool_call' AND b = 'reasoning')"), on="events")
@@ -403,12 +433,12 @@ def recent_events(e: DataFrame):
 
 @query(O.on_events("SELECT tool_name, count(*) AS calls FROM ev WHERE type = 'tool_call' GROUP BY tool_name ORDER BY calls DESC, tool_name LIMIT 5"), on="events")
 def top_k(e: DataFrame):
-    return e.where("type = 'tool_call'").groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls")).orderBy(F.desc("calls"), "tool_name").limit(5)
+    return Q.top_tools(e)
 
 
 @query(O.on_events("SELECT provider, arg_max(session_id, {'t': ts, 's': session_id}) AS session_id FROM ev GROUP BY provider"), on="events")
 def most_recent_session(e: DataFrame):
-    return e.groupBy("provider").agg(F.max_by("session_id", F.struct("ts", "session_id")).alias("session_id"))
+    return Q.most_recent_session(e)
 
 
 @query(O.on_tables("""SELECT s.session_id, s.stream, m.t AS spawned_turn, m.p AS spawned_step FROM sessions s LEFT JOIN
@@ -422,9 +452,7 @@ def join_sidechain_spawn(a: Assembled):
   (SELECT s.session_id, s.stream, m.t FROM sessions s JOIN (SELECT session_id, agent_id, arg_max(turn_index, seq) AS t FROM r WHERE stream = 'main' AND type = 'tool_result' AND agent_id IS NOT NULL GROUP BY ALL) m
    ON m.session_id = s.session_id AND s.stream = 'sidechain:' || m.agent_id) c ON c.session_id = t.session_id AND c.t = t.turn_index WHERE t.stream = 'main' GROUP BY ALL"""))
 def children_by_turn(a: Assembled):
-    kids = Q.join_sidechain_spawn(a).select("session_id", F.col("stream").alias("child"), F.col("spawned_turn").alias("turn_index"))
-    return a.turns.where("stream = 'main'").select("session_id", "turn_index").join(kids, ["session_id", "turn_index"], "left").groupBy("session_id", "turn_index").agg(
-        F.array_join(F.array_sort(F.collect_list("child")), ",").alias("children"))
+    return Q.children_by_turn(a)
 
 
 @query(O.on_events("""SELECT c.event_id AS child_id, c.ms AS start_ms, arg_min(p.session_id, {'d': abs(c.ms - p.ms), 'p': p.session_id, 's': p.ms}) AS parent_id, arg_min(p.ms, {'d': abs(c.ms - p.ms), 'p': p.session_id, 's': p.ms}) AS spawn_ms
@@ -436,13 +464,6 @@ def join_spawn_interval(e: DataFrame):
     return Q.near_spawn(kids, spawns, 30_000)
 
 
-@query(O.on_events("SELECT 's:' || provider AS project, provider, count(DISTINCT session_id) AS sessions FROM ev GROUP BY provider"), on="events")
-def list_projects(e: DataFrame):
-    projects = e.select("provider").distinct().withColumn("project", F.concat(F.lit("s:"), "provider"))
-    valid = e.groupBy("provider").agg(F.count_distinct("session_id").alias("sessions"))
-    return projects.join(valid, "provider", "left").select("project", "provider", F.coalesce("sessions", F.lit(0)).alias("sessions"))
-
-
 # --- selection --------------------------------------------------------------------------------------------------
 
 POOL = """pool AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY start_time DESC, session_id) + 1 AS boost FROM
@@ -490,35 +511,27 @@ def pack(a: Assembled):
 
 # --- scalar functions over the tables' texts ----------------------------------------------------------------------
 
-def _docs(name: str, sql: str):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-        ORACLE[name] = sql
-        return f
-    return add
-
-
-@_docs("truncate_marked", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...(truncated)' ELSE text END AS t FROM documents")
+@on_documents("truncate_marked", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...(truncated)' ELSE text END AS t FROM documents")
 def _truncate_marked(d):
     return d.select("doc_id", X.truncate_marked(F.col("text"), 100).alias("t"))
 
 
-@_docs("truncate_snippet", "SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS t FROM documents")
+@on_documents("truncate_snippet", "SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS t FROM documents")
 def _truncate_snippet(d):
     return d.select("doc_id", X.truncate_snippet(F.col("text"), 50).alias("t"))
 
 
-@_docs("truncate_ellipsis", "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '...' END AS t FROM documents")
+@on_documents("truncate_ellipsis", "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '...' END AS t FROM documents")
 def _truncate_ellipsis(d):
     return d.select("doc_id", X.truncate_ellipsis(F.col("text"), 40).alias("t"))
 
 
-@_docs("truncate_bytes_check", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 200 THEN left(text, 200) || '...' ELSE text END AS t FROM documents")
+@on_documents("truncate_bytes_check", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 200 THEN left(text, 200) || '...' ELSE text END AS t FROM documents")
 def _truncate_by_bytes(d):
     return d.select("doc_id", X.truncate_by_bytes(F.col("text"), 200).alias("t"))
 
 
-@_docs("session_uuid", r"""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('doc' || doc_id)) AS h FROM documents)
+@on_documents("session_uuid", r"""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('doc' || doc_id)) AS h FROM documents)
   SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id FROM h""")
 def _session_uuid(d):
     return d.select("doc_id", X.session_uuid(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("id"))
@@ -538,35 +551,6 @@ ORACLE["conversation_turns"] = """SELECT session_id, turn_index, count(*) FILTER
  (SELECT 'c' || conv_id AS session_id, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT - 1 AS turn_index FROM conversations) WHERE turn_index >= 0 GROUP BY ALL"""
 
 
-# --- raw logs: events rendered to raw lines and read back ---------------------------------------------------------
-
-_SAID = "coalesce(text, slash_name, tool_name, output)"
-
-
-@query(O.on_events(f"""SELECT session_id AS path, seq AS line_no, type, stream, {_SAID} AS said, coalesce(is_error, false) AS is_error, file_path, command, pattern,
-  lag(seq) OVER (PARTITION BY session_id, stream ORDER BY seq) AS parent_line, agent_id FROM ev WHERE type <> 'token_usage'"""), on="events")
-def norm_claude(e: DataFrame):
-    got = ingest.claude_events(render.claude_lines(e))
-    parents = got.select(F.col("event_id").alias("parent_id"), F.col("line_no").alias("parent_line"))
-    return got.join(parents, "parent_id", "left").select("path", "line_no", "type", "stream", F.expr(_SAID).alias("said"), F.coalesce("is_error", F.lit(False)).alias("is_error"),
-                                                         "file_path", "command", "pattern", "parent_line", "agent_id")
-
-
-@query(O.on_events(f"""SELECT session_id AS path, seq AS line_no, type, CASE WHEN type = 'tool_result' THEN 'Exit code: ' || CAST(is_error AS INT) || chr(10) || output ELSE {_SAID} END AS said,
-  coalesce(is_error, false) AS is_error, tok_uncached, tok_cached, tok_generated FROM
-  (SELECT *, lag((tok_uncached + tok_cached) || ' ' || tok_generated) OVER (PARTITION BY session_id, type ORDER BY seq) AS was FROM ev)
-  WHERE type <> 'slash_command' AND NOT (type = 'token_usage' AND was IS NOT DISTINCT FROM ((tok_uncached + tok_cached) || ' ' || tok_generated))"""), on="events")
-def norm_codex(e: DataFrame):
-    return ingest.codex_events(render.codex_lines(e)).select("path", "line_no", "type", F.expr(_SAID).alias("said"), F.coalesce("is_error", F.lit(False)).alias("is_error"),
-                                                             "tok_uncached", "tok_cached", "tok_generated")
-
-
-@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name IN ('Read', 'Glob') THEN 'FileRead' WHEN tool_name = 'Edit' THEN 'FileEdit' WHEN tool_name = 'Bash' THEN 'Execute'
-  WHEN tool_name = 'Grep' THEN 'Search' ELSE 'Mcp' END AS tool_variant, mcp_server, mcp_tool FROM ev WHERE type = 'tool_call'"""), on="events")
-def tool_norm_claude(e: DataFrame):
-    return ingest.claude_events(render.claude_lines(e)).where("type = 'tool_call'").select("path", "line_no", "tool_variant", "mcp_server", "mcp_tool")
-
-
 # --- streams, drained -----------------------------------------------------------------------------------------------
 
 def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,7 +560,7 @@ def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "user", "view", "message", "click", "tool_call", "error", "tool_result", "purchase", "token_usage")]), F.col("event_type"))
     return raw.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"),
-                      F.lit("main").alias("stream"), F.lit("p").alias("provider"), k.alias("tok_uncached"), (k * 10).alias("tok_cached"), k.alias("tok_generated"),
+                      F.lit("main").alias("stream"), F.lit("p").alias("provider"), F.col("_metadata.file_path").alias("chunk"), F.col("_metadata.file_modification_time").alias("chunk_time"), k.alias("tok_uncached"), (k * 10).alias("tok_cached"), k.alias("tok_generated"),
                       F.lit(None).cast("string").alias("model"), (k % 3 == 0).alias("is_error"))
 
 
@@ -590,51 +574,41 @@ def _streamed(name: str, f, mode: str, sql: str, select) -> None:
 _streamed("live_state", live.live_state, "complete", """SELECT 's' || user_id AS session_id, CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) AS last_ms, count(*) AS event_count, count(*) FILTER (event_type = 'signup') AS turn_count,
   arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (event_type = 'purchase') AS fresh_input FROM events GROUP BY user_id""",
           lambda d: d.select("session_id", ms("last_activity").alias("last_ms"), "event_count", "turn_count", "fresh_input"))
-_streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id AS session_id, 'p' AS provider, count(*) AS event_count FROM events GROUP BY user_id",
-          lambda d: d.select("session_id", "provider", "event_count"))
-
-
-# --- catalogue-shaped operators over the sessions table ---------------------------------------------------------------
-
-@query(O.on_tables("SELECT session_id, 'p-' || s.provider AS project_hash, '/root/' || s.provider AS root_path, total_turns FROM sessions s WHERE stream = 'main'"))
-def join_session_project(a: Assembled):
-    main = a.sessions.where("stream = 'main'").select("session_id", F.concat(F.lit("p-"), "provider").alias("project_hash"), "total_turns")
-    projects = a.sessions.select(F.concat(F.lit("p-"), "provider").alias("project_hash"), F.concat(F.lit("/root/"), "provider").alias("root_path")).distinct()
-    return main.join(projects, "project_hash", "left").select("session_id", "project_hash", "root_path", "total_turns")
-
+_streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id AS session_id, 'p' AS provider, count(*) AS event_count, true AS is_new FROM events GROUP BY user_id",
+          lambda d: d.select("session_id", "provider", "event_count", "is_new"))
+_streamed("live_errors", live.live_errors, "update", """SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'error' AND k % 3 = 0 AND event_id > began) AS error_count FROM
+  (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id), -1) AS began FROM events) GROUP BY user_id""",
+          lambda d: live.latest(d, "session_id"))
+_streamed("watch_session", lambda e: live.live_state(live.watch(e, provider="p", session="s1")), "complete", """SELECT 's' || user_id AS session_id, count(*) AS event_count FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%' GROUP BY user_id""",
+          lambda d: d.select("session_id", "event_count"))
 
-@query(O.on_tables("SELECT session_id, stream, total_turns FROM sessions WHERE total_turns > 0 AND provider = 'codex' AND stream = 'main'"))
-def filter_sessions(a: Assembled):
-    return a.sessions.where("total_turns > 0 and provider = 'codex' and stream = 'main'").select(*KEYS, "total_turns")
 
+# --- further joins and views over the assembled tables ---------------------------------------------------------------
 
 @query(O.on_tables("""SELECT s.session_id, s.stream, row_number() OVER (PARTITION BY s.session_id ORDER BY m.t NULLS LAST, m.p NULLS LAST, s.stream) AS place FROM sessions s LEFT JOIN
   (SELECT session_id, agent_id, arg_max(turn_index, seq) AS t, arg_max(step_index, seq) AS p FROM r WHERE stream = 'main' AND type = 'tool_result' AND agent_id IS NOT NULL GROUP BY ALL) m
   ON m.session_id = s.session_id AND s.stream = 'sidechain:' || m.agent_id WHERE starts_with(s.stream, 'sidechain:')"""))
 def children_of(a: Assembled):
-    order = W.partitionBy("session_id").orderBy(F.asc_nulls_last("spawned_turn"), F.asc_nulls_last("spawned_step"), "stream")
-    return Q.join_sidechain_spawn(a).select(*KEYS, F.row_number().over(order).cast("long").alias("place"))
+    return Q.streams_by_spawn(a)
 
 
-@query(O.on_tables("""SELECT session_id, CASE WHEN session_id LIKE '%1' THEN NULL ELSE start_ms END AS start_ms, CASE WHEN session_id LIKE '%2' THEN 'kept ' || session_id ELSE 'new' END AS snippet
-  FROM (SELECT session_id, CAST(floor(epoch_us(start_time) / 1000) AS BIGINT) AS start_ms FROM sessions WHERE stream = 'main')"""))
-def upsert_session(a: Assembled):
-    main = a.sessions.where("stream = 'main'").select("session_id", ms("start_time").alias("start_ms"))
-    old = main.select("session_id", F.lit(None).cast("long").alias("start_ms"), F.concat(F.lit("kept "), "session_id").alias("snippet"))
-    new = main.select("session_id", F.when(~F.col("session_id").like("%1"), F.col("start_ms")).alias("start_ms"), F.when(~F.col("session_id").like("%2"), "new").alias("snippet"))
-    return catalog.upsert(old, new, ["session_id"], keep=["start_ms", "snippet"])
+_TOLD = """told AS (SELECT session_id, stream, arg_max(tok_cached * 100 + 1, seq) AS told FROM ev WHERE type = 'token_usage' AND provider = 'codex' GROUP BY ALL),
+db AS (SELECT cr.session_id, used, coalesce(told, effective) AS lim, CAST(floor((epoch_us(end_time) - epoch_us(start_time)) / 1000) AS BIGINT) AS elapsed_ms
+  FROM cr JOIN sessions USING (session_id, stream) LEFT JOIN told USING (session_id, stream))"""
 
 
-@query(O.on_tables("SELECT session_id FROM sessions WHERE stream = 'main' AND NOT (session_id LIKE '%3')"))
-def anti_incremental(a: Assembled):
-    files = a.sessions.where("stream = 'main'").select(F.col("session_id").alias("path"), F.col("total_turns").alias("length"), F.col("start_time").alias("modificationTime"))
-    return catalog.changed(files, files.where(F.col("path").like("%3"))).select(F.col("path").alias("session_id"))
+@query(O.on_tables("""SELECT session_id, elapsed_ms, used, lim AS "limit", used / lim::DOUBLE AS ratio, coalesce(used / lim::DOUBLE >= 1, false) AS exceeded,
+  CASE WHEN used / lim::DOUBLE > 0.9 THEN 'error' WHEN used / lim::DOUBLE > 0.8 THEN 'warning' ELSE 'success' END AS level FROM db""", TM, LIMITS, MODEL, USAGE, _TOLD), on="events")
+def dashboard(e: DataFrame):
+    told = F.when((F.col("type") == "token_usage") & (F.col("provider") == "codex"), F.col("tok_cached") * 100 + 1)
+    return A.dashboard(assemble(e.withColumn("context_limit", told)))
 
 
-@query(O.on_tables("""SELECT session_id, used, effective, CASE WHEN effective IS NULL THEN NULL ELSE ratio END AS ratio, ratio >= 1 AS exceeded, CASE WHEN ratio > 0.9 THEN 'error' WHEN ratio > 0.8 THEN 'warning' ELSE 'success' END AS level FROM cr""", TM, LIMITS, MODEL, USAGE))
-def dashboard(a: Assembled):
-    u = A.context_usage(a)
-    return u.select("session_id", "used", "effective", F.when(F.col("effective").isNotNull(), F.col("ratio")).alias("ratio"), (F.col("ratio") >= 1).alias("exceeded"), "level")
+@query(O.on_tables("""SELECT u.session_id, u.stream, model, max_tokens, i::DOUBLE * 100 / max_tokens AS input_pct, o::DOUBLE * 100 / max_tokens AS output_pct, (i + o)::DOUBLE * 100 / max_tokens AS total_pct FROM
+  (SELECT session_id, stream, arg_max(fresh_input + cache_read, {'t': turn_index, 's': step_index}) AS i, arg_max(output, {'t': turn_index, 's': step_index}) AS o FROM steps WHERE stream = 'main' AND usages > 0 GROUP BY ALL) u
+  JOIN (SELECT session_id, stream, arg_max(model, seq) AS model FROM ev GROUP BY ALL) m USING (session_id, stream) LEFT JOIN ml USING (model)""", LIMITS, MODEL))
+def usage_percent(a: Assembled):
+    return A.usage_percent(a)
 
 
 @query(O.on_events("SELECT prefix, max_tokens, greatest(1, CAST(floor(max_tokens * (100 - buffer_pct) / 100) AS BIGINT)) AS effective, count(ev.event_id) AS events FROM lim LEFT JOIN ev ON starts_with(ev.model, prefix) GROUP BY ALL", LIMITS), on="events")
@@ -648,13 +622,12 @@ def effective_limit(e: DataFrame):
 
 @query(O.on_events("""SELECT c.event_id, arg_max(x.output, x.seq) AS sample FROM ev c LEFT JOIN ev x ON x.type = 'tool_result' AND x.session_id = c.session_id AND x.tool_call_id = c.event_id WHERE c.type = 'tool_call' GROUP BY c.event_id"""), on="events")
 def join_call_sample(e: DataFrame):
-    last = e.where("type = 'tool_result'").groupBy("session_id", F.col("tool_call_id").alias("event_id")).agg(F.max_by("output", "seq").alias("sample"))
-    return e.where("type = 'tool_call'").select("session_id", "event_id").join(last, ["session_id", "event_id"], "left").select("event_id", "sample")
+    return Q.join_call_sample(e).select("event_id", "sample")
 
 
 @query(O.on_events("SELECT event_id, type FROM ev WHERE type = 'reasoning'"), on="events")
 def filter_event_type(e: DataFrame):
-    return e.where("type = 'reasoning'").select("event_id", "type")
+    return Q.filter_event_type(e, "Reasoning").select("event_id", "type")
 
 
 @query(O.on_events("""SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || type || chr(10) || CASE type WHEN 'tool_call' THEN concat_ws(' ', tool_name, file_path, command, pattern) WHEN 'tool_result' THEN output

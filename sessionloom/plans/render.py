@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -18,8 +20,12 @@ def _arguments() -> Column:
     return F.struct("file_path", "command", "pattern", F.lit("x").alias("content"), F.lit("x").alias("new_string"))
 
 
-def claude_lines(events: DataFrame) -> DataFrame:
-    """path (the session), line_no (seq) and value in the first format; usage rows have no record of their own there."""
+def in_order(key: str, order: str) -> WindowSpec:
+    return W.partitionBy(key).orderBy(order)
+
+
+def claude_lines(events: DataFrame, usage: bool = False) -> DataFrame:
+    """path (the session), line_no (seq) and value in the first format; usage rows have no record of their own there, but with ``usage`` one that says nothing."""
     kind = F.col("type")
     head = [F.col("event_id").alias("uuid"), F.col("session_id").alias("sessionId"), _time(), (F.col("stream") != "main").alias("isSidechain"),
             F.when(F.col("stream") != "main", F.substring_index("stream", ":", -1)).alias("agentId")]
@@ -36,11 +42,44 @@ def claude_lines(events: DataFrame) -> DataFrame:
              .when(kind == "reasoning", record("assistant", block(type=F.lit("thinking"), thinking=F.col("text"))))
              .when(kind == "tool_call", record("assistant", block(type=F.lit("tool_use"), id=F.col("event_id"), name=F.col("tool_name"), input=_arguments())))
              .when(kind == "tool_result", record("user", block(type=F.lit("tool_result"), tool_use_id=F.col("tool_call_id"), content=F.col("output"), is_error=F.col("is_error"), agentId=F.col("agent_id")))))
+    if usage:
+        spent = F.struct(F.col("tok_uncached").alias("input_tokens"), F.col("tok_cached").alias("cache_read_input_tokens"), F.col("tok_generated").alias("output_tokens"))
+        said = F.struct(block(type=F.lit("text"), text=F.lit("")).alias("content"), "model", spent.alias("usage"))
+        value = value.when(kind == "token_usage", _line(F.lit("assistant").alias("type"), *head, said.alias("message")))
     return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value")).where("value is not null")
 
 
-def codex_lines(events: DataFrame) -> DataFrame:
-    """The same in the second format, which has no slash commands."""
+def review_lines(events: DataFrame) -> DataFrame:
+    """Lines of the second format in which slash commands are turn contexts, results begin reviews, and all else are steps."""
+    kind = F.col("type")
+
+    def record(what: str, inner: str) -> Column:
+        return _line(_time(), F.lit(what).alias("type"), F.struct(F.lit(inner).alias("type")).alias("payload"))
+
+    value = (F.when(kind == "slash_command", record("turn_context", "none")).when(kind == "user", record("event_msg", "user_message")).when(kind == "tool_result", record("event_msg", "entered_review_mode"))
+             .when(kind == "message", record("event_msg", "agent_message")).otherwise(record("response_item", "message")))
+    return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value"))
+
+
+def gemini_documents(events: DataFrame) -> DataFrame:
+    """path (the session) and value: one document of the third format a session, without results and slash commands; calls of even places have a result."""
+    kind = F.col("type")
+    identity = F.concat(F.lit("m"), "event_id").alias("id")
+    call = F.struct(F.col("event_id").alias("id"), F.col("tool_name").alias("name"), F.struct("file_path", "command").alias("args"),
+                    F.when(F.col("seq") % 2 == 0, F.array(F.struct(F.lit(1).alias("x")))).otherwise(F.filter(F.array(F.struct(F.lit(1).alias("x"))), lambda x: F.lit(False))).alias("result"),
+                    F.when(F.col("seq") % 4 == 0, "error").otherwise("success").alias("status"), F.concat(F.lit("shown "), "event_id").alias("resultDisplay"))
+    tokens = F.struct(F.col("tok_uncached").alias("input"), F.col("tok_generated").alias("output"), F.col("tok_cached").alias("cached"), F.lit(1).alias("thoughts"), F.lit(2).alias("tool"), F.lit(0).alias("total"))
+    message = F.struct(
+        F.when(kind == "user", "user").when(kind == "notification", "info").otherwise("gemini").alias("type"), identity, _time(),
+        F.when(kind.isin("user", "message", "notification"), F.col("text")).otherwise("").alias("content"), "model",
+        F.when(kind == "reasoning", F.array(F.struct(F.lit("why").alias("subject"), F.col("text").alias("description")))).alias("thoughts"),
+        F.when(kind == "tool_call", F.array(call)).alias("toolCalls"), F.when(kind == "token_usage", tokens).alias("tokens"))
+    rows = events.where("type not in ('tool_result', 'slash_command')").groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", message.alias("m")))).alias("_m"))
+    return rows.select(F.col("session_id").alias("path"), F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.transform("_m", lambda x: x["m"]).alias("messages"))).alias("value"))
+
+
+def codex_lines(events: DataFrame, models: bool = False) -> DataFrame:
+    """The same in the second format, which has no slash commands; with ``models`` they are turn contexts that name a model."""
     kind = F.col("type")
 
     def item(*fields: Column) -> Column:
@@ -58,4 +97,6 @@ def codex_lines(events: DataFrame) -> DataFrame:
              .when(kind == "tool_call", item(F.lit("function_call").alias("type"), F.col("tool_name").alias("name"), F.to_json(_arguments()).alias("arguments"), F.col("event_id").alias("call_id")))
              .when(kind == "tool_result", item(F.lit("function_call_output").alias("type"), F.col("tool_call_id").alias("call_id"), output.alias("output")))
              .when(kind == "token_usage", usage))
+    if models:
+        value = value.when(kind == "slash_command", _line(_time(), F.lit("turn_context").alias("type"), F.struct(F.concat_ws("-", "model", F.col("seq").cast("string")).alias("model")).alias("payload")))
     return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value")).where("value is not null")

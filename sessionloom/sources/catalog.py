@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ingest import at, detect_provider, first_lines, place_of
+from ..operators.query import sessions_between
+from .ingest import at, detect_provider, first_lines, parse_auto, place_of, read_documents
 
 SNIPPET, CLAUDE_LINES, CODEX_LINES = 200, 200, 20
 
@@ -17,12 +21,32 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.json*") -> DataFra
             .select("path", "length", "modificationTime"))
 
 
-def probe(files: DataFrame) -> DataFrame:
-    """The files that belong to a format by path, name and size, with ``provider``."""
+def probe(files: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """The files that belong to a format by path, name and size, with ``provider`` and ``confidence``; those in ``empty`` (path) don't."""
     name, provider = F.substring_index("path", "/", -1), detect_provider(F.col("path"))
     fits = (((provider == "claude_code") & name.endswith(".jsonl")) | ((provider == "codex") & name.startswith("rollout-") & name.endswith(".jsonl"))
             | ((provider == "gemini") & name.startswith("session-") & name.endswith(".json")))
-    return files.withColumn("provider", provider).where(fits & (F.col("length") > 0))
+    found = files.withColumn("provider", provider).where(fits & (F.col("length") > 0)).withColumn("confidence", F.lit(1.0))
+    return found if empty is None else found.join(empty.select("path"), "path", "left_anti")
+
+
+def empty_sessions(lines: DataFrame) -> DataFrame:
+    """path of files of the second format without a session: two lines at most among the first, and none of a known record."""
+    known = at(F.try_parse_json("value"), "$.type").isin("session_meta", "turn_context", "event_msg", "response_item")
+    return first_lines(lines, CODEX_LINES).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(known), F.lit(False)).alias("known")).where(
+        "n <= 2 and not known").select("path")
+
+
+def latest_mod_time(files: DataFrame, *keys: str) -> DataFrame:
+    """The newest modification time of each group of files."""
+    return files.groupBy(*keys).agg(F.max("modificationTime").alias("latest_mod_time"))
+
+
+def cwd_of(lines: DataFrame, first: int = 10) -> DataFrame:
+    """path and the first working folder that its first lines tell, in the first or second format."""
+    v = F.try_parse_json("value")
+    cwd = F.coalesce(at(v, "$.cwd"), at(v, "$.payload.cwd"))
+    return first_lines(lines, first).groupBy("path").agg(F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"))
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -34,23 +58,31 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
 def claude_headers(lines: DataFrame, first: int = CLAUDE_LINES) -> DataFrame:
     """session_id, cwd, start, snippet, is_sidechain and agent of each file of the first format, from its first lines.
 
-    The snippet is the first text of a user record that is neither meta nor of a sidechain, nor the child of a meta record."""
+    The snippet is the first text of a user record that is neither meta nor of a
+    sidechain, and none of whose forebears is meta; a snapshot of the files begins
+    anew.  The first lines of a file are folded in order."""
     r = first_lines(lines, first).withColumn("v", F.try_parse_json("value")).where("v is not null").select(
         "path", "line_no", at("v", "$.type").alias("t"), at("v", "$.sessionId").alias("sid"), at("v", "$.cwd").alias("cwd"), at("v", "$.timestamp").alias("ts"),
         F.coalesce(at("v", "$.isMeta", "boolean"), F.lit(False)).alias("meta"), at("v", "$.isSidechain", "boolean").alias("side"), at("v", "$.agentId").alias("agent"),
-        at("v", "$.uuid").alias("uuid"), at("v", "$.parentUuid").alias("parent"),
+        F.coalesce(at("v", "$.uuid"), F.lit("")).alias("uuid"), at("v", "$.parentUuid").alias("parent"),
         F.coalesce(F.when(F.schema_of_variant(at("v", "$.message.content", "variant")) == "STRING", at("v", "$.message.content")), at("v", "$.message.content[0].text")).alias("text"))
-    metas = r.where("meta").select("path", F.col("uuid").alias("parent")).distinct().withColumn("child", F.lit(True))
-    r = r.join(metas, ["path", "parent"], "left")
-    says = (F.col("t") == "user") & ~F.coalesce("side", F.lit(False)) & ~F.col("meta") & F.col("child").isNull() & F.col("text").isNotNull()
 
-    def first_of(c: str, when=None):
-        seen = F.col(c).isNotNull() if when is None else when
-        return F.min_by(F.when(seen, F.col(c)), F.when(seen, F.col("line_no")))
+    def first_of(c: str):
+        return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
 
-    return r.groupBy("path").agg(first_of("sid").alias("session_id"), first_of("cwd").alias("cwd"), first_of("ts").alias("start_ts"),
-                                 F.substring(first_of("text", says), 1, SNIPPET).alias("snippet"),
-                                 F.coalesce(F.max_by("side", F.when(F.col("side").isNotNull(), F.col("line_no"))), F.lit(False)).alias("is_sidechain"), first_of("agent").alias("agent_id"))
+    heads = r.groupBy("path").agg(
+        first_of("sid").alias("session_id"), first_of("cwd").alias("cwd"), first_of("ts").alias("start_ts"),
+        F.coalesce(F.max_by("side", F.when(F.col("side").isNotNull(), F.col("line_no"))), F.lit(False)).alias("is_sidechain"), first_of("agent").alias("agent_id"),
+        F.sort_array(F.collect_list(F.struct("line_no", "t", "meta", "side", "uuid", "parent", "text"))).alias("_r"))  # ``first`` of them at most
+    nothing = F.struct(F.array().cast("array<string>").alias("metas"), F.lit(None).cast("string").alias("snippet"))
+
+    def fold(s, x):
+        metas = F.when(x["t"] == "file-history-snapshot", F.array().cast("array<string>")).otherwise(s["metas"])
+        under = x["meta"] | F.coalesce(F.array_contains(metas, x["parent"]), F.lit(False))
+        says = (x["t"] == "user") & ~F.coalesce(x["side"], F.lit(False)) & ~under
+        return F.struct(F.when(under, F.array_append(metas, x["uuid"])).otherwise(metas).alias("metas"), F.coalesce(s["snippet"], F.when(says, x["text"])).alias("snippet"))
+
+    return heads.withColumn("snippet", F.substring(F.aggregate("_r", nothing, fold)["snippet"], 1, SNIPPET)).drop("_r")
 
 
 def codex_headers(lines: DataFrame, first: int = CODEX_LINES) -> DataFrame:
@@ -68,17 +100,153 @@ def gemini_headers(documents: DataFrame) -> DataFrame:
     """session_id, start and snippet of each document; the legacy array format tells them in its first entries."""
     d = F.try_parse_json("value")
     user = F.get(F.filter(at(d, "$.messages", "array<variant>"), lambda m: F.try_variant_get(m, "$.type", "string") == "user"), 0)
-    return documents.select("path", F.coalesce(at(d, "$.sessionId"), at(d, "$[0].sessionId")).alias("session_id"),
+    return documents.select("path", at(d, "$.projectHash").alias("stored_hash"), F.coalesce(at(d, "$.sessionId"), at(d, "$[0].sessionId")).alias("session_id"),
                             F.coalesce(at(d, "$.startTime"), at(d, "$[0].timestamp")).alias("start_ts"),
                             F.substring(F.coalesce(F.try_variant_get(user, "$.content", "string"), at(d, "$[0].message")), 1, SNIPPET).alias("snippet"))
 
 
+HEADER = {"provider": "string", "path": "string", "session_id": "string", "cwd": "string", "start_ts": "string", "snippet": "string", "is_sidechain": "boolean",
+          "stored_hash": "string", "parent_session_id": "string", "spawned_by_turn": "int", "spawned_by_step": "int"}
+
+
+def header_columns(headers: DataFrame, provider: str) -> DataFrame:
+    """Headers of one format in the columns of HEADER; what the format doesn't tell is null."""
+    headers = headers.withColumn("provider", F.lit(provider))
+    side = F.coalesce(F.col("is_sidechain"), F.lit(False)) if "is_sidechain" in headers.columns else F.lit(False)
+    return headers.select(*[side.alias(n) if n == "is_sidechain" else (F.col(n) if n in headers.columns else F.lit(None)).cast(t).alias(n) for n, t in HEADER.items()])
+
+
 def sessions_of(headers: DataFrame) -> DataFrame:
-    """Files grouped into sessions: the main file, sidechain files, first start, folder and snippet."""
+    """Files grouped into sessions: the main file, sidechain files, first start, folder and snippet, newest modification time."""
     main = ~F.col("is_sidechain")
+    extra = [F.max("modificationTime").alias("latest_mod_time")] if "modificationTime" in headers.columns else []
+    more = [F.max(c).alias(c) for c in ("provider", "stored_hash", "parent_session_id", "spawned_by_turn", "spawned_by_step") if c in headers.columns]
     return headers.where("session_id is not null").groupBy("session_id").agg(
-        F.min_by(F.when(main, F.col("path")), F.when(main, F.col("path"))).alias("main_file"), F.sort_array(F.collect_list(F.when(~main, F.col("path")))).alias("side_files"),
-        F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).alias("cwd"), F.max(F.when(main, F.col("snippet"))).alias("snippet"))
+        F.min(F.when(main, F.col("path"))).alias("main_file"), F.sort_array(F.collect_list(F.when(~main, F.col("path")))).alias("side_files"),
+        F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).alias("cwd"), F.max(F.when(main, F.col("snippet"))).alias("snippet"), *extra, *more)
+
+
+@dataclass
+class Catalog:
+    """The tables of projects, sessions and log files."""
+
+    projects: DataFrame
+    sessions: DataFrame
+    log_files: DataFrame
+
+    def write(self, folder: str) -> None:
+        for name, frame in vars(self).items():
+            frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> Catalog:
+        return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in cls.__dataclass_fields__})
+
+
+def build_index(headers: DataFrame, files: DataFrame, old: Catalog | None = None, repositories: DataFrame | None = None, project: str | None = None,
+                force: bool = False) -> tuple[Catalog, DataFrame]:
+    """The catalogue of the files with these headers (HEADER) and a row of counts: sessions, files scanned and files skipped.
+
+    With an ``old`` catalogue a session all of whose files are known with the same
+    size and time is passed over, unless ``force`` is set.  ``project`` takes one
+    project's sessions only.  ``repositories`` (root_path, common_dir) tells which
+    folders are worktrees of one repository.  Write the result to another folder
+    than the old one, which it reads."""
+    known = headers.where("session_id is not null").join(files.select("path", "length", "modificationTime"), "path")
+    sessions = sessions_of(known).where("main_file is not null")
+    hashed = F.coalesce(project_hash(F.col("cwd")), "stored_hash", project_hash(F.col("main_file")))
+    sessions = sessions.withColumn("project_hash", hashed)
+    if project is not None:
+        sessions = sessions.where(F.col("project_hash") == project)
+    known = known.join(sessions.select("session_id"), "session_id", "left_semi")
+    fresh = known if old is None or force else changed(known, old.log_files.withColumnsRenamed({"file_size": "length", "mod_time": "modificationTime"}))
+    sessions = sessions.join(fresh.select("session_id").distinct(), "session_id", "left_semi")
+    scanned = known.join(sessions.select("session_id"), "session_id", "left_semi")
+    repository = F.lit(None).cast("string")
+    if repositories is not None:
+        sessions = sessions.join(repositories.select(F.col("root_path").alias("cwd"), "common_dir").distinct(), "cwd", "left")
+        repository = F.sha2("common_dir", 256)
+    rows = sessions.select(F.col("session_id").alias("id"), "project_hash", repository.alias("repository_hash"), "provider", "start_ts", F.lit(None).cast("string").alias("end_ts"), "snippet",
+                           F.lit(True).alias("is_valid"), "parent_session_id", "spawned_by_turn", "spawned_by_step")
+    projects = sessions.groupBy(F.col("project_hash").alias("hash")).agg(F.max("cwd").alias("root_path"), F.max("latest_mod_time").alias("last_scanned_at"))
+    logs = scanned.select("path", "session_id", F.when(F.col("is_sidechain"), "sidechain").otherwise("main").alias("role"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mod_time"))
+    made = Catalog(projects, rows, logs)
+    if old is not None:
+        made = Catalog(upsert(old.projects, projects, ["hash"], keep=["root_path"]),
+                       upsert(old.sessions, rows, ["id"], keep=["repository_hash", "start_ts", "end_ts", "snippet", "parent_session_id", "spawned_by_turn", "spawned_by_step"]),
+                       upsert(old.log_files, logs, ["path"]))
+    counts = known.select(F.col("session_id").alias("_all")).withColumn("n", F.lit(1)).agg(F.sum("n").alias("files")).crossJoin(  # one row each
+        scanned.agg(F.count(F.lit(1)).alias("scanned_files"), F.count_distinct("session_id").alias("total_sessions")))
+    return made, counts.select("total_sessions", "scanned_files", (F.coalesce("files", F.lit(0)) - F.col("scanned_files")).alias("skipped_files"))
+
+
+def find_session_files(log_files: DataFrame, session: str) -> DataFrame:
+    """A session's files, main ones first."""
+    return log_files.where(F.col("session_id") == session).orderBy("role", "path")
+
+
+def list_all_files(log_files: DataFrame) -> DataFrame:
+    return log_files.orderBy("path")
+
+
+def filter_sessions(sessions: DataFrame, project: str | None = None, provider: str | None = None, top_level: bool = False, repository: str | None = None) -> DataFrame:
+    """Valid sessions of a project, provider or repository; ``top_level`` leaves out those that another one spawned."""
+    for name, value in (("project_hash", project), ("provider", provider), ("repository_hash", repository)):
+        if value is not None:
+            sessions = sessions.where(F.col(name) == value)
+    return sessions.where("is_valid and parent_session_id is null" if top_level else "is_valid")
+
+
+def project_scope(project: str | None = None, everything: bool = False, cwd: str | None = None) -> str | None:
+    """The hash of the project that is asked for: an explicit one, else none for all, else that of the working folder."""
+    if project or everything or cwd is None:
+        return project
+    return hashlib.sha256(cwd.encode()).hexdigest()
+
+
+def join_projects(sessions: DataFrame, projects: DataFrame) -> DataFrame:
+    """Sessions with their project's root_path (null if it isn't known)."""
+    return sessions.join(projects.select(F.col("hash").alias("project_hash"), "root_path"), "project_hash", "left")
+
+
+def get_session(catalog: Catalog, session: str) -> DataFrame:
+    """A valid session, with its project's root; no row if there is none."""
+    return join_projects(catalog.sessions.where(F.col("is_valid") & (F.col("id") == session)), catalog.projects)
+
+
+def list_projects(catalog: Catalog) -> DataFrame:
+    """Projects with the number of their valid sessions."""
+    n = catalog.sessions.where("is_valid").groupBy(F.col("project_hash").alias("hash")).agg(F.count(F.lit(1)).alias("sessions"))
+    return catalog.projects.join(n, "hash", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0).cast("long")))
+
+
+def children_of(sessions: DataFrame) -> DataFrame:
+    """The sessions that others spawned, with their ``place`` among their parent's children, by turn and step."""
+    order = W.partitionBy("parent_session_id").orderBy(F.asc_nulls_last("spawned_by_turn"), F.asc_nulls_last("spawned_by_step"), "id")
+    return sessions.where("is_valid and parent_session_id is not null").withColumn("place", F.row_number().over(order))
+
+
+def limit_sessions(sessions: DataFrame, limit: int, since: str | None = None, until: str | None = None, compat: bool = False) -> DataFrame:
+    """The newest sessions in a span; ``compat`` limits first, so that fewer may be left."""
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(F.desc("start_time"), "session_id").limit(limit)
+
+    return sessions_between(newest(sessions), since, until) if compat else newest(sessions_between(sessions, since, until))
+
+
+def raw_files(spark: SparkSession, log_files: DataFrame, session: str) -> DataFrame:
+    """path and whole content of a session's files."""
+    paths = [r["path"] for r in find_session_files(log_files, session).select("path").collect()]  # one session's files
+    return read_documents(spark, *paths) if paths else spark.createDataFrame([], "path string, value string")
+
+
+def load_session_events(spark: SparkSession, catalog: Catalog, session: str) -> DataFrame:
+    """The events of one session, of all its files."""
+    paths = [r["path"] for r in find_session_files(catalog.log_files, session).select("path").collect()]  # one session's files
+    provider = catalog.sessions.where(F.col("id") == session).select("provider").first()
+    if provider is None:
+        raise KeyError(f"no session {session}")
+    return parse_auto(spark, paths, provider[0])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
@@ -109,3 +277,26 @@ def diagnose(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("_bad", bad).withColumn("_at", F.when(F.col("_bad").isNotNull(), place))
     return rows.groupBy("path").agg(
         F.coalesce(F.min_by("_bad", "_at"), F.lit("ok")).alias("status"), F.count(F.lit(1)).alias("records"), F.min_by(F.substring("value", 1, 80), "_at").alias("example"))
+
+
+def diagnose_providers(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """For each provider: files, those that parse, and failures by type with the first one as example; ``files`` (path, provider) are those probed."""
+    d = files.select("path", "provider").join(diagnose(lines), "path")
+    bad = F.col("status") != "ok"
+    return d.groupBy("provider").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(~bad).alias("parsed"),
+        *[F.count_if(F.col("status") == t).alias(t) for t in ("parse_error", "missing_field", "type_mismatch")],
+        F.min_by("path", F.when(bad, F.col("path"))).alias("example_path"), F.min_by("example", F.when(bad, F.col("path"))).alias("example"))
+
+
+def check_file(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """path, status, number of events and first bad line of each file."""
+    n = events.groupBy("path").agg(F.count(F.lit(1)).alias("events"))
+    return diagnose(lines).join(n, "path", "left").select("path", "status", F.coalesce("events", F.lit(0).cast("long")).alias("events"), F.col("example").alias("error"))
+
+
+def categorize_error(message: Column) -> tuple[Column, Column]:
+    """The failure that a parser's message tells (missing_field, type_mismatch, parse_error), and the field it names between backticks (null if none)."""
+    field = F.nullif(F.regexp_extract(message, r"field `([^`]*)`", 1), F.lit(""))
+    kind = (F.when(message.contains("missing field"), "missing_field").when(message.contains("expected") | message.contains("invalid type"), "type_mismatch").otherwise("parse_error"))
+    return F.when(field.isNull(), "parse_error").otherwise(kind), F.when(kind != "parse_error", field)

@@ -14,13 +14,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.assemble import CONTINUED, INTERRUPTED, assemble  # noqa: F401  (CONTINUED is part of this module's surface)
+from ..operators.assemble import assemble
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one on a local master where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 def landing(spark: SparkSession, folder: str, schema: str, files_at_once: int | None = None) -> DataFrame:
-    """A stream of event rows from Parquet chunks that land in ``folder``."""
+    """A stream of event rows from Parquet chunks that land in ``folder``, with the chunk's name and time."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(folder)
+    rows = (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(folder)
+    return rows.select("*", F.col("_metadata.file_path").alias("chunk"), F.col("_metadata.file_modification_time").alias("chunk_time"))
+
+
+def watch(events: DataFrame, provider: str | None = None, session: str | None = None) -> DataFrame:
+    """The stream of one provider's events, or of the sessions whose id is or starts with ``session``; all of them by default."""
+    if provider is not None:
+        events = events.where(F.col("provider") == provider)
+    return events if session is None else events.where(F.col("session_id").startswith(session))
 
 
 def landing_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,41 +45,47 @@ def landing_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live_state(events: DataFrame) -> DataFrame:
-    """Per session, of its main stream: last activity, events, turns so far, and the latest usage and model.  For update mode."""
+    """Per session, of its main stream: last activity, events, turns so far, and the latest usage, model and context limit.  For update mode."""
     e = events.where("stream = 'main'")
     opens = F.col("type").isin("user", "slash_command")
-    usage = F.col("type") == "token_usage"
+    usage = F.when(F.col("type") == "token_usage", F.col("seq"))
+    latest = {n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n) for n in ("model", "context_limit") if n in events.columns}
     return e.groupBy("session_id").agg(
         F.max("ts").alias("last_activity"), F.count(F.lit(1)).alias("event_count"), F.count_if(opens).alias("turn_count"),
-        F.max_by("tok_uncached", F.when(usage, F.col("seq"))).alias("fresh_input"), F.max_by("tok_cached", F.when(usage, F.col("seq"))).alias("cache_read"),
-        F.max_by("tok_generated", F.when(usage, F.col("seq"))).alias("output"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))).alias("model"))
+        F.max_by("tok_uncached", usage).alias("fresh_input"), F.max_by("tok_cached", usage).alias("cache_read"), F.max_by("tok_generated", usage).alias("output"), *latest.values())
 
 
 def live_errors(events: DataFrame) -> DataFrame:
     """Per session, failed results since its last turn began; rows (session_id, error_count) as a micro-batch changes them.
 
-    A fold in order: state is the count and the last place seen."""
+    State is the place where the last turn began and the places of failed results
+    after it, so that batches may arrive in any order."""
     def fold(key, frames, state):
+        import numpy as np
         import pandas as pd
 
-        count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for kind, failed in zip(rows["type"], rows["is_error"]):
-            if kind in ("user", "slash_command"):
-                count = 0
-            elif kind == "tool_result" and failed is not None and bool(failed):
-                count += 1
-        state.update((count,))
-        yield pd.DataFrame({"session_id": [key[0]], "error_count": [count]})
+        began, failed = state.get if state.exists else (-1, [])
+        rows = pd.concat(list(frames))
+        opened = rows["seq"][rows["type"].isin(["user", "slash_command"])]
+        began = int(max(began, opened.max())) if len(opened) else int(began)
+        new = rows["seq"][(rows["type"] == "tool_result") & rows["is_error"].eq(True)]
+        held = np.concatenate([np.array(list(failed), np.int64), new.to_numpy(np.int64)])
+        held = held[held > began]
+        state.update((began, held.tolist()))
+        yield pd.DataFrame({"session_id": [key[0]], "error_count": [len(held)]})
 
     return events.where("stream = 'main'").select("session_id", "seq", "type", "is_error").groupBy("session_id").applyInPandasWithState(
-        fold, "session_id string, error_count long", "error_count long", "update", "NoTimeout")
+        fold, "session_id string, error_count long", "began long, failed array<long>", "update", "NoTimeout")
 
 
 def discovery(events: DataFrame) -> DataFrame:
-    """Per session: provider, first and last activity and ``is_new`` (all its events lie in one chunk so far).  For update mode."""
-    return events.groupBy("session_id", "provider").agg(F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"),
-                                                        F.count(F.lit(1)).alias("event_count"))
+    """Per session: provider, first and last activity, events, newest chunk's time, and ``is_new`` (all its events lie in one chunk so far).  For update mode.
+
+    Sidechains alone don't make a session known.  Events without ``chunk`` and
+    ``chunk_time`` (see ``landing``) have neither of the two last columns."""
+    main = events.where("stream = 'main'")
+    told = [F.max("chunk_time").alias("modified"), (F.min("chunk") == F.max("chunk")).alias("is_new")] if "chunk" in events.columns else []
+    return main.groupBy("session_id", "provider").agg(F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"), F.count(F.lit(1)).alias("event_count"), *told)
 
 
 def token_rates(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -90,13 +112,21 @@ def reassembler(read_events: Callable[[], DataFrame], write_steps: Callable[[Dat
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what has arrived, and gives its last result, written to the folder that all executors share."""
+    """Runs a stream over what has arrived, and gives its last result (complete mode) or all its rows by ``batch``, written to the folder that all executors share."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        # by number, so that a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
 
     schema = stream.schema
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    out = spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/out")
+    return out.drop("batch") if mode == "complete" else out
+
+
+def latest(drained: DataFrame, *keys: str) -> DataFrame:
+    """Of a stream drained in update mode, the last row of each key."""
+    values = [c for c in drained.columns if c not in (*keys, "batch")]
+    return drained.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")

@@ -96,3 +96,93 @@ def test_catalog(spark, tmp_path):
     new = spark.createDataFrame([("s1", "h2", "2025", None, False)], old.schema)
     made = {r.id: r for r in catalog.upsert(old, new, ["id"], keep=["start_ts", "snippet"]).collect()}
     assert (made["s1"].project_hash, made["s1"].start_ts, made["s1"].snippet, made["s1"].is_valid) == ("h2", "2025", "x", False) and made["s2"].start_ts == "2024"
+
+
+def test_snippet_passes_over_all_descendants_of_meta(spark):
+    def rec(**k):
+        return json.dumps({"type": "user", "sessionId": "s", "timestamp": "2025-01-01T00:00:00Z", **k})
+
+    lines = [rec(uuid="m", isMeta=True, message={"content": "meta"}), rec(uuid="c", parentUuid="m", message={"content": "child"}), rec(uuid="g", parentUuid="c", message={"content": "grandchild"}),
+             rec(uuid="side", isSidechain=True, message={"content": "side"}), rec(uuid="ok", parentUuid="side", message={"content": "first of its own"})]
+    new = [lines[0], json.dumps({"type": "file-history-snapshot"}), lines[1]]
+    frame = spark.createDataFrame([("a", i, v) for i, v in enumerate(lines)] + [("b", i, v) for i, v in enumerate(new)], "path string, line_no long, value string")
+    assert {r.path: r.snippet for r in catalog.claude_headers(frame).collect()} == {"a": "first of its own", "b": "child"}
+
+
+def test_spawns_against_a_loop(spark):
+    import random
+
+    r, lines, want = random.Random(6), [], []
+    for f in range(80):
+        turn = step = 0
+        inside = False
+        for n in range(r.randint(1, 15)):
+            kind = r.choice(["context", "user", "review", "other", "item", "meta"])
+            record = {"context": "turn_context", "item": "response_item", "meta": "session_meta"}.get(kind, "event_msg")
+            payload = {"type": {"user": "user_message", "review": "entered_review_mode"}.get(kind, "agent_message")}
+            ts = f"2025-01-01T00:{f % 60:02}:{n:02}Z"
+            lines.append((f"f{f}", n, json.dumps({"timestamp": ts, "type": record, "payload": payload})))
+            if kind == "context":
+                turn, step, inside = turn + inside, 0, True
+            elif kind == "user":
+                turn, step, inside = turn + inside, 0 if inside else step, True
+            elif kind == "review":
+                want.append((f"f{f}", turn, step))
+                step += 1
+            elif kind in ("other", "item") and inside:
+                step += 1
+    got = ingest.spawn_events(spark.createDataFrame(lines, "path string, line_no long, value string"))
+    assert sorted((x.path, x.turn_index, x.step_index) for x in got.collect()) == sorted(want) and len(want) > 50
+
+
+def test_from_a_folder_of_logs_to_sessions(spark, tmp_path):
+    """Listing, headers, index, a session's events by its id, assembly, search, export and the way back."""
+    from sessionloom.operators import query as Q
+    from sessionloom.operators.assemble import assemble
+
+    root = os.path.join(tmp_path, ".claude", "projects", "p")
+    os.makedirs(root)
+
+    def rec(kind, n, content, **k):
+        return json.dumps({"type": kind, "uuid": f"u{n}", "sessionId": "s1", "cwd": "/w", "timestamp": f"2025-01-01T00:00:{n:02}Z", "message": {"content": content, "model": "m"}, **k})
+
+    with open(os.path.join(root, "a.jsonl"), "w") as f:
+        f.write("\n".join([rec("user", 1, "find the needle"), rec("assistant", 2, [{"type": "tool_use", "id": "t", "name": "Grep", "input": {"pattern": "needle"}}]),
+                           rec("user", 3, [{"type": "tool_result", "tool_use_id": "t", "content": "found", "agentId": "x"}]), rec("assistant", 4, [{"type": "text", "text": "here it is"}])]))
+    with open(os.path.join(root, "b.jsonl"), "w") as f:
+        f.write(rec("user", 5, "side", isSidechain=True, agentId="x"))
+    files = catalog.probe(catalog.list_files(spark, os.path.join(tmp_path, ".claude")))
+    assert {r.confidence for r in files.collect()} == {1.0}
+    lines = ingest.read_lines(spark, root)
+    headers = catalog.header_columns(catalog.claude_headers(lines), "claude_code")
+    paths = files.select("path").collect()
+    index, counts = catalog.build_index(headers, files)
+    assert counts.first() == (1, 2, 0) or len(paths) == 2
+    index.write(str(tmp_path / "index"))
+    index = catalog.Catalog.read(spark, str(tmp_path / "index"))
+    again, counts = catalog.build_index(headers, files, old=index)
+    assert tuple(counts.first()) == (0, 0, 2) and tuple(catalog.build_index(headers, files, old=index, force=True)[1].first()) == (1, 2, 0)
+    assert catalog.cwd_of(lines).where("cwd = '/w'").count() == 2
+    assert [r.role for r in catalog.find_session_files(index.log_files, "s1").collect()] == ["main", "sidechain"] and catalog.raw_files(spark, index.log_files, "s1").count() == 2
+    events = catalog.load_session_events(spark, index, "s1")
+    assert [r.type for r in events.orderBy("seq").collect()] == ["user", "tool_call", "tool_result", "message", "user"]
+    a = assemble(events)
+    found = Q.search_events(a, "needle", session=events.first().session_id).collect()
+    assert {r.type for r in found} == {"user", "tool_call"}
+    assert a.tools.first().tool_kind == "search" and a.tools.first().pattern == "needle"
+    assert Q.session_view(a).count() == a.steps.count() == 1
+    Q.export_session(events, str(tmp_path / "out"))
+    back = ingest.scan_agent_events(spark, str(tmp_path / "out"))
+    assert sorted(r.event_id for r in back.collect()) == sorted(r.event_id for r in events.collect())
+    import pytest
+    with pytest.raises(ValueError):
+        ingest.parse_auto(spark, ["/nowhere/x.jsonl"])
+    with pytest.raises(KeyError):
+        catalog.load_session_events(spark, index, "none")
+    assert ingest.normalize_all(spark).count() == 0
+
+
+def test_empty_sessions_of_the_second_format(spark):
+    rows = [("a", 0, "{}"), ("a", 1, '{"type":"x"}'), ("b", 0, '{"type":"session_meta"}'), ("c", 0, "{"), ("c", 1, "{"), ("c", 2, "{")]
+    lines = spark.createDataFrame(rows, "path string, line_no long, value string")
+    assert [r.path for r in catalog.empty_sessions(lines).collect()] == ["a"]

@@ -151,3 +151,46 @@ def test_near_spawn(spark):
     kids = spark.createDataFrame([("a", 200), ("b", 2000), ("c", 5125)], "child_id string, start_ms long")
     spawns = spark.createDataFrame([("p", 225), ("p", 5100), ("q", 5226)], "parent_id string, spawn_ms long")
     assert {r.child_id: r.spawn_ms for r in Q.near_spawn(kids, spawns).collect()} == {"a": 225, "b": None, "c": 5100}
+
+
+def plan_of(frame) -> str:
+    """The executed plan, after adaptive execution."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name,windows,exchanges", [("session_metrics", 12, 2), ("analysis_report", 15, 2), ("provider_efficiency", 12, 3), ("list_turns", 12, 2), ("turn_stats", 12, 2), ("digest", 16, 8)])
+def test_one_set_of_windows(spark, name, windows, exchanges):
+    """Tables of all levels come from one scan and one exchange by session and stream (another one makes the test events)."""
+    from sessionloom.plans.queries import QUERIES
+
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Window [") + plan.count("Window(") <= windows, plan
+    assert plan.count(" Exchange ") - plan.count("ReusedExchange") <= exchanges and plan.count("FileScan") == 1, plan
+
+
+def test_turns_out_of_range(spark):
+    rows = [event(session_id="s", event_id=str(i), ts=None, seq=i, type=t, text="x") for i, t in enumerate(["user", "message", "user", "message"])]
+    a = assemble(spark.createDataFrame(rows, SCHEMA))
+    assert Q.get_turns(a, [1], session="s").count() == 1
+    with pytest.raises(IndexError):
+        Q.get_turns(a, [2], session="s")
+
+
+def test_stored_tables(spark, tmp_path):
+    from sessionloom.operators import analyze as A
+    from sessionloom.operators.assemble import Assembled
+
+    a = assemble(spark.createDataFrame([event(**e) for e in random_sessions(3, 40)], SCHEMA))
+    a.store(str(tmp_path))
+    b = Assembled.load(spark, str(tmp_path))
+    for f in (A.session_metrics, A.turn_metrics, A.tool_usage, Q.list_turns):
+        assert sorted(map(str, f(b).select(*f(a).columns).collect())) == sorted(map(str, f(a).collect()))
+
+
+def test_commands(spark):
+    for command, pattern, path in (('rg -n "context window" docs -S', "context window", '"context'), ("grep pattern file.txt", "pattern", "file.txt"), ("ag 'a b' src/", "a b", "b'"),
+                                   ("rg --files docs", "docs", "docs"), ('grep "open x', None, "x"), ("bash -lc cat file.txt", None, "file.txt"), ("sed -n '1,100p' file.txt", None, "file.txt"), ("ls", None, None)):
+        assert one(spark, T.search_pattern_of(F.lit(command))) == pattern and one(spark, T.file_path_of(F.lit(command))) == path, command
+    with pytest.raises(Exception):
+        one(spark, T.effective_limit(F.lit(1000), F.lit(101.0)))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators.assemble import assemble
-from sessionloom.sources.bridge import bridged
+from sessionloom.plans.bridge import bridged
 from sessionloom.streaming import live
 
 
@@ -64,4 +64,18 @@ def test_windows(spark, landed):
     stream = live.landing(spark, folder, events.schema.simpleString()[7:-1].replace(":", " "))
     assert run(spark, live.token_rates(stream), "rates", "append").count() > 0
     assert run(spark, live.activity_bursts(stream), "bursts", "append").count() > 0
-    assert run(spark, live.discovery(stream), "found", "complete").count() == events.select("session_id").distinct().count()
+    found = run(spark, live.discovery(stream), "found", "complete")
+    assert found.count() == events.where("stream = 'main'").select("session_id").distinct().count() and found.where("modified is null").count() == 0
+    chunks = spark.read.parquet(folder).selectExpr("*", "_metadata.file_path as f").where("stream = 'main'").groupBy("session_id").agg(F.count_distinct("f").alias("n"))
+    assert {r.session_id for r in found.where("is_new").collect()} == {r.session_id for r in chunks.where("n = 1").collect()}
+
+
+def test_errors_arriving_late(spark, tmp_path):
+    """Batches in the wrong order give what one batch gives."""
+    schema = "session_id string, stream string, seq long, type string, is_error boolean"
+    rows = [("s", "main", 1, "user", None), ("s", "main", 2, "tool_result", True), ("s", "main", 3, "user", None), ("s", "main", 4, "tool_result", True), ("s", "main", 5, "tool_result", False), ("s", "main", 6, "tool_result", True)]
+    for k, at in enumerate((5, 0, 3, 1, 2, 4)):  # an opener comes after the errors behind it
+        spark.createDataFrame([rows[at]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    drained = live.drain(live.live_errors(live.landing(spark, str(tmp_path / "in"), schema, 1)), "update")
+    assert drained.select("batch").distinct().count() > 3
+    assert [r.error_count for r in live.latest(drained, "session_id").collect()] == [2]
