@@ -30,6 +30,7 @@ def truncate_by_bytes(text: Column, n: int) -> Column:
 
 def clean_snippet(text: Column) -> Column:
     """Without the blocks that agents add to a prompt, white space collapsed."""
+    # The tags of those blocks and what stands for them.
     for tag in ("environment_context", "command_output", "changed_files"):
         text = F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", " [..meta..] ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tools as T
 from .assemble import KEYS, Assembled, between_ms
 
+# What counts as slow or heavy; the texts and severities of insights are fixed, too.
 SLOW_TOOL_MS, HEAVY_DEFAULT = 10_000, 15_000
 
 

@@ -26,6 +26,7 @@ class Lens:
 
 
 def lenses() -> list[Lens]:
+    # The lenses' names, reasons, weights and least numbers.
     c = F.col
     seconds = lambda n: F.format_string("%.1fs", c(n) / 1000.0)
     return [
