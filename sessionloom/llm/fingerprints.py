@@ -4,7 +4,9 @@ The prefix hashes of a text modulo two primes answer whether any two spans are
 equal, and binary search over them finds longest common extensions.  A
 fingerprint holds the text's length, the hash of the whole text and the smallest
 hashes of all its spans of WINDOW characters, so that two fingerprints say how
-alike their texts are: the share of common spans.
+alike their texts are: the share of common spans.  A text of less than two such
+spans' length also keeps those of SHORT characters, by which two short texts are
+compared.
 
 Null text is an empty text.  Equal texts have equal fingerprints.  Of rows with
 equal ids the lesser text comes first; null ids come last.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import text_udf
 
-WINDOW, KEPT = 24, 64
+WINDOW, SHORT, KEPT = 24, 6, 64
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525077)
 #: Rows in a bucket of neighbouring ids, and the most buckets whose bounds the driver holds.
@@ -81,9 +83,9 @@ class PrefixHash:
                 high = mid - 1
         return low
 
-    def windows(self, start: int = 0) -> np.ndarray:
-        """Hashes of all spans of WINDOW characters from ``start`` on; of the whole text if it is shorter."""
-        w = min(WINDOW, self.n)
+    def windows(self, start: int = 0, width: int = WINDOW) -> np.ndarray:
+        """Hashes of all spans of ``width`` characters from ``start`` on; of the whole text if it is shorter."""
+        w = min(width, self.n)
         if not self.n:
             return np.zeros(0, np.uint64)
         out = np.zeros(max(0, self.n - w + 1 - start), np.uint64)
@@ -104,14 +106,20 @@ def smallest(hashes: np.ndarray, k: int = KEPT) -> np.ndarray:
 
 def fingerprint(h: PrefixHash, least: np.ndarray) -> str:
     a, b = h.span(0, h.n)
-    return f"{h.n:x}:{a << 31 | b:016x}:" + ",".join([f"{x:016x}" for x in least.tolist()])
+    short = f":{_told(smallest(h.windows(width=SHORT)))}" if h.n < 2 * WINDOW else ""
+    return f"{h.n:x}:{a << 31 | b:016x}:{_told(least)}{short}"
+
+
+def _told(hashes: np.ndarray) -> str:
+    return ",".join([f"{x:016x}" for x in hashes.tolist()])
 
 
 def likeness(a: str, b: str) -> float:
     """The share of common spans that two fingerprints tell, 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (set(f.rpartition(":")[2].split(",")) - {""} for f in (a, b))
+    parts = [f.split(":")[2:] for f in (a, b)]
+    x, y = (set(p[min(map(len, parts)) - 1].split(",")) - {""} for p in parts)  # short spans if both have them
     least = sorted(x | y)[:KEPT]
     return sum(v in x and v in y for v in least) / len(least) if least else 0.0
 

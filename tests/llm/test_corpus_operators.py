@@ -459,6 +459,38 @@ def test_fingerprints(request, which, monkeypatch):
         assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.9 * len(rows)
 
 
+def plain_likeness(a, b):
+    """The share of common spans, over the smallest hashes of both; by plain arithmetic over each span."""
+    if a == b:
+        return 1.0
+    width = fingerprints.SHORT if max(len(a), len(b)) < 2 * fingerprints.WINDOW else fingerprints.WINDOW
+
+    def least(t):
+        w = min(width, len(t))
+        spans = (fingerprints.PrefixHash(t[i:i + w]).span(0, w) for i in range(len(t) - w + 1 if t else 0))
+        return sorted({a << 31 | b for a, b in spans})[:fingerprints.KEPT]
+
+    x, y = least(a), least(b)
+    union = sorted(set(x) | set(y))[:fingerprints.KEPT]
+    return sum(v in x and v in y for v in union) / len(union) if union else 0.0
+
+
+def test_likeness_against_plain_spans(spark):
+    rows = [(i, t[:300]) for i, t in both(spark.read.parquet(f"{SF}/documents.parquet")) if t][:60]
+    rows += [(1000 + k, "the quick brown fox jumps over it"[:k]) for k in range(0, 34, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: -r[0])
+    after = {i: nxt for (i, _), (_, nxt) in zip(order, order[1:] + order[:1])}
+    texts, short = dict(rows), 0
+    for r in fingerprints.compare_neighbours(frame).collect():
+        t, nxt = texts[r["doc_id"]], after[r["doc_id"]]
+        half = len(t) // 2
+        assert r["near_edited"] == pytest.approx(plain_likeness(t, t[:len(t) - half] + nxt[:half]))
+        assert r["near_next"] == pytest.approx(plain_likeness(t, nxt))
+        short += 12 < len(t) < 47 and r["near_edited"] > 0
+    assert short > 5
+
+
 def test_prefix_hashes_answer_span_equality():
     import random
 
