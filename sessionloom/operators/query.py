@@ -298,6 +298,13 @@ def recent_events(events: DataFrame, k: int = 50) -> DataFrame:
     return events.withColumn("recency", back).where(F.col("recency") <= k)
 
 
+def with_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
+    """The ids of the sessions that are meant: the one that is ``prefix``, else those that start with it."""
+    ids = sessions.where(F.col("session_id").startswith(prefix)).select("session_id").distinct()
+    exact = F.max(F.col("session_id") == prefix).over(W.partitionBy())  # over the ids with that prefix
+    return ids.withColumn("_exact", exact).where((F.col("session_id") == prefix) | ~F.col("_exact")).drop("_exact")
+
+
 def resolve_prefix(sessions: DataFrame, prefix: str) -> str | None:
     """The session id that is or starts with ``prefix``; None if none does, an error if several do."""
     ids = sessions.select("session_id").distinct()

@@ -76,6 +76,38 @@ def norm_gemini(e: DataFrame):
         "tok_cached", "tok_uncached", "tok_generated", "tok_reasoning", "tok_tool", "file_path", "command")
 
 
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, ['slash_command', 'notification', 'notification', 'notification', 'notification', 'queue_operation', 'summary', 'notification'][seq % 8 + 1] AS type,
+  CASE seq % 8 WHEN 0 THEN '/model' WHEN 1 THEN 'Turn duration: ' || seq || 'ms' WHEN 2 THEN 'Context compaction (trigger: ' || CASE WHEN seq % 3 = 0 THEN 'auto' ELSE 'unknown' END || ', pre_tokens: ' || seq || ')'
+    WHEN 3 THEN 'Stop hooks executed (count: 2): lint, fmt' WHEN 4 THEN 'Hook: h (Stop)' WHEN 5 THEN 'enqueue' WHEN 6 THEN 'sum ' || event_id ELSE 'PR #' || seq || ' linked: http://x' END AS said,
+  CASE WHEN seq % 8 IN (2, 3, 7) OR (seq % 8 = 4 AND seq % 3 = 0) THEN 'info' WHEN seq % 8 IN (1, 4) THEN 'debug' END AS level,
+  CASE seq % 8 WHEN 0 THEN 'big ' || event_id WHEN 5 THEN 'task ' || event_id WHEN 6 THEN event_id END AS more FROM ev"""), on="events")
+def norm_claude_records(e: DataFrame):
+    return ingest.claude_events(render.other_records(e)).select(
+        "path", "line_no", "type", F.coalesce("text", "slash_name", "queue_op").alias("said"), "level", F.coalesce("slash_args", "queue_content", "leaf_uuid").alias("more"))
+
+
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name = 'Read' OR command IN ('ls -la src', 'cat a.txt') THEN 'FileRead' WHEN tool_name = 'Bash' THEN 'Execute' WHEN tool_name = 'Grep' THEN 'Search'
+    WHEN tool_name = 'Edit' THEN CASE WHEN seq % 2 = 0 THEN 'FileWrite' ELSE 'FileEdit' END WHEN starts_with(tool_name, 'mcp__') THEN 'Mcp' ELSE 'Generic' END AS tool_variant,
+  CASE WHEN tool_name IN ('Read', 'Edit') THEN file_path WHEN tool_name = 'Grep' THEN pattern WHEN command = 'cat a.txt' THEN 'a.txt' END AS file_path, CASE WHEN tool_name = 'Grep' THEN pattern END AS pattern
+  FROM ev WHERE type = 'tool_call'"""), on="events")
+def tool_norm_codex(e: DataFrame):
+    return ingest.codex_events(render.codex_tool_lines(e)).select("path", "line_no", "tool_variant", "file_path", "pattern")
+
+
+@query(O.on_events("""SELECT session_id AS path, event_id AS call, CASE tool_name WHEN 'Read' THEN 'FileRead' WHEN 'Edit' THEN 'FileEdit' WHEN 'Bash' THEN 'Execute' WHEN 'Grep' THEN 'Search' WHEN 'Glob' THEN 'Generic' ELSE 'Mcp' END AS tool_variant,
+  mcp_server, mcp_tool, command FROM ev WHERE type = 'tool_call'"""), on="events")
+def tool_norm_gemini(e: DataFrame):
+    got = ingest.gemini_events(render.gemini_documents(e, own_tools=True)).where("type = 'tool_call'")
+    return got.select("path", F.col("provider_call_id").alias("call"), "tool_variant", "mcp_server", "mcp_tool", "command")
+
+
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, seq * 10 AS context_limit FROM (SELECT *, lag((tok_uncached + tok_cached) || ' ' || tok_generated) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM ev WHERE type = 'token_usage')
+  WHERE was IS DISTINCT FROM ((tok_uncached + tok_cached) || ' ' || tok_generated)"""), on="events")
+def extract_context_limit(e: DataFrame):
+    got = ingest.codex_events(render.codex_lines(e.where("type = 'token_usage'")))
+    return got.select("path", "line_no", "context_limit")
+
+
 @query(O.on_events("""SELECT path, arg_min(text, seq) FILTER (says) AS snippet, min(ms) AS start_ms, bool_and(side) AS is_sidechain FROM (
   SELECT session_id || '/' || stream AS path, seq, row_number() OVER (PARTITION BY session_id, stream ORDER BY seq) AS n, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, stream <> 'main' AS side,
     CASE WHEN type = 'slash_command' THEN '<command-name>/commit</command-name>' ELSE text END AS text, type IN ('user', 'slash_command') AND stream = 'main' AS says FROM ev WHERE type <> 'token_usage') WHERE n <= 200 GROUP BY path"""), on="events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from ..operators.assemble import KEYS, Assembled, assemble
 from ..streaming import live
 from . import index_queries, log_queries  # noqa: F401  (they register their queries)
 from . import oracle as O
-from .bridge import conversation_events
+from .bridge import bridged, conversation_events
 from .registry import ORACLE, QUERIES, ms, on_documents, query
 
 # --- assembly -------------------------------------------------------------------------------------------------
@@ -464,6 +466,20 @@ def join_spawn_interval(e: DataFrame):
     return Q.near_spawn(kids, spawns, 30_000)
 
 
+@query(O.on_events("""SELECT c.event_id AS child_id, c.ms AS start_ms, arg_min(p.session_id, {'d': abs(c.ms - p.ms), 'p': p.session_id, 's': p.ms}) AS parent_id, arg_min(p.ms, {'d': abs(c.ms - p.ms), 'p': p.session_id, 's': p.ms}) AS spawn_ms
+  FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM ev WHERE type = 'user') c
+  LEFT JOIN (SELECT session_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) + seq % 250 AS ms FROM ev WHERE type = 'user') p ON abs(c.ms - p.ms) <= 100 GROUP BY ALL"""), on="events")
+def join_codex_spawn(e: DataFrame):
+    kids = e.where("type = 'user'").select(F.col("event_id").alias("child_id"), ms("ts").alias("start_ms"))
+    spawns = e.where("type = 'user'").select(F.col("session_id").alias("parent_id"), (ms("ts") + F.col("seq") % 250).alias("spawn_ms"))
+    return Q.near_spawn(kids, spawns)
+
+
+@query(O.on_events("SELECT DISTINCT session_id FROM ev WHERE starts_with(session_id, 's1')" + " AND (session_id = 's1' OR NOT EXISTS (SELECT 1 FROM ev x WHERE x.session_id = 's1'))"), on="events")
+def resolve_prefix(e: DataFrame):
+    return Q.with_prefix(e, "s1")
+
+
 # --- selection --------------------------------------------------------------------------------------------------
 
 POOL = """pool AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY start_time DESC, session_id) + 1 AS boost FROM
@@ -579,6 +595,22 @@ _streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id
 _streamed("live_errors", live.live_errors, "update", """SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'error' AND k % 3 = 0 AND event_id > began) AS error_count FROM
   (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id), -1) AS began FROM events) GROUP BY user_id""",
           lambda d: live.latest(d, "session_id"))
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that a stream touches, assembled again from all stored events, batch by batch."""
+    folder = f"{live.shared_dir(spark)}/live-{uuid.uuid4().hex}"
+
+    def replace(touched: DataFrame, steps: DataFrame) -> None:
+        steps.select(*KEYS, "turn_index", "step_index", "status", "tokens").write.mode("overwrite").parquet(f"{folder}/steps")  # one batch holds the whole table here
+
+    stream = _raw_stream(spark, sf_dir)
+    each = live.reassembler(lambda: bridged(spark, sf_dir), replace)
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/steps")
+
+
+QUERIES["live_sessions"] = live_sessions
+ORACLE["live_sessions"] = O.on_tables("SELECT session_id, stream, turn_index, step_index, status, tokens FROM steps")
+
 _streamed("watch_session", lambda e: live.live_state(live.watch(e, provider="p", session="s1")), "complete", """SELECT 's' || user_id AS session_id, count(*) AS event_count FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%' GROUP BY user_id""",
           lambda d: d.select("session_id", "event_count"))
 

@@ -61,11 +61,52 @@ def review_lines(events: DataFrame) -> DataFrame:
     return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value"))
 
 
-def gemini_documents(events: DataFrame) -> DataFrame:
-    """path (the session) and value: one document of the third format a session, without results and slash commands; calls of even places have a result."""
+def other_records(events: DataFrame) -> DataFrame:
+    """path, line_no and value: records of the first format that nobody says, of eight sorts by place."""
+    n = F.col("seq")
+
+    def record(kind: str, **fields: Column) -> Column:
+        return _line(F.lit(kind).alias("type"), F.col("event_id").alias("uuid"), F.col("session_id").alias("sessionId"), _time(), *[v.alias(k) for k, v in fields.items()])
+
+    hooks = F.array(F.struct(F.lit("lint").alias("command")), F.struct(F.lit("fmt").alias("command")))
+    sorts = [record("system", subtype=F.lit("local_command"), content=F.concat(F.lit("/model big "), "event_id")), record("system", subtype=F.lit("turn_duration"), durationMs=n),
+             record("system", subtype=F.lit("compact_boundary"), compactMetadata=F.struct(F.when(n % 3 == 0, "auto").alias("trigger"), n.alias("preTokens"))),
+             record("system", subtype=F.lit("stop_hook_summary"), hookCount=F.lit(2), hookInfos=hooks),
+             record("progress", data=F.struct(F.lit("hook_progress").alias("type"), F.lit("Stop").alias("hookEvent"), F.lit("h").alias("hookName"), F.when(n % 3 == 0, "run").alias("command"))),
+             record("queue-operation", operation=F.lit("enqueue"), content=F.concat(F.lit("task "), "event_id")), record("summary", summary=F.concat(F.lit("sum "), "event_id"), leafUuid=F.col("event_id")),
+             record("pr-link", prNumber=n, prUrl=F.lit("http://x"), prRepository=F.lit("r"))]
+    return events.select(F.col("session_id").alias("path"), n.alias("line_no"), F.element_at(F.array(*sorts), (n % 8 + 1).cast("int")).alias("value"))
+
+
+def own_names(events: DataFrame, names: dict[str, str]) -> Column:
+    """The tool's name in another format."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("tool_name")), F.col("tool_name"))
+
+
+def codex_tool_lines(events: DataFrame) -> DataFrame:
+    """Calls in the second format as its own tools: shell, shell commands and patches."""
+    name = own_names(events, {"Bash": "shell", "Read": "shell_command", "Grep": "shell", "Edit": "apply_patch"})
+    tool = F.col("tool_name")
+    args = (F.when(tool == "Bash", F.to_json(F.struct(F.array(F.lit("bash"), F.lit("-lc"), "command").alias("command")))).when(tool == "Read", F.to_json(F.struct(F.concat(F.lit("cat "), "file_path").alias("command"))))
+            .when(tool == "Grep", F.to_json(F.struct(F.array(F.lit("rg"), F.lit("-n"), "pattern", F.lit("src")).alias("command"))))
+            .when(tool == "Edit", F.concat(F.lit("*** Begin Patch\n*** "), F.when(F.col("seq") % 2 == 0, "Add").otherwise("Update"), F.lit(" File: "), "file_path", F.lit("\n+x"))).otherwise("{}"))
+    call = F.struct(F.lit("function_call").alias("type"), name.alias("name"), args.alias("arguments"), F.col("event_id").alias("call_id"))
+    return events.where("type = 'tool_call'").select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), _line(_time(), F.lit("response_item").alias("type"), call.alias("payload")).alias("value"))
+
+
+def gemini_documents(events: DataFrame, own_tools: bool = False) -> DataFrame:
+    """path (the session) and value: one document of the third format a session, without results and slash commands; calls of even places have a result.
+
+    With ``own_tools`` tools have that format's names."""
     kind = F.col("type")
+    if own_tools:
+        mcp = F.col("tool_name").startswith("mcp__")
+        named = own_names(events, {"Read": "read_file", "Edit": "replace", "Bash": "run_shell_command", "Grep": "google_web_search"})
+        events = events.withColumn("_display", F.when(mcp, F.concat("mcp_tool", F.lit(" ("), "mcp_server", F.lit(" MCP Server)")))).withColumn("tool_name", F.when(mcp, F.col("mcp_tool")).otherwise(named))
+    else:
+        events = events.withColumn("_display", F.lit(None).cast("string"))
     identity = F.concat(F.lit("m"), "event_id").alias("id")
-    call = F.struct(F.col("event_id").alias("id"), F.col("tool_name").alias("name"), F.struct("file_path", "command").alias("args"),
+    call = F.struct(F.col("event_id").alias("id"), F.col("tool_name").alias("name"), F.col("_display").alias("displayName"), F.struct("file_path", "command").alias("args"),
                     F.when(F.col("seq") % 2 == 0, F.array(F.struct(F.lit(1).alias("x")))).otherwise(F.filter(F.array(F.struct(F.lit(1).alias("x"))), lambda x: F.lit(False))).alias("result"),
                     F.when(F.col("seq") % 4 == 0, "error").otherwise("success").alias("status"), F.concat(F.lit("shown "), "event_id").alias("resultDisplay"))
     tokens = F.struct(F.col("tok_uncached").alias("input"), F.col("tok_generated").alias("output"), F.col("tok_cached").alias("cached"), F.lit(1).alias("thoughts"), F.lit(2).alias("tool"), F.lit(0).alias("total"))
@@ -90,7 +131,7 @@ def codex_lines(events: DataFrame, models: bool = False) -> DataFrame:
 
     last = F.struct((F.col("tok_uncached") + F.col("tok_cached")).alias("input_tokens"), F.col("tok_cached").alias("cached_input_tokens"),
                     F.col("tok_generated").alias("output_tokens"), (F.col("tok_uncached") + F.col("tok_cached") + F.col("tok_generated")).alias("total_tokens"))
-    usage = _line(_time(), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(last.alias("last_token_usage")).alias("info")).alias("payload"))
+    usage = _line(_time(), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(last.alias("last_token_usage"), (F.col("seq") * 10).alias("model_context_window")).alias("info")).alias("payload"))
     output = F.concat(F.lit("Exit code: "), F.col("is_error").cast("int").cast("string"), F.lit("\n"), "output")
     value = (F.when(kind == "user", said("user")).when(kind == "message", said("assistant"))
              .when(kind == "reasoning", item(F.lit("reasoning").alias("type"), F.array(F.struct(F.lit("summary_text").alias("type"), "text")).alias("summary")))
