@@ -33,10 +33,13 @@ def test_stages(spark):
 
 
 def test_clashing_columns_and_empty_table(spark):
-    odd = spark.createDataFrame([(1, None, "en", "a", 1, 5), (None, "some words", None, None, None, None)],
-                                "doc_id long, text string, lang string, source string, n_chars long, n_words int")
-    assert cp.quality_stage(spark, odd, SF).columns == odd.columns
-    assert jaccard.keep_one(odd).count() == 2
+    names = ["n_words", "_at", "_kept", "id", "row", "place", "score", "node", "_bucket", "_rank", "length", "offset", "p", "l"]
+    odd = spark.createDataFrame([(1, None, "en", "a", 1, *range(len(names))), (None, "some words", None, None, None, *[None] * len(names)), (2, "some words", "en", "b", 9, *range(len(names)))],
+                                "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns
+    assert cp.duplicate_stage(spark, odd, SF).count() == 3 and cp.packing_stage(spark, odd, SF).count() == 3
+    assert jaccard.keep_one(odd).count() == 3
     empty = odd.where("false")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
