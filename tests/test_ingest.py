@@ -186,3 +186,24 @@ def test_empty_sessions_of_the_second_format(spark):
     rows = [("a", 0, "{}"), ("a", 1, '{"type":"x"}'), ("b", 0, '{"type":"session_meta"}'), ("c", 0, "{"), ("c", 1, "{"), ("c", 2, "{")]
     lines = spark.createDataFrame(rows, "path string, line_no long, value string")
     assert [r.path for r in catalog.empty_sessions(lines).collect()] == ["a"]
+
+
+def test_headers_of_the_second_and_third_format(spark):
+    def rec(kind, **payload):
+        return json.dumps({"timestamp": "2025-01-01T00:00:00Z", "type": kind, "payload": payload})
+
+    def said(text):
+        return rec("response_item", type="message", role="user", content=[{"type": "input_text", "text": text}])
+
+    lines = [rec("session_meta", id="sid", cwd="/w", source={"subagent": "review"}), said("<environment_context>x</environment_context>"), said("y" * 300), said("later")]
+    frame = spark.createDataFrame([("a", i, v) for i, v in enumerate(lines)] + [("b", i, rec("event_msg", type="x")) for i in range(20)] + [("b", 20, said("too late"))], "path string, line_no long, value string")
+    rows = {r.path: r for r in catalog.codex_headers(frame).collect()}
+    assert (rows["a"].session_id, rows["a"].cwd, rows["a"].snippet, rows["a"].subagent) == ("sid", "/w", "y" * 200, "review") and rows["b"].snippet is None
+    new = json.dumps({"sessionId": "g", "projectHash": "h", "startTime": "t0", "messages": [{"type": "info", "content": "no"}, {"type": "user", "content": "first"}]})
+    old = json.dumps([{"sessionId": "old", "messageId": 0, "type": "user", "message": "said", "timestamp": "t1"}])
+    docs = spark.createDataFrame([("new", new), ("old", old), ("bad", "{")], "path string, value string")
+    heads = {r.path: r for r in catalog.gemini_headers(docs).collect()}
+    assert (heads["new"].session_id, heads["new"].start_ts, heads["new"].snippet, heads["new"].stored_hash) == ("g", "t0", "first", "h")
+    assert (heads["old"].session_id, heads["old"].start_ts, heads["old"].snippet) == ("old", "t1", "said") and heads["bad"].session_id is None
+    made, _ = catalog.build_index(catalog.header_columns(catalog.gemini_headers(docs), "gemini"), docs.selectExpr("path", "length(value) as length", "timestamp'2025-01-01' as modificationTime"))
+    assert {r.id: r.project_hash for r in made.sessions.collect()}["g"] == "h" and len({r.project_hash for r in made.sessions.collect()}) == 2
