@@ -276,7 +276,8 @@ def number_sessions(sessions: DataFrame, newest: bool = True, bucket: str = "hou
 
     Only the buckets of time that hold sessions are summed up in one task; places are counted inside each bucket."""
     order = [*order_sessions(sessions, newest), F.asc("stream")]
-    rows = sessions.withColumn("_bucket", F.date_trunc(bucket, "start_time"))
+    none = F.to_timestamp(F.lit("0001-01-01"))  # sessions without a start are in one bucket, before all others
+    rows = sessions.withColumn("_bucket", F.coalesce(F.date_trunc(bucket, "start_time"), none))
     before = W.orderBy(F.desc("_bucket") if newest else F.asc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
@@ -301,8 +302,8 @@ def recent_events(events: DataFrame, k: int = 50) -> DataFrame:
 def with_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
     """The ids of the sessions that are meant: the one that is ``prefix``, else those that start with it."""
     ids = sessions.where(F.col("session_id").startswith(prefix)).select("session_id").distinct()
-    exact = F.max(F.col("session_id") == prefix).over(W.partitionBy())  # over the ids with that prefix
-    return ids.withColumn("_exact", exact).where((F.col("session_id") == prefix) | ~F.col("_exact")).drop("_exact")
+    exact = ids.where(F.col("session_id") == prefix).agg((F.count(F.lit(1)) > 0).alias("_exact"))  # one row
+    return ids.join(F.broadcast(exact)).where((F.col("session_id") == prefix) | ~F.col("_exact")).drop("_exact")
 
 
 def resolve_prefix(sessions: DataFrame, prefix: str) -> str | None:
