@@ -13,7 +13,8 @@ that fit go.  At the end shards over their count give up rows, unlinked ones
 first, then those linked by lines only, to shards under it, so that counts are
 at most one apart.
 
-A node of more rows than a quarter of a shard is split beforehand.  Null and
+Nodes and hubs are known by 64 bits: should two texts share them, they only stay
+together.  A node of more rows than a quarter of a shard is split beforehand.  Null and
 empty texts are linked with nothing.  Repeated rows are rows of their own; hot
 nodes and hubs are joined by broadcast (HOT_KEYS at most), the others by shuffle.
 """
@@ -50,7 +51,7 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) ->
 def links_of(docs: DataFrame, node: str, text: str, line: int = LINE) -> DataFrame:
     """node, hub, n: which nodes have which lines of ``line`` characters or more, for lines that n > 1 nodes have."""
     lines = F.filter(F.array_distinct(F.transform(F.split(text, "\n"), F.trim)), lambda x: F.length(x) >= line)
-    hub = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    hub = F.transform(lines, lambda x: F.xxhash64(x))
     members = settle(docs.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.explode(hub).alias("hub")).distinct())
     hubs = settle(members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return join_hot(members, hubs, "hub", "n", members.count())
@@ -141,13 +142,12 @@ def placed_nodes(rows: DataFrame, docs: DataFrame, n: int, shards: int, rounds:
 def node_of(docs: DataFrame, n: int, shards: int) -> DataFrame:
     """``docs`` (doc_id, text, ...) with their node: equal texts share one, if that is less than a quarter of a shard's rows; none for null and empty texts."""
     t = F.col("text")
-    same = F.when(t != "", F.concat_ws("-", F.hex(F.xxhash64(t)), F.hex(F.xxhash64(F.lit(1), t)), F.hex(F.octet_length(t))))
+    same = F.when(t != "", F.xxhash64(t, F.octet_length(t)))
     most = max(1, n // (4 * shards))
-    docs = docs.withColumn("_same", same)
-    large = docs.where("_same is not null").groupBy("_same").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)  # 4 x shards at most
-    part = F.pmod(F.xxhash64("doc_id", F.lit("split")), F.ceil(F.col("_n") / most)).cast("string")
-    return (docs.join(F.broadcast(large), "_same", "left")
-            .withColumn("node", F.when(F.col("_n").isNull(), F.col("_same")).otherwise(F.concat_ws("/", "_same", part))).drop("_same", "_n"))
+    docs = docs.withColumn("node", same)
+    large = docs.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)  # 4 x shards at most
+    part = F.pmod(F.xxhash64("doc_id", F.lit("split")), F.ceil(F.col("_n") / most))
+    return docs.join(F.broadcast(large), "node", "left").withColumn("node", F.when(F.col("_n").isNull(), F.col("node")).otherwise(F.xxhash64("node", part))).drop("_n")
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
