@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, language, licenses, packing, pii, quality, sharding, urls
+from . import bpe, conversations, fingerprints, jaccard, language, licenses, packing, pii, quality, sharding, toxicity, urls, whitening
 from .common import table
 
 #: (verdict, host, path prefix)
@@ -82,9 +82,38 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The turns of ``conversations`` as the contract damages them: dropped, emptied, without ends of sentences, repeated or said by the user."""
+    def told(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    times = F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))
+    return rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(told("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_digest(damaged(rows), rows)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows", "first_word")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_packing, op3_url_filter, op4_license_scan, op5_personal_data, op6_fingerprints,
-    op7_language_id, op8_sharding, op9_bpe, op10_jaccard_join)}
+    op7_language_id, op8_sharding, op9_bpe, op10_jaccard_join, op11_conversation_repair, op12_whitening, op13_toxicity)}
 
 ORACLE: dict[str, str] = {}
 
