@@ -35,22 +35,22 @@ SCALE = 256
 
 
 def whole(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and the whole numbers x of each row that stays."""
+    """vec_id and the whole numbers x of each row that stays, without the zeros at their end, which a shorter vector leaves out."""
     v = F.col(embedding).cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v"), F.coalesce(finite, F.lit(False)).alias("finite")).where("v is not null and finite")
-    return rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE)).alias("x"))
+    rows = rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE)).alias("x"))
+    last = F.coalesce(F.array_max(F.transform("x", lambda c, i: F.when(c != 0, i + 1))), F.lit(0))
+    return rows.withColumn("x", F.when(F.get("x", F.size("x") - 1) != 0, F.col("x")).otherwise(F.slice("x", F.lit(1), last)))
 
 
 def _key(rows: DataFrame) -> DataFrame:
-    """The hash of a vector's numbers without the zeros at its end, which shorter vectors leave out."""
-    numbers = F.regexp_replace(F.regexp_replace(F.col("x").cast("string"), r"(, 0)+\]$", "]"), r"^\[0\]$", "[]")
-    return rows.withColumn("key", F.sha2(numbers.cast("binary"), 256))
+    return rows.withColumn("key", F.sha2(F.col("x").cast("string").cast("binary"), 256))
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """key, x and times (the number of rows) of each distinct vector."""
-    return _key(rows).groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("times"))
+    return _key(rows.groupBy("x").agg(F.count(F.lit(1)).alias("times")))
 
 
 def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
