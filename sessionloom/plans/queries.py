@@ -15,7 +15,7 @@ from ..operators import query as Q
 from ..operators import select as S
 from ..operators.assemble import KEYS, Assembled, assemble
 from ..streaming import live
-from . import index_queries, log_queries  # noqa: F401  (they register their queries)
+from . import index_queries, live_queries, log_queries  # noqa: F401  (they register their queries)
 from . import oracle as O
 from .bridge import bridged, conversation_events
 from .registry import ORACLE, QUERIES, ms, on_documents, query
@@ -590,27 +590,6 @@ def _streamed(name: str, f, mode: str, sql: str, select) -> None:
 _streamed("live_state", live.live_state, "complete", """SELECT 's' || user_id AS session_id, CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) AS last_ms, count(*) AS event_count, count(*) FILTER (event_type = 'signup') AS turn_count,
   arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) FILTER (event_type = 'purchase') AS fresh_input FROM events GROUP BY user_id""",
           lambda d: d.select("session_id", ms("last_activity").alias("last_ms"), "event_count", "turn_count", "fresh_input"))
-_streamed("discovery_stream", live.discovery, "complete", "SELECT 's' || user_id AS session_id, 'p' AS provider, count(*) AS event_count, true AS is_new FROM events GROUP BY user_id",
-          lambda d: d.select("session_id", "provider", "event_count", "is_new"))
-_streamed("live_errors", live.live_errors, "update", """SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'error' AND k % 3 = 0 AND event_id > began) AS error_count FROM
-  (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id), -1) AS began FROM events) GROUP BY user_id""",
-          lambda d: live.latest(d, "session_id"))
-def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessions that a stream touches, assembled again from all stored events, batch by batch."""
-    folder = f"{live.shared_dir(spark)}/live-{uuid.uuid4().hex}"
-
-    def replace(touched: DataFrame, steps: DataFrame) -> None:
-        steps.select(*KEYS, "turn_index", "step_index", "status", "tokens").write.mode("overwrite").parquet(f"{folder}/steps")  # one batch holds the whole table here
-
-    stream = _raw_stream(spark, sf_dir)
-    each = live.reassembler(lambda: bridged(spark, sf_dir), replace)
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/steps")
-
-
-QUERIES["live_sessions"] = live_sessions
-ORACLE["live_sessions"] = O.on_tables("SELECT session_id, stream, turn_index, step_index, status, tokens FROM steps")
-
 _streamed("watch_session", lambda e: live.live_state(live.watch(e, provider="p", session="s1")), "complete", """SELECT 's' || user_id AS session_id, count(*) AS event_count FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%' GROUP BY user_id""",
           lambda d: d.select("session_id", "event_count"))
 

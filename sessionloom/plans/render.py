@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
@@ -141,3 +144,32 @@ def codex_lines(events: DataFrame, models: bool = False) -> DataFrame:
     if models:
         value = value.when(kind == "slash_command", _line(_time(), F.lit("turn_context").alias("type"), F.struct(F.concat_ws("-", "model", F.col("seq").cast("string")).alias("model")).alias("payload")))
     return events.select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), value.alias("value")).where("value is not null")
+
+
+def write_files(lines: DataFrame, folder: str, suffix: str = ".jsonl") -> int:
+    """Writes the lines of each path to a file of its name below ``folder``, in place of what was there; gives the number of files.
+
+    lines: path (parts may be joined by slashes), line_no, value and, if lines don't end all alike, ``end``.  Each file is written by one task, line by line."""
+    if "end" not in lines.columns:
+        lines = lines.withColumn("end", F.lit("\n"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        at = out = None
+        n = 0
+        for batch in batches:
+            for path, value, end in zip(*[batch.column(c).to_pylist() for c in ("path", "value", "end")]):
+                if path != at:
+                    if out:
+                        out.close()
+                    name = f"{root}/{path}{suffix}"
+                    files.create_dir(name.rpartition("/")[0], recursive=True)
+                    at, out, n = path, files.open_output_stream(name), n + 1
+                out.write(f"{value}{end}".encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return lines.select("path", "line_no", "value", "end").repartition("path").sortWithinPartitions("path", "line_no").mapInArrow(each, "files long").agg(F.sum("files")).first()[0] or 0

@@ -1,8 +1,9 @@
 """Live sessions with Structured Streaming.
 
-Logs arrive as immutable chunks in a landing folder.  Running state is a
-streaming aggregation in update mode; whole sessions are assembled again, by
-the same plan as in batch, for the sessions that a micro-batch touches.
+Logs arrive as immutable chunks in a landing folder (files that grow are in
+:mod:`tail`).  Running state is a streaming aggregation in update mode; state
+that ends is in :mod:`state`, and whole sessions, assembled again by the same
+plan as in batch, are in :mod:`store`.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..operators.assemble import assemble
+from pyspark.sql.streaming import StreamingQuery
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one on a local master where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (folder or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def landing(spark: SparkSession, folder: str, schema: str, files_at_once: int | None = None) -> DataFrame:
@@ -55,39 +58,6 @@ def live_state(events: DataFrame) -> DataFrame:
         F.max_by("tok_uncached", usage).alias("fresh_input"), F.max_by("tok_cached", usage).alias("cache_read"), F.max_by("tok_generated", usage).alias("output"), *latest.values())
 
 
-def live_errors(events: DataFrame) -> DataFrame:
-    """Per session, failed results since its last turn began; rows (session_id, error_count) as a micro-batch changes them.
-
-    State is the place where the last turn began and the places of failed results
-    after it, so that batches may arrive in any order."""
-    def fold(key, frames, state):
-        import numpy as np
-        import pandas as pd
-
-        began, failed = state.get if state.exists else (-1, [])
-        rows = pd.concat(list(frames))
-        opened = rows["seq"][rows["type"].isin(["user", "slash_command"])]
-        began = int(max(began, opened.max())) if len(opened) else int(began)
-        new = rows["seq"][(rows["type"] == "tool_result") & rows["is_error"].eq(True)]
-        held = np.concatenate([np.array(list(failed), np.int64), new.to_numpy(np.int64)])
-        held = held[held > began]
-        state.update((began, held.tolist()))
-        yield pd.DataFrame({"session_id": [key[0]], "error_count": [len(held)]})
-
-    return events.where("stream = 'main'").select("session_id", "seq", "type", "is_error").groupBy("session_id").applyInPandasWithState(
-        fold, "session_id string, error_count long", "began long, failed array<long>", "update", "NoTimeout")
-
-
-def discovery(events: DataFrame) -> DataFrame:
-    """Per session: provider, first and last activity, events, newest chunk's time, and ``is_new`` (all its events lie in one chunk so far).  For update mode.
-
-    Sidechains alone don't make a session known.  Events without ``chunk`` and
-    ``chunk_time`` (see ``landing``) have neither of the two last columns."""
-    main = events.where("stream = 'main'")
-    told = [F.max("chunk_time").alias("modified"), (F.min("chunk") == F.max("chunk")).alias("is_new")] if "chunk" in events.columns else []
-    return main.groupBy("session_id", "provider").agg(F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"), F.count(F.lit(1)).alias("event_count"), *told)
-
-
 def token_rates(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """An addition: tokens by tumbling window of event time, for append mode."""
     return events.withWatermark("ts", late).where("type = 'token_usage'").groupBy(F.window("ts", window).alias("w"), "provider").agg(
@@ -100,15 +70,20 @@ def activity_bursts(events: DataFrame, gap: str = "30 minutes", late: str = "1 h
         "session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def reassembler(read_events: Callable[[], DataFrame], write_steps: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: assembles again all sessions that a micro-batch touches.
-
-    ``read_events`` gives all stored events, those of the batch included; ``write_steps``
-    gets the touched session ids and their new steps, and replaces those sessions."""
-    def each(batch: DataFrame, number: int) -> None:
-        touched = batch.select("session_id").distinct()
-        write_steps(touched, assemble(read_events().join(touched, "session_id", "left_semi")).steps)
-    return each
+def run_once(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
+    """One run over what has arrived, from the checkpoint in ``folder`` on; ``write`` gets each batch and its number.
+
+    State with timers or a time to live asks for batches without data for ever,
+    so that these are off here: it ends in the next batch that has data."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
+    query.awaitTermination()
+    return query
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:

@@ -1,11 +1,17 @@
 """Streams against the same operators in batch."""
 
+import datetime
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators.assemble import assemble
+from sessionloom.plans import render
 from sessionloom.plans.bridge import bridged
-from sessionloom.streaming import live
+from sessionloom.sources import ingest
+from sessionloom.streaming import live, state, store, tail
 
 
 @pytest.fixture(scope="module")
@@ -31,32 +37,132 @@ def test_live_state_equals_batch(spark, landed):
     assert sorted(map(str, rows)) == sorted(map(str, want)) and want
 
 
-def test_reassembly_equals_batch(spark, landed, tmp_path):
-    folder, events = landed
-    steps: dict = {}
+def chunks(spark, folder, schema, operator, frames, path):
+    """Rows that an operator gives, chunk by chunk."""
+    out = []
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        run = []
+        stream = operator(live.landing(spark, folder, schema))
+        q = live.run_once(stream, str(path), lambda b, n: run.extend(b.collect()))
+        out.append((run, q.lastProgress))
+    return out
 
-    def write(touched, made):
-        ids = {r[0] for r in touched.collect()}
-        for k in [k for k in steps if k[0] in ids]:
-            del steps[k]
-        steps.update({(r.session_id, r.stream, r.turn_index, r.step_index): (r.status, r.tokens, r.tool_count) for r in made.collect()})
 
-    stream = live.landing(spark, folder, events.schema.simpleString()[7:-1].replace(":", " "))
-    q = stream.writeStream.foreachBatch(live.reassembler(lambda: spark.read.parquet(folder), write)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {(r.session_id, r.stream, r.turn_index, r.step_index): (r.status, r.tokens, r.tool_count) for r in assemble(events).steps.collect()}
-    assert steps == want and want
+def test_store_by_bucket(spark, landed, tmp_path):
+    """Steps of each batch are those of a batch plan over what has arrived; untouched buckets aren't read or written, and a repeated batch changes nothing."""
+    folder, events = landed
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    kept = store.SessionStore(spark, str(tmp_path / "store"), schema, buckets=8)
+    each = kept.writer(("steps", "turns"))
+
+    def steps(df):
+        return sorted(map(str, df.select("session_id", "stream", "turn_index", "step_index", "status", "tokens", "tool_count").collect()))
+
+    some = [r.session_id for r in events.select("session_id").distinct().orderBy("session_id").limit(2).collect()]
+    parts = [events.where(F.col("seq") % 2 == 0), events.where((F.col("seq") % 2 == 1) & F.col("session_id").isin(some)), events.where((F.col("seq") % 2 == 1) & ~F.col("session_id").isin(some))]
+    upto = events.where("false")
+    for n, part in enumerate(parts):
+        before = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/store/steps/*/*.parquet")}
+        each(part, n)
+        upto = upto.unionByName(part)
+        assert steps(kept.read("steps")) == steps(assemble(upto).steps)
+        if n == 1:  # two sessions: two buckets at most are written
+            touched = {os.path.dirname(f) for f in glob.glob(f"{tmp_path}/store/steps/*/*.parquet") if f not in before}
+            assert 1 <= len(touched) <= 2
+            buckets = sorted(int(t.rpartition("=")[2]) for t in touched)
+            read = kept.events(buckets).inputFiles()
+            assert read and all(any(f"/bucket={b}/" in f for b in buckets) for f in read)
+    each(parts[2], 2)  # the same batch again
+    assert steps(kept.read("steps")) == steps(assemble(events).steps) and kept.events().count() == events.count()
+    small = kept.compact(str(tmp_path / "compact"))
+    small.rebuild()
+    assert steps(small.read("steps")) == steps(assemble(events).steps) and len(small.events().inputFiles()) <= 8
+    assert kept.events([]).count() == 0
+
+
+SCHEMA = "session_id string, stream string, seq long, type string, is_error boolean, provider string, ts timestamp"
+
+
+def told(spark, *rows):
+    at = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(s, stream, seq, kind, bad, "p", at + datetime.timedelta(seconds=seq)) for s, stream, seq, kind, bad in rows], SCHEMA)
 
 
-def test_live_errors(spark, landed):
-    folder, events = landed
-    stream = live.landing(spark, folder, events.schema.simpleString()[7:-1].replace(":", " "))
-    rows = {r.session_id: r.error_count for r in run(spark, live.live_errors(stream), "errors", "update").collect()}
-    want: dict = {}
-    for r in events.where("stream = 'main'").orderBy("session_id", "seq").collect():
-        n = want.setdefault(r.session_id, 0)
-        want[r.session_id] = 0 if r.type in ("user", "slash_command") else n + bool(r.type == "tool_result" and r.is_error)
-    assert rows == want
+def test_errors_arriving_late(spark, tmp_path):
+    """Batches in the wrong order give what one batch gives."""
+    rows = [("s", "main", 1, "user", None), ("s", "main", 2, "tool_result", True), ("s", "main", 3, "user", None), ("s", "main", 4, "tool_result", True), ("s", "main", 5, "tool_result", False), ("s", "main", 6, "tool_result", True)]
+    got = chunks(spark, str(tmp_path / "in"), SCHEMA, state.live_errors, [told(spark, rows[k]) for k in (5, 0, 3, 1, 2, 4)], tmp_path)
+    assert [r[0].error_count for r, _ in got] == [1, 1, 2, 3, 2, 2]
+
+
+def test_state_of_errors_ends(spark, tmp_path):
+    """A session that is silent is forgotten: its old failures don't count, and its state is gone."""
+    first, second = told(spark, ("s", "main", 2, "tool_result", True), ("s", "main", 3, "tool_result", True)), told(spark, ("t", "main", 1, "user", None))
+    again = told(spark, ("s", "main", 4, "tool_result", True))
+    kept = chunks(spark, str(tmp_path / "a"), SCHEMA, state.live_errors, [first, second, again], tmp_path / "ka")
+    assert [r.error_count for r in kept[2][0]] == [3]
+    gone = chunks(spark, str(tmp_path / "b"), SCHEMA, lambda e: state.live_errors(e, idle_ms=1), [first, second, again], tmp_path / "kb")
+    assert [r.error_count for r in gone[2][0]] == [1]
+
+
+def test_discovery_of_chunks(spark, tmp_path):
+    first = told(spark, ("s", "main", 5, "user", None), ("s", "sidechain:a", 6, "user", None), ("x", "sidechain:a", 1, "user", None))
+    second = told(spark, ("s", "main", 2, "message", None), ("t", "main", 1, "user", None), ("x", "main", 9, "user", None))
+    got = [sorted((r.session_id, r.is_new, r.event_count, r.first_activity.second, r.last_activity.second) for r in rows) for rows, _ in chunks(spark, str(tmp_path / "a"), SCHEMA, state.discovery, [first, second], tmp_path / "ka")]
+    assert got == [[("s", True, 1, 5, 5)], [("s", False, 2, 2, 5), ("t", True, 1, 1, 1), ("x", True, 1, 9, 9)]]
+    projects = spark.createDataFrame([("s", "p"), ("x", "q")], "session_id string, project_hash string")
+    got = [sorted((r.session_id, r.is_new) for r in rows) for rows, _ in chunks(spark, str(tmp_path / "b"), SCHEMA, lambda e: state.discovery(e, projects, "p"), [first, second], tmp_path / "kb")]
+    assert got == [[("s", True)], [("s", False)]]  # t isn't known, x is another project's
+    short = chunks(spark, str(tmp_path / "c"), SCHEMA, lambda e: state.discovery(e, idle_ms=1), [first, told(spark, ("t", "main", 1, "user", None)), told(spark, ("s", "main", 8, "user", None))], tmp_path / "kc")
+    assert [(r.session_id, r.is_new, r.event_count) for r in short[2][0]] == [("s", True, 1)]  # forgotten, and new again
+    assert sum(o["numRowsTotal"] for o in short[2][1]["stateOperators"]) < sum(o["numRowsTotal"] for o in chunks(spark, str(tmp_path / "d"), SCHEMA, state.discovery, [first, second], tmp_path / "kd")[1][1]["stateOperators"]) + 3
+
+
+def test_tail_of_growing_files(spark, tmp_path):
+    """Lines come once, when they end; a shorter file is read anew; files and lines of any size are split between tasks; a restart repeats nothing."""
+    logs, out = tmp_path / "logs" / "deep", []
+    logs.mkdir(parents=True)
+
+    def drain(task=7):
+        rows = []
+        stream = tail.tail_lines(spark, str(tmp_path / "logs"), "*.jsonl", task)
+        live.run_once(stream, str(tmp_path), lambda b, n: rows.extend(b.collect()), "append")
+        out.append(sorted((os.path.basename(r.path), r.position, r.value) for r in rows))
+        return out[-1]
+
+    (logs / "a.jsonl").write_text("one\ntw")
+    (logs / "b.jsonl").write_text("é" * 40 + "\n\nlast\n")
+    (logs / "c.txt").write_text("no log\n")
+    assert drain() == [("a.jsonl", 0, "one"), ("b.jsonl", 0, "é" * 40), ("b.jsonl", 82, "last")]
+    assert drain() == []
+    with open(logs / "a.jsonl", "a") as f:
+        f.write("o")
+    assert drain() == []
+    with open(logs / "a.jsonl", "a") as f:
+        f.write("\nthree\n")
+    (logs / "d.jsonl").write_text("x" * 3_000_000 + "\ny\n")
+    assert drain(1_000_000) == [("a.jsonl", 4, "two"), ("a.jsonl", 8, "three"), ("d.jsonl", 0, "x" * 3_000_000), ("d.jsonl", 3_000_001, "y")]
+    (logs / "b.jsonl").write_text("new\n")
+    os.remove(logs / "d.jsonl")
+    assert drain() == [("b.jsonl", 0, "new")]
+    (logs / "b.jsonl").write_text("")
+    assert drain() == []
+    (logs / "b.jsonl").write_text("again\n")
+    assert drain() == [("b.jsonl", 0, "again")] and drain() == []
+
+
+def test_tail_feeds_the_normalizer(spark, tmp_path):
+    """Tailed lines give the events that a read of the files gives."""
+    events = bridged(spark, "/root/testdata/sf0.001").orderBy("session_id", "seq").limit(300)
+    render.write_files(render.claude_lines(events), str(tmp_path / "logs"))
+    tail.tail_lines(spark, str(tmp_path / "logs"), "*.jsonl", 500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+
+    def shown(lines):
+        return sorted(map(str, ingest.claude_events(lines).select("session_id", "event_id", "parent_id", "seq", "type", "text").collect()))
+
+    want = shown(ingest.read_lines(spark, str(tmp_path / "logs")))
+    assert shown(tail.as_places(spark.read.parquet(str(tmp_path / "out")))) == want and want
 
 
 def test_windows(spark, landed):
@@ -64,18 +170,3 @@ def test_windows(spark, landed):
     stream = live.landing(spark, folder, events.schema.simpleString()[7:-1].replace(":", " "))
     assert run(spark, live.token_rates(stream), "rates", "append").count() > 0
     assert run(spark, live.activity_bursts(stream), "bursts", "append").count() > 0
-    found = run(spark, live.discovery(stream), "found", "complete")
-    assert found.count() == events.where("stream = 'main'").select("session_id").distinct().count() and found.where("modified is null").count() == 0
-    chunks = spark.read.parquet(folder).selectExpr("*", "_metadata.file_path as f").where("stream = 'main'").groupBy("session_id").agg(F.count_distinct("f").alias("n"))
-    assert {r.session_id for r in found.where("is_new").collect()} == {r.session_id for r in chunks.where("n = 1").collect()}
-
-
-def test_errors_arriving_late(spark, tmp_path):
-    """Batches in the wrong order give what one batch gives."""
-    schema = "session_id string, stream string, seq long, type string, is_error boolean"
-    rows = [("s", "main", 1, "user", None), ("s", "main", 2, "tool_result", True), ("s", "main", 3, "user", None), ("s", "main", 4, "tool_result", True), ("s", "main", 5, "tool_result", False), ("s", "main", 6, "tool_result", True)]
-    for k, at in enumerate((5, 0, 3, 1, 2, 4)):  # an opener comes after the errors behind it
-        spark.createDataFrame([rows[at]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    drained = live.drain(live.live_errors(live.landing(spark, str(tmp_path / "in"), schema, 1)), "update")
-    assert drained.select("batch").distinct().count() > 3
-    assert [r.error_count for r in live.latest(drained, "session_id").collect()] == [2]
