@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -101,27 +103,34 @@ MOST_DIGITS = 19
 
 def candidates(text: str) -> list[Span]:
     """Spans of looser formats, with the kind that each could be; they may overlap."""
+    return [*_marked(text), *(c for run in _DIGIT_RUN.finditer(text) for c in _stretches(text, run))]
+
+
+def _marked(text: str) -> list[Span]:
+    """E-mail and IP addresses of looser formats."""
     out: list[Span] = []
     if "@" in text or (("(" in text or "[" in text) and _SOME_AT.search(text)):
         out += [("email", m.start(), m.end()) for m in _LOOSE_EMAIL.finditer(text)]
     if "[" in text or "(" in text or "." in text:
         out += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]
-    for run in _DIGIT_RUN.finditer(text):
-        # Every stretch of whole groups: other digits may be close before or behind a number.
-        groups = [(g.start(), g.end(), g.end() - g.start(1)) for g in _DIGIT_GROUP.finditer(text, run.start(), run.end())]
-        for i, (start, _, _) in enumerate(groups):
-            n = 0
-            for _, end, k in groups[i:i + MOST_DIGITS]:
-                n += k
-                if n > MOST_DIGITS:
-                    break
-                if n >= 13:
-                    out.append(("card", start, end))
-                if 9 <= n <= 15:
-                    out.append(("phone", start, end))
     return out
 
 
+def _stretches(text: str, run: re.Match) -> Iterator[Span]:
+    """Every stretch of whole groups of a run of digits: others may be close before or behind a number."""
+    groups = [(g.start(), g.end(), g.end() - g.start(1)) for g in _DIGIT_GROUP.finditer(text, run.start(), run.end())]
+    for i, (start, _, _) in enumerate(groups):
+        n = 0
+        for _, end, k in groups[i:i + MOST_DIGITS]:
+            n += k
+            if n > MOST_DIGITS:
+                break
+            if n >= 13:
+                yield "card", start, end
+            if 9 <= n <= 15:
+                yield "phone", start, end
+
+
 _CUES = [re.compile(p, re.I) for p in (
     r"phone|call|tel\b|tel[.:]|mobile|fax|dial", r"card|visa|master|credit|payment|cvv", r"\bip\b|host|server|addr",
     r"mail|contact|write to", r"version|release|build|\bv$", r"order|invoice|isbn|serial|token|\bid\b|ref|page|part|no\.|number|#|[$€£]|=\s*\"?$")]
@@ -147,6 +156,95 @@ def features(text: str, span: Span) -> list[float]:
             *[bool(c.search(before)) for c in _CUES]]
 
 
+#: Runs of more characters are taken by numpy, so many groups at once: the same candidates and features, without a Python step for each.
+LONG_RUN, GROUPS_AT_ONCE = 200, 1 << 14
+
+
+def _before(text: str, a: int) -> list[float]:
+    """The features of what stands before a number: space, the group before, a country code, cues."""
+    before = text[max(0, a - 24):a]
+    group = _GROUP_BEFORE.search(before)
+    return [before[-1:].isspace() or not before, len(group[1]) if group else 0, bool(_CODE_BEFORE.search(before)), *[bool(c.search(before)) for c in _CUES]]
+
+
+def run_blocks(text: str, run: re.Match) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The stretches of a run as arrays (start, end, features), some groups at once, kind by kind; features are those of ``features``."""
+    starts, firsts, ends = array("q"), array("q"), array("q")
+    for g in _DIGIT_GROUP.finditer(text, run.start(), run.end()):
+        starts.append(g.start())
+        firsts.append(g.start(1))
+        ends.append(g.end())
+    n = len(starts)
+    for i0 in range(0, n, GROUPS_AT_ONCE):
+        last = min(n, i0 + GROUPS_AT_ONCE)
+        upto = min(n, last + MOST_DIGITS)
+        a, d, e = (np.frombuffer(x, np.int64)[i0:upto] for x in (starts, firsts, ends))
+        base = int(a[0])
+        chars = np.frombuffer(text[base:int(e[-1])].encode("utf-32-le"), np.uint32)
+        m, size = last - i0, e - d
+
+        def count(sign: str) -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(chars == ord(sign), dtype=np.int32)])
+
+        is_digit = (chars >= 48) & (chars <= 57)
+        digits = chars[is_digit].astype(np.int64) - 48
+        at = np.concatenate([[0], np.cumsum(size)])  # of each group, in ``digits``
+        twice = 2 * digits - 9 * (digits > 4)
+        odd = np.arange(len(digits)) % 2 == 1
+        sums = [np.concatenate([[0], np.cumsum(np.where(odd == bool(q), twice, digits))]) for q in (0, 1)]
+        mask = np.bitwise_or.reduceat(1 << digits, at[:-1])
+        small = np.array([_small(text[x:y]) for x, y in zip(d.tolist(), e.tolist())])
+        signs = {c: count(c) for c in "- .(/"}
+        breaks = np.maximum.accumulate(np.where(np.isin(chars, [ord(c) for c in ".) "]), np.arange(len(chars)), -1))
+        plus = chars[a - base] == ord("+")
+        zeros = (chars[a - base] == 48) & (chars[np.minimum(a - base + 1, len(chars) - 1)] == 48)
+        first_digit = digits[at[:-1]]
+
+        # what stands before each group and behind it: by the text itself at the run's ends, where other signs are near
+        gap = np.concatenate([[0], a[1:] - e[:-1]])
+        before_space = np.concatenate([[False], chars[a[1:] - base - 1] == 32])
+        before_group = np.where(gap >= 1, np.minimum(9, np.concatenate([[0], size[:-1]])), 0)
+        lead = np.concatenate([[False], (chars[d[:-1] - base] == 48) & (chars[np.minimum(d[:-1] - base + 1, len(chars) - 1)] == 48)])
+        sized = np.concatenate([[0], size[:-1]])
+        before_code = (gap >= 1) & lead & (sized >= 3) & (sized <= 5)
+        cues = np.zeros((len(a), len(_CUES)), bool)
+        for k in range(m):
+            if i0 + k and a[k] - 24 >= run.start() and not (k == 0 or i0 + k == 1):
+                break
+            before_space[k], before_group[k], before_code[k], *cue = _before(text, int(a[k]))
+            cues[k] = cue
+        after_space = np.concatenate([chars[e[:-1] - base] == 32, [False]])
+        after_group = np.concatenate([np.minimum(9, size[1:]), [0]])
+        if upto == n:
+            behind = _GROUP_AFTER.match(text, int(e[-1]))
+            after_space[-1] = text[e[-1]:e[-1] + 1].isspace() or e[-1] == len(text)
+            after_group[-1] = len(behind[1]) if behind else 0
+
+        total, most, least = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, 1 << 60)
+        seen, all_small = np.zeros(m, np.int64), np.ones(m, bool)
+        i = np.arange(m)
+        for k in range(MOST_DIGITS):
+            i = i[i + k < len(a)]
+            j = i + k
+            if not len(i):
+                break
+            total, most, least = total[:len(i)] + size[j], np.maximum(most[:len(i)], size[j]), np.minimum(least[:len(i)], size[j])
+            seen, all_small = seen[:len(i)] | mask[j], all_small[:len(i)] & small[j]
+            for kind, low, high in (("card", 13, MOST_DIGITS), ("phone", 9, 15)):
+                pick = np.flatnonzero((total >= low) & (total <= high))
+                if not len(pick):
+                    continue
+                p, q = i[pick], j[pick]
+                x, y = a[p] - base, e[q] - base
+                sums_of = np.where(at[q + 1] % 2 == 0, sums[0][at[q + 1]] - sums[0][at[p]], sums[1][at[q + 1]] - sums[1][at[p]])
+                number = {c: signs[c][y] - signs[c][x] for c in signs}
+                cut = breaks[y - 1]
+                yield a[p], e[q], np.stack([
+                    np.full(len(pick), KINDS.index(kind)), y - x, total[pick], np.full(len(pick), k + 1), most[pick], least[pick], number["-"], number[" "], number["."], number["("],
+                    plus[p], zeros[p], np.bitwise_count(seen[pick]), sums_of % 10 == 0, (first_digit[p] >= 3) & (first_digit[p] <= 6), all_small[pick], np.zeros(len(pick)), number["("] > 0,
+                    np.where(cut >= x, y - 1 - cut, y - x), size[p], size[q], number["/"], before_space[p], after_space[q], before_group[p], after_group[q], before_code[p], *cues[p].T], 1).astype(float)
+
+
 def examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of candidates in ``n`` sentences that a seeded rule writes."""
     return _written(seed, n)[:2]
@@ -302,19 +400,43 @@ def find(text: str | None, model: tuple[Boosted, list[float]]) -> tuple[list[Spa
     def key(s: Span):
         return s[1], order[s[0]], s[2]
 
-    loose, taken = candidates(text), bytearray(len(text))
+    taken = bytearray(len(text))
     for _, a, b in base:
         taken[a:b] = bytes([1]) * (b - a)
+    loose, runs = _marked(text), []
+    for run in _DIGIT_RUN.finditer(text):
+        if run.end() - run.start() > LONG_RUN:
+            runs.append(run)
+        else:
+            loose += _stretches(text, run)
     loose = [c for c in loose if 1 not in taken[c[1]:c[2]]]
-    chosen: list[Span] = []
+    n, (trees, thresholds) = len(loose), model
+    good: list[tuple[float, Span]] = []
     if loose:
-        trees, thresholds = model
         scores = trees.predict(np.array([features(text, c) for c in loose], float))
-        for p, c in sorted(zip(scores, loose), key=lambda v: (-v[0], key(v[1]))):
-            if p >= thresholds[order[c[0]]] and 1 not in taken[c[1]:c[2]]:
-                chosen.append(c)
-                taken[c[1]:c[2]] = bytes([1]) * (c[2] - c[1])
-    return sorted(base, key=key), sorted(base + chosen, key=key), len(loose)
+        good = [(float(p), c) for p, c in zip(scores, loose) if p >= thresholds[order[c[0]]]]
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(taken, np.uint8), dtype=np.int32)]) if runs and base else None
+    for run in runs:
+        for start, end, x in run_blocks(text, run):
+            if before is not None:
+                free = before[end] == before[start]
+                start, end, x = start[free], end[free], x[free]
+            n += len(start)
+            if len(start):
+                kind = int(x[0, 0])
+                _, one, same = np.unique(x.astype(np.int64) @ _MIX, return_index=True, return_inverse=True)  # like stretches are scored once
+                p = trees.predict(x[one])[same]
+                good += [(float(p[k]), (KINDS[kind], int(start[k]), int(end[k]))) for k in np.flatnonzero(p >= thresholds[kind])]
+    chosen: list[Span] = []
+    for _, c in sorted(good, key=lambda v: (-v[0], key(v[1]))):
+        if 1 not in taken[c[1]:c[2]]:
+            chosen.append(c)
+            taken[c[1]:c[2]] = bytes([1]) * (c[2] - c[1])
+    return sorted(base, key=key), sorted(base + chosen, key=key), n
+
+
+#: Tells rows of features, which are whole numbers, apart by 64 bits.
+_MIX = np.random.default_rng(1).integers(1, 1 << 62, 27 + len(_CUES))
 
 
 def _told(spans: list[Span]) -> str:

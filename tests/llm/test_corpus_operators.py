@@ -747,3 +747,31 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
     made = {r["node"]: r["component"] for r in jaccard.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert made == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_long_runs_of_digits(monkeypatch):
+    """Long runs, which numpy takes, have the candidates and features of short ones, and are found alike."""
+    import random
+
+    r = random.Random(1)
+
+    def run() -> str:
+        out = [r.choice(("", "", "+", "(", "+("))]
+        for k in range(r.randint(60, 160)):
+            out.append((r.choice((" ", " ", "-", ".", "/", ") (", " (", "( ", ")", "--")) if k else "") + r.choice(("00", "", "", "")) + str(r.randint(0, 10 ** r.randint(1, 12))))
+        return r.choice(("", "tel. ", "call: ", "order #", "\n", "12 ", "+49 ", "0049 ", "x", " ")) + "".join(out) + r.choice(("", " ", "x", " 12", "\n", " ()44", ".5", ","))
+
+    model = pii._model()
+    for _ in range(25):
+        text = run()
+        for at_once in (3, 50, 1 << 14):
+            monkeypatch.setattr(pii, "GROUPS_AT_ONCE", at_once)
+            for m in pii._DIGIT_RUN.finditer(text):
+                got = {(pii.KINDS[int(x[0])], int(a), int(b)): x.tolist() for starts, ends, rows in pii.run_blocks(text, m) for a, b, x in zip(starts, ends, rows)}
+                assert got == {c: [float(v) for v in pii.features(text, c)] for c in pii._stretches(text, m)}
+        text += " mail a@b.org 4111 1111 1111 1111 " + text
+        monkeypatch.setattr(pii, "LONG_RUN", 1 << 60)
+        want = pii.find(text, model)
+        monkeypatch.setattr(pii, "LONG_RUN", 0)
+        assert pii.find(text, model) == want
+        monkeypatch.undo()
