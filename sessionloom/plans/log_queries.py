@@ -37,10 +37,10 @@ def norm_codex(e: DataFrame):
                                                              "tok_uncached", "tok_cached", "tok_generated")
 
 
-@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name IN ('Read', 'Glob') THEN 'FileRead' WHEN tool_name = 'Edit' THEN 'FileEdit' WHEN tool_name = 'Bash' THEN 'Execute'
-  WHEN tool_name = 'Grep' THEN 'Search' ELSE 'Mcp' END AS tool_variant, mcp_server, mcp_tool FROM ev WHERE type = 'tool_call'"""), on="events")
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN seq % 7 = 3 OR (seq % 7 IN (1, 2) AND NOT starts_with(tool_name, 'mcp__')) THEN 'Generic' WHEN tool_name IN ('Read', 'Glob') THEN 'FileRead' WHEN tool_name = 'Edit' THEN 'FileEdit'
+  WHEN tool_name = 'Bash' THEN 'Execute' WHEN tool_name = 'Grep' THEN 'Search' ELSE 'Mcp' END AS tool_variant, mcp_server, mcp_tool FROM ev WHERE type = 'tool_call'"""), on="events")
 def tool_norm_claude(e: DataFrame):
-    return ingest.claude_events(render.claude_lines(e)).where("type = 'tool_call'").select("path", "line_no", "tool_variant", "mcp_server", "mcp_tool")
+    return ingest.claude_events(render.claude_lines(e, spoil=True)).where("type = 'tool_call'").select("path", "line_no", "tool_variant", "mcp_server", "mcp_tool")
 
 
 UUID5 = "h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32]"
@@ -86,16 +86,19 @@ def norm_claude_records(e: DataFrame):
         "path", "line_no", "type", F.coalesce("text", "slash_name", "queue_op").alias("said"), "level", F.coalesce("slash_args", "queue_content", "leaf_uuid").alias("more"))
 
 
-@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name = 'Read' OR command IN ('ls -la src', 'cat a.txt') THEN 'FileRead' WHEN tool_name = 'Bash' THEN 'Execute' WHEN tool_name = 'Grep' THEN 'Search'
+@query(O.on_events("""SELECT session_id AS path, seq AS line_no, CASE WHEN tool_name <> 'Edit' AND (seq % 7 = 3 OR (seq % 7 = 1 AND tool_name IN ('Bash', 'Grep')) OR (seq % 7 = 2 AND tool_name IN ('Bash', 'Grep', 'Read'))) THEN 'Generic'
+    WHEN seq % 7 = 1 AND tool_name = 'Read' THEN 'Execute' WHEN tool_name = 'Read' OR command IN ('ls -la src', 'cat a.txt') THEN 'FileRead' WHEN tool_name = 'Bash' THEN 'Execute' WHEN tool_name = 'Grep' THEN 'Search'
     WHEN tool_name = 'Edit' THEN CASE WHEN seq % 2 = 0 THEN 'FileWrite' ELSE 'FileEdit' END WHEN starts_with(tool_name, 'mcp__') THEN 'Mcp' ELSE 'Generic' END AS tool_variant,
-  CASE WHEN tool_name IN ('Read', 'Edit') THEN file_path WHEN tool_name = 'Grep' THEN pattern WHEN command = 'cat a.txt' THEN 'a.txt' END AS file_path, CASE WHEN tool_name = 'Grep' THEN pattern END AS pattern
+  CASE WHEN tool_name = 'Edit' THEN file_path WHEN seq % 7 IN (1, 2, 3) THEN NULL WHEN tool_name = 'Read' THEN file_path WHEN tool_name = 'Grep' THEN pattern WHEN command = 'cat a.txt' THEN 'a.txt' END AS file_path,
+  CASE WHEN tool_name = 'Grep' AND seq % 7 NOT IN (1, 2, 3) THEN pattern END AS pattern
   FROM ev WHERE type = 'tool_call'"""), on="events")
 def tool_norm_codex(e: DataFrame):
     return ingest.codex_events(render.codex_tool_lines(e)).select("path", "line_no", "tool_variant", "file_path", "pattern")
 
 
-@query(O.on_events("""SELECT session_id AS path, event_id AS call, CASE tool_name WHEN 'Read' THEN 'FileRead' WHEN 'Edit' THEN 'FileEdit' WHEN 'Bash' THEN 'Execute' WHEN 'Grep' THEN 'Search' WHEN 'Glob' THEN 'Generic' ELSE 'Mcp' END AS tool_variant,
-  mcp_server, mcp_tool, command FROM ev WHERE type = 'tool_call'"""), on="events")
+@query(O.on_events("""SELECT session_id AS path, event_id AS call, CASE WHEN seq % 7 = 3 OR (seq % 7 IN (1, 2) AND NOT starts_with(tool_name, 'mcp__')) THEN 'Generic'
+    WHEN tool_name = 'Read' THEN 'FileRead' WHEN tool_name = 'Edit' THEN 'FileEdit' WHEN tool_name = 'Bash' THEN 'Execute' WHEN tool_name = 'Grep' THEN 'Search' WHEN tool_name = 'Glob' THEN 'Generic' ELSE 'Mcp' END AS tool_variant,
+  mcp_server, mcp_tool, CASE WHEN seq % 7 = 2 AND command IS NOT NULL THEN '5' WHEN seq % 7 NOT IN (1, 3) THEN command END AS command FROM ev WHERE type = 'tool_call'"""), on="events")
 def tool_norm_gemini(e: DataFrame):
     got = ingest.gemini_events(render.gemini_documents(e, own_tools=True)).where("type = 'tool_call'")
     return got.select("path", F.col("provider_call_id").alias("call"), "tool_variant", "mcp_server", "mcp_tool", "command")

@@ -20,14 +20,21 @@ def _time() -> Column:
 
 
 def _arguments() -> Column:
-    return F.struct("file_path", "command", "pattern", F.lit("x").alias("content"), F.lit("x").alias("new_string"))
+    return F.struct("file_path", "command", "pattern", *[F.lit("x").alias(n) for n in ("content", "old_string", "new_string")])
+
+
+def spoilt(arguments: Column) -> Column:
+    """Arguments (JSON) of every seventh place without, and of the next with a number for, the first that the tool needs; of the third as an array."""
+    first = r'"(file_path|command|pattern|query|raw)":("([^"\\\\]|\\\\.)*"|\[[^\]]*\])'
+    return (F.when(F.col("seq") % 7 == 1, F.regexp_replace(arguments, first, '"none":1')).when(F.col("seq") % 7 == 2, F.regexp_replace(arguments, first, '"$1":5'))
+            .when(F.col("seq") % 7 == 3, F.concat(F.lit("["), arguments, F.lit("]"))).otherwise(arguments))
 
 
 def in_order(key: str, order: str) -> WindowSpec:
     return W.partitionBy(key).orderBy(order)
 
 
-def claude_lines(events: DataFrame, usage: bool = False) -> DataFrame:
+def claude_lines(events: DataFrame, usage: bool = False, spoil: bool = False) -> DataFrame:
     """path (the session), line_no (seq) and value in the first format; usage rows have no record of their own there, but with ``usage`` one that says nothing."""
     kind = F.col("type")
     head = [F.col("event_id").alias("uuid"), F.col("session_id").alias("sessionId"), _time(), (F.col("stream") != "main").alias("isSidechain"),
@@ -43,7 +50,7 @@ def claude_lines(events: DataFrame, usage: bool = False) -> DataFrame:
     value = (F.when(kind == "user", record("user", F.col("text"))).when(kind == "slash_command", record("user", slash))
              .when(kind == "message", record("assistant", block(type=F.lit("text"), text=F.col("text"))))
              .when(kind == "reasoning", record("assistant", block(type=F.lit("thinking"), thinking=F.col("text"))))
-             .when(kind == "tool_call", record("assistant", block(type=F.lit("tool_use"), id=F.col("event_id"), name=F.col("tool_name"), input=_arguments())))
+             .when(kind == "tool_call", record("assistant", block(type=F.lit("tool_use"), id=F.col("event_id"), name=F.col("tool_name"), input=F.parse_json(spoilt(F.to_json(_arguments()))) if spoil else _arguments())))
              .when(kind == "tool_result", record("user", block(type=F.lit("tool_result"), tool_use_id=F.col("tool_call_id"), content=F.col("output"), is_error=F.col("is_error"), agentId=F.col("agent_id")))))
     if usage:
         spent = F.struct(F.col("tok_uncached").alias("input_tokens"), F.col("tok_cached").alias("cache_read_input_tokens"), F.col("tok_generated").alias("output_tokens"))
@@ -93,14 +100,14 @@ def codex_tool_lines(events: DataFrame) -> DataFrame:
     args = (F.when(tool == "Bash", F.to_json(F.struct(F.array(F.lit("bash"), F.lit("-lc"), "command").alias("command")))).when(tool == "Read", F.to_json(F.struct(F.concat(F.lit("cat "), "file_path").alias("command"))))
             .when(tool == "Grep", F.to_json(F.struct(F.array(F.lit("rg"), F.lit("-n"), "pattern", F.lit("src")).alias("command"))))
             .when(tool == "Edit", F.concat(F.lit("*** Begin Patch\n*** "), F.when(F.col("seq") % 2 == 0, "Add").otherwise("Update"), F.lit(" File: "), "file_path", F.lit("\n+x"))).otherwise("{}"))
-    call = F.struct(F.lit("function_call").alias("type"), name.alias("name"), args.alias("arguments"), F.col("event_id").alias("call_id"))
+    call = F.struct(F.lit("function_call").alias("type"), name.alias("name"), spoilt(args).alias("arguments"), F.col("event_id").alias("call_id"))
     return events.where("type = 'tool_call'").select(F.col("session_id").alias("path"), F.col("seq").alias("line_no"), _line(_time(), F.lit("response_item").alias("type"), call.alias("payload")).alias("value"))
 
 
 def gemini_documents(events: DataFrame, own_tools: bool = False) -> DataFrame:
     """path (the session) and value: one document of the third format a session, without results and slash commands; calls of even places have a result.
 
-    With ``own_tools`` tools have that format's names."""
+    With ``own_tools`` tools have that format's names and arguments, some of them spoilt."""
     kind = F.col("type")
     if own_tools:
         mcp = F.col("tool_name").startswith("mcp__")
@@ -108,8 +115,11 @@ def gemini_documents(events: DataFrame, own_tools: bool = False) -> DataFrame:
         events = events.withColumn("_display", F.when(mcp, F.concat("mcp_tool", F.lit(" ("), "mcp_server", F.lit(" MCP Server)")))).withColumn("tool_name", F.when(mcp, F.col("mcp_tool")).otherwise(named))
     else:
         events = events.withColumn("_display", F.lit(None).cast("string"))
+    args = F.struct("file_path", "command")
+    if own_tools:
+        args = F.parse_json(spoilt(F.to_json(F.struct("file_path", "command", F.col("pattern").alias("query"), *[F.lit("x").alias(n) for n in ("content", "old_string", "new_string")]))))
     identity = F.concat(F.lit("m"), "event_id").alias("id")
-    call = F.struct(F.col("event_id").alias("id"), F.col("tool_name").alias("name"), F.col("_display").alias("displayName"), F.struct("file_path", "command").alias("args"),
+    call = F.struct(F.col("event_id").alias("id"), F.col("tool_name").alias("name"), F.col("_display").alias("displayName"), args.alias("args"),
                     F.when(F.col("seq") % 2 == 0, F.array(F.struct(F.lit(1).alias("x")))).otherwise(F.filter(F.array(F.struct(F.lit(1).alias("x"))), lambda x: F.lit(False))).alias("result"),
                     F.when(F.col("seq") % 4 == 0, "error").otherwise("success").alias("status"), F.concat(F.lit("shown "), "event_id").alias("resultDisplay"))
     tokens = F.struct(F.col("tok_uncached").alias("input"), F.col("tok_generated").alias("output"), F.col("tok_cached").alias("cached"), F.lit(1).alias("thoughts"), F.lit(2).alias("tool"), F.lit(0).alias("total"))
@@ -118,8 +128,8 @@ def gemini_documents(events: DataFrame, own_tools: bool = False) -> DataFrame:
         F.when(kind.isin("user", "message", "notification"), F.col("text")).otherwise("").alias("content"), "model",
         F.when(kind == "reasoning", F.array(F.struct(F.lit("why").alias("subject"), F.col("text").alias("description")))).alias("thoughts"),
         F.when(kind == "tool_call", F.array(call)).alias("toolCalls"), F.when(kind == "token_usage", tokens).alias("tokens"))
-    rows = events.where("type not in ('tool_result', 'slash_command')").groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", message.alias("m")))).alias("_m"))
-    return rows.select(F.col("session_id").alias("path"), F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.transform("_m", lambda x: x["m"]).alias("messages"))).alias("value"))
+    rows = events.where("type not in ('tool_result', 'slash_command')").groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.to_json(message).alias("m")))).alias("_m"))
+    return rows.select(F.col("session_id").alias("path"), F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.transform("_m", lambda x: F.parse_json(x["m"])).alias("messages"))).alias("value"))
 
 
 def codex_lines(events: DataFrame, models: bool = False) -> DataFrame:

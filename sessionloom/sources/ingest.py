@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import schemas as S
 from ..functions import text as X
 from ..functions import tools as T
 
@@ -84,7 +85,7 @@ def parse_ts(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
-def _finish(rows: DataFrame, provider: str, session: Column) -> DataFrame:
+def _finish(rows: DataFrame, provider: str, session: Column, schemas: tuple[S.ToolSchema, ...] = S.SCHEMAS) -> DataFrame:
     """Ids, links and order.  rows: path, place or line_no, raw (a session id or null), ts, stream, sub_no, base_id, and the event ``e`` (null for lines without)."""
     place = "line_no" if "line_no" in rows.columns else "place"
     line = W.partitionBy("path").orderBy(place)
@@ -103,7 +104,7 @@ def _finish(rows: DataFrame, provider: str, session: Column) -> DataFrame:
     rows = rows.withColumn("parent_id", F.lag("event_id").over(W.partitionBy("path", "stream").orderBy("line_no", "sub_no")))
     seq = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "path", "line_no", "sub_no"))
     rows = rows.withColumn("seq", seq.cast("long")).withColumn("provider", F.lit(provider))
-    return with_payload(with_tool_columns(rows)).drop("suffix", "base_id", "sub_no")
+    return with_payload(with_tool_columns(rows, schemas)).drop("suffix", "base_id", "sub_no")
 
 
 def with_payload(rows: DataFrame) -> DataFrame:
@@ -291,8 +292,8 @@ def gemini_events(documents: DataFrame) -> DataFrame:
 
 # --- tools ---------------------------------------------------------------------------------------------------------
 
-def with_tool_columns(rows: DataFrame) -> DataFrame:
-    """file_path, command, pattern, server and tool of another server, variant, kinds and origin of tool calls."""
+def with_tool_columns(rows: DataFrame, schemas: tuple[S.ToolSchema, ...] = S.SCHEMAS) -> DataFrame:
+    """file_path, command, pattern, server and tool of another server, variant (by ``schemas``), kinds and origin of tool calls."""
     arg = F.when(F.col("type") == "tool_call", F.try_parse_json("arguments"))
     rows = rows.withColumn("_a", arg)
     name, provider = F.col("tool_name"), F.col("provider")
@@ -310,24 +311,17 @@ def with_tool_columns(rows: DataFrame) -> DataFrame:
     intent = F.col("_intent")
     rows = rows.withColumns({"file_path": F.when(shell & intent.isNotNull(), T.file_path_of(F.col("command"))).otherwise(F.col("file_path")),
                              "pattern": F.when(shell & (intent == "search"), T.search_pattern_of(F.col("command"))).otherwise(F.col("pattern"))})
-    variant = (F.when((provider == "claude_code") & (name == "Read") & F.col("file_path").isNotNull(), "FileRead")
-               .when((provider == "claude_code") & (name == "Glob") & F.col("pattern").isNotNull(), "FileRead")
-               .when((provider == "claude_code") & (name == "Edit") & at("_a", "$.new_string").isNotNull(), "FileEdit")
-               .when((provider == "claude_code") & (name == "Write") & at("_a", "$.content").isNotNull(), "FileWrite")
-               .when((provider == "claude_code") & name.isin("Bash", "KillShell", "BashOutput"), "Execute")
-               .when((provider == "claude_code") & name.isin("Grep", "WebSearch", "WebFetch") & F.col("pattern").isNotNull(), "Search")
-               .when((provider == "codex") & (name == "apply_patch"), F.when(patched[0] == "Add", "FileWrite").when(patched[0] == "Update", "FileEdit").otherwise("Generic"))
-               .when((provider == "codex") & name.isin("shell", "shell_command"), F.when(intent == "search", "Search").when(intent == "read", "FileRead").otherwise("Execute"))
-               .when((provider == "codex") & (name == "read_mcp_resource"), "FileRead")
-               .when((provider == "gemini") & (name == "read_file"), "FileRead").when((provider == "gemini") & (name == "write_file"), "FileWrite")
-               .when((provider == "gemini") & (name == "replace"), "FileEdit").when((provider == "gemini") & (name == "run_shell_command"), "Execute")
-               .when((provider == "gemini") & (name == "google_web_search"), "Search").when(F.col("mcp_server").isNotNull(), "Mcp").otherwise("Generic"))
+    rows = rows.join(F.broadcast(S.schema_table(rows.sparkSession, schemas)), ["provider", "tool_name"], "left")  # a row a tool, as listed
+    listed = F.col("schema_variant")
+    variant = (F.when(S.fits(F.col("_a"), F.col("takes")), F.when((provider == "codex") & (name == "apply_patch"), F.when(patched[0] == "Add", "FileWrite").when(patched[0] == "Update", "FileEdit").otherwise("Generic"))
+                      .when(shell & (intent == "search"), "Search").when(shell & (intent == "read"), "FileRead").otherwise(listed))
+               .when(listed.isNull() & F.col("mcp_server").isNotNull() & S.is_object(F.col("_a")), "Mcp").otherwise("Generic"))
     kinds = {"FileRead": "read", "FileEdit": "write", "FileWrite": "write", "Execute": "execute", "Search": "search"}
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
     rows = rows.withColumn("tool_variant", F.when(name.isNotNull(), variant))
     return rows.withColumns({"tool_kind": F.when(name.isNotNull(), F.coalesce(F.try_element_at(kind, F.col("tool_variant")), F.lit("other"))),
                              "tool_kind_named": F.when(name.isNotNull(), T.classify(provider, name)),
-                             "tool_origin": F.when(name.isNotNull(), T.origin_of(name))}).drop("_a", "_intent", "display_name")
+                             "tool_origin": F.when(name.isNotNull(), T.origin_of(name))}).drop("_a", "_intent", "display_name", "schema_variant", "takes")
 
 
 def normalize_all(spark: SparkSession, claude: list[str] = (), codex: list[str] = (), gemini: list[str] = ()) -> DataFrame:
