@@ -15,7 +15,7 @@ from ..operators import query as Q
 from ..operators import select as S
 from ..operators.assemble import KEYS, Assembled, assemble
 from ..streaming import live
-from . import index_queries, live_queries, log_queries  # noqa: F401  (they register their queries)
+from . import file_queries, index_queries, live_queries, log_queries  # noqa: F401  (they register their queries)
 from . import oracle as O
 from .bridge import bridged, conversation_events
 from .registry import ORACLE, QUERIES, ms, on_documents, query
