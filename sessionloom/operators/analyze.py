@@ -172,23 +172,32 @@ def context_usage(a: Assembled) -> DataFrame:
                     level_of(F.col("ratio")).alias("level"), (F.col("used") * 100.0 / F.col("max_tokens")).alias("used_pct"), between_ms(F.col("start_time"), F.col("end_time")).alias("elapsed_ms"))
 
 
+def _told_limits(a: Assembled) -> DataFrame:
+    """The last context limit that each stream's events tell."""
+    c = F.col
+    return a.events.groupBy(*KEYS).agg(F.max_by("context_limit", F.when(c("context_limit").isNotNull(), c("seq"))).alias("_told"))
+
+
 def dashboard(a: Assembled) -> DataFrame:
     """Elapsed time, tokens and limit of each main session: the limit that its logs tell (``context_limit``), else what its model's leaves; with ratio and level."""
     u, c = context_usage(a), F.col
     if "context_limit" in a.events.columns:
-        told = a.events.groupBy(*KEYS).agg(F.max_by("context_limit", F.when(c("context_limit").isNotNull(), c("seq"))).alias("_told"))
-        u = u.join(told, KEYS, "left").withColumn("effective", F.coalesce("_told", "effective"))
+        u = u.join(_told_limits(a), KEYS, "left").withColumn("effective", F.coalesce("_told", "effective"))
     ratio = F.when(c("effective") > 0, c("used") / c("effective").cast("double"))
     return u.withColumn("ratio", ratio).select("session_id", "elapsed_ms", "used", c("effective").alias("limit"), "ratio", F.coalesce(ratio >= 1, F.lit(False)).alias("exceeded"),
                                                level_of(F.coalesce("ratio", F.lit(0.0))).alias("level"))
 
 
 def usage_percent(a: Assembled) -> DataFrame:
-    """What share of its model's whole limit the last usage of each main session fills: input, output and both, in percent; null without a limit."""
+    """What share of its limit the last usage of each main session fills: input, output and both, in percent; null without a limit.
+
+    The limit is the one that the session's logs tell (``context_limit``), else its model's whole one."""
     c = F.col
     last = a.steps.where("stream = 'main' and usages > 0").groupBy(*KEYS).agg(
         F.max_by(F.struct((c("fresh_input") + c("cache_read")).alias("i"), c("output").alias("o")), F.struct("turn_index", "step_index")).alias("_u"))
     j = T.join_model_limit(last.join(a.sessions.select(*KEYS, "model"), KEYS))
+    if "context_limit" in a.events.columns:
+        j = j.join(_told_limits(a), KEYS, "left").withColumn("max_tokens", F.coalesce("_told", "max_tokens"))
     share = {"input_pct": c("_u.i"), "output_pct": c("_u.o"), "total_pct": c("_u.i") + c("_u.o")}
     return j.select(*KEYS, "model", "max_tokens", *[(v.cast("double") * 100 / c("max_tokens")).alias(k) for k, v in share.items()])
 

@@ -141,6 +141,28 @@ def scan_sessions(e: DataFrame):
     return rows.select(F.col("session_id").alias("id"), "main_file", F.size("side_files").cast("long").alias("sides"), "start_ts")
 
 
+def written(e: DataFrame) -> DataFrame:
+    """Sessions with the times of their files."""
+    heads, files = headers_of(e)
+    return catalog.sessions_of(heads.join(files.select("path", "modificationTime"), "path"))
+
+
+_NEWEST = "SELECT provider, id, newest FROM se WHERE {} QUALIFY row_number() OVER (PARTITION BY provider ORDER BY newest DESC, id DESC) = 1"
+
+
+@query(O.on_events(f"SELECT provider, id, CAST(floor(epoch_us(newest) / 1000) AS BIGINT) AS ms FROM ({_NEWEST.format('true')})", HEADS), on="events")
+def most_recent_by_file(e: DataFrame):
+    return catalog.most_recent(written(e)).select("provider", F.col("session_id").alias("id"), F.floor(F.unix_micros("latest_mod_time") / 1000).alias("ms"))
+
+
+@query(O.on_events(f"""SELECT project, provider FROM (SELECT '' AS project, * FROM ({_NEWEST.format('true')}) UNION ALL SELECT '/root/p2', * FROM ({_NEWEST.format("cwd = '/root/p2'")}) UNION ALL SELECT '/no', * FROM ({_NEWEST.format("cwd = '/no'")}))
+  QUALIFY row_number() OVER (PARTITION BY project ORDER BY newest DESC, provider) = 1""", HEADS), on="events")
+def most_recent_provider(e: DataFrame):
+    """The provider that was used last: of all sessions, of a project's, and of one without sessions."""
+    rows = [catalog.most_recent_provider(written(e), p).select(F.lit(p or "").alias("project"), "provider") for p in (None, "/root/p2", "/no")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(O.on_events("SELECT path FROM hd WHERE u % 3 = 0 OR u % 5 = 0", HEADS), on="events")
 def anti_incremental(e: DataFrame):
     known = first_index(e).log_files.withColumnsRenamed({"file_size": "length", "mod_time": "modificationTime"})

@@ -615,11 +615,12 @@ def dashboard(e: DataFrame):
     return A.dashboard(assemble(e.withColumn("context_limit", told)))
 
 
-@query(O.on_tables("""SELECT u.session_id, u.stream, model, max_tokens, i::DOUBLE * 100 / max_tokens AS input_pct, o::DOUBLE * 100 / max_tokens AS output_pct, (i + o)::DOUBLE * 100 / max_tokens AS total_pct FROM
+@query(O.on_tables("""SELECT session_id, stream, model, lim::BIGINT AS max_tokens, i::DOUBLE * 100 / lim AS input_pct, o::DOUBLE * 100 / lim AS output_pct, (i + o)::DOUBLE * 100 / lim AS total_pct FROM (SELECT u.*, model, coalesce(told, max_tokens) AS lim FROM
   (SELECT session_id, stream, arg_max(fresh_input + cache_read, {'t': turn_index, 's': step_index}) AS i, arg_max(output, {'t': turn_index, 's': step_index}) AS o FROM steps WHERE stream = 'main' AND usages > 0 GROUP BY ALL) u
-  JOIN (SELECT session_id, stream, arg_max(model, seq) AS model FROM ev GROUP BY ALL) m USING (session_id, stream) LEFT JOIN ml USING (model)""", LIMITS, MODEL))
-def usage_percent(a: Assembled):
-    return A.usage_percent(a)
+  JOIN (SELECT session_id, stream, arg_max(model, seq) AS model FROM ev GROUP BY ALL) m USING (session_id, stream) LEFT JOIN ml USING (model) LEFT JOIN told USING (session_id, stream))""", LIMITS, MODEL, _TOLD.split(",\ndb AS")[0]), on="events")
+def usage_percent(e: DataFrame):
+    told = F.when((F.col("type") == "token_usage") & (F.col("provider") == "codex"), F.col("tok_cached") * 100 + 1)
+    return A.usage_percent(assemble(e.withColumn("context_limit", told)))
 
 
 @query(O.on_events("SELECT prefix, max_tokens, greatest(1, CAST(floor(max_tokens * (100 - buffer_pct) / 100) AS BIGINT)) AS effective, count(ev.event_id) AS events FROM lim LEFT JOIN ev ON starts_with(ev.model, prefix) GROUP BY ALL", LIMITS), on="events")

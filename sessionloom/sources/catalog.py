@@ -126,6 +126,22 @@ def sessions_of(headers: DataFrame) -> DataFrame:
         F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).alias("cwd"), F.max(F.when(main, F.col("snippet"))).alias("snippet"), *extra, *more)
 
 
+def most_recent(sessions: DataFrame, project: str | None = None) -> DataFrame:
+    """Each provider's session whose files were written last (``session_id``, ``latest_mod_time``), of the project with that root folder if one is given.
+
+    ``sessions`` as ``sessions_of`` gives them, with provider and latest_mod_time; sessions without a folder are no project's."""
+    rows = sessions.where("main_file is not null and latest_mod_time is not null")
+    if project is not None:
+        rows = rows.where(project_hash(F.col("cwd")) == project_hash(F.lit(project)))
+    newest = F.max_by(F.struct("session_id", "latest_mod_time"), F.struct("latest_mod_time", "session_id"))
+    return rows.groupBy("provider").agg(newest.alias("_n")).select("provider", "_n.*")
+
+
+def most_recent_provider(sessions: DataFrame, project: str | None = None) -> DataFrame:
+    """The provider of the session that was written last, of all or of a project: one row, none without sessions; of equal times the first name."""
+    return most_recent(sessions, project).orderBy(F.desc("latest_mod_time"), "provider").limit(1).select("provider")
+
+
 @dataclass
 class Catalog:
     """The tables of projects, sessions and log files."""
