@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import text as X
 from .assemble import KEYS, Assembled
@@ -55,27 +56,35 @@ def digests(a: Assembled, pool: int = POOL, each: int = PER_PROVIDER) -> DataFra
         F.when(F.col("busiest.tool_count") >= 3, X.truncate_snippet(X.clean_snippet(F.col("busiest.user_text")), 120)).alias("activation"))
 
 
-def p90_thresholds(d: DataFrame) -> DataFrame:
-    """One row: the value at 0.9 of each sorted list (POOL values at most); defaults for none."""
+def _thresholds(window: WindowSpec | None = None) -> dict[str, Column]:
+    """The value at 0.9 of each sorted list (POOL values at most); defaults for none.  Aggregates, or columns over a window."""
     def at(name: str, default: int) -> Column:
-        values = F.array_sort(F.collect_list(name))
+        listed = F.collect_list(name)
+        values = F.array_sort(listed if window is None else listed.over(window))
         n = F.size(values)
         place = F.least(F.floor(n * F.lit(0.9)), n - 1).cast("int")
         return F.when(n == 0, F.lit(default)).otherwise(F.get(values, place)).cast("long")
-    return d.agg(at("max_e2e_ms", 5000).alias("p90_e2e_ms"), at("max_tool_ms", 5000).alias("p90_tool_ms"), at("tool_calls_total", 10).alias("p90_tool_calls"))
+    return {"p90_e2e_ms": at("max_e2e_ms", 5000), "p90_tool_ms": at("max_tool_ms", 5000), "p90_tool_calls": at("tool_calls_total", 10)}
+
+
+def p90_thresholds(d: DataFrame) -> DataFrame:
+    """One row: the thresholds of a pool."""
+    return d.agg(*[v.alias(n) for n, v in _thresholds().items()])
 
 
-def lens_select(d: DataFrame, limit: int = 20) -> DataFrame:
+def lens_select(d: DataFrame, limit: int = 20, own: list[Lens] | None = None) -> DataFrame:
     """Sessions chosen lens by lens, each once, then the most active ones up to ``limit``.
 
-    ``d`` has POOL rows at most.  They are joined with the one row of thresholds,
-    each lens marks in turn the best of those not taken yet by a window over the
-    pool, and nothing is computed twice.
+    ``own`` lenses stand in place of the four known ones; each may take an equal
+    share of ``limit``, one session at least.  ``d`` has POOL rows at most: the
+    thresholds are columns over the pool, each lens marks in turn the best of those
+    not taken yet by a window over it, and nothing is computed twice or kept.
     """
-    d = d.crossJoin(F.broadcast(p90_thresholds(d.persist())))
-    each, c = max(1, limit // 4), F.col
+    chosen, c = lenses() if own is None else own, F.col
+    each = max(1, limit // max(1, len(chosen)))
+    d = d.withColumns(_thresholds(W.partitionBy()))
     d = d.withColumns({"lens_order": F.lit(None).cast("int"), "lens": F.lit(None).cast("string"), "reason": F.lit(None).cast("string"), "score": F.lit(None).cast("long")})
-    for k, lens in enumerate(lenses()):
+    for k, lens in enumerate(chosen):
         free = c("lens_order").isNull() & lens.predicate
         rank = F.row_number().over(W.partitionBy(free).orderBy(F.desc(lens.score), F.desc("boost")))
         d = d.withColumn("_take", free & (rank <= each)).withColumns({
@@ -86,5 +95,5 @@ def lens_select(d: DataFrame, limit: int = 20) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(c("lens_order").isNull()).orderBy(F.desc("tool_calls_total"), F.desc("boost")))
     fills = c("lens_order").isNull() & (c("_rank") <= limit - c("_taken"))
     d = d.withColumn("_taken", taken).withColumn("_rank", rank).withColumn("_fills", fills).where("lens_order is not null or _fills")
-    return d.select("session_id", F.coalesce("lens_order", F.lit(4)).alias("lens_order"), F.coalesce("lens", F.lit("Activity")).alias("lens"),
+    return d.select("session_id", F.coalesce("lens_order", F.lit(len(chosen))).alias("lens_order"), F.coalesce("lens", F.lit("Activity")).alias("lens"),
                     F.coalesce("reason", F.lit("Activity (filler)")).alias("reason"), F.coalesce("score", "tool_calls_total").alias("score"))

@@ -194,3 +194,16 @@ def test_commands(spark):
         assert one(spark, T.search_pattern_of(F.lit(command))) == pattern and one(spark, T.file_path_of(F.lit(command))) == path, command
     with pytest.raises(Exception):
         one(spark, T.effective_limit(F.lit(1000), F.lit(101.0)))
+
+
+def test_own_lenses(spark):
+    """A caller's lenses, in order, each with its share; the rest are fillers; nothing stays cached."""
+    from sessionloom.operators import select as S
+
+    rows = [(f"s{k}", k, k % 3, 0, 1, 10 * k, 0, 5 * k, 10 - k) for k in range(1, 9)]
+    d = spark.createDataFrame(rows, "session_id string, tool_calls_total long, tool_failures_total long, missing_tool_pairs long, longest_chain long, max_e2e_ms long, loop_signals long, max_tool_ms long, boost long")
+    c = F.col
+    own = [S.Lens("Odd", c("tool_calls_total") % 2 == 1, c("tool_calls_total") * 1, F.lit("odd")), S.Lens("Slow", c("max_e2e_ms") >= c("p90_e2e_ms"), c("max_e2e_ms") * 1, F.format_string("e2e=%d", "max_e2e_ms"))]
+    got = [(r.session_id, r.lens_order, r.lens, r.reason) for r in S.lens_select(d, 5, own).orderBy("lens_order", F.desc("score")).collect()]
+    assert got == [("s7", 0, "Odd", "Odd (odd)"), ("s5", 0, "Odd", "Odd (odd)"), ("s8", 1, "Slow", "Slow (e2e=80)"), ("s6", 2, "Activity", "Activity (filler)"), ("s4", 2, "Activity", "Activity (filler)")]
+    assert [r.lens for r in S.lens_select(d, 2, []).collect()] == ["Activity", "Activity"] and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
