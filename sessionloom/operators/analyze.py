@@ -23,12 +23,17 @@ def session_metrics(a: Assembled) -> DataFrame:
         "provider", *KEYS, "tool_calls_total", "tool_failures_total", "missing_tool_pairs", "longest_chain", "max_e2e_ms", "loop_signals", "max_tool_ms")
 
 
+def is_compacted(said: Column, before: Column, total: Column) -> Column:
+    """Whether a turn's context was made smaller: its text says so, or its total is under half of the one before."""
+    return said | ((before > 0) & (total < F.floor(before / 2)))
+
+
 def turn_metrics(a: Assembled, max_context: int | None = None) -> DataFrame:
     """Running token totals of each turn, with compactions of the context."""
     order = W.partitionBy(*KEYS).orderBy("turn_index")
     end = F.coalesce(F.last("turn_end", True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     t = a.turns.withColumn("cumulative_total", end).withColumn("_before", F.coalesce(F.lag("cumulative_total").over(order), F.lit(0)))
-    compacted = (F.col("origin") == "context_compaction") | ((F.col("_before") > 0) & (F.col("cumulative_total") < F.floor(F.col("_before") / 2)))
+    compacted = is_compacted(F.col("origin") == "context_compaction", F.col("_before"), F.col("cumulative_total"))
     delta = F.when(compacted, F.col("cumulative_total")).otherwise(F.greatest(F.lit(0), F.col("cumulative_total") - F.col("_before")))
     heavy = delta >= (max_context // 10 if max_context else HEAVY_DEFAULT)
     return t.select(*KEYS, "turn_index", F.when(compacted, 0).otherwise(F.col("_before")).cast("long").alias("prev_total"), delta.cast("long").alias("delta"),

@@ -9,6 +9,7 @@ turns give sessions, and each level carries the sums that the next ones need
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,15 +171,22 @@ def _steps(every: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(call, F.struct("seq", kind.alias("kind"), "tool_name")))).alias("_calls"),
         F.max_by("model", F.when(c("model").isNotNull(), c("seq"))).alias("model"), F.max(F.when(c("model").isNotNull(), c("seq"))).alias("_model_at"),
         F.max(F.when(c("opens"), c("event_id"))).alias("_turn_id"), F.max(F.when(c("opens"), c("slash_name"))).alias("_slash"),
-        F.max(F.when(~c("opens") & (c("type") == "user"), c("text"))).alias("_filled"), F.max(F.when(c("opens"), c("text"))).alias("_asked"))
+        F.max(F.when(~c("opens") & (c("type") == "user"), c("text"))).alias("filled_text"), F.max(F.when(c("opens"), c("text"))).alias("asked_text"),
+        F.collect_list(F.when((c("type") == "tool_result") & c("agent_id").isNotNull(), F.struct("agent_id", "seq"))).alias("agents"))
     status = (F.when(c("failed") > 0, "failed").when(c("missing") > 0, "in_progress").when(c("tool_count") > 0, "done")
               .when(c("message").isNotNull(), "done").when(c("reasoning").isNotNull(), "in_progress").otherwise("done"))
     return s.withColumns({
+        "tool_names": F.transform("_calls", lambda x: x["tool_name"]),
         "step_ts": F.when(c("step_index") == 0, c("turn_ts")).otherwise(c("_first_ts")),
         "tokens": c("fresh_input") + c("cache_read") + c("output"), "status": status,
         "step_id": F.coalesce("_reasoning_id", "_content_id", X.uuid5(F.lit(X.NAMESPACE_OID), F.concat_ws(":", *KEYS, "turn_index", "step_index")))})
 
 
+def user_text_of(most: Callable[[str], Column]) -> Column:
+    """What was asked in a turn, of the texts of its steps: that which filled it, else that which opened it."""
+    return F.coalesce(most("filled_text"), most("asked_text"), F.lit(""))
+
+
 def _turns(steps: DataFrame) -> DataFrame:
     c = F.col
     t = steps.groupBy("provider", *KEYS, "turn_index").agg(
@@ -192,7 +200,7 @@ def _turns(steps: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("step_index", "_calls"))), lambda s: s["_calls"])).alias("_calls"),
         F.min("_first_ts").alias("_first_ts"), F.max("_last_ts").alias("_last_ts"),
         F.max_by("model", "_model_at").alias("model"), F.max("_model_at").alias("_model_at"),
-        F.max("_turn_id").alias("turn_id"), F.max("_slash").alias("slash_name"), F.coalesce(F.max("_filled"), F.max("_asked"), F.lit("")).alias("user_text"))
+        F.max("_turn_id").alias("turn_id"), F.max("_slash").alias("slash_name"), user_text_of(F.max).alias("user_text"))
     return t.withColumns({
         "duration_ms": between_ms(c("turn_ts"), c("_last")), "kinds": F.transform("_calls", lambda x: x["kind"]), "tool_names": F.transform("_calls", lambda x: x["tool_name"]),
         "origin": F.when(c("user_text").startswith(CONTINUED), "context_compaction").otherwise("user")})

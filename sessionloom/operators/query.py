@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .analyze import turn_metrics
-from .assemble import KEYS, Assembled, between_ms
+from .analyze import is_compacted
+from .assemble import CONTINUED, KEYS, Assembled, between_ms, user_text_of
 
 # Names under which event types can be asked for.
 ALIASES = {"user": ["user"], "assistant": ["message"], "message": ["message"], "tool": ["tool_call", "tool_result"], "reasoning": ["reasoning"],
@@ -113,6 +113,28 @@ def event_location(a: Assembled) -> DataFrame:
         *KEYS, "event_id", "event_index", "turn_index", "step_index", "type", "payload_json", "provider", "seq", preview().alias("preview"))
 
 
+def counted_location(a: Assembled) -> DataFrame:
+    """Each event's place in its session, and the main stream's turn and step where that many events are reached when steps are counted up; (0, 0) where none is.
+
+    A step counts its reasoning, its message and two events a tool.  The places
+    differ from those of ``event_location``, which are exact; this is for results
+    that were made by counting.  Starts of steps and events are put in one order,
+    so that a window finds each event's step, without a join on ranges."""
+    c = F.col
+    order = W.partitionBy("session_id").orderBy("turn_index", "step_index").rowsBetween(W.unboundedPreceding, 0)
+    size = c("reasoning").isNotNull().cast("long") + c("message").isNotNull().cast("long") + 2 * c("tool_count")
+    steps = (a.steps.where("stream = 'main'").select("session_id", "turn_index", "step_index", size.alias("_size")).where("_size > 0")
+             .withColumn("_end", F.sum("_size").over(order)))
+    starts = steps.select("session_id", (c("_end") - c("_size")).alias("event_index"), F.struct("turn_index", "step_index", "_end").alias("_step"))
+    at = (F.row_number().over(W.partitionBy("session_id").orderBy("seq")) - 1).cast("long")
+    events = a.events.select("session_id", "stream", "event_id", at.alias("event_index"), "type", "payload_json", "provider", "seq", preview().alias("preview"))
+    upto = W.partitionBy("session_id").orderBy("event_index", c("_step").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    both = events.unionByName(starts, allowMissingColumns=True).withColumn("_step", F.last("_step", True).over(upto)).where("event_id is not null")
+    inside = c("event_index") < c("_step._end")
+    return both.select(*KEYS, "event_id", "event_index", *[F.coalesce(F.when(inside, c(f"_step.{k}")), F.lit(0)).cast("int").alias(k) for k in ("turn_index", "step_index")],
+                       "type", "payload_json", "provider", "seq", "preview")
+
+
 def cursor(offset: int) -> str:
     return base64.b64encode(json.dumps({"offset": offset}, separators=(",", ":")).encode()).decode()
 
@@ -135,9 +157,11 @@ def page_of(rows: DataFrame, order: list, size: int = PAGE, page: str | None = N
 
 
 def search_events(a: Assembled, text: str, provider: str | None = None, types: list[str] | None = None, size: int = PAGE, page: str | None = None,
-                  session: str | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """A page of events whose payload holds a text, with their places and previews; of one session, or of those in ``sessions`` (a project's, say)."""
-    found = event_location(a).where(F.col("payload_json").contains(text))
+                  session: str | None = None, sessions: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """A page of events whose payload holds a text, with their places and previews; of one session, or of those in ``sessions`` (a project's, say).
+
+    ``compat`` gives the places of ``counted_location``, in the order of these."""
+    found = (counted_location(a) if compat else event_location(a)).where(F.col("payload_json").contains(text))
     if session:
         found = found.where(F.col("session_id") == session)
     if sessions is not None:
@@ -146,7 +170,8 @@ def search_events(a: Assembled, text: str, provider: str | None = None, types: l
         found = found.where(F.col("provider") == provider)
     if types:
         found = found.where(F.col("type").isin(_types(types)))
-    return page_of(found.select("session_id", "stream", "event_index", "turn_index", "step_index", "type", "preview"), ["session_id", "stream", "event_index"], size, page)
+    return page_of(found.select("session_id", "stream", "event_index", "turn_index", "step_index", "type", "preview"),
+                   ["session_id", *([] if compat else ["stream"]), "event_index"], size, page)
 
 
 def list_turns(a: Assembled) -> DataFrame:
@@ -231,9 +256,13 @@ def event_view(events: DataFrame) -> DataFrame:
 
 def children_by_turn(a: Assembled) -> DataFrame:
     """The child streams that each turn of a main stream spawned, joined by commas."""
-    kids = join_sidechain_spawn(a).select("session_id", F.col("stream").alias("child"), F.col("spawned_turn").alias("turn_index"))
-    return a.turns.where("stream = 'main'").select("session_id", "turn_index").join(kids, ["session_id", "turn_index"], "left").groupBy("session_id", "turn_index").agg(
-        F.array_join(F.array_sort(F.collect_list("child")), ",").alias("children"))
+    return a.turns.where("stream = 'main'").select("session_id", "turn_index").join(_children(a), ["session_id", "turn_index"], "left").withColumn("children", F.coalesce("children", F.lit("")))
+
+
+def _children(a: Assembled) -> DataFrame:
+    """Those turns that spawned a child stream."""
+    kids = join_sidechain_spawn(a).where("spawned_turn is not null").groupBy("session_id", F.col("spawned_turn").alias("turn_index"))
+    return kids.agg(F.array_join(F.array_sort(F.collect_list("stream")), ",").alias("children"))
 
 
 def streams_by_spawn(a: Assembled) -> DataFrame:
@@ -246,25 +275,41 @@ def session_view(a: Assembled, max_context: int = 200_000, session: str | None =
     """The full report of sessions, a row a step: stream (main first), header, turn with its totals and children, and the step's reasoning, tools and message.
 
     A stream lasts from its first turn to its last step; runs of three or more equal
-    tools in a step are told once, with their number."""
+    tools in a step are told once, with their number.  All but the children comes
+    out of the steps, by windows of their partitioning."""
     c = F.col
     if session is not None:
         a = type(a)(**{name: frame.where(c("session_id") == session) for name, frame in vars(a).items()})
-    stream = W.partitionBy(*KEYS)
-    steps = a.steps.withColumns({"session_ms": between_ms(F.min("turn_ts").over(stream), F.max("step_ts").over(stream)), "context_pct": c("tokens") * 100.0 / max_context})
+    stream, turn = W.partitionBy(*KEYS), W.partitionBy(*KEYS, "turn_index")
+    upto = stream.orderBy("turn_index").rangeBetween(W.unboundedPreceding, 0)
+    steps = a.steps.withColumns({
+        "session_ms": between_ms(F.min("turn_ts").over(stream), F.max("step_ts").over(stream)), "is_active": c("turn_index") == F.max("turn_index").over(stream),
+        "user_text": user_text_of(lambda t: F.max(t).over(turn)), "_end": F.max_by("tokens", F.when(c("usages") > 0, c("step_index"))).over(turn)})
+    ends = steps.withColumns({"cumulative_total": F.coalesce(F.last("_end", True).over(upto), F.lit(0)),
+                              "_before": F.coalesce(F.last("_end", True).over(upto.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    compacted = is_compacted(c("user_text").startswith(CONTINUED), c("_before"), c("cumulative_total"))
+    delta = F.when(compacted, c("cumulative_total")).otherwise(F.greatest(F.lit(0), c("cumulative_total") - c("_before")))
+    kids = _children(a).withColumn("stream", F.lit("main"))
     places = W.partitionBy("session_id").orderBy(c("stream") != "main", "stream")
-    order = W.partitionBy(*KEYS, "turn_index", "step_index").orderBy("call_index")
-    new = (~F.coalesce(F.lag("tool_name").over(order) == c("tool_name"), F.lit(False))).cast("int")
-    runs = a.tools.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*KEYS, "turn_index", "step_index", "_run", "tool_name").agg(F.count(F.lit(1)).alias("n"))
-    told = F.when(c("n") >= 3, F.concat("tool_name", F.lit(" x"), c("n").cast("string"))).otherwise(F.array_join(F.array_repeat("tool_name", c("n").cast("int")), ", "))
-    tools = runs.groupBy(*KEYS, "turn_index", "step_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", told.alias("t")))), lambda x: x["t"]), ", ").alias("tools"))
-    turns = turn_metrics(a).select(*KEYS, "turn_index", "delta", "cumulative_total", "is_active")
-    asked = a.turns.select(*KEYS, "turn_index", X.truncate_marked(c("user_text"), 100).alias("user_text"))
-    kids = children_by_turn(a).withColumn("stream", F.lit("main"))
-    return (steps.join(turns, [*KEYS, "turn_index"]).join(asked, [*KEYS, "turn_index"]).join(kids, [*KEYS, "turn_index"], "left").join(tools, [*KEYS, "turn_index", "step_index"], "left")
-            .withColumn("stream_place", F.dense_rank().over(places)).select(
-                *KEYS, "stream_place", "session_ms", "turn_index", "user_text", "delta", "cumulative_total", "is_active", F.coalesce("children", F.lit("")).alias("children"),
-                "step_index", "status", "reasoning", F.coalesce("tools", F.lit("")).alias("tools"), "message", "tokens", c("context_pct").cast("double").alias("context_pct")))
+    return (ends.join(kids, [*KEYS, "turn_index"], "left").withColumn("stream_place", F.dense_rank().over(places)).select(
+        *KEYS, "stream_place", "session_ms", "turn_index", X.truncate_marked(c("user_text"), 100).alias("user_text"), delta.cast("long").alias("delta"), c("cumulative_total").cast("long").alias("cumulative_total"),
+        "is_active", F.coalesce("children", F.lit("")).alias("children"), "step_index", "status", "reasoning", told_runs(c("tool_names")).alias("tools"), "message", "tokens",
+        (c("tokens") * 100.0 / max_context).cast("double").alias("context_pct")))
+
+
+def told_runs(names: Column) -> Column:
+    """Names joined by commas, in their order; a run of three or more equal ones is told once, with its number."""
+    empty = F.array().cast("array<struct<name:string,n:int>>")
+
+    def add(runs, name):
+        same = F.coalesce(F.try_element_at(runs, F.lit(-1))["name"] == name, F.lit(False))
+        longer = F.struct(name.alias("name"), (F.try_element_at(runs, F.lit(-1))["n"] + 1).alias("n"))
+        return F.when(same, F.array_append(F.slice(runs, F.lit(1), F.size(runs) - 1), longer)).otherwise(F.array_append(runs, F.struct(name.alias("name"), F.lit(1).alias("n"))))
+
+    def tell(run):
+        return F.when(run["n"] >= 3, F.concat(run["name"], F.lit(" x"), run["n"].cast("string"))).otherwise(F.array_join(F.array_repeat(run["name"], run["n"]), ", "))
+
+    return F.array_join(F.transform(F.aggregate(names, empty, add), tell), ", ")
 
 
 def order_sessions(sessions: DataFrame, newest: bool = True) -> list:
@@ -319,9 +364,9 @@ def resolve_prefix(sessions: DataFrame, prefix: str) -> str | None:
 
 def join_sidechain_spawn(a: Assembled) -> DataFrame:
     """Where each child stream was spawned: turn and step of the last main-stream tool result that names its agent."""
-    made = a.rows.where("stream = 'main' and type = 'tool_result' and agent_id is not null").groupBy("session_id", "agent_id").agg(
-        F.max_by(F.struct("turn_index", "step_index"), "seq").alias("s"))
-    child = a.sessions.where(F.col("stream").startswith("sidechain:")).select("session_id", "stream", F.substring_index("stream", ":", -1).alias("agent_id"))
+    named = a.steps.where("stream = 'main' and size(agents) > 0").select("session_id", "turn_index", "step_index", F.inline("agents"))
+    made = named.groupBy("session_id", "agent_id").agg(F.max_by(F.struct("turn_index", "step_index"), "seq").alias("s"))
+    child = a.events.where(F.col("stream").startswith("sidechain:")).select("session_id", "stream").distinct().select("session_id", "stream", F.substring_index("stream", ":", -1).alias("agent_id"))
     return child.join(made, ["session_id", "agent_id"], "left").select(
         "session_id", "stream", F.col("s.turn_index").alias("spawned_turn"), F.col("s.step_index").alias("spawned_step"))
 

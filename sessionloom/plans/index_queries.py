@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.assemble import Assembled
+from ..operators.query import cursor
 from ..sources import catalog
+from ..streaming.live import shared_dir
 from . import oracle as O
 from .registry import query
 
@@ -77,6 +80,37 @@ def build_index(e: DataFrame):
     return second_index(e)[1]
 
 
+@query(O.on_events("SELECT count(*) FILTER (again) AS total_sessions, coalesce(sum(files) FILTER (again), 0)::BIGINT AS scanned_files, coalesce(sum(files) FILTER (NOT again), 0)::BIGINT AS skipped_files, (SELECT count(*) FROM sx) AS stored FROM sx", HEADS), on="events")
+def write_index(e: DataFrame):
+    """The catalogue written twice, the second time out of the first as it was stored; the counts that the second write made."""
+    spark, folder = e.sparkSession, f"{shared_dir(e.sparkSession)}/index-{uuid4().hex}"
+    first_index(e).write(f"{folder}/old")
+    counts = catalog.write_index(f"{folder}/new", *headers_of(e), old=catalog.Catalog.read(spark, f"{folder}/old"))
+    return catalog.Catalog.read(spark, f"{folder}/new").sessions.agg(*[F.lit(n).cast("long").alias(k) for k, n in counts.items()], F.count(F.lit(1)).alias("stored"))
+
+
+_PAGE = "SELECT id, provider, start_ts, root_path, {} AS next_cursor FROM sx JOIN pj ON hash = project_hash WHERE {} ORDER BY start_ts DESC, id LIMIT 10 OFFSET {}"
+
+
+def _page(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "provider", "start_ts", "root_path", "next_cursor")
+
+
+@query(O.on_events(_PAGE.format("CASE WHEN (SELECT count(*) FROM sx WHERE parent_session_id IS NULL) > 20 THEN 'eyJvZmZzZXQiOjIwfQ==' END", "parent_session_id IS NULL", 10), HEADS), on="events")
+def list_sessions_top_level(e: DataFrame):
+    """The second page of sessions that no other one spawned."""
+    return _page(catalog.list_sessions(second_index(e)[0], page=cursor(10)))
+
+
+_OF_P2 = "project_hash = sha256('/root/p2') AND provider = 'codex' AND CAST(start_ts AS TIMESTAMP) >= TIMESTAMP '2024-01-01 00:00:30'"
+
+
+@query(O.on_events(_PAGE.format(f"CASE WHEN (SELECT count(*) FROM sx WHERE {_OF_P2}) > 10 THEN 'eyJvZmZzZXQiOjEwfQ==' END", _OF_P2, 0), HEADS), on="events")
+def list_sessions_of_project(e: DataFrame):
+    """A project's sessions of one provider, children too; its root goes before the hash."""
+    return _page(catalog.list_sessions(second_index(e)[0], provider="codex", project_root="/root/p2", project_hash="none", since="2024-01-01T00:00:30", include_children=True))
+
+
 @query(O.on_events("SELECT count(*) AS total_sessions, sum(files)::BIGINT AS scanned_files, 0::BIGINT AS skipped_files FROM sx WHERE project_hash = sha256('/root/p2')", HEADS), on="events")
 def filter_project_scope(e: DataFrame):
     heads, files = headers_of(e)

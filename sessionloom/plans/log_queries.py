@@ -120,6 +120,22 @@ def header_claude(e: DataFrame):
     return catalog.claude_headers(rows).select("path", "snippet", F.floor(F.unix_micros(F.try_to_timestamp("start_ts")) / 1000).alias("start_ms"), "is_sidechain")
 
 
+@query(O.on_events("""SELECT path, session_id, cwd, is_sidechain, agent_id FROM (
+  SELECT session_id AS path, session_id, CASE WHEN count(*) FILTER (seq % 5 = 0) > 0 THEN '/p' END AS cwd, bool_or(stop IS NOT NULL) AS stops,
+    arg_max(side, n) FILTER (says AND n <= coalesce(stop, 200)) AS by_user, arg_max(side, n) FILTER (n <= coalesce(stop, 200)) AS by_any, coalesce(by_user, by_any) AS is_sidechain,
+    arg_min(agent, n) FILTER (agent IS NOT NULL AND n <= coalesce(stop, 200)) AS agent_id FROM (
+    SELECT *, greatest(min(CASE WHEN seq % 5 = 0 THEN n END) OVER w, min(CASE WHEN asks THEN n END) OVER w) AS most,
+      CASE WHEN min(CASE WHEN seq % 5 = 0 THEN n END) OVER w IS NOT NULL AND min(CASE WHEN asks THEN n END) OVER w IS NOT NULL THEN most END AS stop FROM (
+      SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, stream <> 'main' AS side, CASE WHEN type IN ('user', 'slash_command', 'tool_result') AND stream <> 'main' THEN split_part(stream, ':', 2) ELSE agent_id END AS agent,
+        type IN ('user', 'slash_command', 'tool_result') AS says, type IN ('user', 'slash_command') AND stream = 'main' AS asks FROM ev WHERE type <> 'token_usage')
+    WHERE n <= 200 WINDOW w AS (PARTITION BY session_id)) GROUP BY session_id)"""), on="events")
+def header_claude_stop(e: DataFrame):
+    """Files that hold several streams, whose folder is told by some lines only: what comes behind the line that completes the header isn't read."""
+    lines = render.claude_lines(e).select("path", F.col("line_no").alias("place"),
+                                          F.when(F.col("line_no") % 5 == 0, F.concat(F.lit('{"cwd":"/p",'), F.expr("substring(value, 2)"))).otherwise(F.col("value")).alias("value"))
+    return catalog.claude_headers(lines).select("path", "session_id", "cwd", "is_sidechain", "agent_id")
+
+
 _BROKEN = """bk AS (SELECT session_id AS path, provider, seq, CASE WHEN seq % 17 = 0 THEN 'parse_error' WHEN seq % 19 = 0 THEN 'missing_field' WHEN seq % 23 = 0 THEN 'type_mismatch' END AS bad FROM ev WHERE type <> 'token_usage'),
 dg AS (SELECT path, any_value(provider) AS provider, coalesce(arg_min(bad, seq) FILTER (bad IS NOT NULL), 'ok') AS status, count(*) AS records FROM bk GROUP BY path)"""
 

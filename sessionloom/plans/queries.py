@@ -340,6 +340,23 @@ def search_events(a: Assembled):
     return Q.search_events(a, "message", types=["assistant"], page=Q.cursor(20))
 
 
+_COUNTED = """lc AS (SELECT session_id, event_id, stream, type, payload_json, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS BIGINT) AS event_index FROM ev),
+sc AS (SELECT session_id, turn_index, step_index, size, sum(size) OVER (PARTITION BY session_id ORDER BY turn_index, step_index) AS upto FROM (
+  SELECT session_id, turn_index, step_index, CAST(reasoning IS NOT NULL AS INT) + CAST(message IS NOT NULL AS INT) + 2 * tool_count AS size FROM steps WHERE stream = 'main')),
+cl AS (SELECT lc.session_id, lc.stream, event_id, event_index, type, payload_json, coalesce(sc.turn_index, 0) AS turn_index, coalesce(sc.step_index, 0) AS step_index FROM lc
+  LEFT JOIN sc ON sc.session_id = lc.session_id AND event_index >= upto - size AND event_index < upto)"""
+
+
+@query(O.on_tables("SELECT session_id, stream, event_id, event_index, turn_index, step_index FROM cl", _COUNTED))
+def event_location_compat(a: Assembled):
+    return Q.counted_location(a).select(*KEYS, "event_id", "event_index", "turn_index", "step_index")
+
+
+@query(O.on_tables("SELECT session_id, stream, event_index, turn_index, step_index, type, 'eyJvZmZzZXQiOjIwfQ==' AS next_cursor FROM cl WHERE contains(payload_json, 'message') AND type = 'message' ORDER BY session_id, event_index LIMIT 20", _COUNTED))
+def search_events_compat(a: Assembled):
+    return Q.search_events(a, "message", types=["assistant"], compat=True).drop("preview")
+
+
 @query(O.on_tables("SELECT event_id, preview FROM loc", LOC))
 def event_preview(a: Assembled):
     return Q.event_location(a).select("event_id", "preview")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.query import sessions_between
+from ..operators.query import page_of, sessions_between
 from .ingest import at, detect_provider, first_lines, parse_auto, place_of, read_documents
 
 SNIPPET, CLAUDE_LINES, CODEX_LINES = 200, 200, 20
@@ -60,10 +60,15 @@ def claude_headers(lines: DataFrame, first: int = CLAUDE_LINES) -> DataFrame:
 
     The snippet is the first text of a user record that is neither meta nor of a
     sidechain, and none of whose forebears is meta; a snapshot of the files begins
-    anew.  The first lines of a file are folded in order."""
+    anew.  The first lines of a file are folded in order, up to the one with which
+    session, folder, start and snippet are all known: whether it is a sidechain is
+    what its last user record up to there tells (without one, its last record),
+    and its agent the first that user records or their results name."""
+    v = F.col("v")
+    named = F.get(F.filter(F.transform(at("v", "$.message.content", "array<variant>"), lambda m: F.try_variant_get(m, "$.agentId", "string")), lambda a: a.isNotNull()), 0)
     r = first_lines(lines, first).withColumn("v", F.try_parse_json("value")).where("v is not null").select(
         "path", "line_no", at("v", "$.type").alias("t"), at("v", "$.sessionId").alias("sid"), at("v", "$.cwd").alias("cwd"), at("v", "$.timestamp").alias("ts"),
-        F.coalesce(at("v", "$.isMeta", "boolean"), F.lit(False)).alias("meta"), at("v", "$.isSidechain", "boolean").alias("side"), at("v", "$.agentId").alias("agent"),
+        F.coalesce(at("v", "$.isMeta", "boolean"), F.lit(False)).alias("meta"), at("v", "$.isSidechain", "boolean").alias("side"), F.when(at("v", "$.type") == "user", F.coalesce(at("v", "$.agentId"), named)).alias("agent"),
         F.coalesce(at("v", "$.uuid"), F.lit("")).alias("uuid"), at("v", "$.parentUuid").alias("parent"),
         F.coalesce(F.when(F.schema_of_variant(at("v", "$.message.content", "variant")) == "STRING", at("v", "$.message.content")), at("v", "$.message.content[0].text")).alias("text"))
 
@@ -72,17 +77,25 @@ def claude_headers(lines: DataFrame, first: int = CLAUDE_LINES) -> DataFrame:
 
     heads = r.groupBy("path").agg(
         first_of("sid").alias("session_id"), first_of("cwd").alias("cwd"), first_of("ts").alias("start_ts"),
-        F.coalesce(F.max_by("side", F.when(F.col("side").isNotNull(), F.col("line_no"))), F.lit(False)).alias("is_sidechain"), first_of("agent").alias("agent_id"),
-        F.sort_array(F.collect_list(F.struct("line_no", "t", "meta", "side", "uuid", "parent", "text"))).alias("_r"))  # ``first`` of them at most
-    nothing = F.struct(F.array().cast("array<string>").alias("metas"), F.lit(None).cast("string").alias("snippet"))
+        F.sort_array(F.collect_list(F.struct("line_no", "t", "meta", "side", "uuid", "parent", "text", "agent", F.col("sid").isNotNull().alias("sid"), F.col("cwd").isNotNull().alias("cwd"),
+                                             F.col("ts").isNotNull().alias("ts")))).alias("_r"))  # ``first`` of them at most
+    none = F.lit(None)
+    nothing = F.struct(F.array().cast("array<string>").alias("metas"), none.cast("string").alias("snippet"), none.cast("boolean").alias("user_side"), none.cast("boolean").alias("side"),
+                       none.cast("string").alias("agent"), *[F.lit(False).alias(n) for n in ("sid", "cwd", "ts")])
 
     def fold(s, x):
         metas = F.when(x["t"] == "file-history-snapshot", F.array().cast("array<string>")).otherwise(s["metas"])
         under = x["meta"] | F.coalesce(F.array_contains(metas, x["parent"]), F.lit(False))
         says = (x["t"] == "user") & ~F.coalesce(x["side"], F.lit(False)) & ~under
-        return F.struct(F.when(under, F.array_append(metas, x["uuid"])).otherwise(metas).alias("metas"), F.coalesce(s["snippet"], F.when(says, x["text"])).alias("snippet"))
+        user = F.when(x["t"] == "user", F.coalesce(x["side"], F.lit(False)))
+        seen = F.struct(F.when(under, F.array_append(metas, x["uuid"])).otherwise(metas).alias("metas"), F.coalesce(s["snippet"], F.when(says, x["text"])).alias("snippet"),
+                        F.coalesce(user, s["user_side"]).alias("user_side"), F.coalesce(x["side"], s["side"]).alias("side"), F.coalesce(s["agent"], x["agent"]).alias("agent"),
+                        *[(s[n] | x[n]).alias(n) for n in ("sid", "cwd", "ts")])
+        return F.when(s["sid"] & s["cwd"] & s["ts"] & s["snippet"].isNotNull(), s).otherwise(seen)
 
-    return heads.withColumn("snippet", F.substring(F.aggregate("_r", nothing, fold)["snippet"], 1, SNIPPET)).drop("_r")
+    told = heads.withColumn("_s", F.aggregate("_r", nothing, fold))
+    return told.select("path", "session_id", "cwd", "start_ts", F.substring("_s.snippet", 1, SNIPPET).alias("snippet"),
+                       F.coalesce("_s.user_side", "_s.side", F.lit(False)).alias("is_sidechain"), F.col("_s.agent").alias("agent_id"))
 
 
 def codex_headers(lines: DataFrame, first: int = CODEX_LINES) -> DataFrame:
@@ -116,14 +129,14 @@ def header_columns(headers: DataFrame, provider: str) -> DataFrame:
     return headers.select(*[side.alias(n) if n == "is_sidechain" else (F.col(n) if n in headers.columns else F.lit(None)).cast(t).alias(n) for n, t in HEADER.items()])
 
 
-def sessions_of(headers: DataFrame) -> DataFrame:
-    """Files grouped into sessions: the main file, sidechain files, first start, folder and snippet, newest modification time."""
+def sessions_of(headers: DataFrame, *others: Column) -> DataFrame:
+    """Files grouped into sessions: the main file, sidechain files, first start, folder and snippet, newest modification time (and ``others``)."""
     main = ~F.col("is_sidechain")
     extra = [F.max("modificationTime").alias("latest_mod_time")] if "modificationTime" in headers.columns else []
     more = [F.max(c).alias(c) for c in ("provider", "stored_hash", "parent_session_id", "spawned_by_turn", "spawned_by_step") if c in headers.columns]
     return headers.where("session_id is not null").groupBy("session_id").agg(
         F.min(F.when(main, F.col("path"))).alias("main_file"), F.sort_array(F.collect_list(F.when(~main, F.col("path")))).alias("side_files"),
-        F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).alias("cwd"), F.max(F.when(main, F.col("snippet"))).alias("snippet"), *extra, *more)
+        F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).alias("cwd"), F.max(F.when(main, F.col("snippet"))).alias("snippet"), *extra, *more, *others)
 
 
 def most_recent(sessions: DataFrame, project: str | None = None) -> DataFrame:
@@ -160,24 +173,29 @@ class Catalog:
 
 
 def build_index(headers: DataFrame, files: DataFrame, old: Catalog | None = None, repositories: DataFrame | None = None, project: str | None = None,
-                force: bool = False) -> tuple[Catalog, DataFrame]:
+                force: bool = False, observation: Observation | None = None) -> tuple[Catalog, DataFrame]:
     """The catalogue of the files with these headers (HEADER) and a row of counts: sessions, files scanned and files skipped.
 
     With an ``old`` catalogue a session all of whose files are known with the same
     size and time is passed over, unless ``force`` is set.  ``project`` takes one
     project's sessions only.  ``repositories`` (root_path, common_dir) tells which
     folders are worktrees of one repository.  Write the result to another folder
-    than the old one, which it reads."""
-    known = headers.where("session_id is not null").join(files.select("path", "length", "modificationTime"), "path")
-    sessions = sessions_of(known).where("main_file is not null")
-    hashed = F.coalesce(project_hash(F.col("cwd")), "stored_hash", project_hash(F.col("main_file")))
-    sessions = sessions.withColumn("project_hash", hashed)
+    than the old one, which it reads.  Files are marked by session in one window,
+    and all three tables and the counts are taken from the marked ones; an
+    ``observation`` gets the counts when log_files is written."""
+    marked = headers.where("session_id is not null").join(files.select("path", "length", "modificationTime"), "path")
+    new = F.lit(True)
+    if old is not None and not force:
+        same = old.log_files.select("path", F.col("file_size").alias("length"), F.col("mod_time").alias("modificationTime"), F.lit(True).alias("_same"))
+        marked, new = marked.join(same, ["path", "length", "modificationTime"], "left"), F.col("_same").isNull()
+    session = W.partitionBy("session_id")
+    marked = marked.withColumns({"_new": F.max(new).over(session), "_main": F.min(F.when(~F.col("is_sidechain"), F.col("path"))).over(session),
+                             "_cwd": F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("start_ts"))).over(session), "_stored": F.max("stored_hash").over(session)}).where("_main is not null")
+    marked = marked.withColumn("project_hash", F.coalesce(project_hash(F.col("_cwd")), "_stored", project_hash(F.col("_main"))))
     if project is not None:
-        sessions = sessions.where(F.col("project_hash") == project)
-    known = known.join(sessions.select("session_id"), "session_id", "left_semi")
-    fresh = known if old is None or force else changed(known, old.log_files.withColumnsRenamed({"file_size": "length", "mod_time": "modificationTime"}))
-    sessions = sessions.join(fresh.select("session_id").distinct(), "session_id", "left_semi")
-    scanned = known.join(sessions.select("session_id"), "session_id", "left_semi")
+        marked = marked.where(F.col("project_hash") == project)
+    seen = marked if observation is None else marked.observe(observation, *_counts())
+    sessions = sessions_of(marked.where("_new"), F.max("project_hash").alias("project_hash"))
     repository = F.lit(None).cast("string")
     if repositories is not None:
         sessions = sessions.join(repositories.select(F.col("root_path").alias("cwd"), "common_dir").distinct(), "cwd", "left")
@@ -185,15 +203,27 @@ def build_index(headers: DataFrame, files: DataFrame, old: Catalog | None = None
     rows = sessions.select(F.col("session_id").alias("id"), "project_hash", repository.alias("repository_hash"), "provider", "start_ts", F.lit(None).cast("string").alias("end_ts"), "snippet",
                            F.lit(True).alias("is_valid"), "parent_session_id", "spawned_by_turn", "spawned_by_step")
     projects = sessions.groupBy(F.col("project_hash").alias("hash")).agg(F.max("cwd").alias("root_path"), F.max("latest_mod_time").alias("last_scanned_at"))
-    logs = scanned.select("path", "session_id", F.when(F.col("is_sidechain"), "sidechain").otherwise("main").alias("role"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mod_time"))
+    logs = seen.where("_new").select("path", "session_id", F.when(F.col("is_sidechain"), "sidechain").otherwise("main").alias("role"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mod_time"))
     made = Catalog(projects, rows, logs)
     if old is not None:
         made = Catalog(upsert(old.projects, projects, ["hash"], keep=["root_path"]),
                        upsert(old.sessions, rows, ["id"], keep=["repository_hash", "start_ts", "end_ts", "snippet", "parent_session_id", "spawned_by_turn", "spawned_by_step"]),
                        upsert(old.log_files, logs, ["path"]))
-    counts = known.select(F.col("session_id").alias("_all")).withColumn("n", F.lit(1)).agg(F.sum("n").alias("files")).crossJoin(  # one row each
-        scanned.agg(F.count(F.lit(1)).alias("scanned_files"), F.count_distinct("session_id").alias("total_sessions")))
-    return made, counts.select("total_sessions", "scanned_files", (F.coalesce("files", F.lit(0)) - F.col("scanned_files")).alias("skipped_files"))
+    return made, marked.agg(*_counts())
+
+
+def _counts() -> list[Column]:
+    """What ``build_index`` counts, over the files of sessions: each session has one main file."""
+    again = F.col("_new")
+    return [F.count_if(again & (F.col("path") == F.col("_main"))).alias("total_sessions"), F.count_if(again).alias("scanned_files"), F.count_if(~again).alias("skipped_files")]
+
+
+def write_index(folder: str, headers: DataFrame, files: DataFrame, old: Catalog | None = None, **options) -> dict[str, int]:
+    """Build the catalogue and write it below ``folder``; the counts come out of the write itself, without a job of their own."""
+    counted = Observation()
+    made, _ = build_index(headers, files, old, observation=counted, **options)
+    made.write(folder)
+    return {k: int(v) for k, v in counted.get.items()}
 
 
 def find_session_files(log_files: DataFrame, session: str) -> DataFrame:
@@ -213,6 +243,20 @@ def filter_sessions(sessions: DataFrame, project: str | None = None, provider: s
     return sessions.where("is_valid and parent_session_id is null" if top_level else "is_valid")
 
 
+def list_sessions(catalog: Catalog, size: int = 10, page: str | None = None, provider: str | None = None, project_root: str | None = None, project_hash: str | None = None,
+                  since: str | None = None, until: str | None = None, include_children: bool = False) -> DataFrame:
+    """A page of valid sessions, the newest first, with their project's root_path and the cursor of the next page.
+
+    A project is told by its root folder or, without one, by its hash.  Sessions
+    that others spawned are listed with ``include_children`` only; a session
+    without a start comes last, and not at all if a bound holds."""
+    project = project_scope(cwd=project_root) if project_root is not None else project_hash
+    rows = filter_sessions(catalog.sessions, project=project, provider=provider, top_level=not include_children)
+    rows = sessions_between(rows.withColumn("start_time", F.try_to_timestamp("start_ts")), since, until)
+    got = page_of(rows, [F.desc_nulls_last("start_time"), F.asc("id")], size, page)
+    return join_projects(got.drop("start_time"), catalog.projects)
+
+
 def project_scope(project: str | None = None, everything: bool = False, cwd: str | None = None) -> str | None:
     """The hash of the project that is asked for: an explicit one, else none for all, else that of the working folder."""
     if project or everything or cwd is None:
