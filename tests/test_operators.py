@@ -196,6 +196,11 @@ def test_commands(spark):
         one(spark, T.effective_limit(F.lit(1000), F.lit(101.0)))
 
 
+def test_file_named_like_its_command(spark):
+    for command, path in (("sed -i s/a/b/ sed", "sed"), ("bash -lc sed -n '1,20p' sed", "sed"), ("sed -n '1,20p'", None), ("sed", None)):
+        assert one(spark, T.file_path_of(F.lit(command))) == path, command
+
+
 def test_own_lenses(spark):
     """A caller's lenses, in order, each with its share; the rest are fillers; nothing stays cached."""
     from sessionloom.operators import select as S
