@@ -10,7 +10,8 @@ from a checkpoint goes on where the offsets say, whatever has happened meanwhile
 A folder is a local or shared one, or the address of an object store or HDFS
 (read by pyarrow's file systems).  A file that has shrunk and grown
 beyond its position between two batches can't be told from one that has grown.
-The offset has one number a file, so log folders are best watched one by one.
+The offset has one number a file, by its path below the folder.  Small files
+share a task, and a batch has TASKS tasks at most, however many its files are.
 """
 
 from __future__ import annotations
@@ -26,17 +27,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, position long, value string"
-#: Bytes that one task reads, that one read takes, and that a batch of rows holds.
-TASK, READ, ROWS = 128 << 20, 1 << 20, 4 << 20
+#: Bytes that one task reads, that one read takes, and that a batch of rows holds; tasks of a batch, and bytes that could be read while a file is opened.
+TASK, READ, ROWS, TASKS, OPEN = 128 << 20, 1 << 20, 4 << 20, 1000, 64 << 10
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, range after range."""
+
+    ranges: list[Range]
+
+
+def dealt(changed: list[Range], task: int) -> list[Ranges]:
+    """Changed ranges of files cut to ``task`` bytes (more, if that made over TASKS pieces) and put together, in their order, to about TASKS tasks at most."""
+    step = max(task, sum(r.end - r.start for r in changed) // TASKS + 1)
+    pieces = [Range(r.path, a, min(a + step, r.end)) for r in changed for a in range(r.start, r.end, step)]
+    room = max(task, sum(p.end - p.start + OPEN for p in pieces) // TASKS + 1)
+    out: list[Ranges] = []
+    used = room
+    for p in pieces:
+        weight = p.end - p.start + OPEN
+        if used + weight > room:
+            out.append(Ranges([]))
+            used = 0
+        out[-1].ranges.append(p)
+        used += weight
+    return out
+
+
 def _remote(root: str):
     """The file system of an address (None for a local or shared folder), and the path in it."""
     if root.startswith("file:"):
@@ -116,37 +141,42 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return list_sizes(self.root, self.glob)
+        root = self._prefix()
+        return {path.removeprefix(root): size for path, size in list_sizes(self.root, self.glob).items()}
+
+    def _prefix(self) -> str:
+        return _remote(self.root)[1].rstrip("/") + "/"
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        root, changed = self._prefix(), []
         for path, size in end.items():
-            begin = start.get(path, 0)
-            if size < begin:
-                begin = 0
-            out += [Range(path, a, min(a + self.task, size)) for a in range(begin, size, self.task)]
-        return out
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        path = partition.path
-        held: list[tuple[int, str]] = []
+            # offsets of earlier checkpoints have whole paths
+            whole = path if path.startswith(root) else root + path
+            begin = start.get(path, start.get(whole, 0))
+            if size != begin:
+                changed.append(Range(whole, begin if size > begin else 0, size))
+        return dealt(changed, self.task)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """Lines of several ranges come in batches of their own, of about ROWS bytes."""
+        rows: list[tuple[str, int, str]] = []
         size = 0
 
         def batch() -> pa.RecordBatch:
-            positions, values = zip(*held)
-            return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(positions, pa.int64()), pa.array(values)], names=["path", "position", "value"])
-
-        f, there = open_file(self.root, path)
-        with f:
-            for position, line in lines_between(f, partition.start, min(partition.end, there)):
-                if not line.strip():
-                    continue
-                held.append((position, line.decode("utf-8", "replace")))
-                size += len(line)
-                if size > ROWS:
-                    yield batch()
-                    held, size = [], 0
-        if held:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["path", "position", "value"])
+
+        for r in partition.ranges:
+            f, there = open_file(self.root, r.path)
+            with f:
+                for position, line in lines_between(f, r.start, min(r.end, there)):
+                    if not line.strip():
+                        continue
+                    rows.append((r.path, position, line.decode("utf-8", "replace")))
+                    size += len(line)
+                    if size > ROWS:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
             yield batch()
 
 

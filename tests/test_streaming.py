@@ -152,6 +152,21 @@ def test_tail_of_growing_files(spark, tmp_path):
     assert drain() == [("b.jsonl", 0, "again")] and drain() == []
 
 
+def test_tail_shares_tasks(tmp_path):
+    """Small files share a task and large ones are cut, each byte once; offsets of earlier checkpoints, with whole paths, still count."""
+    reader = tail.TailReader({"path": str(tmp_path)})
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("line\n")
+    assert reader.latestOffset() == {"a": 5, "b": 5} and len(reader.partitions({}, {"a": 5, "b": 5})) == 1
+    [task] = reader.partitions({f"{tmp_path}/a": 5, "b": 9}, {"a": 5, "b": 5})
+    assert task.ranges == [tail.Range(f"{tmp_path}/b", 0, 5)]
+    for files, size, limit in ((20_000, 17_000, 4096), (50_000, 10, 4096), (3, 1 << 30, 4096), (20_000, 17_000, tail.TASK), (2, 3 * tail.TASK, tail.TASK)):
+        tasks = tail.dealt([tail.Range(str(k), 5, 5 + size) for k in range(files)], limit)
+        held = [r for t in tasks for r in t.ranges]
+        assert len(tasks) <= 1.1 * tail.TASKS and (limit < tail.TASK or len(tasks) <= 20)
+        assert sum(r.end - r.start for r in held) == files * size and len({(r.path, r.start) for r in held}) == len(held)
+
+
 def test_tail_feeds_the_normalizer(spark, tmp_path):
     """Tailed lines give the events that a read of the files gives."""
     events = bridged(spark, "/root/testdata/sf0.001").orderBy("session_id", "seq").limit(300)
