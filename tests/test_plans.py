@@ -40,3 +40,35 @@ def test_query(spark, con, name):
     assert sorted(names) == cols
     want = sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in rel.fetchall())
     assert got == want
+
+
+def test_row_code_is_compiled(spark, tmp_path):
+    """No method of the generated code is over the 8,000 bytes up to which the JVM compiles, in making lines and in reading them."""
+    import re
+
+    from sessionloom.plans import bridge, render
+    from sessionloom.sources import ingest
+
+    events = bridge.bridged(spark, SF)
+    frames = [render.claude_lines(events), render.codex_lines(events)]
+    for k, make in enumerate((ingest.claude_events, ingest.codex_events)):
+        frames[k].write.parquet(f"{tmp_path}/{k}")
+        frames.append(make(spark.read.parquet(f"{tmp_path}/{k}")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in frames:
+            plan = frame.select("*")._jdf.queryExecution().executedPlan()
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))]
+            assert sizes and max(sizes) < 8000, sizes
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small files don't make as many tasks."""
+    from sessionloom.plans import file_queries
+
+    spark.range(60).repartition(60).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(file_queries, "SPLIT_TASKS", 5)
+    rows = file_queries.in_small_splits(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
+    assert rows.count() == 60 and len(rows.inputFiles()) <= 10
