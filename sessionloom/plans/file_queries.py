@@ -18,15 +18,21 @@ def scratch(e: DataFrame, name: str) -> str:
     return f"{shared_dir(e.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tasks of a read in small splits: beyond, splits share a task, so that tasks don't grow with the number of files.
+SPLIT_TASKS = 400
+
+
 def in_small_splits(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` as a table, made while files are split into a few kilobytes."""
-    spark, key = rows.sparkSession, "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "64k")
+    spark, keys = rows.sparkSession, {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.maxPartitionNum": str(SPLIT_TASKS)}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         rows.write.parquet(folder)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(folder)
 
 
