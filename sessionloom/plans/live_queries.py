@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,12 +43,21 @@ def chunk() -> Column:
 _CHUNK = f"(seq // 3 + user_id) % {CHUNKS}"
 
 
+def arriving(events: DataFrame, folder: str) -> Iterator[int]:
+    """Lands the chunks in ``folder``/in, one at each step; the events are made once, and held by chunk until then."""
+    held = f"{folder}/held"
+    events.withColumn("arrives", chunk()).write.partitionBy("arrives").parquet(held)
+    rows = events.sparkSession.read.schema(events.withColumn("arrives", F.lit(0)).schema).parquet(held)
+    for k in range(CHUNKS):
+        rows.where(F.col("arrives") == k).select(*events.columns).write.mode("append").parquet(f"{folder}/in")
+        yield k
+
+
 def in_chunks(events: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str = "update") -> DataFrame:
     """What a stream gives, by run, when chunk after chunk lands."""
     spark, folder = events.sparkSession, scratch(events.sparkSession, "chunks")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    for k in range(CHUNKS):
-        events.where(chunk() == k).write.mode("append").parquet(f"{folder}/in")
+    for k in arriving(events, folder):
         out = operator(live.landing(spark, f"{folder}/in", schema))
         live.run_once(out, folder, into(folder, k), mode)
     return drained(spark, folder, out.schema)
@@ -84,8 +93,7 @@ def live_sessions(e: DataFrame):
     spark, folder = e.sparkSession, scratch(e.sparkSession, "live")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema)
     store = SessionStore(spark, f"{folder}/store", schema, buckets=16)
-    for k in range(CHUNKS):
-        e.where(chunk() == k).write.mode("append").parquet(f"{folder}/in")
+    for _ in arriving(e, folder):
         live.run_once(live.landing(spark, f"{folder}/in", schema).select(*e.columns), folder, store.writer(), "append")
     return store.read("steps").select("session_id", "stream", "turn_index", "step_index", "status", "tokens")
 

@@ -7,8 +7,9 @@ again.  Batches may bring events in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -64,8 +65,24 @@ def live_errors(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     return rows.groupBy("session_id").transformWithState(Errors(idle_ms), "session_id string, error_count long", "update", "ProcessingTime")
 
 
+def by_session(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events to one row a session of each batch of rows, so that state is asked about sessions and not about events."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).group_by("session_id").aggregate(
+            [("provider", "max"), ("ts", "min"), ("ts", "max"), ("chunk_time", "max"), ([], "count_all")])
+        columns = ("session_id", "provider_max", "ts_min", "ts_max", "chunk_time_max", "count_all")
+        yield from pa.table([t[c] for c in columns], names=["session_id", "provider", "first", "last", "modified", "events"]).to_batches()
+
+
+def _of(choose: Callable, *values: int | None) -> int | None:
+    return choose((v for v in values if v is not None), default=None)
+
+
 class Discovery(StatefulProcessor):
-    """What is known of a session, with times in microseconds, and the timer that is to forget it."""
+    """What is known of a session, with times in microseconds, and when it was heard of last.
+
+    A timer is set when a session is new, and again when it ends and the session
+    has spoken since: a batch moves no timers."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -73,24 +90,30 @@ class Discovery(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", "first long, last long, events long")
+        self.seen = handle.getValueState("seen", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        is_new = not self.known.exists()
-        first, last, n = (None, None, 0) if is_new else self.known.get()
+        known, now = self.known.get(), timerValues.getCurrentProcessingTimeInMs()
+        first, last, n = (None, None, 0) if known is None else known
         modified, provider = None, None
         for r in rows:
-            first = r["ts"] if first is None else min(first, r["ts"])
-            last = r["ts"] if last is None else max(last, r["ts"])
-            modified = r["chunk_time"] if modified is None else max(modified, r["chunk_time"])
-            provider, n = r["provider"], n + 1
+            first, last, modified = _of(min, first, r["first"]), _of(max, last, r["last"]), _of(max, modified, r["modified"])
+            provider, n = r["provider"], n + r["events"]
         self.known.update((first, last, n))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield Row(session_id=key[0], provider=provider, is_new=is_new, modified=modified, first_activity=first, last_activity=last, event_count=n)
+        if known is None:
+            self.handle.registerTimer(now + self.idle_ms)
+        else:
+            self.seen.update((now,))
+        yield Row(session_id=key[0], provider=provider, is_new=known is None, modified=modified, first_activity=first, last_activity=last, event_count=n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.known.clear()
+        seen = self.seen.get()  # none if it has not spoken again
+        until = 0 if seen is None else seen[0] + self.idle_ms
+        if until > timerValues.getCurrentProcessingTimeInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.known.clear()
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -108,6 +131,7 @@ def discovery(events: DataFrame, sessions: DataFrame | None = None, project: str
     main = events.where("stream = 'main'").select("session_id", "provider", *micros)
     if project is not None:
         main = main.join(sessions.where(F.col("project_hash") == project).select("session_id").distinct(), "session_id")
-    told = main.groupBy("session_id").transformWithState(
+    rows = main.mapInArrow(by_session, "session_id string, provider string, first long, last long, modified long, events long")
+    told = rows.groupBy("session_id").transformWithState(
         Discovery(idle_ms), "session_id string, provider string, is_new boolean, modified long, first_activity long, last_activity long, event_count long", "update", "ProcessingTime")
     return told.withColumns({c: F.timestamp_micros(c) for c in ("modified", "first_activity", "last_activity")})
