@@ -38,12 +38,17 @@ class SessionStore:
         """Stores a micro-batch; gives the buckets it touches."""
         rows = batch.withColumn("bucket", self.bucket())
         self._replace(rows.repartition("bucket").withColumn("batch", F.lit(number).cast("long")), "events", "bucket", "batch")
-        return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # BUCKETS rows at most
+        root, files = self._events()
+        return [b for b in range(self.buckets) if files.exists(root.suffix(f"/bucket={b}/batch={number}"))]  # as stored: the batch isn't read again
+
+    def _events(self) -> tuple:
+        """The folder of events, and the file system it is on."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events")
+        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _folders(self, buckets: list[int] | None) -> list[str]:
         """The folders of some buckets that are there."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events")
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root, files = self._events()
         there = {p.getPath().getName() for p in files.listStatus(root)} if files.exists(root) else set()
         wanted = [f"bucket={b}" for b in (range(self.buckets) if buckets is None else buckets)]
         return [f"{self.folder}/events/{w}" for w in wanted if w in there]

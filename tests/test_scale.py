@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.plans import live_queries
 from sessionloom.plans.bridge import bridged
-from sessionloom.streaming import live, state
+from sessionloom.streaming import live, state, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,12 @@ def test_silent_sessions_are_forgotten_by_their_last_word(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert told[0] == {("a", True, 1), ("b", True, 1)} and told[1] == {("a", False, 2)}
     assert told[3] == {("a", False, 3), ("b", True, 1)}
+
+
+def test_batch_is_stored_from_one_read(spark, tmp_path, counted):
+    events = bridged(spark, SF)
+    rows, made = counted(events)
+    s = store.SessionStore(spark, str(tmp_path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema), buckets=8)
+    touched = s.add(rows, 0)
+    assert made.value == events.count()
+    assert touched == sorted(r[0] for r in events.select(s.bucket()).distinct().collect())
