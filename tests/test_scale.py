@@ -1,14 +1,16 @@
 """Work that must not grow faster than the input: what is made how often, and how much state, code and listing it takes."""
 
 import datetime
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.plans import live_queries
+from sessionloom.plans import index_queries, live_queries, log_queries, render
 from sessionloom.plans.bridge import bridged
+from sessionloom.sources import ingest
 from sessionloom.streaming import live, state, store
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +85,23 @@ def test_batch_is_stored_from_one_read(spark, tmp_path, counted):
     touched = s.add(rows, 0)
     assert made.value == events.count()
     assert touched == sorted(r[0] for r in events.select(s.bucket()).distinct().collect())
+
+
+def test_globs_list_folders(spark, tmp_path):
+    """A glob of file names is one listing of its folder, not one of each file, and means the same files as before."""
+    for name in ("a/s1.jsonl", "a/s2.jsonl", "a/x.txt", "a/below/s3.jsonl", "b/s4.jsonl", "b/s7.jsonl", "b/y.txt", "p/s5.jsonl", "p/day=1/s6.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('{"n":1}\n')
+
+    def names(frame):
+        return sorted(r[0].rpartition("/")[2] for r in frame.select("path").collect())
+
+    def roots(frame):
+        return frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    one, two = ingest.read_lines(spark, f"{tmp_path}/b/*.jsonl"), ingest.read_documents(spark, f"{tmp_path}/a/*.jsonl", f"{tmp_path}/b/*.jsonl")
+    assert names(one) == ["s4.jsonl", "s7.jsonl"] and "b/s4.jsonl" not in roots(one)
+    assert names(two) == ["s1.jsonl", "s2.jsonl", "s4.jsonl", "s7.jsonl"]
+    assert names(ingest.read_lines(spark, f"{tmp_path}/?/*.jsonl")) == ["s1.jsonl", "s2.jsonl", "s4.jsonl", "s5.jsonl", "s7.jsonl"]
+    assert names(ingest.read_lines(spark, f"{tmp_path}/p/*.jsonl")) == ["s5.jsonl"]
+    assert names(ingest.read_lines(spark, f"{tmp_path}/p/d*")) == ["s6.jsonl"] and names(ingest.read_lines(spark, f"{tmp_path}/a/b*")) == ["s3.jsonl"]
