@@ -105,3 +105,23 @@ def test_globs_list_folders(spark, tmp_path):
     assert names(ingest.read_lines(spark, f"{tmp_path}/?/*.jsonl")) == ["s1.jsonl", "s2.jsonl", "s4.jsonl", "s5.jsonl", "s7.jsonl"]
     assert names(ingest.read_lines(spark, f"{tmp_path}/p/*.jsonl")) == ["s5.jsonl"]
     assert names(ingest.read_lines(spark, f"{tmp_path}/p/d*")) == ["s6.jsonl"] and names(ingest.read_lines(spark, f"{tmp_path}/a/b*")) == ["s3.jsonl"]
+
+
+@pytest.mark.parametrize("lines", [render.claude_lines, render.codex_lines, log_queries.broken_lines])
+def test_code_of_rendered_lines_is_compiled(spark, lines):
+    """No method of a row's code is over the 8,000 bytes beyond which the JVM only interprets."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lines(bridged(spark, SF))._jdf.queryExecution().executedPlan()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_checked_lines_are_made_once(spark, counted):
+    events = bridged(spark, SF)
+    rows, made = counted(events)
+    assert log_queries.check_file(rows).count() > 0
+    assert made.value == events.count()
