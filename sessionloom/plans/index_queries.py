@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.assemble import Assembled
 from ..operators.query import cursor
 from ..sources import catalog
-from ..streaming.live import shared_dir
+from ..streaming.live import shared_dir, stored
 from . import oracle as O
 from .registry import query
 
@@ -19,8 +19,8 @@ from .registry import query
 def headers_of(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers and files: each stream of a session is a file; some sessions have no folder, some are children of the one before."""
     user = F.substring("session_id", 2, 20).cast("long")
-    rows = e.groupBy("provider", "session_id", "stream").agg(F.min("ts").alias("_ts"), F.max("ts").alias("modificationTime"), F.count(F.lit(1)).alias("length"),
-                                                             F.min(F.when(F.col("type") == "user", F.col("text"))).alias("snippet"))
+    rows = stored(e.groupBy("provider", "session_id", "stream").agg(F.min("ts").alias("_ts"), F.max("ts").alias("modificationTime"), F.count(F.lit(1)).alias("length"),
+                                                                    F.min(F.when(F.col("type") == "user", F.col("text"))).alias("snippet")))  # asked for by each table of a catalogue
     child = user % 7 == 3
     heads = rows.select(
         "provider", F.concat_ws("/", "session_id", "stream").alias("path"), "session_id", F.when(user % 4 != 1, F.concat(F.lit("/root/p"), (user % 5).cast("string"))).alias("cwd"),
@@ -29,9 +29,8 @@ def headers_of(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads, rows.select(F.concat_ws("/", "session_id", "stream").alias("path"), "length", "modificationTime")
 
 
-def first_index(e: DataFrame) -> catalog.Catalog:
+def first_index(heads: DataFrame, files: DataFrame) -> catalog.Catalog:
     """The catalogue before the last change: without a third of the sessions, and with other sizes of every fifth session's files."""
-    heads, files = headers_of(e)
     user = F.substring("session_id", 2, 20).cast("long")
     old = F.substring(F.substring_index("path", "/", 1), 2, 20).cast("long")
     made, _ = catalog.build_index(heads.where(user % 3 != 0), files.withColumn("length", F.when(old % 5 == 0, F.col("length") + 1).otherwise(F.col("length"))))
@@ -46,7 +45,7 @@ def repositories(e: DataFrame) -> DataFrame:
 
 def second_index(e: DataFrame):
     heads, files = headers_of(e)
-    return catalog.build_index(heads, files, old=first_index(e), repositories=repositories(e))
+    return catalog.build_index(heads, files, old=first_index(heads, files), repositories=repositories(e))
 
 
 HEADS = """hd AS (SELECT provider, session_id || '/' || stream AS path, session_id, CAST(user_id AS BIGINT) AS u, stream <> 'main' AS side, min(ts) AS ts, max(ts) AS mod_time, count(*) AS size, min(text) FILTER (type = 'user') AS snippet FROM ev GROUP BY ALL),
@@ -84,8 +83,9 @@ def build_index(e: DataFrame):
 def write_index(e: DataFrame):
     """The catalogue written twice, the second time out of the first as it was stored; the counts that the second write made."""
     spark, folder = e.sparkSession, f"{shared_dir(e.sparkSession)}/index-{uuid4().hex}"
-    first_index(e).write(f"{folder}/old")
-    counts = catalog.write_index(f"{folder}/new", *headers_of(e), old=catalog.Catalog.read(spark, f"{folder}/old"))
+    heads, files = headers_of(e)
+    first_index(heads, files).write(f"{folder}/old")
+    counts = catalog.write_index(f"{folder}/new", heads, files, old=catalog.Catalog.read(spark, f"{folder}/old"))
     return catalog.Catalog.read(spark, f"{folder}/new").sessions.agg(*[F.lit(n).cast("long").alias(k) for k, n in counts.items()], F.count(F.lit(1)).alias("stored"))
 
 
@@ -114,7 +114,7 @@ def list_sessions_of_project(e: DataFrame):
 @query(O.on_events("SELECT count(*) AS total_sessions, sum(files)::BIGINT AS scanned_files, 0::BIGINT AS skipped_files FROM sx WHERE project_hash = sha256('/root/p2')", HEADS), on="events")
 def filter_project_scope(e: DataFrame):
     heads, files = headers_of(e)
-    return catalog.build_index(heads, files, old=first_index(e), project=catalog.project_scope(cwd="/root/p2"), force=True)[1]
+    return catalog.build_index(heads, files, old=first_index(heads, files), project=catalog.project_scope(cwd="/root/p2"), force=True)[1]
 
 
 @query(O.on_events(f"SELECT {COLUMNS} FROM sx WHERE provider = 'codex' AND project_hash = sha256('/root/p2') AND parent_session_id IS NULL", HEADS), on="events")
@@ -199,8 +199,9 @@ def most_recent_provider(e: DataFrame):
 
 @query(O.on_events("SELECT path FROM hd WHERE u % 3 = 0 OR u % 5 = 0", HEADS), on="events")
 def anti_incremental(e: DataFrame):
-    known = first_index(e).log_files.withColumnsRenamed({"file_size": "length", "mod_time": "modificationTime"})
-    main = headers_of(e)[1].join(headers_of(e)[0].groupBy("session_id").agg(F.bool_or(~F.col("is_sidechain")).alias("m"), F.collect_list("path").alias("p")).where("m").select(F.explode("p").alias("path")), "path")
+    heads, files = headers_of(e)
+    known = first_index(heads, files).log_files.withColumnsRenamed({"file_size": "length", "mod_time": "modificationTime"})
+    main = files.join(heads.groupBy("session_id").agg(F.bool_or(~F.col("is_sidechain")).alias("m"), F.collect_list("path").alias("p")).where("m").select(F.explode("p").alias("path")), "path")
     return catalog.changed(main, known).select("path")
 
 

@@ -125,3 +125,11 @@ def test_checked_lines_are_made_once(spark, counted):
     rows, made = counted(events)
     assert log_queries.check_file(rows).count() > 0
     assert made.value == events.count()
+
+
+def test_headers_are_made_once(spark, counted):
+    """Both catalogues that write_index stores, with three tables each, come from one reading of the events."""
+    events = bridged(spark, SF)
+    rows, made = counted(events)
+    assert index_queries.write_index(rows).count() == 1
+    assert made.value == events.count()
