@@ -49,11 +49,6 @@ def summarize(a: Assembled) -> DataFrame:
         (c("total_turns") + c("messages") + c("reasonings") + 2 * c("tool_calls_total") + c("usages")).alias("total"))
 
 
-def analyze_failures(a: Assembled) -> DataFrame:
-    return a.turns.where("failed > 0").select(*KEYS, "turn_index", F.lit("failures").alias("diagnostic"), F.lit("critical").alias("severity"),
-                                              F.format_string("%d tool execution(s) failed", "failed").alias("message"))
-
-
 def with_loops(turns: DataFrame) -> DataFrame:
     """``turns`` with ``loops``: whether its kinds of tools repeat those of the turn before for the second time or more."""
     order = W.partitionBy(*KEYS).orderBy("turn_index")
@@ -64,27 +59,41 @@ def with_loops(turns: DataFrame) -> DataFrame:
     return t.withColumn("loops", F.col("turn_index") - since >= 2).drop("_kinds", "_new")
 
 
-def analyze_loops(a: Assembled) -> DataFrame:
-    """Turns whose kinds of tools repeat those of the turn before for the second time or more."""
-    return with_loops(a.turns).where("loops").select(
-        *KEYS, "turn_index", F.lit("loops").alias("diagnostic"), F.lit("warning").alias("severity"), F.lit("Repeated tool sequence detected").alias("message"))
+def _insight(diagnostic: str, severity: str, message: Column) -> Column:
+    return F.struct(F.lit(diagnostic).alias("diagnostic"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def analyze_bottlenecks(a: Assembled, slow_ms: int = SLOW_TOOL_MS) -> DataFrame:
-    return a.tools.where(F.col("duration_ms") > slow_ms).select(
-        *KEYS, "turn_index", F.lit("bottlenecks").alias("diagnostic"), F.lit("warning").alias("severity"),
-        F.concat(F.lit("Slow tool execution ("), F.initcap("tool_kind"), F.lit(" took "), F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("s)")).alias("message"))
+def _slow(x: Column) -> Column:
+    return F.concat(F.lit("Slow tool execution ("), F.initcap(x["kind"]), F.lit(" took "), F.floor(x["ms"] / 1000).cast("string"), F.lit("s)"))
+
 
+def insights(a: Assembled, checks=("failures", "loops", "bottlenecks"), slow_ms: int = SLOW_TOOL_MS) -> DataFrame:
+    """What the checks find, a row each: turns with failed calls, turns whose kinds of tools repeat those of the turn before for the second time or more, and slow calls.
 
-CHECKS = {"failures": analyze_failures, "loops": analyze_loops, "bottlenecks": analyze_bottlenecks}
+    All checks look at one row of a turn, so that the events are read and put in order once."""
+    c = F.col
 
+    def once(when: Column, found: Column) -> Column:
+        return F.filter(F.array(found), lambda x: F.coalesce(when, F.lit(False)))
+
+    found = {"failures": lambda: once(c("failed") > 0, _insight("failures", "critical", F.format_string("%d tool execution(s) failed", "failed"))),
+             "loops": lambda: once(c("loops"), _insight("loops", "warning", F.lit("Repeated tool sequence detected"))),
+             "bottlenecks": lambda: F.transform(F.filter("timed_calls", lambda x: x["ms"] > slow_ms), lambda x: _insight("bottlenecks", "warning", _slow(x)))}
+    turns = with_loops(a.turns) if "loops" in checks else a.turns
+    return turns.select(*KEYS, "turn_index", F.explode(F.concat(*[found[name]() for name in checks])).alias("_i")).select(*KEYS, "turn_index", "_i.*")
 
-def insights(a: Assembled, checks=("failures", "loops", "bottlenecks")) -> DataFrame:
-    out = None
-    for name in checks:
-        found = CHECKS[name](a)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+def analyze_failures(a: Assembled) -> DataFrame:
+    return insights(a, ("failures",))
+
+
+def analyze_loops(a: Assembled) -> DataFrame:
+    """Turns whose kinds of tools repeat those of the turn before for the second time or more."""
+    return insights(a, ("loops",))
+
+
+def analyze_bottlenecks(a: Assembled, slow_ms: int = SLOW_TOOL_MS) -> DataFrame:
+    return insights(a, ("bottlenecks",), slow_ms)
 
 
 def analysis_report(a: Assembled, checks=("failures",), slow_ms: int = SLOW_TOOL_MS) -> DataFrame:

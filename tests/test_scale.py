@@ -8,6 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom.operators import analyze
+from sessionloom.operators.assemble import assemble
 from sessionloom.plans import index_queries, live_queries, log_queries, render
 from sessionloom.plans.bridge import bridged
 from sessionloom.sources import ingest
@@ -133,3 +135,14 @@ def test_headers_are_made_once(spark, counted):
     rows, made = counted(events)
     assert index_queries.write_index(rows).count() == 1
     assert made.value == events.count()
+
+
+def test_insights_put_events_in_order_once(spark):
+    """All checks look at one row of a turn: the events are read once, and the checks are no frames of their own."""
+    a = assemble(bridged(spark, SF))
+    plan = analyze.insights(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Union" not in plan
+    found = analyze.insights(a)
+    for name, check in (("failures", analyze.analyze_failures), ("loops", analyze.analyze_loops), ("bottlenecks", analyze.analyze_bottlenecks)):
+        alone = sorted(map(str, check(a).collect()))
+        assert alone == sorted(map(str, found.where(F.col("diagnostic") == name).collect()))
