@@ -48,8 +48,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-#: Tables that this process has written to the shared folder.
-_settled: list[str] = []
+#: Tables that this process has written to the shared folder, by their path.
+_settled: dict[str, DataFrame] = {}
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is written inside go when it ends, and don't wait for the driver to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
@@ -58,18 +70,20 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     Results that were made of it read it again, so it stays until ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _settled.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with passing_shuffles(spark):
+        df.write.parquet(path)
+    _settled[path] = table = spark.read.schema(df.schema).parquet(path)
+    return table
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what ``settle`` has written, once the results made of it are stored; gives the number of tables."""
-    n = len(_settled)
-    while _settled:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+def release(spark: SparkSession, *tables: DataFrame) -> int:
+    """Delete what ``settle`` has written (or just these of its tables), once the results made of it are stored; gives the number of tables."""
+    gone = [path for path, df in _settled.items() if not tables or any(df is t for t in tables)]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        del _settled[name]
+    return len(gone)
 
 
 def text_udf(schema: str, row_fn, start=None):

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import release, settle, small_batches
 
 NGRAM, PERCENT = 5, 80
 #: Counters of the frequency sketch: 16 a row between these bounds (4 to 64 million), dealt out in ranges; it is broadcast with a byte a counter.
@@ -56,9 +57,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the word k-grams of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return _grams(_lowered(text), k)
+
+
+def _grams(lowered: bytes, k: int) -> np.ndarray:
+    words = lowered.split()
     if not words:
         return np.zeros(0, np.uint64)
     one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -197,28 +206,32 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
         bits[w] = bit
     held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
             picked = np.flatnonzero((held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
-            texts = batch.column(1)
+            texts = [_lowered(batch.column(1)[int(i)].as_py()) for i in picked]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(picked)), pa.array(
-                [shingles(texts[int(i)].as_py(), k).view(np.int64) for i in picked], pa.list_(pa.int64()))], names=["doc_id", "s"])
+                [zlib.compress(t, 1) if t.strip() else None for t in texts], pa.binary())], names=["doc_id", "t"])
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        grams = lru_cache(8)(lambda packed: _grams(zlib.decompress(packed), k))  # rows of one v follow one another
         out = []
         for i in range(len(x)):
-            a, b = (c[i].values.to_numpy().view(np.uint64) for c in (x, y))
+            a, b = (grams(c[i].as_py()) for c in (x, y))
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    made = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(sets_of, "doc_id long, s array<long>")
-    sets = settle(made.where(F.size("s") > 0).join(wanted, "doc_id").select("doc_id", "s"))
-    left = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("_x"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("_y"))
-    return settle(pairs.join(left, "u").join(right, "v").where(alike("_x", "_y")).select("u", "v").distinct())
+    # Packed texts, as sets of hashes are three times their size and can't be packed.
+    made = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(texts_of, "doc_id long, t binary")
+    texts = settle(made.where("t is not null").join(wanted, "doc_id").select("doc_id", "t"))
+    left = texts.select(F.col("doc_id").alias("u"), F.col("t").alias("_x"))
+    right = texts.select(F.col("doc_id").alias("v"), F.col("t").alias("_y"))
+    found = settle(pairs.join(left, "u").join(right, "v").where(alike("_x", "_y")).select("u", "v").distinct())
+    release(docs.sparkSession, texts, wanted)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,7 +308,9 @@ def across(postings: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
     mixed = held.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_m")).where("_a != _b")
     left = settle(held.join(mixed.select("token", "_m"), "token").select("token", "rep", "comp", "n", "pos", "_m"))
     few = _among_few(left, percent)
-    return suffix_filter(few, classes, percent).union(_among_many(left, classes, percent)).distinct()
+    rest = settle(suffix_filter(few, classes, percent).union(_among_many(left, classes, percent)).distinct())
+    release(postings.sparkSession, left)
+    return rest
 
 
 def _among_few(left: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +362,8 @@ def _met(tokens: DataFrame, hot: bool) -> DataFrame:
                 .where(F.size("parts") > 1).select("token", F.explode("parts").alias("part"), "l", "m", "h"))  # a row a part
         met = met.join(said, ["token", "part"], "left").withColumns({
             "_least": F.coalesce("l", "_least"), "_most": F.coalesce("m", "_most"), "_hub": F.coalesce("h", "_hub")})
-    return met.where("_least != _most").select("token", "a", "n", "pos", "_hub").distinct()
+    # A set's part is told by the n-gram and the set; with it, equal rows are together already.
+    return met.where("_least != _most").select("token", "part", "a", "n", "pos", "_hub").distinct().drop("part")
 
 
 def jaccard_groups(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,13 +377,15 @@ def _groups(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch_bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, int(16 * docs.count()).bit_length()))
     survey = settle(docs.mapInArrow(_survey(k, sketch_bits), _SURVEY))
-    rows = survey.where("kind = 0").select("doc_id", "n", "a", "b", "ranges")
+    summed = settle(survey.where("kind = 1").select("part", "counts").repartition("part").mapInArrow(_add_up, "part int, logs binary"))
+    rows = settle(survey.where("kind = 0").select("doc_id", "n", "a", "b", "ranges"))
+    release(spark, survey)
     classes = settle(rows.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min("ranges").alias("ranges")))
 
     logs = bytearray(1 << sketch_bits)
-    summed = survey.where("kind = 1").select("part", "counts").repartition("part").mapInArrow(_add_up, "part int, logs binary")
     for part, some in summed.toLocalIterator():  # a byte for each of the sketch's counters
         logs[part << RANGE_BITS:(part + 1) << RANGE_BITS] = some
+    release(spark, summed)
     tokens = docs.where("doc_id is not null").select("text").mapInArrow(
         _prefixes(k, percent, spark.sparkContext.broadcast(bytes(logs)), HOT), "token long, a long, n int, pos int, part int")
     met = _met(tokens, bool(_shares(np.frombuffer(logs, np.uint8).max(), HOT) > 1))
@@ -381,7 +399,8 @@ def _groups(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
              .select(F.greatest("rep", "_hub_rep").alias("u"), F.least("rep", "_hub_rep").alias("v")).distinct())
     links = verify(settle(suffix_filter(stars, classes, percent)), docs, k, percent)
     comps = components(links)
-    rest = settle(across(postings.select("token", "rep", "n", "pos").distinct(), comps, classes, percent))
+    rest = across(postings.select("token", "rep", "n", "pos"), comps, classes, percent)
+    release(spark, postings)
     if not rest.isEmpty():
         comps = components(links.union(verify(rest, docs, k, percent)))
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))

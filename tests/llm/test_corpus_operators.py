@@ -99,6 +99,46 @@ def test_release(spark):
         spark.read.parquet(made.inputFiles()[0]).count()
 
 
+def test_settled_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from sessionloom.llm import common
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = files()
+    made = common.settle(spark.range(1000).repartition(7, "id"))
+    ends = time.time() + 20
+    while (left := files() - before) and time.time() < ends:  # they are taken away beside the driver's work
+        time.sleep(0.2)
+    assert not left
+    assert made.count() == 1000
+
+
+def test_jaccard_keeps_what_its_result_reads_only(spark):
+    from sessionloom.llm import common
+
+    common.release(spark)
+    text = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(i, text + f" x{i}") for i in range(80)] + [(100 + i, f"a{i} b c d e") for i in range(9)], "doc_id long, text string")
+    rows = jaccard.jaccard_groups(frame, 4, 85)
+    kept = [set(t.columns) for t in common._settled.values()]
+    assert not any(c & {"text", "t", "s", "token", "counts", "logs", "slot"} for c in kept)
+    want = {i: 0 for i in range(80)} | {100 + i: 100 + i for i in range(9)}
+    assert {r.doc_id: r.component_id for r in rows.collect()} == want
+
+
+def test_prefix_rows_are_dealt_once(spark):
+    frame = spark.createDataFrame([(1, 5, 9, 0, -1), (1, 6, 9, 0, -1), (1, 6, 9, 0, -1), (2, 5, 9, 1, -1)], "token long, a long, n int, pos int, part int")
+    met = jaccard._met(frame, False)
+    assert sorted(tuple(r)[:4] for r in met.collect()) == [(1, 5, 9, 0), (1, 6, 9, 0)]
+    assert met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     chars = sum(map(len, words))
