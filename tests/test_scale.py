@@ -146,3 +146,19 @@ def test_insights_put_events_in_order_once(spark):
     for name, check in (("failures", analyze.analyze_failures), ("loops", analyze.analyze_loops), ("bottlenecks", analyze.analyze_bottlenecks)):
         alone = sorted(map(str, check(a).collect()))
         assert alone == sorted(map(str, found.where(F.col("diagnostic") == name).collect()))
+
+
+def test_third_format_documents(spark):
+    """Documents are put together of messages that are JSON already, and only what an event is made of is exploded, not an array of whole events."""
+    rows = [("s0", 1, "user", 'say "a, b"\n]}', "m1"), (None, 2, "message", "no session", "m1"), ("s0", 3, "message", "", "m1")]
+    one = spark.createDataFrame(rows, "session_id string, seq long, type string, text string, model string")
+    events = bridged(spark, SF)
+    one = one.select(F.col("seq").cast("string").alias("event_id"), F.current_timestamp().alias("ts"), "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in (*one.columns, "event_id", "ts")])
+    docs = render.gemini_documents(one)
+    assert not re.search("parse_?json", docs._jdf.queryExecution().optimizedPlan().toString(), re.I)
+    made = {r.path: r.d for r in docs.select("path", F.from_json("value", "sessionId string, messages array<struct<type: string, id: string, content: string>>").alias("d")).collect()}
+    assert [tuple(m) for m in made["s0"].messages] == [("user", "m1", 'say "a, b"\n]}'), ("gemini", "m3", "")] and made["s0"].sessionId == "s0"
+    assert made[None].sessionId is None and [m.content for m in made[None].messages] == ["no session"]
+    plan = ingest.gemini_events(render.gemini_documents(events))._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert len(exploded) == 2 and not any("slash_name" in line or "tok_cached" in line for line in exploded)
